@@ -29,22 +29,26 @@ def bucket_of(t_us: Column, bucket_us: int) -> Column:
 
 
 def bucketed_lag(df: DataFrame, keys: Sequence[str], t_col: str, bucket_us: int,
-                 out_col: str) -> DataFrame:
-    """Add ``out_col`` = previous ``t_col`` value of the same key (ordered by
-    ``t_col``); NULL for the first row of a key. ``t_col`` is a long."""
-    keys = list(keys)
-    b = bucket_of(F.col(t_col), bucket_us)
-    rows = df.withColumn("_b", b).withColumn("_k", F.lit(1)).withColumn("_v", F.col(t_col))
-    summary = rows.groupBy(*keys, "_b").agg(F.max(t_col).alias("_hi"))
+                 out_col: str, payload: Column | None = None,
+                 order: Sequence[str] = ()) -> DataFrame:
+    """Add ``out_col`` = ``payload`` (default: ``t_col``) of the previous row
+    of the same key in the order ``(t_col, *order)``; NULL for a key's first
+    row. ``t_col`` is a long (epoch microseconds)."""
+    keys, order = list(keys), list(order)
+    payload = F.col(t_col) if payload is None else payload
+    rows = df.withColumn("_b", bucket_of(F.col(t_col), bucket_us)) \
+        .withColumn("_k", F.lit(1)).withColumn("_v", payload)
+    summary = rows.groupBy(*keys, "_b").agg(
+        F.max_by("_v", F.struct(*[F.col(c) for c in [t_col, *order]])).alias("_last"))
     wb = Window.partitionBy(*keys).orderBy("_b")
     heads = summary.select(
         *keys, "_b",
         (F.col("_b") * bucket_us - 1).alias(t_col),
         F.lit(0).alias("_k"),
-        F.lag("_hi").over(wb).alias("_v"),
+        F.lag("_last").over(wb).alias("_v"),
     )
     u = rows.unionByName(heads, allowMissingColumns=True)
-    w = Window.partitionBy(*keys, "_b").orderBy(t_col, "_k")
+    w = Window.partitionBy(*keys, "_b").orderBy(t_col, "_k", *order)
     return (
         u.withColumn(out_col, F.lag("_v").over(w))
         .where(F.col("_k") == 1)
@@ -52,6 +56,56 @@ def bucketed_lag(df: DataFrame, keys: Sequence[str], t_col: str, bucket_us: int,
     )
 
 
+def bucketed_cumsum(df: DataFrame, keys: Sequence[str], t_col: str, bucket_us: int,
+                    value: Column, out_col: str, order: Sequence[str] = ()) -> DataFrame:
+    """Add ``out_col`` = running sum of ``value`` per key in the order
+    ``(t_col, *order)``, current row included. Earlier buckets enter as one
+    head row holding their total."""
+    keys, order = list(keys), list(order)
+    rows = df.withColumn("_b", bucket_of(F.col(t_col), bucket_us)) \
+        .withColumn("_k", F.lit(1)).withColumn("_v", value)
+    summary = rows.groupBy(*keys, "_b").agg(F.sum("_v").alias("_s"))
+    wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    heads = summary.select(
+        *keys, "_b",
+        (F.col("_b") * bucket_us - 1).alias(t_col),
+        F.lit(0).alias("_k"),
+        F.sum("_s").over(wb).alias("_v"),
+    )
+    u = rows.unionByName(heads, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_b").orderBy(t_col, "_k", *order) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        u.withColumn(out_col, F.sum("_v").over(w))
+        .where(F.col("_k") == 1)
+        .drop("_b", "_k", "_v")
+    )
+
+
+def bucketed_rolling_mean(df: DataFrame, keys: Sequence[str], t_col: str, value: str,
+                          windows: dict[str, int], bucket_us: int) -> DataFrame:
+    """Time-range rolling means over the frame (t - w, t] per key.
+
+    Rows are partitioned by (key, bucket); each bucket also receives a narrow
+    halo copy (key, t, value) of the previous bucket's last ``max(w)``
+    microseconds, so every frame is complete inside one bucket. The halo adds
+    ``max(w) / bucket_us`` of the rows (25 % for 24 h over 4-day buckets).
+    """
+    keys = list(keys)
+    wmax = max(windows.values())
+    if bucket_us < wmax:
+        raise ValueError("bucket_us must be at least the longest window")
+    b = bucket_of(F.col(t_col), bucket_us)
+    own = df.withColumn("_b", b).withColumn("_own", F.lit(True))
+    halo = df.where(F.col(t_col) >= (b + 1) * bucket_us - wmax + 1).select(
+        *keys, t_col, value, (b + 1).alias("_b"), F.lit(False).alias("_own"))
+    u = own.unionByName(halo, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_b").orderBy(t_col)
+    for name, wus in windows.items():
+        u = u.withColumn(name, F.avg(value).over(w.rangeBetween(-(wus - 1), 0)))
+    return u.where("_own").drop("_b", "_own")
+
+
 def bucketed_next(df: DataFrame, keys: Sequence[str], t_col: str, order: Sequence[str],
                   bucket_us: int, payload: Column, out_col: str) -> DataFrame:
     """Add ``out_col`` = ``payload`` of the next row of the same key in the

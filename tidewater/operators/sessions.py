@@ -76,10 +76,11 @@ def label_visit_seq(candidates: DataFrame, gap_threshold_h: float = 24.0,
 
 
 def gap_hours(candidates: DataFrame, ts: str = "base_date_time",
-              bucket_us: int = DAY_US) -> DataFrame:
-    """Hours since the previous candidate of the same (mmsi, portName)."""
+              bucket_us: int = DAY_US, order: list[str] | None = None) -> DataFrame:
+    """Hours since the previous candidate of the same (mmsi, portName);
+    ``order`` breaks ties between equal timestamps."""
     c = candidates.withColumn("_t", epoch_us(F.col(ts)))
-    out = bucketed_lag(c, ["mmsi", "portName"], "_t", bucket_us, "_prev")
+    out = bucketed_lag(c, ["mmsi", "portName"], "_t", bucket_us, "_prev", order=order or ())
     return out.withColumn("gap_hours", (F.col("_t") - F.col("_prev")) / float(US_PER_HOUR)) \
         .drop("_t", "_prev")
 
