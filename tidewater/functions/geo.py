@@ -117,8 +117,11 @@ def equal_width_bin(x, lo, width) -> Column:
 
 
 def iso_timestamp(ts) -> Column:
-    """ISO-8601 text."""
-    return F.date_format(_c(ts), "yyyy-MM-dd'T'HH:mm:ss")
+    """ISO-8601 text; six fraction digits only when the microseconds are
+    not zero (Python ``datetime.isoformat``)."""
+    ts = _c(ts)
+    return F.when(F.date_format(ts, "SSSSSS") == "000000", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")) \
+        .otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
 
 
 def nan_to_null(c) -> Column:

@@ -17,8 +17,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ACCURACY = 100_000
-_MARGIN = 5
+DEFAULT_ACCURACY = 1_000_000
+# Bracket half-widths 3 * 10^-j, j = 0..LADDER-1. A group of n rows uses the
+# narrowest level with at least 3 ranks on each side of the target, so a
+# bracket holds about 6..60 rows plus the sketch error n / accuracy.
+LADDER = 8
 
 
 def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float],
@@ -40,21 +43,24 @@ def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float],
     if not group_cols:
         base = base.withColumn("_g", F.lit(0))
     d = base.where(F.col("_x").isNotNull())
-    eps = _MARGIN / accuracy
-    lo_p = [max(p - eps, 0.0) for p in probs]
-    hi_p = [min(p + eps, 1.0) for p in probs]
+    margins = [3.0 * 10.0 ** -j for j in range(LADDER)]
+    lo_p = [max(p - m, 0.0) for p in probs for m in margins]
+    hi_p = [min(p + m, 1.0) for p in probs for m in margins]
     stats = base.groupBy(*g).agg(
         F.count("_x").alias("_n"),
-        F.percentile_approx("_x", F.array(*[F.lit(v) for v in lo_p]), accuracy).alias("_lo"),
-        F.percentile_approx("_x", F.array(*[F.lit(v) for v in hi_p]), accuracy).alias("_hi"),
+        F.percentile_approx("_x", F.array(*[F.lit(v) for v in lo_p + hi_p]), accuracy).alias("_b"),
         *extra_aggs,
     )
+    level = F.least(F.floor(F.log10(F.col("_n"))), F.lit(LADDER - 1)).cast("int")
+    n_lo = len(lo_p)
     # One row per (group, prob) with its bracket and target rank.
-    per_p = stats.where(F.col("_n") > 0).select(*g, "_n", F.posexplode(F.arrays_zip(
-        F.col("_lo").alias("lo"), F.col("_hi").alias("hi"),
-        F.array(*[F.lit(p) for p in probs]).alias("p"))).alias("_i", "_z")) \
-        .select(*g, "_i", F.col("_z.lo").alias("_blo"), F.col("_z.hi").alias("_bhi"),
-                (F.col("_z.p") * (F.col("_n") - 1) if positions is None
+    per_p = stats.where(F.col("_n") > 0).select(
+        *g, "_n", "_b", level.alias("_lvl"),
+        F.posexplode(F.array(*[F.lit(p) for p in probs])).alias("_i", "_p")) \
+        .select(*g, "_n", "_i",
+                F.element_at("_b", F.col("_i") * LADDER + F.col("_lvl") + 1).alias("_blo"),
+                F.element_at("_b", F.col("_i") * LADDER + F.col("_lvl") + 1 + n_lo).alias("_bhi"),
+                (F.col("_p") * (F.col("_n") - 1) if positions is None
                  else F.element_at(F.array(*[F.lit(float(v)) for v in positions]), F.col("_i") + 1)).alias("_pos"))
     j = d.select(*g, "_x").join(per_p, g)
     below = j.where(F.col("_x") < F.col("_blo")).groupBy(*g, "_i").agg(F.count(F.lit(1)).alias("_below"))
@@ -74,6 +80,6 @@ def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float],
         .otherwise(F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_frac"))
     wide = picked.groupBy(*g).agg(*[
         F.max(F.when(F.col("_i") == i, val)).alias(n) for i, n in enumerate(names)])
-    out = stats.drop("_lo", "_hi").join(wide, g, "left").drop("_n")
+    out = stats.drop("_b").join(wide, g, "left").drop("_n")
     return out.drop("_g") if not group_cols else out
 

@@ -426,7 +426,9 @@ def f7_floor_hour(spark, d):
     return Stages(spark, d).pings.select("ping_id", geo.floor_hour("base_date_time").alias("hour"))
 
 
-@register("f18_iso_text", W("pings", "SELECT ping_id, strftime(base_date_time, '%Y-%m-%dT%H:%M:%S') AS ts_text FROM pings"))
+@register("f18_iso_text", W("pings", """
+SELECT ping_id, CASE WHEN epoch_us(base_date_time) % 1000000 = 0 THEN strftime(base_date_time, '%Y-%m-%dT%H:%M:%S')
+                     ELSE strftime(base_date_time, '%Y-%m-%dT%H:%M:%S.%f') END AS ts_text FROM pings"""))
 def f18_iso_text(spark, d):
     return Stages(spark, d).pings.select("ping_id", geo.iso_timestamp("base_date_time").alias("ts_text"))
 
@@ -709,3 +711,28 @@ SELECT feature, CAST(row_number() OVER (ORDER BY abs(corr_{CORR_TARGETS[0]}) DES
 FROM ({_CORR_BODY})"""))
 def o3_abs_order(spark, d):
     return _corr(spark, d).select("feature", "abs_rank")
+
+
+# ---------------------------------------------------------------- streaming
+def _scratch(spark, tag: str) -> str:
+    import uuid
+    from tidewater.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidewater/{tag}-{uuid.uuid4().hex}"
+
+
+@register("st7_stream_visits", W("visits", "SELECT * FROM visits WHERE mmsi <> 0"))
+def st7_stream_visits(spark, d):
+    """ST7 (+S9, ST1, P7, ST4): visits computed by a Structured Streaming
+    query over the time-ordered JSON replay of the pings (file source,
+    availableNow), sessionized with a watermark and session_window, appended
+    to parquet; returns the sink table. Vessel id 0 is dropped by P7."""
+    from tidewater.streaming import stream as S
+    st = Stages(spark, d)
+    base = _scratch(spark, "st7")
+    S.write_replay(st.pings, f"{base}/in", heartbeat_after_h=2 * 24.0)
+    msgs = S.parse_messages(spark.readStream.format("text").load(f"{base}/in"))
+    q = (S.stream_port_visits(msgs, st.ports).writeStream.format("parquet")
+         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")

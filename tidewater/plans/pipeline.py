@@ -51,7 +51,16 @@ class Stages:
     # inputs
     @property
     def pings(self) -> DataFrame:
-        return self._get("pings", lambda: fixtures.pings(prepare(self.spark), self.sf_dir))
+        def build():
+            p = fixtures.pings(prepare(self.spark), self.sf_dir)
+            # At least one task per core: a source with fewer input splits
+            # than cores is spread round-robin once (never on a cluster-sized
+            # input, which already has thousands of splits).
+            cores = self.spark.sparkContext.defaultParallelism
+            if p.rdd.getNumPartitions() < cores:
+                p = p.repartition(cores)
+            return self._materialize(p, "pings")
+        return self._get("pings", build)
 
     @property
     def ports(self) -> DataFrame:
@@ -75,8 +84,8 @@ class Stages:
 
     @property
     def labeled(self) -> DataFrame:
-        return self._get("labeled", lambda: voyages.label_pings(
-            self.pings, self.visits, self.voyages_base))
+        return self._get("labeled", lambda: self._materialize(voyages.label_pings(
+            self.pings, self.visits, self.voyages_base), "labeled"))
 
     @property
     def voyages(self) -> DataFrame:
@@ -89,7 +98,8 @@ class Stages:
 
     @property
     def features(self) -> DataFrame:
-        return self._get("features", lambda: feat.build_features(self.sea, self.ports))
+        return self._get("features", lambda: self._materialize(
+            feat.build_features(self.sea, self.ports), "features"))
 
     @property
     def training(self) -> DataFrame:
@@ -101,14 +111,14 @@ class Stages:
         """Sea pings with the label, weather and derived weather columns."""
         def build():
             s = feat.remaining_travel(self.sea)
-            return weather.enrich(s, self.ports)
+            return self._materialize(weather.enrich(s, self.ports), "enriched")
         return self._get("enriched", build)
 
     # L5
     @property
     def port_hours(self) -> DataFrame:
-        return self._get("port_hours", lambda: portcalls.hours_in_port(
-            portcalls.ports_left_join(self.pings, self.ports)))
+        return self._get("port_hours", lambda: self._materialize(portcalls.hours_in_port(
+            portcalls.ports_left_join(self.pings, self.ports)), "port_hours"))
 
     @property
     def port_call_candidates(self) -> DataFrame:

@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.functions.geo import epoch_us
 from tidewater.session import prepare
 
 # Fixed values of the derivation (shared with the DuckDB oracle text).
@@ -27,48 +26,42 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _port_lat(k):
-    return F.lit(25) + (F.lit(7) * k) % 25
+def _lat(k: str) -> str:
+    return f"(25 + (7 * {k}) % 25)"
 
 
-def _port_lon(k):
-    return F.lit(-124) + F.lit(2) * ((F.lit(11) * k) % 25)
+def _lon(k: str) -> str:
+    return f"(-124 + 2 * ((11 * {k}) % 25))"
 
 
-def _dms(arcsec, hemi: str):
-    d = (arcsec / 3600).cast("long")
-    m = ((arcsec % 3600) / 60).cast("long")
-    s = arcsec % 60
-    return F.concat(d.cast("string"), F.lit("°"), m.cast("string"), F.lit("'"),
-                    s.cast("string"), F.lit('"'), F.lit(hemi))
+def _dms(arcsec: str, hemi: str) -> str:
+    return (f"concat(cast(div({arcsec}, 3600) as string), '°', cast(div({arcsec} % 3600, 60) as string), "
+            f"'\\'', cast({arcsec} % 60 as string), '\"{hemi}')")
 
 
 def ports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ports(port_number int, portName string, lat_dd, lon_dd double,
     latitude, longitude string [DMS text as in a port list CSV])."""
     prepare(spark)
-    n = _read(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").cast("int").alias("port_number"),
-        F.col("n_name").alias("portName"),
-        _port_lat(F.col("n_nationkey")).cast("double").alias("lat_dd"),
-        _port_lon(F.col("n_nationkey")).cast("double").alias("lon_dd"),
-        (_port_lat(F.col("n_nationkey")) * 3600).cast("long").alias("_lat_s"),
-        (-_port_lon(F.col("n_nationkey")) * 3600).cast("long").alias("_lon_s"),
-    )
-    off_s = int(round(ANCHORAGE_OFFSET_DEG * 3600))
-    r = _read(spark, sf_dir, "region").select(
-        (F.col("r_regionkey") + ANCHORAGE_NUMBER_BASE).cast("int").alias("port_number"),
-        F.concat(F.lit(ANCHORAGE_PREFIX), F.col("r_name")).alias("portName"),
-        (_port_lat(F.col("r_regionkey")).cast("double") + F.lit(ANCHORAGE_OFFSET_DEG)).alias("lat_dd"),
-        (_port_lon(F.col("r_regionkey")).cast("double") + F.lit(ANCHORAGE_OFFSET_DEG)).alias("lon_dd"),
-        (_port_lat(F.col("r_regionkey")) * 3600 + off_s).cast("long").alias("_lat_s"),
-        (-_port_lon(F.col("r_regionkey")) * 3600 - off_s).cast("long").alias("_lon_s"),
-    )
-    return n.unionByName(r).select(
+    off = ANCHORAGE_OFFSET_DEG
+    off_s = int(round(off * 3600))
+    n = _read(spark, sf_dir, "nation").selectExpr(
+        "cast(n_nationkey as int) as port_number", "n_name as portName",
+        f"cast({_lat('n_nationkey')} as double) as lat_dd", f"cast({_lon('n_nationkey')} as double) as lon_dd",
+        f"cast({_lat('n_nationkey')} * 3600 as bigint) as _lat_s", f"cast(-{_lon('n_nationkey')} * 3600 as bigint) as _lon_s")
+    r = _read(spark, sf_dir, "region").selectExpr(
+        f"cast(r_regionkey + {ANCHORAGE_NUMBER_BASE} as int) as port_number",
+        f"concat('{ANCHORAGE_PREFIX}', r_name) as portName",
+        f"cast({_lat('r_regionkey')} as double) + {off}D as lat_dd",
+        f"cast({_lon('r_regionkey')} as double) + {off}D as lon_dd",
+        f"cast({_lat('r_regionkey')} * 3600 + {off_s} as bigint) as _lat_s",
+        f"cast(-{_lon('r_regionkey')} * 3600 - {off_s} as bigint) as _lon_s")
+    return n.unionByName(r).selectExpr(
         "port_number", "portName", "lat_dd", "lon_dd",
-        _dms(F.col("_lat_s"), "N").alias("latitude"),
-        _dms(F.col("_lon_s"), "W").alias("longitude"),
-    )
+        f"{_dms('_lat_s', 'N')} as latitude", f"{_dms('_lon_s', 'W')} as longitude")
+
+
+EVENTS_SCHEMA = "event_id bigint, ts timestamp, user_id bigint, value double"
 
 
 def pings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,40 +69,34 @@ def pings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Columns: ping_id long, mmsi long, base_date_time timestamp_ntz,
     latitude, longitude, sog, cog double, vessel_type int.
+
+    ``ts`` is read as TIMESTAMP (the stored microseconds, UTC), so the hour
+    number is a plain field read; the output column is TIMESTAMP_NTZ like
+    the source.
     """
     prepare(spark)
-    e = _read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
-    mmsi = F.col("user_id")
-    h = (epoch_us(F.col("ts")) / 3_600_000_000).cast("long") + F.lit(7) * mmsi
-    phase = (F.col("_h") / HOURS_PER_PHASE).cast("long")
-    frac = (F.col("_h") % HOURS_PER_PHASE).cast("double") / float(HOURS_PER_PHASE)
-    leg = (F.col("_phase") / 2).cast("long")
-    a = (F.lit(3) * F.col("_leg") + mmsi) % N_NATION_PORTS
-    b = (F.lit(3) * (F.col("_leg") + 1) + mmsi) % N_NATION_PORTS
-    a_lat, a_lon = _port_lat(F.col("_a")).cast("double"), _port_lon(F.col("_a")).cast("double")
-    b_lat, b_lon = _port_lat(F.col("_b")).cast("double"), _port_lon(F.col("_b")).cast("double")
-    at_sea = (F.col("_phase") % 2) == 1
-    lat = F.when(at_sea, a_lat + (b_lat - a_lat) * F.col("_frac")) \
-        .otherwise(a_lat + ((F.col("event_id") % 7) - 3).cast("double") * 0.005)
-    lon = F.when(at_sea, a_lon + (b_lon - a_lon) * F.col("_frac")) \
-        .otherwise(a_lon + ((F.col("event_id") % 5) - 2).cast("double") * 0.005)
-    sog = F.when(at_sea, F.lit(6.0) + F.col("value") % 14.0) \
-        .otherwise((F.col("value") - F.floor(F.col("value"))) * 1.4)
-    return (
-        e.withColumn("_h", h)
-        .withColumn("_phase", phase)
-        .withColumn("_frac", frac)
-        .withColumn("_leg", leg)
-        .withColumn("_a", a)
-        .withColumn("_b", b)
-        .select(
-            F.col("event_id").alias("ping_id"),
-            mmsi.alias("mmsi"),
-            F.col("ts").cast("timestamp_ntz").alias("base_date_time"),
-            lat.alias("latitude"),
-            lon.alias("longitude"),
-            sog.cast("double").alias("sog"),
-            ((F.col("event_id") * 37) % 360).cast("double").alias("cog"),
-            (F.lit(60) + mmsi % 25).cast("int").alias("vessel_type"),
-        )
+    e = spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
+    step = e.selectExpr(
+        "event_id", "ts", "user_id", "value",
+        f"div(unix_micros(ts), 3600000000) + 7 * user_id as _h")
+    step = step.selectExpr(
+        "*", f"div(_h, {HOURS_PER_PHASE}) as _phase",
+        f"cast(_h % {HOURS_PER_PHASE} as double) / {HOURS_PER_PHASE}D as _frac")
+    step = step.selectExpr(
+        "*", f"(3 * div(_phase, 2) + user_id) % {N_NATION_PORTS} as _a",
+        f"(3 * (div(_phase, 2) + 1) + user_id) % {N_NATION_PORTS} as _b", "_phase % 2 = 1 as _sea")
+    step = step.selectExpr(
+        "*", f"cast({_lat('_a')} as double) as _alat", f"cast({_lon('_a')} as double) as _alon",
+        f"cast({_lat('_b')} as double) as _blat", f"cast({_lon('_b')} as double) as _blon")
+    return step.selectExpr(
+        "event_id as ping_id",
+        "user_id as mmsi",
+        "cast(ts as timestamp_ntz) as base_date_time",
+        "CASE WHEN _sea THEN _alat + (_blat - _alat) * _frac "
+        "ELSE _alat + cast((event_id % 7) - 3 as double) * 0.005D END as latitude",
+        "CASE WHEN _sea THEN _alon + (_blon - _alon) * _frac "
+        "ELSE _alon + cast((event_id % 5) - 2 as double) * 0.005D END as longitude",
+        "CASE WHEN _sea THEN 6.0D + value % 14.0D ELSE (value - floor(value)) * 1.4D END as sog",
+        "cast((event_id * 37) % 360 as double) as cog",
+        "cast(60 + user_id % 25 as int) as vessel_type",
     )
