@@ -736,3 +736,62 @@ def st7_stream_visits(spark, d):
          .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out")
+
+
+# ---------------------------------------------------------------- model (rows-only: no SQL form)
+_MODELS: dict = {}
+
+
+def _trained(spark, d):
+    """M3 split + M1/M2 fit on the training voyages; memoized per input folder."""
+    from tidewater.plans import training
+    st = Stages(spark, d)
+    f = st.features
+    split = voyage_split(f)
+    key = (id(spark), d)
+    if key not in _MODELS:
+        _MODELS[key] = training.train(f, split).model
+    return st, f, split, _MODELS[key]
+
+
+@register("m2_test_predictions")
+def m2_test_predictions(spark, d):
+    """M2 + M6 + F16 + F10 on the test voyages."""
+    from tidewater.plans import training
+    _, f, split, model = _trained(spark, d)
+    test = f.join(split.where("is_test").select("voyage_id"), "voyage_id", "left_semi")
+    return training.predict(model, test).select("ping_id", "voyage_id", feat.LABEL, "predicted_remaining_hours")
+
+
+@register("m4_metrics")
+def m4_metrics(spark, d):
+    """M4: MAE, RMSE and R^2 on the test voyages, one aggregation pass."""
+    p = m2_test_predictions(spark, d)
+    err = F.col("predicted_remaining_hours") - F.col(feat.LABEL)
+    y = F.col(feat.LABEL)
+    return p.agg(
+        F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"),
+        (1 - F.sum(err * err) / (F.sum(y * y) - F.sum(y) * F.sum(y) / F.count(y))).alias("r2"),
+        F.count(F.lit(1)).alias("n_test"))
+
+
+@register("m5_permutation_importance")
+def m5_permutation_importance(spark, d):
+    """M5 on a seeded sample of at most 10,000 test rows."""
+    from tidewater.plans import training
+    _, f, split, model = _trained(spark, d)
+    test = f.join(split.where("is_test").select("voyage_id"), "voyage_id", "left_semi")
+    sample = profile.seeded_sample(test, "ping_id", IMPORTANCE_SAMPLE_N, SEED)
+    return training.permutation_importance(model, sample)
+
+
+@register("st5_predictions")
+def st5_predictions(spark, d):
+    """ST5 batch form: latest feature row per vessel -> predict -> clip, in
+    the vessel-registry shape (O6 columns)."""
+    from tidewater.plans import training
+    _, f, _, model = _trained(spark, d)
+    latest = feat.latest_per_vessel(f, feat.FEATURE_COLUMNS)
+    return training.predict(model, latest).select(
+        "mmsi", F.col("base_date_time").alias("last_prediction_time"), "predicted_remaining_hours",
+        "origin_port", "destination_port", "latitude", "longitude")
