@@ -71,8 +71,8 @@ def test_messages_roundtrip_and_bad_json(spark, stages):
 
 def test_stream_visits_equal_batch(spark, stages):
     base = tempfile.mkdtemp(prefix="tw-st7-")
-    S.write_replay(stages.pings, f"{base}/in", files=4, heartbeat_after_h=48.0)
-    msgs = S.parse_messages(spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(f"{base}/in"))
+    S.write_replay(stages.pings, f"{base}/in", heartbeat_after_h=48.0)
+    msgs = S.parse_messages(spark.readStream.format("text").option("maxFilesPerTrigger", 4).load(f"{base}/in"))
     q = (S.stream_port_visits(msgs, stages.ports).writeStream.format("parquet").option("path", f"{base}/out")
          .option("checkpointLocation", f"{base}/ck").outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
@@ -84,10 +84,10 @@ def test_stream_visits_equal_batch(spark, stages):
 def test_predictor_foreach_batch(spark, stages, trained):
     _, _, res = trained
     base = tempfile.mkdtemp(prefix="tw-pred-")
-    S.write_replay(stages.pings, f"{base}/in", files=3)
+    S.write_replay(stages.pings, f"{base}/in")
     pred = S.Predictor(spark, stages.ports, res.model, f"{base}/state", buffer_hours=96.0)
     assert pred.registry().count() == 0            # empty with schema before the first pass
-    q = pred.start(S.read_file_stream(spark, f"{base}/in", files_per_trigger=1), f"{base}/ck")
+    q = pred.start(S.read_file_stream(spark, f"{base}/in", files_per_trigger=12), f"{base}/ck")
     q.awaitTermination()
     reg = pred.registry()
     assert reg.columns == S.REGISTRY_COLUMNS

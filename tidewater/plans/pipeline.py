@@ -26,7 +26,12 @@ MIN_TIME_IN_PORT_H = 1.0
 @dataclass
 class Stages:
     spark: SparkSession
-    sf_dir: str
+    sf_dir: str | None = None
+    pings_df: DataFrame | None = None     # overrides the fixture pings (stream buffer)
+    ports_df: DataFrame | None = None     # overrides the fixture ports
+    radius_nm: float = RADIUS_NM
+    max_speed_knots: float = MAX_SPEED_KNOTS
+    gap_threshold_h: float = GAP_THRESHOLD_H
     _cache: dict = field(default_factory=dict)
 
     def _get(self, name, build):
@@ -52,6 +57,8 @@ class Stages:
     @property
     def pings(self) -> DataFrame:
         def build():
+            if self.pings_df is not None:
+                return self.pings_df
             p = fixtures.pings(prepare(self.spark), self.sf_dir)
             # At least one task per core: a source with fewer input splits
             # than cores is spread round-robin once (never on a cluster-sized
@@ -64,18 +71,19 @@ class Stages:
 
     @property
     def ports(self) -> DataFrame:
-        return self._get("ports", lambda: fixtures.ports(prepare(self.spark), self.sf_dir))
+        return self._get("ports", lambda: self.ports_df if self.ports_df is not None
+                         else fixtures.ports(prepare(self.spark), self.sf_dir))
 
     # L1
     @property
     def candidates(self) -> DataFrame:
         return self._get("candidates", lambda: spatial.find_candidates(
-            self.pings, self.ports, RADIUS_NM, MAX_SPEED_KNOTS))
+            self.pings, self.ports, self.radius_nm, self.max_speed_knots))
 
     @property
     def visits(self) -> DataFrame:
         return self._get("visits", lambda: self._materialize(sessions.visits_from_candidates(
-            self.candidates, GAP_THRESHOLD_H), "visits"))
+            self.candidates, self.gap_threshold_h), "visits"))
 
     @property
     def voyages_base(self) -> DataFrame:

@@ -63,10 +63,15 @@ def to_messages(pings: DataFrame) -> DataFrame:
                         F.col("mmsi").cast("string").alias("key"))
 
 
-def write_replay(pings: DataFrame, path: str, files: int = 8,
+def write_replay(pings: DataFrame, path: str, files: int = 1,
                  heartbeat_after_h: float | None = None) -> None:
-    """Time-ordered JSON-lines files: a range partition on the timestamp
-    and a sort inside each file, so file i holds earlier pings than file i+1.
+    """Replay folder of JSON-lines files in time order.
+
+    Pings are written day by day, in day order (the reference replays daily
+    files in sequence), each day sorted by time, so the file source, which
+    takes files in modification-time order, sees time-ordered batches. The
+    loop runs once per day of data (a list of dates is the only thing that
+    reaches the driver); each day is one Spark write of ``files`` files.
 
     ``heartbeat_after_h`` appends one end-of-stream heartbeat message stamped
     that many hours plus one second after the last ping, so an event-time
@@ -75,9 +80,12 @@ def write_replay(pings: DataFrame, path: str, files: int = 8,
     passes every filter Catalyst pushes below the watermark and then matches
     no port in the spatial join, so it moves event time and adds no row.
     Only the ST7 replay uses it."""
-    (to_messages(pings.repartitionByRange(files, "base_date_time")
-                 .sortWithinPartitions("base_date_time", "ping_id"))
-     .select("value").write.mode("overwrite").text(path))
+    day = F.to_date(F.col("base_date_time"))
+    days = [r["d"] for r in pings.select(day.alias("d")).distinct().orderBy("d").collect()]
+    for i, d in enumerate(days):
+        part = pings.where(day == F.lit(d)).repartitionByRange(files, "base_date_time") \
+            .sortWithinPartitions("base_date_time", "ping_id")
+        to_messages(part).select("value").write.mode("overwrite" if i == 0 else "append").text(path)
     if heartbeat_after_h is not None:
         step = int(heartbeat_after_h * 3600) + 1
         hb = pings.agg(F.max("base_date_time").alias("m")).select(
@@ -191,20 +199,14 @@ class Predictor:
 
     def prediction_pass(self, buffer: DataFrame) -> DataFrame:
         """ST5: visits -> labels -> voyages -> sea pings -> features ->
-        latest per vessel -> predict -> clip. Same functions as the batch plan."""
+        latest per vessel -> predict -> clip. Same stage plan as the batch
+        pipeline, with the buffer in place of the pings."""
+        from tidewater.plans.pipeline import Stages
         from tidewater.plans.training import predict
-        visits = sessions.find_port_visits(buffer, self.ports, self.radius_nm, self.max_speed, self.gap)
-        voy = voyages.voyages_from_visits(visits)
-        labeled = voyages.label_pings(buffer, visits, voy)
-        sea = feat.sea_pings(labeled).join(
-            voy.select("voyage_id", "arrival_time"), "voyage_id", "left")
-        f = feat.rolling_sog(feat.distance_features(sea, self.ports))
-        f = feat.sog_deviation(f)
-        latest = feat.latest_per_vessel(f, ["latitude", "longitude", "origin_port", "destination_port"]
-                                        + [c for c in ("sog", "sog_roll_6h", "sog_roll_24h", "sog_deviation",
-                                                       "remaining_dist_nm", "total_dist_nm", "fraction_completed")])
-        scored = predict(self.model, latest)
-        return scored.select(
+        st = Stages(self.spark, pings_df=buffer, ports_df=self.ports, radius_nm=self.radius_nm,
+                    max_speed_knots=self.max_speed, gap_threshold_h=self.gap)
+        latest = feat.latest_per_vessel(st.features, feat.FEATURE_COLUMNS)
+        return predict(self.model, latest).select(
             "mmsi", F.col("base_date_time").alias("last_prediction_time"), "predicted_remaining_hours",
             "origin_port", "destination_port", "latitude", "longitude")
 
