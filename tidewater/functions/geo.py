@@ -38,10 +38,10 @@ def epoch_us(ts) -> Column:
 def dms_to_dd(s) -> Column:
     """F1: '46°59\'00"N' -> 46.98333; negative for S/W; unparsable text -> NULL."""
     parts = F.split(F.trim(_c(s)), "[°'\"]+")
-    deg = parts.getItem(0).try_cast("double")
-    mins = parts.getItem(1).try_cast("double")
-    secs = parts.getItem(2).try_cast("double")
-    hemi = F.trim(parts.getItem(3))
+    deg = F.get(parts, 0).try_cast("double")
+    mins = F.get(parts, 1).try_cast("double")
+    secs = F.get(parts, 2).try_cast("double")
+    hemi = F.trim(F.get(parts, 3))
     dd = deg + mins / 60.0 + secs / 3600.0
     return F.when(hemi.isin("S", "W"), -dd).when(hemi.isin("N", "E"), dd)
 

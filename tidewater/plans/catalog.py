@@ -532,7 +532,7 @@ def _valid(e: DataFrame) -> DataFrame:
 
 
 def _qcut_sql(col: str, src: str) -> str:
-    return f"""(SELECT len(list_filter(e[2:], x -> x < {col}))
+    return f"""(SELECT len(list_filter(e[2:], lambda x: x < {col}))
        FROM (SELECT list_sort(list_distinct(quantile_cont({col}, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]))) AS e FROM {src}))"""
 
 
