@@ -62,7 +62,20 @@ def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float],
                 F.element_at("_b", F.col("_i") * LADDER + F.col("_lvl") + 1 + n_lo).alias("_bhi"),
                 (F.col("_p") * (F.col("_n") - 1) if positions is None
                  else F.element_at(F.array(*[F.lit(float(v)) for v in positions]), F.col("_i") + 1)).alias("_pos"))
-    j = d.select(*g, "_x").join(per_p, g)
+    if group_cols:
+        j = d.select(*g, "_x").join(per_p.drop("_n"), g)
+    else:
+        # One group: its P brackets are scalars; attach them as literals
+        # (a join on the constant group key would plan as a cross join).
+        br = per_p.collect()
+        if not br:
+            j = d.select("_g", "_x", F.lit(None).cast("int").alias("_i"), F.lit(None).cast("double").alias("_blo"),
+                         F.lit(None).cast("double").alias("_bhi"), F.lit(None).cast("double").alias("_pos"))
+        else:
+            lits = F.array(*[F.struct(F.lit(r["_i"]).alias("_i"), F.lit(r["_blo"]).cast("double").alias("_blo"),
+                                      F.lit(r["_bhi"]).cast("double").alias("_bhi"),
+                                      F.lit(float(r["_pos"])).alias("_pos")) for r in br])
+            j = d.select("_g", "_x", F.inline(lits))
     below = j.where(F.col("_x") < F.col("_blo")).groupBy(*g, "_i").agg(F.count(F.lit(1)).alias("_below"))
     inside = j.where((F.col("_x") >= F.col("_blo")) & (F.col("_x") <= F.col("_bhi"))) \
         .groupBy(*g, "_i", "_x").agg(F.count(F.lit(1)).alias("_c"))
@@ -80,6 +93,10 @@ def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float],
         .otherwise(F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_frac"))
     wide = picked.groupBy(*g).agg(*[
         F.max(F.when(F.col("_i") == i, val)).alias(n) for i, n in enumerate(names)])
-    out = stats.drop("_b").join(wide, g, "left").drop("_n")
-    return out.drop("_g") if not group_cols else out
+    if group_cols:
+        return stats.drop("_b").join(wide, g, "left").drop("_n")
+    # One group: the P values are scalars; add them as literal columns.
+    vals = wide.first()
+    return stats.drop("_b", "_n", "_g").select(
+        "*", *[F.lit(vals[n] if vals is not None else None).cast("double").alias(n) for n in names])
 
