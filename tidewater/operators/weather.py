@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.geo import (US_PER_HOUR, epoch_us, flag, floor_hour, grid_1deg,
-                                     headwind, sea_state)
+                                     headwind, safe_key, sea_state)
 
 MARINE_COLUMNS = ["wave_height", "wave_direction", "wave_period", "swell_wave_height",
                   "ocean_current_velocity", "ocean_current_direction"]
@@ -89,6 +89,12 @@ def port_weather_fixture(keyed: DataFrame, ports: DataFrame) -> DataFrame:
         "destination_port", "hour", *_wind_values(w)).withColumnsRenamed(PORT_RENAME)
 
 
+def store_port_weather(port_weather: DataFrame, path: str) -> None:
+    """S5 store: port weather partitioned by a path-safe port key."""
+    port_weather.withColumn("port_key", safe_key("destination_port")) \
+        .repartition("port_key").write.mode("overwrite").partitionBy("port_key").parquet(path)
+
+
 def join_cell_weather(df: DataFrame, marine: DataFrame, wind: DataFrame) -> DataFrame:
     """Two left joins on (lat_bin, lon_bin, hour)."""
     k = ["lat_bin", "lon_bin", "hour"]

@@ -795,3 +795,18 @@ def st5_predictions(spark, d):
     return training.predict(model, latest).select(
         "mmsi", F.col("base_date_time").alias("last_prediction_time"), "predicted_remaining_hours",
         "origin_port", "destination_port", "latitude", "longitude")
+
+
+@register("o6_vessel_summary")
+def o6_vessel_summary(spark, d):
+    """O6 via ST1-ST6: the pings replayed as a message stream (S9, day-ordered
+    files, 10 files per micro-batch), scored by the foreachBatch predictor
+    with a 48 h buffer; returns the vessel registry ordered by mmsi."""
+    from tidewater.streaming import stream as S
+    st, _, _, model = _trained(spark, d)
+    base = _scratch(spark, "o6")
+    S.write_replay(st.pings, f"{base}/in")
+    pred = S.Predictor(spark, st.ports, model, f"{base}/state", buffer_hours=48.0)
+    q = pred.start(S.read_file_stream(spark, f"{base}/in", files_per_trigger=10), f"{base}/checkpoint")
+    q.awaitTermination()
+    return pred.registry()
