@@ -110,3 +110,21 @@ def test_pair_visits_matches_lead(spark):
     v = visits_df(spark, [(1, "A", 0, 1), (1, "B", 30, 31), (1, "C", 100, 101), (1, "D", 100, 102)])
     got = sorted((r.departure_port, r.arrival_port, r.kept) for r in voyages.pair_visits(v).collect())
     assert got == [("A", "B", True), ("B", "C", True), ("C", "D", False)]
+
+
+def test_hot_key_split_gives_same_labels(spark):
+    """A vessel whose busiest day exceeds the bucket target gets narrower
+    buckets; labels must not change."""
+    v = visits_df(spark, [(1, "A", 0, 2), (1, "B", 30, 33), (1, "C", 50, 51), (2, "A", 0, 1), (2, "B", 5, 6)])
+    hours = [0, 1, 2, 3, 10, 20, 25, 29, 30, 31, 33, 34, 40, 49, 50, 51, 60]
+    p = pings_at(spark, 1, hours).unionByName(pings_at(spark, 2, [0, 2, 3, 5, 7], first_id=100))
+    cols = ["ping_id", "current_port", "origin_port", "destination_port", "voyage_id"]
+    voy = voyages.voyages_from_visits(v)
+    a = voyages.label_pings(p, v, voy, split_hot_keys=False).select(*cols)
+    b = voyages.label_pings(p, v, voy, hot_bucket_rows=2).select(*cols)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    from tidewater.operators.ordered import hot_key_widths
+    from tidewater.functions.geo import epoch_us
+    from pyspark.sql import functions as F
+    w = hot_key_widths(p.withColumn("_t", epoch_us(F.col("base_date_time"))), "mmsi", "_t", 86_400_000_000, 2)
+    assert {r.mmsi for r in w.collect()} == {1, 2}

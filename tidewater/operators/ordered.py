@@ -24,8 +24,39 @@ DAY_US = 86_400_000_000
 INDEX_BLOCK_BITS = 20
 
 
-def bucket_of(t_us: Column, bucket_us: int) -> Column:
-    return F.floor(t_us / F.lit(bucket_us)).cast("long")
+# Target rows per (key, bucket) partition for adaptive bucket widths.
+HOT_BUCKET_ROWS = 2_000_000
+# A hot-key table has at most (rows / HOT_BUCKET_ROWS) entries; it is
+# broadcast only below this many rows.
+BROADCAST_MAX_HOT_KEYS = 1_000_000
+
+
+def bucket_of(t_us: Column, bucket_us) -> Column:
+    """Bucket number; ``bucket_us`` is an int or a per-row width Column."""
+    w = bucket_us if isinstance(bucket_us, Column) else F.lit(bucket_us)
+    return F.floor(t_us / w).cast("long")
+
+
+def hot_key_widths(df: DataFrame, key: str, t_col: str, base_us: int,
+                   target_rows: int = HOT_BUCKET_ROWS) -> DataFrame:
+    """Per-key bucket width for keys whose busiest base bucket holds more
+    than ``target_rows`` rows: ``base_us / 2^k`` with the smallest k that
+    brings that bucket under the target (assuming rows spread over the
+    bucket). Two aggregations (map-side combined); one row per hot key only.
+    """
+    per = df.groupBy(key, bucket_of(F.col(t_col), base_us).alias("_hb")).agg(F.count(F.lit(1)).alias("_n"))
+    hot = per.groupBy(key).agg(F.max("_n").alias("_m")).where(F.col("_m") > target_rows)
+    k = F.least(F.ceil(F.log2(F.col("_m") / F.lit(float(target_rows)))), F.lit(30)).cast("int")
+    return hot.select(key, F.floor(F.lit(base_us) / F.pow(F.lit(2.0), k)).cast("long").alias("_w"))
+
+
+def with_key_width(df: DataFrame, key: str, widths: DataFrame | None, base_us: int) -> DataFrame:
+    """Attach ``_w`` (bucket width) to every row: the hot-key width, else
+    ``base_us``. The hot-key table is broadcast after a size check."""
+    if widths is None:
+        return df.withColumn("_w", F.lit(base_us).cast("long"))
+    w = F.broadcast(widths) if widths.count() <= BROADCAST_MAX_HOT_KEYS else widths
+    return df.join(w, key, "left").withColumn("_w", F.coalesce(F.col("_w"), F.lit(base_us).cast("long")))
 
 
 def bucketed_lag(df: DataFrame, keys: Sequence[str], t_col: str, bucket_us: int,

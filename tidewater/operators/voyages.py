@@ -1,7 +1,7 @@
 """Ping labels and voyages.
 
 All four per-ping lookups run in one pass: visit and voyage *events* are
-unioned with the pings, the union is partitioned by (mmsi, day bucket) and
+unioned with the pings, the union is partitioned by (mmsi, time bucket) and
 sorted once by (t, kind, entry, exit, port); each lookup is a
 ``last``/``first`` with ``ignorenulls`` over that order.
 
@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.geo import US_PER_HOUR, epoch_us
-from tidewater.operators.ordered import DAY_US, bucket_of, bucketed_next, global_index
+from tidewater.operators.ordered import (DAY_US, HOT_BUCKET_ROWS, bucket_of, bucketed_next, global_index,
+                                         hot_key_widths, with_key_width)
 
 VOYAGE_COLUMNS = ["voyage_id", "mmsi", "departure_port", "departure_time", "arrival_port",
                   "arrival_time", "duration_hours", "ping_count"]
@@ -74,15 +75,22 @@ def voyages_from_visits(visits: DataFrame, bucket_us: int = DAY_US) -> DataFrame
 
 
 def label_pings(pings: DataFrame, visits: DataFrame, voyages: DataFrame | None = None,
-                ts: str = "base_date_time", bucket_us: int = DAY_US) -> DataFrame:
+                ts: str = "base_date_time", bucket_us: int = DAY_US,
+                split_hot_keys: bool = True, hot_bucket_rows: int = HOT_BUCKET_ROWS) -> DataFrame:
     """J3 + J4 + J5 (+ J6 when ``voyages`` is given) + P11.
 
     Adds current_port, origin_port, destination_port (string) and voyage_id
     (long, NULL without ``voyages``) to every ping.
+
+    Buckets are ``bucket_us`` wide; a vessel id whose busiest bucket holds
+    more than ``ordered.HOT_BUCKET_ROWS`` pings (a shared or bogus id) gets
+    narrower buckets, so no window partition exceeds that size.
     """
     v = _visit_us(visits)
     p = pings.withColumn("_t", epoch_us(F.col(ts))).withColumn("_kind", F.lit(1))
-    p = p.withColumn("_b", bucket_of(F.col("_t"), bucket_us))
+    widths = hot_key_widths(p, "mmsi", "_t", bucket_us, hot_bucket_rows) if split_hot_keys else None
+    p = with_key_width(p, "mmsi", widths, bucket_us)
+    p = p.withColumn("_b", bucket_of(F.col("_t"), F.col("_w")))
 
     def ev(t, kind, **payload):
         return v.select(
@@ -112,7 +120,8 @@ def label_pings(pings: DataFrame, visits: DataFrame, voyages: DataFrame | None =
         ev_all = ev_all.unionByName(e, allowMissingColumns=True)
     if "_voy" not in ev_all.columns:
         ev_all = ev_all.withColumn("_voy", F.lit(None).cast("struct<id:bigint,arr:bigint>"))
-    ev_all = ev_all.withColumn("_b", bucket_of(F.col("_t"), bucket_us))
+    ev_all = with_key_width(ev_all, "mmsi", widths, bucket_us)
+    ev_all = ev_all.withColumn("_b", bucket_of(F.col("_t"), F.col("_w")))
 
     # Per-(mmsi, bucket) summary of events, completed with every ping bucket.
     key = F.struct(*[F.col(c) for c in _ORDER])
@@ -122,14 +131,14 @@ def label_pings(pings: DataFrame, visits: DataFrame, voyages: DataFrame | None =
         F.max_by("_voy", F.when(F.col("_voy").isNotNull(), key)).alias("_voy_last"),
         F.min_by("_dst", F.when(F.col("_dst").isNotNull(), key)).alias("_dst_first"),
     )
-    ping_buckets = p.groupBy("mmsi", "_b").agg(F.lit(True).alias("_has_pings"))
+    ping_buckets = p.groupBy("mmsi", "_b").agg(F.lit(True).alias("_has_pings"), F.first("_w").alias("_w"))
     wb = Window.partitionBy("mmsi").orderBy("_b")
     before = wb.rowsBetween(Window.unboundedPreceding, -1)
     after = wb.rowsBetween(1, Window.unboundedFollowing)
     carry = (
         ping_buckets.join(summ, ["mmsi", "_b"], "full")
         .select(
-            "mmsi", "_b", "_has_pings",
+            "mmsi", "_b", "_has_pings", "_w",
             F.last("_cur_last", True).over(before).alias("_cur"),
             F.last("_org_last", True).over(before).alias("_org"),
             F.last("_voy_last", True).over(before).alias("_voy"),
@@ -138,14 +147,14 @@ def label_pings(pings: DataFrame, visits: DataFrame, voyages: DataFrame | None =
         .where(F.col("_has_pings"))
         .drop("_has_pings")
     )
-    heads = carry.select("mmsi", "_b", (F.col("_b") * bucket_us - 1).alias("_t"),
+    heads = carry.select("mmsi", "_b", (F.col("_b") * F.col("_w") - 1).alias("_t"),
                          F.lit(-1).alias("_kind"), "_cur", "_org", "_voy")
-    tails = carry.select("mmsi", "_b", ((F.col("_b") + 1) * bucket_us).alias("_t"),
+    tails = carry.select("mmsi", "_b", ((F.col("_b") + 1) * F.col("_w")).alias("_t"),
                          F.lit(3).alias("_kind"), "_dst")
 
     # Only events in buckets that hold pings are needed in the main pass.
-    ev_in = ev_all.join(ping_buckets.select("mmsi", "_b"), ["mmsi", "_b"], "left_semi")
-    u = (p.unionByName(ev_in, allowMissingColumns=True)
+    ev_in = ev_all.join(ping_buckets.select("mmsi", "_b"), ["mmsi", "_b"], "left_semi").drop("_w")
+    u = (p.drop("_w").unionByName(ev_in, allowMissingColumns=True)
          .unionByName(heads, allowMissingColumns=True)
          .unionByName(tails, allowMissingColumns=True))
     w = Window.partitionBy("mmsi", "_b").orderBy(*_ORDER)
