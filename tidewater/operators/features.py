@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.geo import US_PER_HOUR, epoch_us, fraction_completed, haversine_nm
 from tidewater.operators.ordered import DAY_US, bucketed_rolling_mean
 from tidewater.operators.spatial import BROADCAST_MAX_PORT_ROWS
+from tidewater.session import checked_count
 
 ROLLING_WINDOWS_H = {"sog_roll_6h": 6, "sog_roll_24h": 24}
 ROLLING_BUCKET_US = 4 * DAY_US
@@ -45,7 +46,7 @@ def attach_arrival(sea: DataFrame, voyages: DataFrame) -> DataFrame:
 def _port_loc(ports: DataFrame, prefix: str) -> DataFrame:
     loc = ports.select(F.col("portName").alias(f"{prefix}_port"),
                        F.col("lat_dd").alias(f"{prefix}_lat"), F.col("lon_dd").alias(f"{prefix}_lon"))
-    return F.broadcast(loc) if ports.count() <= BROADCAST_MAX_PORT_ROWS else loc
+    return F.broadcast(loc) if checked_count(ports) <= BROADCAST_MAX_PORT_ROWS else loc
 
 
 def port_coordinates(df: DataFrame, ports: DataFrame) -> DataFrame:

@@ -53,9 +53,10 @@ def hot_key_widths(df: DataFrame, key: str, t_col: str, base_us: int,
 def with_key_width(df: DataFrame, key: str, widths: DataFrame | None, base_us: int) -> DataFrame:
     """Attach ``_w`` (bucket width) to every row: the hot-key width, else
     ``base_us``. The hot-key table is broadcast after a size check."""
+    from tidewater.session import checked_count
     if widths is None:
         return df.withColumn("_w", F.lit(base_us).cast("long"))
-    w = F.broadcast(widths) if widths.count() <= BROADCAST_MAX_HOT_KEYS else widths
+    w = F.broadcast(widths) if checked_count(widths) <= BROADCAST_MAX_HOT_KEYS else widths
     return df.join(w, key, "left").withColumn("_w", F.coalesce(F.col("_w"), F.lit(base_us).cast("long")))
 
 

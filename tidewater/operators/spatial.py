@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.geo import DEGREES_PER_NM, METRES_PER_NM, mercator_x, mercator_y
+from tidewater.session import checked_count
 
 # A port list is a dimension table (thousands of rows); 9 cells per port.
-BROADCAST_MAX_PORT_ROWS = 200_000
+BROADCAST_MAX_PORT_ROWS = 2_000_000
 
 
 
@@ -27,9 +28,9 @@ def _offsets():
                      for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
 
 
-def _maybe_broadcast(ports: DataFrame) -> DataFrame:
-    n = ports.count()
-    return F.broadcast(ports) if n <= BROADCAST_MAX_PORT_ROWS else ports
+def _maybe_broadcast(cells: DataFrame, ports: DataFrame) -> DataFrame:
+    n = checked_count(ports) * 9
+    return F.broadcast(cells) if n <= BROADCAST_MAX_PORT_ROWS else cells
 
 
 def _port_cells(ports: DataFrame, px, py, cell: float, keep: list[str]) -> DataFrame:
@@ -46,7 +47,7 @@ def _port_cells(ports: DataFrame, px, py, cell: float, keep: list[str]) -> DataF
 
 def _grid_join(pings: DataFrame, ports: DataFrame, x, y, px, py, radius: float,
                port_cols: list[str], how: str) -> DataFrame:
-    cells = _maybe_broadcast(_port_cells(ports, px, py, radius, port_cols))
+    cells = _maybe_broadcast(_port_cells(ports, px, py, radius, port_cols), ports)
     p = pings.withColumn("_x", x).withColumn("_y", y) \
         .withColumn("_cx", F.floor(F.col("_x") / radius)) \
         .withColumn("_cy", F.floor(F.col("_y") / radius))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import weakref
 
 from pyspark.sql import SparkSession
 
@@ -63,3 +64,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+_COUNTS: "weakref.WeakKeyDictionary" = weakref.WeakKeyDictionary()
+
+
+def checked_count(df) -> int:
+    """Row count used by broadcast size checks, computed once per DataFrame
+    object (the same small dimension frame is checked by several joins)."""
+    try:
+        return _COUNTS[df]
+    except (KeyError, TypeError):
+        n = df.count()
+        try:
+            _COUNTS[df] = n
+        except TypeError:
+            pass
+        return n
