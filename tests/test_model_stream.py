@@ -95,3 +95,21 @@ def test_predictor_foreach_batch(spark, stages, trained):
     assert len(rows) > 0
     assert all(r.predicted_remaining_hours >= 0 and r.origin_port and r.destination_port for r in rows)
     assert len({r.mmsi for r in rows}) == len(rows)
+
+
+def test_buffer_retention_and_replay(spark, stages, trained):
+    """ST3: batches wholly older than max(ts) - buffer_hours leave the buffer;
+    a replayed batch id overwrites its own outputs."""
+    from conftest import at, make_pings
+    _, _, res = trained
+    base = tempfile.mkdtemp(prefix="tw-ret-")
+    pred = S.Predictor(spark, stages.ports, res.model, f"{base}/state", buffer_hours=48.0)
+    b0 = make_pings(spark, [(i, 7, at(i), 0.0, 0.0, 5.0) for i in range(10)])
+    b1 = make_pings(spark, [(100 + i, 7, at(100 + i), 0.0, 0.0, 5.0) for i in range(3)])
+    pred.process_batch(b0.withColumn("cog", F.lit(0.0)).withColumn("vessel_type", F.lit(70)), 0)
+    pred.process_batch(b1.withColumn("cog", F.lit(0.0)).withColumn("vessel_type", F.lit(70)), 1)
+    meta = spark.read.parquet(f"{base}/state/meta/v=1").collect()
+    assert [r.batch_id for r in meta] == [1]
+    pred.process_batch(b1.withColumn("cog", F.lit(0.0)).withColumn("vessel_type", F.lit(70)), 1)
+    assert [r.batch_id for r in spark.read.parquet(f"{base}/state/meta/v=1").collect()] == [1]
+    assert pred.registry().count() == 0

@@ -7,12 +7,13 @@
   gap threshold, appended to a parquet sink.
 * ST1-ST6: the predictor. Each micro-batch (trigger = ``maxFilesPerTrigger``
   / ``maxOffsetsPerTrigger``, ST4) goes to ``foreachBatch``, which appends it
-  to the retained ping buffer, trims the buffer to ``max(ts) - buffer_hours``
-  over all vessels (P6/ST3, exact), runs the same batch functions as the
-  batch pipeline (ST5) and upserts the vessel registry (ST6). Buffer and
-  registry are versioned parquet tables keyed by batch id, so a batch that is
-  replayed after a failure overwrites its own version (idempotent) and the
-  query restarts from its checkpoint (ST9).
+  to the retained ping buffer (append-only, one folder per batch), reads it
+  back trimmed to ``max(ts) - buffer_hours`` over all vessels (P6/ST3,
+  exact), runs the same batch functions as the batch pipeline (ST5) and
+  upserts the vessel registry (ST6). Buffer folders, buffer metadata and the
+  registry are keyed by batch id, so a batch that is replayed after a failure
+  overwrites only its own outputs (idempotent) and the query restarts from
+  its checkpoint (ST9).
 """
 
 from __future__ import annotations
@@ -210,21 +211,49 @@ class Predictor:
             "mmsi", F.col("base_date_time").alias("last_prediction_time"), "predicted_remaining_hours",
             "origin_port", "destination_port", "latitude", "longitude")
 
+    @property
+    def meta_path(self) -> str:
+        return f"{self.state_dir}/meta"
+
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
+        """ST2/ST3/ST5/ST6 for one micro-batch.
+
+        The buffer is append-only: the batch's rows go to ``batch=<id>`` and a
+        meta version ``v=<id>`` lists the live batches (their max time is
+        inside the buffer) and the running max time over all vessels. The retained buffer is every batch folder up to ``id`` with
+        ``ts >= max - buffer_hours`` (P6, exact); folders wholly before the
+        cutoff are skipped by their recorded max. Each batch writes O(batch)
+        rows, and a replayed batch overwrites only its own folder and version.
+        """
         spark = batch.sparkSession
-        cols = [f.name for f in MESSAGE_SCHEMA.fields if f.name != "_corrupt_record"]
-        schema = T.StructType([f for f in MESSAGE_SCHEMA.fields if f.name != "_corrupt_record"])
         schema = T.StructType([T.StructField(f.name, T.TimestampNTZType() if f.name == "base_date_time"
-                                             else f.dataType) for f in schema.fields])
-        old = _latest_before(spark, self.buffer_path, batch_id, schema)
-        allp = old.select(*cols).unionByName(batch.select(*cols))
-        # ST3/P6: cutoff = max(ts) over all vessels - buffer_hours, as a
-        # scalar subquery (one aggregate; nothing but the plan leaves Spark).
+                                             else f.dataType)
+                               for f in MESSAGE_SCHEMA.fields if f.name != "_corrupt_record"])
+        cols = schema.fieldNames()
         t = epoch_us(F.col("base_date_time"))
-        mx = allp.select(F.max(t)).scalar()
-        kept = allp.where(t >= mx - F.lit(int(self.buffer_hours * US_PER_HOUR)))
-        kept.write.mode("overwrite").parquet(f"{self.buffer_path}/v={batch_id}")
-        buf = spark.read.schema(schema).parquet(f"{self.buffer_path}/v={batch_id}")
+        b = batch.select(*cols)
+        b.write.mode("overwrite").parquet(f"{self.buffer_path}/batch={batch_id}")
+        meta_schema = "batch_id bigint, batch_max bigint, running_max bigint"
+        # Meta rows: only live batches (their max is inside the buffer); a
+        # handful of longs, read and written as scalars.
+        prev = _latest_before(spark, self.meta_path, batch_id, meta_schema).collect()
+        this_max = spark.read.schema(schema).parquet(f"{self.buffer_path}/batch={batch_id}") \
+            .agg(F.max(t).alias("m")).first()["m"]
+        maxes = [r["running_max"] for r in prev if r["running_max"] is not None]
+        if this_max is not None:
+            maxes.append(this_max)
+        if not maxes:
+            return
+        running_max = max(maxes)
+        cutoff = running_max - int(self.buffer_hours * US_PER_HOUR)
+        rows = [(r["batch_id"], r["batch_max"]) for r in prev if r["batch_id"] != batch_id] + [(batch_id, this_max)]
+        live = [(i, m) for i, m in rows if m is not None and m >= cutoff]
+        spark.createDataFrame([(i, m, running_max) for i, m in live] or [(batch_id, this_max, running_max)],
+                              meta_schema).write.mode("overwrite").parquet(f"{self.meta_path}/v={batch_id}")
+        if not live:
+            return
+        buf = spark.read.schema(schema).parquet(*[f"{self.buffer_path}/batch={i}" for i, _ in live]) \
+            .where(t >= F.lit(cutoff))
         new = self.prediction_pass(buf)
         reg_old = _latest_before(spark, self.registry_path, batch_id, REGISTRY_SCHEMA)
         merged = reg_old.withColumn("_v", F.lit(0)).unionByName(new.withColumn("_v", F.lit(1)))
