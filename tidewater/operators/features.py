@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.geo import US_PER_HOUR, epoch_us, fraction_completed, haversine_nm
-from tidewater.operators.ordered import DAY_US, bucketed_rolling_mean
+from tidewater.operators.ordered import DAY_US, bucketed_rolling_mean, rolling_range_mean
 from tidewater.operators.spatial import BROADCAST_MAX_PORT_ROWS
 from tidewater.session import checked_count
 
@@ -69,14 +69,23 @@ def distance_features(df: DataFrame, ports: DataFrame) -> DataFrame:
     return d.drop("dest_lat", "dest_lon", "origin_lat", "origin_lon")
 
 
-def rolling_sog(df: DataFrame, ts: str = "base_date_time",
-                bucket_us: int = ROLLING_BUCKET_US) -> DataFrame:
+def rolling_sog(df: DataFrame, ts: str = "base_date_time", bucket_us: int = ROLLING_BUCKET_US,
+                method: str = "halo") -> DataFrame:
     """Mean sog over (t - 6 h, t] and (t - 24 h, t] per vessel.
 
-    Equal-timestamp pings are peers and see each other (Spark range frame)."""
+    Equal-timestamp pings are peers and see each other (RANGE frame).
+
+    * ``halo`` (default): one exchange on (vessel, 4-day bucket); each bucket
+      also gets a narrow copy of the previous bucket's last 24 h.
+    * ``prefix``: exact DECIMAL prefix-sum differences with a bucketed as-of
+      lookup; several exchanges, but the bucket width may be smaller than the
+      window (for a vessel id too hot for 4-day partitions).
+    """
     t = df.withColumn("_t", epoch_us(F.col(ts)))
     wins = {k: h * US_PER_HOUR for k, h in ROLLING_WINDOWS_H.items()}
-    return bucketed_rolling_mean(t, ["mmsi"], "_t", "sog", wins, bucket_us).drop("_t")
+    if method == "prefix":
+        return rolling_range_mean(t, ["mmsi"], "_t", "sog", wins, bucket_us).drop("_t")
+    return bucketed_rolling_mean(t, ["mmsi"], "_t", "sog", wins, max(bucket_us, max(wins.values()))).drop("_t")
 
 
 def sog_deviation(df: DataFrame) -> DataFrame:

@@ -89,29 +89,32 @@ def bucketed_lag(df: DataFrame, keys: Sequence[str], t_col: str, bucket_us: int,
 
 
 def bucketed_cumsum(df: DataFrame, keys: Sequence[str], t_col: str, bucket_us: int,
-                    value: Column, out_col: str, order: Sequence[str] = ()) -> DataFrame:
-    """Add ``out_col`` = running sum of ``value`` per key in the order
-    ``(t_col, *order)``, current row included. Earlier buckets enter as one
-    head row holding their total."""
+                    value: Column | dict, out_col: str | None = None,
+                    order: Sequence[str] = ()) -> DataFrame:
+    """Running sum per key in the order ``(t_col, *order)``, current row
+    included: ``out_col`` = running sum of ``value``, or, with ``value`` a
+    dict ``{out_col: Column}``, several running sums in one pass. Earlier
+    buckets enter as one head row holding their totals."""
     keys, order = list(keys), list(order)
-    rows = df.withColumn("_b", bucket_of(F.col(t_col), bucket_us)) \
-        .withColumn("_k", F.lit(1)).withColumn("_v", value)
-    summary = rows.groupBy(*keys, "_b").agg(F.sum("_v").alias("_s"))
+    values = value if isinstance(value, dict) else {out_col: value}
+    tmp = {o: f"_v{i}" for i, o in enumerate(values)}
+    rows = df.withColumn("_b", bucket_of(F.col(t_col), bucket_us)).withColumn("_k", F.lit(1))
+    for o, c in values.items():
+        rows = rows.withColumn(tmp[o], c)
+    summary = rows.groupBy(*keys, "_b").agg(*[F.sum(tmp[o]).alias(f"_s{tmp[o]}") for o in values])
     wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     heads = summary.select(
         *keys, "_b",
         (F.col("_b") * bucket_us - 1).alias(t_col),
         F.lit(0).alias("_k"),
-        F.sum("_s").over(wb).alias("_v"),
+        *[F.sum(f"_s{tmp[o]}").over(wb).alias(tmp[o]) for o in values],
     )
     u = rows.unionByName(heads, allowMissingColumns=True)
     w = Window.partitionBy(*keys, "_b").orderBy(t_col, "_k", *order) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        u.withColumn(out_col, F.sum("_v").over(w))
-        .where(F.col("_k") == 1)
-        .drop("_b", "_k", "_v")
-    )
+    for o in values:
+        u = u.withColumn(o, F.sum(tmp[o]).over(w))
+    return u.where(F.col("_k") == 1).drop("_b", "_k", *tmp.values())
 
 
 def bucketed_rolling_mean(df: DataFrame, keys: Sequence[str], t_col: str, value: str,
@@ -197,3 +200,65 @@ def global_index(df: DataFrame, key: str, t_col: str, order: Sequence[str], buck
         .withColumn(out_col, (F.col("_off") + F.col("_rn") - 1).cast("long"))
         .drop("_b", "_blk", "_rn", "_off")
     )
+
+
+def bucketed_last_at_or_before(rows: DataFrame, events: DataFrame, keys: Sequence[str], t_col: str,
+                               bucket_us: int, payloads: Sequence[str]) -> DataFrame:
+    """As-of backward: for every row of ``rows``, each payload column of the
+    latest row of ``events`` (same key) with event time <= row time where
+    that payload is not NULL. ``events`` carries ``keys``, ``t_col`` and the
+    payload columns (output under the same names).
+
+    One union partitioned by (key, bucket); events of earlier buckets enter
+    through one head row per bucket from a per-(key, bucket) summary."""
+    keys, payloads = list(keys), list(payloads)
+    r = rows.withColumn("_b", bucket_of(F.col(t_col), bucket_us)).withColumn("_k", F.lit(1))
+    e = events.select(*keys, t_col, *payloads) \
+        .withColumn("_b", bucket_of(F.col(t_col), bucket_us)).withColumn("_k", F.lit(0))
+    last_in_b = e.groupBy(*keys, "_b").agg(*[
+        F.max_by(p, F.when(F.col(p).isNotNull(), F.col(t_col))).alias(f"_l_{p}") for p in payloads])
+    row_b = r.groupBy(*keys, "_b").agg(F.lit(True).alias("_has"))
+    wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    heads = (row_b.join(last_in_b, keys + ["_b"], "full")
+             .select(*keys, "_b", "_has", *[F.last(f"_l_{p}", True).over(wb).alias(p) for p in payloads])
+             .where(F.col("_has"))
+             .select(*keys, "_b", (F.col("_b") * bucket_us - 1).alias(t_col), F.lit(-1).alias("_k"), *payloads))
+    e_in = e.join(row_b.select(*keys, "_b"), keys + ["_b"], "left_semi")
+    u = r.unionByName(e_in, allowMissingColumns=True).unionByName(heads, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_b").orderBy(t_col, "_k") \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    for p in payloads:
+        u = u.withColumn(p, F.last(p, True).over(w))
+    return u.where(F.col("_k") == 1).drop("_b", "_k")
+
+
+def rolling_range_mean(df: DataFrame, keys: Sequence[str], t_col: str, value: str,
+                       windows: dict[str, int], bucket_us: int) -> DataFrame:
+    """Time-range rolling means over (t - w, t] per key, exact, with no
+    lower bound on the bucket width (so hot keys can use narrow buckets).
+
+    mean = (S(t) - S(t - w)) / (N(t) - N(t - w)) where S, N are per-key
+    cumulative sums and counts of non-null values over distinct timestamps
+    (peers share one value, as in a RANGE frame). Sums are DECIMAL, so the
+    differences are exact. S(t - w) is the as-of value of the same table
+    shifted by w (all windows in one pass). Results are joined back on
+    (key, t)."""
+    keys = list(keys)
+    dec = "decimal(38,12)"
+    pts = df.groupBy(*keys, t_col).agg(
+        F.sum(F.col(value).cast(dec)).alias("_s"), F.count(value).alias("_c"))
+    cum = bucketed_cumsum(pts, keys, t_col, bucket_us, {
+        "_cs": F.coalesce(F.col("_s"), F.lit(0).cast(dec)), "_cn": F.col("_c")}).drop("_s", "_c")
+    shifted = None
+    for name, w in windows.items():
+        part = cum.select(*keys, (F.col(t_col) + w).alias(t_col),
+                          *[F.struct(F.col("_cs").alias("S"), F.col("_cn").alias("N")).alias(f"_o_{n}")
+                            if n == name else F.lit(None).cast("struct<S:decimal(38,12),N:bigint>").alias(f"_o_{n}")
+                            for n in windows])
+        shifted = part if shifted is None else shifted.unionByName(part)
+    out = bucketed_last_at_or_before(cum, shifted, keys, t_col, bucket_us, [f"_o_{n}" for n in windows])
+    for name in windows:
+        n = F.col("_cn") - F.coalesce(F.col(f"_o_{name}.N"), F.lit(0))
+        s = F.col("_cs") - F.coalesce(F.col(f"_o_{name}.S"), F.lit(0).cast(dec))
+        out = out.withColumn(name, F.when(n > 0, (s / n).cast("double"))).drop(f"_o_{name}")
+    return df.join(out.drop("_cs", "_cn"), keys + [t_col], "left")
