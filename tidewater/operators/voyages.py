@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.geo import US_PER_HOUR, epoch_us
+from tidewater.session import checked_count
 from tidewater.operators.ordered import (DAY_US, HOT_BUCKET_ROWS, bucket_of, bucketed_next, global_index,
                                          hot_key_widths, with_key_width)
 
@@ -88,7 +89,10 @@ def label_pings(pings: DataFrame, visits: DataFrame, voyages: DataFrame | None =
     """
     v = _visit_us(visits)
     p = pings.withColumn("_t", epoch_us(F.col(ts))).withColumn("_kind", F.lit(1))
-    widths = hot_key_widths(p, "mmsi", "_t", bucket_us, hot_bucket_rows) if split_hot_keys else None
+    # A key can only be hot if the whole input exceeds the target (the count
+    # of a parquet-backed frame comes from file metadata).
+    hot_possible = split_hot_keys and checked_count(pings) > hot_bucket_rows
+    widths = hot_key_widths(p, "mmsi", "_t", bucket_us, hot_bucket_rows) if hot_possible else None
     p = with_key_width(p, "mmsi", widths, bucket_us)
     p = p.withColumn("_b", bucket_of(F.col("_t"), F.col("_w")))
 
