@@ -109,3 +109,22 @@ def test_gap_hours(spark, ports):
     c = spatial.find_candidates(make_pings(spark, rows), ports)
     g = sorted((r.ping_id, r.gap_hours) for r in sessions.gap_hours(c).collect())
     assert g == [(0, None), (1, 1.0), (5, 29.0)]
+
+
+def test_shuffle_path_equals_broadcast_path(spark, monkeypatch):
+    """Above the port-size limit the grid join shuffles on the cell key;
+    results must not change."""
+    from tidewater.plans.pipeline import Stages
+    st = Stages(spark, "/root/testdata/sf0.001")
+    a = spatial.find_candidates(st.pings, st.ports).select("ping_id", "portName")
+    monkeypatch.setattr(spatial, "BROADCAST_MAX_PORT_ROWS", 0)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        b_df = spatial.find_candidates(st.pings, st.ports.select("*"))
+        plan = b_df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+        b = b_df.select("ping_id", "portName")
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0 and a.count() == 614
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
