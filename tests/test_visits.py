@@ -128,3 +128,18 @@ def test_shuffle_path_equals_broadcast_path(spark, monkeypatch):
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0 and a.count() == 614
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_hours_in_port_hot_key_split_is_identical(spark):
+    from tidewater.operators import portcalls
+    from tidewater.plans.pipeline import Stages
+    st = Stages(spark, "/root/testdata/sf0.001")
+    j = portcalls.ports_left_join(st.pings, st.ports)
+    cols = ["ping_id", "port_number", "time_diff", "port_group", "hours_in_port"]
+    a = portcalls.hours_in_port(j).select(*cols)
+    b = portcalls.hours_in_port(j, hot_bucket_rows=1).select(*cols)
+    ra = sorted((r.ping_id, r.port_number, r.port_group, round(r.hours_in_port, 9),
+                 None if r.time_diff is None else round(r.time_diff, 9)) for r in a.collect())
+    rb = sorted((r.ping_id, r.port_number, r.port_group, round(r.hours_in_port, 9),
+                 None if r.time_diff is None else round(r.time_diff, 9)) for r in b.collect())
+    assert ra == rb and len(ra) > 1000

@@ -32,11 +32,26 @@ BROADCAST_MAX_HOT_KEYS = 1_000_000
 
 
 def bucket_of(t_us: Column, bucket_us) -> Column:
-    """Bucket number; ``bucket_us`` is an int or a per-row width Column."""
-    w = bucket_us if isinstance(bucket_us, Column) else F.lit(bucket_us)
+    """Bucket number; ``bucket_us`` is an int, a per-row width Column, or the
+    name of a per-row width column."""
+    if isinstance(bucket_us, Column):
+        w = bucket_us
+    elif isinstance(bucket_us, str):
+        w = F.col(bucket_us)
+    else:
+        w = F.lit(bucket_us)
     return F.floor(t_us / w).cast("long")
 
 
+def _width(bucket_us) -> Column:
+    """A fixed width (int) or the name of a per-row width column (str)."""
+    return F.col(bucket_us) if isinstance(bucket_us, str) else F.lit(bucket_us)
+
+
+def _width_aggs(bucket_us) -> list[Column]:
+    return [F.first(bucket_us).alias(bucket_us)] if isinstance(bucket_us, str) else []
+
+
 def hot_key_widths(df: DataFrame, key: str, t_col: str, base_us: int,
                    target_rows: int = HOT_BUCKET_ROWS) -> DataFrame:
     """Per-key bucket width for keys whose busiest base bucket holds more
@@ -71,11 +86,11 @@ def bucketed_lag(df: DataFrame, keys: Sequence[str], t_col: str, bucket_us: int,
     rows = df.withColumn("_b", bucket_of(F.col(t_col), bucket_us)) \
         .withColumn("_k", F.lit(1)).withColumn("_v", payload)
     summary = rows.groupBy(*keys, "_b").agg(
-        F.max_by("_v", F.struct(*[F.col(c) for c in [t_col, *order]])).alias("_last"))
+        F.max_by("_v", F.struct(*[F.col(c) for c in [t_col, *order]])).alias("_last"), *_width_aggs(bucket_us))
     wb = Window.partitionBy(*keys).orderBy("_b")
     heads = summary.select(
         *keys, "_b",
-        (F.col("_b") * bucket_us - 1).alias(t_col),
+        (F.col("_b") * _width(bucket_us) - 1).alias(t_col),
         F.lit(0).alias("_k"),
         F.lag("_last").over(wb).alias("_v"),
     )
@@ -101,11 +116,12 @@ def bucketed_cumsum(df: DataFrame, keys: Sequence[str], t_col: str, bucket_us: i
     rows = df.withColumn("_b", bucket_of(F.col(t_col), bucket_us)).withColumn("_k", F.lit(1))
     for o, c in values.items():
         rows = rows.withColumn(tmp[o], c)
-    summary = rows.groupBy(*keys, "_b").agg(*[F.sum(tmp[o]).alias(f"_s{tmp[o]}") for o in values])
+    summary = rows.groupBy(*keys, "_b").agg(*[F.sum(tmp[o]).alias(f"_s{tmp[o]}") for o in values],
+                                            *_width_aggs(bucket_us))
     wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     heads = summary.select(
         *keys, "_b",
-        (F.col("_b") * bucket_us - 1).alias(t_col),
+        (F.col("_b") * _width(bucket_us) - 1).alias(t_col),
         F.lit(0).alias("_k"),
         *[F.sum(f"_s{tmp[o]}").over(wb).alias(tmp[o]) for o in values],
     )

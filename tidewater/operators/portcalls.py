@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.geo import US_PER_HOUR, epoch_us
-from tidewater.operators.ordered import DAY_US, bucketed_cumsum, bucketed_lag
+from tidewater.operators.ordered import (DAY_US, HOT_BUCKET_ROWS, bucketed_cumsum, bucketed_lag,
+                                         hot_key_widths, with_key_width)
+from tidewater.session import checked_count
 from tidewater.operators.spatial import degree_buffer_left_join
 
 PORT_RADIUS_NM = 5.0
@@ -29,11 +31,17 @@ def ports_left_join(pings: DataFrame, ports: DataFrame, radius_nm: float = PORT_
 
 
 def hours_in_port(joined: DataFrame, ts: str = "base_date_time",
-                  bucket_us: int = DAY_US) -> DataFrame:
+                  bucket_us: int = DAY_US, hot_bucket_rows: int = HOT_BUCKET_ROWS) -> DataFrame:
     """W7 time_diff, W8 port_group (in-port run id), W9 hours_in_port."""
     d = joined.withColumn("_t", epoch_us(F.col(ts))) \
         .withColumn("_pn", F.coalesce(F.col("port_number"), F.lit(-1))) \
         .withColumn("in_port", F.col("port_number").isNotNull().cast("int"))
+    # Vessel ids whose busiest day exceeds the target get narrower buckets
+    # (only possible when the whole input exceeds it).
+    widths = hot_key_widths(d, "mmsi", "_t", bucket_us, hot_bucket_rows) \
+        if checked_count(joined) > hot_bucket_rows else None
+    d = with_key_width(d, "mmsi", widths, bucket_us)
+    bucket_us = "_w"
     d = bucketed_lag(d, ["mmsi"], "_t", bucket_us, "_prev",
                      payload=F.struct(F.col("_t").alias("t"), F.col("in_port").alias("ip")), order=_ORDER)
     d = d.withColumn("time_diff", (F.col("_t") - F.col("_prev.t")) / float(US_PER_HOUR)) \
@@ -43,7 +51,7 @@ def hours_in_port(joined: DataFrame, ts: str = "base_date_time",
     d = bucketed_cumsum(d, ["mmsi", "port_group"], "_t", bucket_us,
                         F.coalesce(F.col("time_diff"), F.lit(0.0)), "_cum", _ORDER)
     return d.withColumn("hours_in_port", F.when(F.col("in_port") == 1, F.col("_cum")).otherwise(F.lit(0.0))) \
-        .drop("_t", "_pn", "_prev", "_chg", "_cum")
+        .drop("_t", "_pn", "_prev", "_chg", "_cum", "_w")
 
 
 def port_call_candidates(with_hours: DataFrame,
