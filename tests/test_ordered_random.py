@@ -134,3 +134,16 @@ def test_rolling_methods_agree_on_fixture(spark):
         "ping_id", "sog_roll_6h", "sog_roll_24h").toPandas().sort_values("ping_id")
     assert np.allclose(a.sog_roll_6h.values, b.sog_roll_6h.values)
     assert np.allclose(a.sog_roll_24h.values, b.sog_roll_24h.values)
+
+
+def test_rolling_hot_key_split_equals_halo(spark):
+    from tidewater.operators import features as feat
+    from tidewater.plans.pipeline import Stages
+    sea = Stages(spark, "/root/testdata/sf0.001").sea
+    a = feat.rolling_sog(sea, method="halo").select("ping_id", "sog_roll_6h", "sog_roll_24h") \
+        .toPandas().sort_values("ping_id").reset_index(drop=True)
+    b = feat.rolling_sog(sea, hot_bucket_rows=2).select("ping_id", "sog_roll_6h", "sog_roll_24h") \
+        .toPandas().sort_values("ping_id").reset_index(drop=True)
+    assert list(a.ping_id) == list(b.ping_id)
+    assert np.allclose(a.sog_roll_6h.values, b.sog_roll_6h.values)
+    assert np.allclose(a.sog_roll_24h.values, b.sog_roll_24h.values)

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.geo import US_PER_HOUR, epoch_us, fraction_completed, haversine_nm
-from tidewater.operators.ordered import DAY_US, bucketed_rolling_mean, rolling_range_mean
+from tidewater.operators.ordered import (BROADCAST_MAX_HOT_KEYS, DAY_US, HOT_BUCKET_ROWS,
+                                         bucketed_rolling_mean, hot_key_widths, rolling_range_mean)
 from tidewater.operators.spatial import BROADCAST_MAX_PORT_ROWS
 from tidewater.session import checked_count
 
@@ -70,22 +71,37 @@ def distance_features(df: DataFrame, ports: DataFrame) -> DataFrame:
 
 
 def rolling_sog(df: DataFrame, ts: str = "base_date_time", bucket_us: int = ROLLING_BUCKET_US,
-                method: str = "halo") -> DataFrame:
+                method: str = "auto", hot_bucket_rows: int = HOT_BUCKET_ROWS) -> DataFrame:
     """Mean sog over (t - 6 h, t] and (t - 24 h, t] per vessel.
 
     Equal-timestamp pings are peers and see each other (RANGE frame).
 
-    * ``halo`` (default): one exchange on (vessel, 4-day bucket); each bucket
-      also gets a narrow copy of the previous bucket's last 24 h.
+    * ``halo``: one exchange on (vessel, 4-day bucket); each bucket also gets
+      a narrow copy of the previous bucket's last 24 h.
     * ``prefix``: exact DECIMAL prefix-sum differences with a bucketed as-of
       lookup; several exchanges, but the bucket width may be smaller than the
-      window (for a vessel id too hot for 4-day partitions).
+      window.
+    * ``auto`` (default): halo for every vessel, except vessel ids whose
+      busiest day exceeds ``hot_bucket_rows`` rows: those go through the
+      prefix form with buckets of day / 2^k (checked only when the whole
+      input exceeds the target).
     """
     t = df.withColumn("_t", epoch_us(F.col(ts)))
     wins = {k: h * US_PER_HOUR for k, h in ROLLING_WINDOWS_H.items()}
+    halo_width = max(bucket_us, max(wins.values()))
     if method == "prefix":
         return rolling_range_mean(t, ["mmsi"], "_t", "sog", wins, bucket_us).drop("_t")
-    return bucketed_rolling_mean(t, ["mmsi"], "_t", "sog", wins, max(bucket_us, max(wins.values()))).drop("_t")
+    if method == "halo" or checked_count(df) <= hot_bucket_rows:
+        return bucketed_rolling_mean(t, ["mmsi"], "_t", "sog", wins, halo_width).drop("_t")
+    widths = hot_key_widths(t, "mmsi", "_t", DAY_US, hot_bucket_rows)
+    if checked_count(widths) == 0:
+        return bucketed_rolling_mean(t, ["mmsi"], "_t", "sog", wins, halo_width).drop("_t")
+    hot = F.broadcast(widths) if checked_count(widths) <= BROADCAST_MAX_HOT_KEYS else widths
+    cold = t.join(hot.select("mmsi"), "mmsi", "left_anti")
+    warm = t.join(hot, "mmsi")
+    a = bucketed_rolling_mean(cold, ["mmsi"], "_t", "sog", wins, halo_width)
+    b = rolling_range_mean(warm, ["mmsi"], "_t", "sog", wins, "_w").drop("_w")
+    return a.unionByName(b).drop("_t")
 
 
 def sog_deviation(df: DataFrame) -> DataFrame:

@@ -228,18 +228,20 @@ def bucketed_last_at_or_before(rows: DataFrame, events: DataFrame, keys: Sequenc
     One union partitioned by (key, bucket); events of earlier buckets enter
     through one head row per bucket from a per-(key, bucket) summary."""
     keys, payloads = list(keys), list(payloads)
+    wcol = [bucket_us] if isinstance(bucket_us, str) else []
     r = rows.withColumn("_b", bucket_of(F.col(t_col), bucket_us)).withColumn("_k", F.lit(1))
-    e = events.select(*keys, t_col, *payloads) \
+    e = events.select(*keys, t_col, *payloads, *wcol) \
         .withColumn("_b", bucket_of(F.col(t_col), bucket_us)).withColumn("_k", F.lit(0))
     last_in_b = e.groupBy(*keys, "_b").agg(*[
         F.max_by(p, F.when(F.col(p).isNotNull(), F.col(t_col))).alias(f"_l_{p}") for p in payloads])
-    row_b = r.groupBy(*keys, "_b").agg(F.lit(True).alias("_has"))
+    row_b = r.groupBy(*keys, "_b").agg(F.lit(True).alias("_has"), *_width_aggs(bucket_us))
     wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     heads = (row_b.join(last_in_b, keys + ["_b"], "full")
-             .select(*keys, "_b", "_has", *[F.last(f"_l_{p}", True).over(wb).alias(p) for p in payloads])
+             .select(*keys, "_b", "_has", *wcol, *[F.last(f"_l_{p}", True).over(wb).alias(p) for p in payloads])
              .where(F.col("_has"))
-             .select(*keys, "_b", (F.col("_b") * bucket_us - 1).alias(t_col), F.lit(-1).alias("_k"), *payloads))
-    e_in = e.join(row_b.select(*keys, "_b"), keys + ["_b"], "left_semi")
+             .select(*keys, "_b", (F.col("_b") * _width(bucket_us) - 1).alias(t_col), F.lit(-1).alias("_k"),
+                     *payloads))
+    e_in = e.join(row_b.select(*keys, "_b"), keys + ["_b"], "left_semi").drop(*wcol)
     u = r.unionByName(e_in, allowMissingColumns=True).unionByName(heads, allowMissingColumns=True)
     w = Window.partitionBy(*keys, "_b").orderBy(t_col, "_k") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -249,7 +251,7 @@ def bucketed_last_at_or_before(rows: DataFrame, events: DataFrame, keys: Sequenc
 
 
 def rolling_range_mean(df: DataFrame, keys: Sequence[str], t_col: str, value: str,
-                       windows: dict[str, int], bucket_us: int) -> DataFrame:
+                       windows: dict[str, int], bucket_us) -> DataFrame:
     """Time-range rolling means over (t - w, t] per key, exact, with no
     lower bound on the bucket width (so hot keys can use narrow buckets).
 
@@ -261,13 +263,15 @@ def rolling_range_mean(df: DataFrame, keys: Sequence[str], t_col: str, value: st
     (key, t)."""
     keys = list(keys)
     dec = "decimal(38,12)"
+    wcol = [bucket_us] if isinstance(bucket_us, str) else []
     pts = df.groupBy(*keys, t_col).agg(
-        F.sum(F.col(value).cast(dec)).alias("_s"), F.count(value).alias("_c"))
+        F.sum(F.col(value).cast(dec)).alias("_s"), F.count(value).alias("_c"),
+        *[F.first(c).alias(c) for c in wcol])
     cum = bucketed_cumsum(pts, keys, t_col, bucket_us, {
         "_cs": F.coalesce(F.col("_s"), F.lit(0).cast(dec)), "_cn": F.col("_c")}).drop("_s", "_c")
     shifted = None
     for name, w in windows.items():
-        part = cum.select(*keys, (F.col(t_col) + w).alias(t_col),
+        part = cum.select(*keys, (F.col(t_col) + w).alias(t_col), *wcol,
                           *[F.struct(F.col("_cs").alias("S"), F.col("_cn").alias("N")).alias(f"_o_{n}")
                             if n == name else F.lit(None).cast("struct<S:decimal(38,12),N:bigint>").alias(f"_o_{n}")
                             for n in windows])
@@ -277,4 +281,4 @@ def rolling_range_mean(df: DataFrame, keys: Sequence[str], t_col: str, value: st
         n = F.col("_cn") - F.coalesce(F.col(f"_o_{name}.N"), F.lit(0))
         s = F.col("_cs") - F.coalesce(F.col(f"_o_{name}.S"), F.lit(0).cast(dec))
         out = out.withColumn(name, F.when(n > 0, (s / n).cast("double"))).drop(f"_o_{name}")
-    return df.join(out.drop("_cs", "_cn"), keys + [t_col], "left")
+    return df.join(out.drop("_cs", "_cn", *wcol), keys + [t_col], "left")
