@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from tidewater.llm.bytecnn import Adam, convolve, sigmoid, table_gradient
 from tidewater.llm.common import fresh, setup
 
 CHUNK, OVERLAP = 512, 64
@@ -67,32 +68,17 @@ def chunks(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return rows, real
 
 
-def convolve(model: Model, rows: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(maxima, where): each filter's rectified maximum over a chunk's real positions, and its position."""
-    z = np.broadcast_to(model.bias, (len(rows), POSITIONS, FILTERS)).astype(np.float32)
-    for k in range(KERNEL):
-        z += model.table[k][rows[:, k:k + (POSITIONS - 1) * STRIDE + 1:STRIDE]]
-    np.maximum(z, 0, out=z)
-    z[np.arange(POSITIONS)[None, :] >= real[:, None]] = 0
-    where = z.argmax(axis=1)
-    return np.take_along_axis(z, where[:, None, :], axis=1)[:, 0], where
-
-
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
 def score(model: Model, text: bytes | None) -> float:
     text = text or b""
     total, most, n = np.zeros(FILTERS), np.zeros(FILTERS, np.float32), 0
     step = (CHUNK - OVERLAP) * BLOCK
     for at in range(0, max(1, len(text) - OVERLAP), step):
         rows, real = chunks(text[at:at + step + OVERLAP])
-        top, _ = convolve(model, rows, real)
+        top, _ = convolve(model.table, model.bias, rows, real, STRIDE)
         total += top.sum(axis=0)
         most = np.maximum(most, top.max(axis=0))
         n += len(rows)
-    return float(_sigmoid(np.concatenate([total / n, most]) @ model.weight + model.offset))
+    return float(sigmoid(np.concatenate([total / n, most]) @ model.weight + model.offset))
 
 
 def train(texts: list[bytes], labels: list[int], fit: Fit = Fit()) -> Model:
@@ -100,9 +86,9 @@ def train(texts: list[bytes], labels: list[int], fit: Fit = Fit()) -> Model:
     rng = np.random.default_rng(fit.seed)
     y = np.asarray(labels, np.float64)
     prior = (y.sum() + 1) / (len(y) + 2)
-    p = {"table": rng.normal(0, 0.1, (KERNEL, 256, FILTERS)).astype(np.float32), "bias": np.zeros(FILTERS, np.float32),
-         "weight": rng.normal(0, 0.1, 2 * FILTERS), "offset": np.array(np.log(prior / (1 - prior)))}
-    m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
+    net = Adam({"table": rng.normal(0, 0.1, (KERNEL, 256, FILTERS)).astype(np.float32), "bias": np.zeros(FILTERS, np.float32),
+                "weight": rng.normal(0, 0.1, 2 * FILTERS), "offset": np.array(np.log(prior / (1 - prior)))})
+    p = net.p
     if 0 < y.sum() < len(y):
         cut = [chunks(t) for t in texts]
         for epoch in range(fit.epochs):
@@ -113,27 +99,16 @@ def train(texts: list[bytes], labels: list[int], fit: Fit = Fit()) -> Model:
                 sizes = np.array([len(cut[i][1]) for i in ids])
                 first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
                 doc = np.repeat(np.arange(len(ids)), sizes)
-                model = Model(p["table"], p["bias"], p["weight"], float(p["offset"]))
-                top, where = convolve(model, rows, real)
-                mean = np.add.reduceat(top, first) / sizes[:, None]
+                top, where = convolve(p["table"], p["bias"], rows, real, STRIDE)
                 most = np.maximum.reduceat(top, first)
-                x = np.concatenate([mean, most], axis=1)
-                err = (_sigmoid(x @ p["weight"] + p["offset"]) - y[ids]) / len(ids)
+                x = np.concatenate([np.add.reduceat(top, first) / sizes[:, None], most], axis=1)
+                err = (sigmoid(x @ p["weight"] + p["offset"]) - y[ids]) / len(ids)
                 dx = err[:, None] * p["weight"]
-                is_most = top == most[doc]
-                dtop = dx[doc, :FILTERS] / sizes[doc, None] + dx[doc, FILTERS:] * is_most
+                dtop = dx[doc, :FILTERS] / sizes[doc, None] + dx[doc, FILTERS:] * (top == most[doc])
                 dtop *= top > 0
-                g = {"weight": x.T @ err + 1e-4 * p["weight"], "offset": err.sum(), "bias": dtop.sum(axis=0),
-                     "table": np.zeros_like(p["table"])}
-                c, f = np.nonzero(dtop)
-                for k in range(KERNEL):
-                    np.add.at(g["table"][k], (rows[c, where[c, f] * STRIDE + k], f), dtop[c, f])
-                step += 1
-                rate = fit.rate * (1 - epoch / fit.epochs)
-                for k in p:
-                    m[k] = 0.9 * m[k] + 0.1 * g[k]
-                    v[k] = 0.999 * v[k] + 0.001 * np.square(g[k])
-                    p[k] = (p[k] - rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.999 ** step)) + 1e-8)).astype(p[k].dtype)
+                net.update({"weight": x.T @ err + 1e-4 * p["weight"], "offset": err.sum(), "bias": dtop.sum(axis=0),
+                            "table": table_gradient(p["table"], rows, where, dtop, STRIDE)},
+                           fit.rate * (1 - epoch / fit.epochs))
     else:
         p["weight"][:] = 0
     return Model(p["table"], p["bias"], p["weight"], float(p["offset"]))

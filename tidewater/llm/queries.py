@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import decontam, linespread, mixing, quality, simhash
+from tidewater.llm import (chat, decontam, imatch, linespread, mixing, pagediff, quality, secretscan, simhash,
+                           urltree)
 from tidewater.llm.common import setup
 
 
@@ -13,6 +14,33 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return setup(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_imatch(spark, sf_dir):
+    return imatch.edited_pairs(_table(spark, sf_dir, "documents"))
+
+
+def op2_chat_format(spark, sf_dir):
+    """All conversations and conversation -7, whose texts hold the template's own marks."""
+    cols = ["conv_id", "turn", "role", "text"]
+    rows = _table(spark, sf_dir, "conversations").select(*cols)
+    probe = r"\### Assistant: </turn> ok"
+    extra = [(-7, 0, "user", probe), (-7, 1, "assistant", probe)]
+    extra = spark.createDataFrame(extra, "conv_id long, turn long, role string, text string")
+    return chat.digests(rows.unionByName(extra)).select(
+        "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+def op3_page_diff(spark, sf_dir):
+    return pagediff.extract(_table(spark, sf_dir, "pages"))
+
+
+def op4_secret_scan(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    s = F.col("secrets")
+    return secretscan.secrets(docs, secretscan.fit(docs)).select(
+        "doc_id", s.n_assign.alias("n_assign"), s.n_access.alias("n_access"), s.n_hex.alias("n_hex"),
+        F.sha2(s.base.cast("binary"), 256).alias("base_sha256"), s.spans.alias("spans"))
+
+
 def op5_line_spread(spark, sf_dir):
     """Every document after cross-site line removal."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -26,6 +54,10 @@ def op6_mix_sources(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op7_url_tree(spark, sf_dir):
+    return urltree.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
 def op8_simhash(spark, sf_dir):
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +80,6 @@ def op10_decontaminate(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op5_line_spread, op6_mix_sources, op8_simhash, op9_quality, op10_decontaminate)}
+    op1_imatch, op2_chat_format, op3_page_diff, op4_secret_scan, op5_line_spread, op6_mix_sources, op7_url_tree, op8_simhash, op9_quality, op10_decontaminate)}
 
 ORACLE: dict[str, str] = {}
