@@ -8,9 +8,11 @@ network sees the candidate and its surroundings: ``LEFT`` characters before it,
 overlaps, as kind ``cnn``.
 
 It is trained on labelled findings of the corpus: candidates of a bounded sample of
-documents (``Fit.docs``), positive where a base span overlaps. Half of the positives
-come a second time with their left context replaced by that of a negative, so that
-a secret's form counts without the name before it. The findings are split by hash into
+documents (``Fit.docs``), positive where a base span overlaps, negative where not and
+the form is not a key's either (`keylike`: a long piece that mixes character classes often).
+What looks like a key but has no name before it is unknown and not trained on. Each
+positive comes a second time with its left context replaced by that of a negative, so
+that a secret's form counts without the name before it. The findings are split by hash into
 a part to train on, one to calibrate the scores on (Platt scaling) and one to set the
 thresholds on: per class of candidate, the largest with at least ``MIN_RECALL`` of the
 positives.
@@ -46,6 +48,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # 18 characters and more
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 _LETTER_DIGIT = re.compile(r"[A-Za-z].*[0-9]|[0-9].*[A-Za-z]")
+_PIECE = re.compile(r"[A-Za-z0-9]{12,}")
+_CHANGES = re.compile(r"[a-z](?=[A-Z0-9])|[A-Z](?=[0-9])|[0-9](?=[A-Za-z])")
 _IS_HEX = re.compile(r"[0-9a-f]+")
 
 
@@ -82,6 +86,11 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _RUN.finditer(text) if _LETTER_DIGIT.search(m[0])]
 
 
+def keylike(token: str) -> bool:
+    """Whether a piece of 12 letters and digits or more changes its character class 4 times or more."""
+    return any(len(_CHANGES.findall(piece)) >= 4 for piece in _PIECE.findall(token))
+
+
 def _overlaps(spans: list[tuple[int, int, int]], lo: int, hi: int) -> bool:
     return any(a < hi and lo < b for a, b, _ in spans)
 
@@ -108,6 +117,13 @@ def _logits(p: dict, rows: np.ndarray) -> np.ndarray:
     return top @ p["weight"] + p["offset"]
 
 
+def _renamed(rows, kind, y, part, rng):
+    yes, no = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    moved = rows[yes].copy()
+    moved[:, :LEFT] = rows[rng.choice(no, len(yes)), :LEFT]
+    return moved, kind[yes], y[yes], part[yes]
+
+
 def train(findings: list[tuple[bytes, int, int]], fit: Fit = Fit()) -> Model:
     """``findings``: (window, class, label) in a fixed random order; every fifth calibrates,
     the one after it sets the thresholds, the rest train."""
@@ -120,11 +136,11 @@ def train(findings: list[tuple[bytes, int, int]], fit: Fit = Fit()) -> Model:
     fitted = np.flatnonzero(part > 1)
     if not 0 < y[fitted].sum() < len(fitted):
         return Model(p["table"], p["bias"], p["weight"], 0.0, (1.0, 0.0), (2.0,) * CLASSES)
-    # a secret's form without the name before it: positives with a negative's left context
-    yes, no = fitted[y[fitted] == 1], fitted[y[fitted] == 0]
-    moved = rows[rng.choice(yes, max(1, len(yes) // 2))].copy()
-    moved[:, :LEFT] = rows[rng.choice(no, len(moved)), :LEFT]
-    x, t = np.concatenate([rows[fitted], moved]), np.concatenate([y[fitted], np.ones(len(moved), np.int64)])
+    # a secret's form without the name before it: in every part, each positive comes a
+    # second time with a negative's left context
+    rows, kind, y, part = (np.concatenate(z) for z in zip((rows, kind, y, part), _renamed(rows, kind, y, part, rng)))
+    fitted = part > 1
+    x, t = rows[fitted], y[fitted]
     net, real = Adam(p), np.full(fit.batch, WIDTH - KERNEL + 1)
     for epoch in range(fit.epochs):
         order = rng.permutation(len(t))
@@ -183,7 +199,10 @@ def findings(docs: DataFrame, text_col: str = "text") -> DataFrame:
             out = []
             for text in batch.iloc[:, 0]:
                 base = base_spans(text)
-                out += [(window(text, lo, hi), _class(text[lo:hi]), int(_overlaps(base, lo, hi))) for lo, hi in candidates(text)]
+                for lo, hi in candidates(text):
+                    label = _overlaps(base, lo, hi)
+                    if label or not keylike(text[lo:hi]):
+                        out.append((window(text, lo, hi), _class(text[lo:hi]), int(label)))
             yield pd.DataFrame(out, columns=["window", "kind", "label"])
     return docs.select(text_col).where(F.col(text_col).isNotNull()).mapInPandas(run, "window binary, kind int, label int")
 
