@@ -22,7 +22,7 @@ All of it is DataFrame functions; no Python runs on the executors.
 
 Null and empty texts have no entries; two empty fingerprints have likeness 1, an
 empty and another 0. Rows that share a doc_id are one document for the order of
-documents; the next document's text is then its least head. Null ids come after
+documents; the next document's text is then its least one. Null ids come after
 all others. With one document, the next document is itself.
 """
 
@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import neighbours, setup, stage_table
@@ -38,6 +38,7 @@ from tidewater.llm.common import neighbours, setup, stage_table
 LOW, HIGH = 1 / 2000, 1 / 20
 SUBSETS = 64      # the top 6 bits of a term's hash
 LEVELS = 2
+BLOCK_BITS = 6    # documents meet their neighbours in blocks of 64 consecutive ids
 FILTER_BITS = 24  # of the Bloom filter; the hash's lowest bits
 _NO_ID = -(1 << 63)
 
@@ -144,37 +145,46 @@ def lexicon_filter(docs: DataFrame, text_col: str = "text") -> Column:
     return F.expr(f"{name}_bits")
 
 
+def _with_next(own: DataFrame) -> DataFrame:
+    """``own(k, text, fp)`` with ``nxt``: text and fp of the next document, that with the next
+    smaller key (after the smallest, the largest; of rows with one key, the least text).
+
+    Rows meet in blocks of neighbouring keys, so texts are shuffled once; only the
+    first document of each block moves on, to the block above.
+    """
+    own = own.withColumn("b", F.shiftright("k", BLOCK_BITS))
+    in_block = Window.partitionBy("b").orderBy("k", F.col("text").desc())
+    # of each key, the last row stands for it; a row takes the last of those before it
+    stands = F.coalesce(F.lead("k").over(in_block) != F.col("k"), F.lit(True))
+    rows = own.withColumn("mark", F.when(stands, F.struct("text", "fp")))
+    below = F.last("mark", ignorenulls=True).over(in_block.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("below", below).drop("mark")
+
+    blocks = own.groupBy("b").agg(F.max("k").alias("top"))
+    lowest = blocks.agg(F.min("b")).first()[0]
+    info = neighbours(blocks, ["b"]).select("b", "top", F.coalesce("next.b", F.lit(lowest)).alias("taker"))
+    tops = (own.join(info, "b").where("k = top").groupBy("taker").agg(F.min(F.struct("text", "fp")).alias("first")))
+    return (rows.join(tops, F.col("b") == F.col("taker"), "left")
+            .select("k", "text", "fp", F.coalesce("below", "first").alias("nxt")))
+
+
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document against an edited version of itself and against the next document.
 
     The next document is the one with the next smaller id (after the smallest, the
     largest). The edited text has its last third replaced by as many first code
-    points of the next one. Texts are shuffled once, by id; what moves to the
-    neighbour is the head it needs and a fingerprint.
+    points of the next one.
     """
     bits = lexicon_filter(docs, text_col)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("k"), text.alias("text"))
-    light = keyed.groupBy("k").agg(F.max(F.length("text")).alias("n"))
-    order = neighbours(light, ["k", "n"])
-    ends = light.agg(F.min(F.struct("k", "n")).alias("lo"), F.max("k").alias("hi")).first()
-    if ends["lo"] is None:
-        low, low_n = _NO_ID, 0
-    else:
-        low, low_n = ends["lo"]["k"], ends["lo"]["n"]
-    # whose "next document" each id is, and how long a head of it that one takes
-    taker = order.select("k", F.coalesce("next.k", F.lit(low)).alias("taker"),
-                         F.floor(F.coalesce("next.n", F.lit(low_n)) / 3).cast("int").alias("need"))
-    own = with_fingerprint(keyed, F.col("text"), bits, "fp")
-    heads = (own.join(taker, "k").select("taker", F.struct(F.expr("substring(text, 1, need)").alias("head"), "fp").alias("nxt"))
-             .groupBy("taker").agg(F.min("nxt").alias("nxt")))
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("k"),
+                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    both = _with_next(with_fingerprint(keyed, F.col("text"), bits, "fp"))
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
-    both = (own.join(heads, F.col("k") == F.col("taker"), "left")
-            .withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"),
-                                           F.substring(F.coalesce("nxt.head", F.lit("")), F.lit(1), cut)))
-            .select(F.when(F.col("k") != _NO_ID, F.col("k")).alias("doc_id"), n.cast("long").alias("n_chars"),
-                    "fp", F.col("nxt.fp").alias("next_fp"), "edited"))
+    both = both.select(
+        F.when(F.col("k") != _NO_ID, F.col("k")).alias("doc_id"), n.cast("long").alias("n_chars"),
+        "fp", F.col("nxt.fp").alias("next_fp"),
+        F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.col("nxt.text"), F.lit(1), cut)).alias("edited"))
     both = with_fingerprint(both, F.col("edited"), bits, "edited_fp")
     return both.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),

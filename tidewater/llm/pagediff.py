@@ -7,17 +7,18 @@ text: they are deleted.
 
 Differencing alone can't give the article: in one site's pages menus, adverts and
 footers may differ from page to page, while articles may repeat each other's lines.
-So lines come with what the markup says of them. Lines inside elements that are
-menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
-reader comments (by element, role or a word of the class or id) are dropped;
-lines inside an ``article`` or ``main`` element are the main text and are not
-deleted for being shared. The alignment decides about all other lines. If it
-would delete more than ``COPY_SHARE`` of a page's open lines, the page is a copy of its
-partner and keeps them.
-
-Pairing moves keys and 8-byte line hashes only; the order of a hot host's pages is
-found over range partitions. Each page's html moves once, to its partner's hashes.
-The alignment needs memory in proportion to the two pages' lines.
+So lines come with what the markup says of them. Lines inside an ``article`` or
+``main`` element are not deleted for being shared. Of what the alignment leaves, lines
+inside elements that are menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles or reader comments (by element, role or a word of the class or id)
+go too, and if there is an article, all lines outside it. If the alignment would
+delete more than ``COPY_SHARE`` of a page's open lines (neither article nor dropped),
+the page is a copy of its partner and keeps them.
+
+Pairing and alignment move keys and 8-byte line hashes only; the order of a hot
+host's pages is found over range partitions. What moves back to the html is the list of
+deleted lines of the pages that have any, behind a size check. The alignment needs
+memory in proportion to the two pages' lines.
 
 Null and empty html give an empty text. Pages without a host (or a null url) form one
 host. Repeated rows are paired with each other and keep their lines.
@@ -35,12 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, LongType, StringType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from tidewater.llm.common import neighbours, setup
+from tidewater.llm.common import maybe_broadcast, neighbours, setup, stage_table
 from tidewater.llm.urltree import host_of, path_of
 
 COPY_SHARE = 0.8
+CHROME, OPEN, MAIN = 0, 1, 2
 
 # Fixed values of HTML: elements without content, with raw content, and those that end a line.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -75,10 +77,10 @@ def _dropped(tag: str, attrs: str, in_main: bool) -> bool:
     return False
 
 
-def lines(html: str | None) -> list[tuple[str, bool]]:
-    """(line, in the main element) for each text block outside dropped elements, in page order."""
+def lines(html: str | None) -> list[tuple[str, int]]:
+    """(line, zone) of each text block, in page order: MAIN, OPEN, or CHROME for dropped elements."""
     html = html or ""
-    out: list[tuple[str, bool]] = []
+    out: list[tuple[str, int]] = []
     stack: list[tuple[str, bool, bool]] = []  # element, dropped, main; each with what it inherits
     parts: list[str] = []
     at = 0
@@ -87,14 +89,15 @@ def lines(html: str | None) -> list[tuple[str, bool]]:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            out.append((text, stack[-1][2] if stack else False))
+            _, dropped, main = stack[-1] if stack else ("", False, False)
+            out.append((text, CHROME if dropped else MAIN if main else OPEN))
 
     def pop_to(i: int):
         end_line()
         del stack[i:]
 
     def add(text: str):
-        if text and not (stack and stack[-1][1]):
+        if text:
             parts.append(html_lib.unescape(text))
 
     while m := _TOKEN.search(html, at):
@@ -192,29 +195,43 @@ def _hash(line: str) -> int:
     return xxhash.xxh64_intdigest(line.encode("utf-8", "replace")) - (1 << 63)
 
 
-def main_text(html: str | None, partner) -> str:
-    """The page's main text, given its partner's line hashes (None without one)."""
+def outline(html: str | None) -> tuple[list[int], list[int]]:
+    """(hash, 4 * length + zone) of each line."""
     found = lines(html)
-    main = [line for line, inside in found if inside]
-    if main:
-        return "\n".join(main)
-    open_lines = [line for line, _ in found]
-    if partner is not None and len(partner):
-        gone = set(shared([_hash(x) for x in open_lines], [int(h) for h in partner]))
-        size = sum(len(open_lines[i]) for i in gone)
-        if size <= COPY_SHARE * sum(map(len, open_lines)):
-            open_lines = [x for i, x in enumerate(open_lines) if i not in gone]
-    return "\n".join(open_lines)
+    return [_hash(line) for line, _ in found], [4 * len(line) + zone for line, zone in found]
+
+
+def deleted(hashes: list[int], shapes: list[int], partner: list[int]) -> list[int]:
+    """Positions of the lines that the alignment with the partner's lines deletes."""
+    gone = [i for i in shared(hashes, partner) if shapes[i] % 4 != MAIN]
+    size = sum(x // 4 for x in shapes if x % 4 == OPEN)
+    if sum(shapes[i] // 4 for i in gone if shapes[i] % 4 == OPEN) > COPY_SHARE * size:
+        gone = [i for i in gone if shapes[i] % 4 != OPEN]
+    return gone
+
+
+def main_text(html: str | None, gone=None) -> str:
+    """The page's main text, without the lines at the positions ``gone``."""
+    gone = set() if gone is None else set(int(i) for i in gone)
+    left = [x for i, x in enumerate(lines(html)) if i not in gone]
+    zone = MAIN if any(z == MAIN for _, z in left) else OPEN
+    return "\n".join(line for line, z in left if z == zone)
+
+
+@pandas_udf(StructType([StructField("hashes", ArrayType(LongType())), StructField("shapes", ArrayType(LongType()))]))
+def _outlines(htmls: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([outline(h) for h in htmls], columns=["hashes", "shapes"])
 
 
 @pandas_udf(ArrayType(LongType()))
-def _line_hashes(htmls: pd.Series) -> pd.Series:
-    return pd.Series([[_hash(line) for line, _ in lines(h)] for h in htmls])
+def _deleted(hashes: pd.Series, shapes: pd.Series, partners: pd.Series) -> pd.Series:
+    return pd.Series([deleted([int(h) for h in a], [int(x) for x in b], [int(h) for h in c])
+                      for a, b, c in zip(hashes, shapes, partners)], dtype="object")
 
 
 @pandas_udf(StringType())
-def _main_texts(htmls: pd.Series, partners: pd.Series) -> pd.Series:
-    return pd.Series([main_text(h, p) for h, p in zip(htmls, partners)], dtype="object")
+def _main_texts(htmls: pd.Series, gone: pd.Series) -> pd.Series:
+    return pd.Series([main_text(h, g) for h, g in zip(htmls, gone)], dtype="object")
 
 
 @pandas_udf(LongType())
@@ -237,15 +254,17 @@ def partners(pages: DataFrame, keys: list[str]) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: the main text of every page."""
     setup(pages.sparkSession)
-    t = pages.select("page_id", "url", "html",
-                     F.coalesce(F.col("page_id").cast("long"), F.lit(0)).alias("k1"),
-                     F.xxhash64(F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))).alias("k2"))
     keys = ["k1", "k2"]
-    pairs = partners(t.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), *keys), keys)
-    hashes = t.select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), _line_hashes("html").alias("partner_lines"))
-    seen = (pairs.where("partner.k1 is not null")
-            .join(hashes, (F.col("partner.k1") == F.col("h1")) & (F.col("partner.k2") == F.col("h2")))
-            .groupBy(*keys).agg(F.min("partner_lines").alias("partner_lines")))  # repeated rows share keys
-    text = _main_texts("html", "partner_lines")
-    return (t.join(seen, keys, "left").select("page_id", "url", text.alias("text"))
+    t = pages.select("page_id", "url", "html", F.coalesce(F.col("page_id").cast("long"), F.lit(0)).alias("k1"),
+                     F.xxhash64(F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))).alias("k2"))
+    plan = stage_table(t.select(*keys, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
+                                _outlines("html").alias("o")).select(*keys, "host", "path", "o.*"), "outlines")
+    own = plan.select(*keys, "hashes", "shapes").dropDuplicates(keys)  # repeated rows share keys
+    theirs = own.select(F.struct(*keys).alias("partner"), F.col("hashes").alias("partner_hashes"))
+    pairs = partners(plan.select("host", "path", *keys), keys).where("partner.k1 is not null").dropDuplicates(keys)
+    gone = (pairs.join(theirs, "partner").join(own, keys)
+            .select(*keys, _deleted("hashes", "shapes", "partner_hashes").alias("gone")).where(F.size("gone") > 0))
+    gone = stage_table(gone, "deleted")
+    return (t.join(maybe_broadcast(gone), keys, "left")
+            .select("page_id", "url", _main_texts("html", "gone").alias("text"))
             .withColumn("n_chars", F.length("text").cast("long")))
