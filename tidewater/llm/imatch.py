@@ -154,17 +154,18 @@ def _with_next(own: DataFrame) -> DataFrame:
     """
     own = own.withColumn("b", F.shiftright("k", BLOCK_BITS))
     in_block = Window.partitionBy("b").orderBy("k", F.col("text").desc())
+    rows = own.withColumn("above", F.lead("k").over(in_block))
     # of each key, the last row stands for it; a row takes the last of those before it
-    stands = F.coalesce(F.lead("k").over(in_block) != F.col("k"), F.lit(True))
-    rows = own.withColumn("mark", F.when(stands, F.struct("text", "fp")))
+    stands = F.coalesce(F.col("above") != F.col("k"), F.lit(True))
+    marked = rows.withColumn("mark", F.when(stands, F.struct("text", "fp")))
     below = F.last("mark", ignorenulls=True).over(in_block.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("below", below).drop("mark")
 
-    blocks = own.groupBy("b").agg(F.max("k").alias("top"))
+    blocks = own.select("b").distinct()
     lowest = blocks.agg(F.min("b")).first()[0]
-    info = neighbours(blocks, ["b"]).select("b", "top", F.coalesce("next.b", F.lit(lowest)).alias("taker"))
-    tops = (own.join(info, "b").where("k = top").groupBy("taker").agg(F.min(F.struct("text", "fp")).alias("first")))
-    return (rows.join(tops, F.col("b") == F.col("taker"), "left")
+    info = neighbours(blocks, ["b"]).select("b", F.coalesce("next.b", F.lit(lowest)).alias("taker"))
+    tops = (rows.where("above is null").select("b", "text", "fp").join(info, "b")
+            .select("taker", F.struct("text", "fp").alias("first")))
+    return (marked.withColumn("below", below).join(tops, F.col("b") == F.col("taker"), "left")
             .select("k", "text", "fp", F.coalesce("below", "first").alias("nxt")))
 
 
