@@ -40,22 +40,6 @@ def test_lag_next_cumsum_match_pandas(spark, seed):
         assert np.allclose(g[c].fillna(-1).values, e[c].fillna(-1).values), c
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_rolling_mean_matches_range_frame(spark, seed):
-    pdf = _random_series(seed)
-    df = spark.createDataFrame(pdf)
-    wins = {"r6": 6 * H, "r2": 2 * H}
-    got = ordered.bucketed_rolling_mean(df, ["k"], "t", "v", wins, 6 * H).toPandas()
-    got = got.sort_values(["k", "t", "o"]).reset_index(drop=True)
-    exp = []
-    for _, r in got.iterrows():
-        s = pdf[(pdf.k == r.k) & (pdf.t > r.t - 6 * H) & (pdf.t <= r.t)]
-        s2 = pdf[(pdf.k == r.k) & (pdf.t > r.t - 2 * H) & (pdf.t <= r.t)]
-        exp.append((s.v.mean(), s2.v.mean()))
-    assert np.allclose(got["r6"].values, [a for a, _ in exp])
-    assert np.allclose(got["r2"].values, [b for _, b in exp])
-
-
 def test_global_index_matches_sorted_rank(spark):
     pdf = _random_series(5, keys=6, n=40)
     df = spark.createDataFrame(pdf)
@@ -125,25 +109,41 @@ def test_prefix_rolling_mean_matches_range_frame(spark, bucket):
         assert np.allclose(got[name].values.astype(float), np.array(exp, dtype=float), equal_nan=True), name
 
 
-def test_rolling_methods_agree_on_fixture(spark):
+def test_rolling_means_do_not_depend_on_the_buckets(spark):
     from tidewater.operators import features as feat
     from tidewater.plans.pipeline import Stages
     sea = Stages(spark, "/root/testdata/sf0.001").sea
-    a = feat.rolling_sog(sea).select("ping_id", "sog_roll_6h", "sog_roll_24h").toPandas().sort_values("ping_id")
-    b = feat.rolling_sog(sea, bucket_us=H, method="prefix").select(
-        "ping_id", "sog_roll_6h", "sog_roll_24h").toPandas().sort_values("ping_id")
-    assert np.allclose(a.sog_roll_6h.values, b.sog_roll_6h.values)
-    assert np.allclose(a.sog_roll_24h.values, b.sog_roll_24h.values)
+    t = sea.withColumn("_t", (F.unix_micros(F.col("base_date_time").cast("timestamp"))))
+    widths = ordered.hot_key_widths(t, "mmsi", "_t", ordered.DAY_US, 2)
+    cols = ["ping_id", "sog_roll_6h", "sog_roll_24h"]
+    whole = sorted(map(tuple, feat.rolling_sog(sea).select(*cols).collect()))
+    assert widths.count() > 0
+    assert sorted(map(tuple, feat.rolling_sog(sea, bucket_us=H).select(*cols).collect())) == whole
+    assert sorted(map(tuple, feat.rolling_sog(sea, widths=widths).select(*cols).collect())) == whole
+
+
+def test_percentiles_with_ties_over_many_rows(spark):
+    """Over 10^7 rows, a third of them one value, a skewed scale and NULLs."""
+    from tidewater.operators.quantiles import exact_percentiles
+    n = 12_000_003
+    x = "case when id % 3 = 0 then 5.0D when id % 1000 = 1 then null else pow(1.00003D, id % 100003) end"
+    df = spark.range(n).selectExpr("id % 2 as g", f"{x} as x")
+    got = exact_percentiles(df, "x", [0.0, 0.25, 0.5, 0.9, 1.0]).first()
+    i = np.arange(n)
+    v = np.where(i % 3 == 0, 5.0, np.where(i % 1000 == 1, np.nan, np.power(1.00003, (i % 100003).astype(float))))
+    want = np.nanquantile(v, [0.0, 0.25, 0.5, 0.9, 1.0])
+    assert np.allclose(list(got), want, rtol=1e-12)
 
 
-def test_rolling_hot_key_split_equals_halo(spark):
-    from tidewater.operators import features as feat
-    from tidewater.plans.pipeline import Stages
-    sea = Stages(spark, "/root/testdata/sf0.001").sea
-    a = feat.rolling_sog(sea, method="halo").select("ping_id", "sog_roll_6h", "sog_roll_24h") \
-        .toPandas().sort_values("ping_id").reset_index(drop=True)
-    b = feat.rolling_sog(sea, hot_bucket_rows=2).select("ping_id", "sog_roll_6h", "sog_roll_24h") \
-        .toPandas().sort_values("ping_id").reset_index(drop=True)
-    assert list(a.ping_id) == list(b.ping_id)
-    assert np.allclose(a.sog_roll_6h.values, b.sog_roll_6h.values)
-    assert np.allclose(a.sog_roll_24h.values, b.sog_roll_24h.values)
+@pytest.mark.parametrize("seed", [1, 2])
+def test_grouped_percentiles_match_pandas(spark, seed):
+    from tidewater.operators.quantiles import exact_percentiles
+    pdf = _random_series(seed, keys=7, n=31)
+    pdf.loc[pdf.k == 3, "v"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("v", F.nanvl("v", F.lit(None).cast("double")))
+    got = exact_percentiles(df, "v", [0.1, 0.5], ["a", "b"], ["k"], [F.count(F.lit(1)).alias("n")]).toPandas().set_index("k")
+    for k, g in pdf.groupby("k"):
+        assert got.n[k] == len(g)
+        assert np.allclose([got.a[k], got.b[k]], [g.v.quantile(0.1), g.v.quantile(0.5)], equal_nan=True)
+    one = exact_percentiles(df.where("false"), "v", [0.5], ["m"]).collect()
+    assert len(one) == 1 and one[0].m is None

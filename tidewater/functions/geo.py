@@ -66,11 +66,6 @@ def mercator_y(lat) -> Column:
     return F.lit(WEB_MERCATOR_R) * F.ln(F.tan(F.lit(math.pi / 4) + (_c(lat) * math.pi / 180.0) / 2.0))
 
 
-def hours_between(a, b) -> Column:
-    """fractional hours from a to b."""
-    return (epoch_us(b) - epoch_us(a)) / float(US_PER_HOUR)
-
-
 def floor_hour(ts) -> Column:
     """floor to the hour (keeps the input timestamp type)."""
     return F.date_trunc("hour", _c(ts)).cast("timestamp_ntz")
@@ -112,8 +107,10 @@ def flag(cond: Column) -> Column:
 
 
 def equal_width_bin(x, lo, width) -> Column:
-    """right-closed equal-width bin number (1-based), minimum in bin 1."""
-    return F.greatest(F.ceil((_c(x) - _c(lo)) / _c(width)), F.lit(1)).cast("int")
+    """right-closed equal-width bin number (1-based), minimum in bin 1; all
+    values are in bin 1 when the width is 0."""
+    b = F.greatest(F.ceil((_c(x) - _c(lo)) / F.nullif(_c(width), F.lit(0.0))), F.lit(1))
+    return F.when(_c(x).isNotNull(), F.coalesce(b, F.lit(1))).cast("int")
 
 
 def iso_timestamp(ts) -> Column:
@@ -124,11 +121,6 @@ def iso_timestamp(ts) -> Column:
         .otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
 
 
-def nan_to_null(c) -> Column:
-    """NaN -> NULL for doubles (pandas NaN becomes SQL NULL)."""
-    return F.nanvl(_c(c), F.lit(None).cast("double"))
-
-
 def safe_key(name) -> Column:
     """'/' and ' ' -> '_'."""
     return F.translate(_c(name), "/ ", "__")

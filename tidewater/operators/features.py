@@ -12,14 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.geo import US_PER_HOUR, epoch_us, fraction_completed, haversine_nm
-from tidewater.operators.ordered import (BROADCAST_MAX_HOT_KEYS, DAY_US, HOT_BUCKET_ROWS,
-                                         bucketed_rolling_mean, hot_key_widths, rolling_range_mean)
+from tidewater.operators.ordered import DAY_US, rolling_range_mean, with_key_width
 from tidewater.operators.spatial import BROADCAST_MAX_PORT_ROWS
 from tidewater.session import checked_count
 
 ROLLING_WINDOWS_H = {"sog_roll_6h": 6, "sog_roll_24h": 24}
-ROLLING_BUCKET_US = 4 * DAY_US
 
+# The columns of the training table.
 FEATURE_COLUMNS = [
     "mmsi", "base_date_time", "latitude", "longitude", "sog",
     "origin_port", "destination_port", "voyage_id",
@@ -28,8 +27,6 @@ FEATURE_COLUMNS = [
     "hist_avg_sog", "sog_deviation",
     "remaining_travel_hours",
 ]
-NUMERIC_FEATURES = ["latitude", "longitude", "sog", "remaining_dist_nm", "total_dist_nm",
-                    "fraction_completed", "sog_roll_6h", "sog_roll_24h", "sog_deviation"]
 CATEGORICAL_FEATURES = ["origin_port", "destination_port"]
 LABEL = "remaining_travel_hours"
 
@@ -70,38 +67,18 @@ def distance_features(df: DataFrame, ports: DataFrame) -> DataFrame:
     return d.drop("dest_lat", "dest_lon", "origin_lat", "origin_lon")
 
 
-def rolling_sog(df: DataFrame, ts: str = "base_date_time", bucket_us: int = ROLLING_BUCKET_US,
-                method: str = "auto", hot_bucket_rows: int = HOT_BUCKET_ROWS) -> DataFrame:
+def rolling_sog(df: DataFrame, ts: str = "base_date_time", bucket_us: int = DAY_US,
+                widths: DataFrame | None = None) -> DataFrame:
     """Mean sog over (t - 6 h, t] and (t - 24 h, t] per vessel.
 
-    Equal-timestamp pings are peers and see each other (RANGE frame).
-
-    * ``halo``: one exchange on (vessel, 4-day bucket); each bucket also gets
-      a narrow copy of the previous bucket's last 24 h.
-    * ``prefix``: exact DECIMAL prefix-sum differences with a bucketed as-of
-      lookup; several exchanges, but the bucket width may be smaller than the
-      window.
-    * ``auto`` (default): halo for every vessel, except vessel ids whose
-      busiest day exceeds ``hot_bucket_rows`` rows: those go through the
-      prefix form with buckets of day / 2^k (checked only when the whole
-      input exceeds the target).
-    """
-    t = df.withColumn("_t", epoch_us(F.col(ts)))
+    Equal-timestamp pings are peers and see each other (RANGE frame). Means
+    are differences of exact prefix sums (`rolling_range_mean`), so they cost
+    the same for a vessel of any size and do not depend on how its rows are
+    cut into buckets. ``widths`` (`hot_key_widths`) gives hot vessel ids
+    narrower buckets."""
+    t = with_key_width(df.withColumn("_t", epoch_us(F.col(ts))), "mmsi", widths, bucket_us)
     wins = {k: h * US_PER_HOUR for k, h in ROLLING_WINDOWS_H.items()}
-    halo_width = max(bucket_us, max(wins.values()))
-    if method == "prefix":
-        return rolling_range_mean(t, ["mmsi"], "_t", "sog", wins, bucket_us).drop("_t")
-    if method == "halo" or checked_count(df) <= hot_bucket_rows:
-        return bucketed_rolling_mean(t, ["mmsi"], "_t", "sog", wins, halo_width).drop("_t")
-    widths = hot_key_widths(t, "mmsi", "_t", DAY_US, hot_bucket_rows)
-    if checked_count(widths) == 0:
-        return bucketed_rolling_mean(t, ["mmsi"], "_t", "sog", wins, halo_width).drop("_t")
-    hot = F.broadcast(widths) if checked_count(widths) <= BROADCAST_MAX_HOT_KEYS else widths
-    cold = t.join(hot.select("mmsi"), "mmsi", "left_anti")
-    warm = t.join(hot, "mmsi")
-    a = bucketed_rolling_mean(cold, ["mmsi"], "_t", "sog", wins, halo_width)
-    b = rolling_range_mean(warm, ["mmsi"], "_t", "sog", wins, "_w").drop("_w")
-    return a.unionByName(b).drop("_t")
+    return rolling_range_mean(t, ["mmsi"], "_t", "sog", wins, "_w").drop("_t", "_w")
 
 
 def sog_deviation(df: DataFrame) -> DataFrame:
@@ -124,14 +101,15 @@ def remaining_travel(df: DataFrame, ts: str = "base_date_time") -> DataFrame:
     return df.withColumn(LABEL, h).where(F.col(LABEL) >= 0)
 
 
-def build_features(sea: DataFrame, ports: DataFrame, voyages: DataFrame | None = None) -> DataFrame:
+def build_features(sea: DataFrame, ports: DataFrame, voyages: DataFrame | None = None,
+                   widths: DataFrame | None = None) -> DataFrame:
     """Distance, rolling, lane features and the label on sea pings.
 
     ``sea`` must carry ``arrival_time`` unless ``voyages`` is given (J8)."""
     if voyages is not None:
         sea = attach_arrival(sea, voyages)
     f = distance_features(sea, ports)
-    f = rolling_sog(f)
+    f = rolling_sog(f, widths=widths)
     f = sog_deviation(f)
     return remaining_travel(f)
 
@@ -141,12 +119,13 @@ def training_set(features: DataFrame) -> DataFrame:
     return features.select(*FEATURE_COLUMNS)
 
 
-def latest_per_vessel(df: DataFrame, cols: list[str], ts: str = "base_date_time") -> DataFrame:
-    """Per vessel, the last non-null value of every column in ts order
-    (pandas ``groupby().last()`` semantics), as one aggregation."""
+def latest_per_vessel(df: DataFrame, cols: list[str], ts: str = "base_date_time", tie: str = "ping_id") -> DataFrame:
+    """Per vessel, the last non-null value of every column in (ts, tie)
+    order (pandas ``groupby().last()`` semantics), as one aggregation."""
+    order = F.struct(ts, tie)
     aggs = [F.max(ts).alias(ts)]
     for c in cols:
         if c in ("mmsi", ts):
             continue
-        aggs.append(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(ts))).alias(c))
+        aggs.append(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c))
     return df.groupBy("mmsi").agg(*aggs)

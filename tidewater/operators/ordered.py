@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.session import checked_count, write_stage
+
 DAY_US = 86_400_000_000
 
 # Keys per block for the two-level prefix sum in `global_index`. A 9-digit
@@ -68,7 +70,6 @@ def hot_key_widths(df: DataFrame, key: str, t_col: str, base_us: int,
 def with_key_width(df: DataFrame, key: str, widths: DataFrame | None, base_us: int) -> DataFrame:
     """Attach ``_w`` (bucket width) to every row: the hot-key width, else
     ``base_us``. The hot-key table is broadcast after a size check."""
-    from tidewater.session import checked_count
     if widths is None:
         return df.withColumn("_w", F.lit(base_us).cast("long"))
     w = F.broadcast(widths) if checked_count(widths) <= BROADCAST_MAX_HOT_KEYS else widths
@@ -133,30 +134,6 @@ def bucketed_cumsum(df: DataFrame, keys: Sequence[str], t_col: str, bucket_us: i
     return u.where(F.col("_k") == 1).drop("_b", "_k", *tmp.values())
 
 
-def bucketed_rolling_mean(df: DataFrame, keys: Sequence[str], t_col: str, value: str,
-                          windows: dict[str, int], bucket_us: int) -> DataFrame:
-    """Time-range rolling means over the frame (t - w, t] per key.
-
-    Rows are partitioned by (key, bucket); each bucket also receives a narrow
-    halo copy (key, t, value) of the previous bucket's last ``max(w)``
-    microseconds, so every frame is complete inside one bucket. The halo adds
-    ``max(w) / bucket_us`` of the rows (25 % for 24 h over 4-day buckets).
-    """
-    keys = list(keys)
-    wmax = max(windows.values())
-    if bucket_us < wmax:
-        raise ValueError("bucket_us must be at least the longest window")
-    b = bucket_of(F.col(t_col), bucket_us)
-    own = df.withColumn("_b", b).withColumn("_own", F.lit(True))
-    halo = df.where(F.col(t_col) >= (b + 1) * bucket_us - wmax + 1).select(
-        *keys, t_col, value, (b + 1).alias("_b"), F.lit(False).alias("_own"))
-    u = own.unionByName(halo, allowMissingColumns=True)
-    w = Window.partitionBy(*keys, "_b").orderBy(t_col)
-    for name, wus in windows.items():
-        u = u.withColumn(name, F.avg(value).over(w.rangeBetween(-(wus - 1), 0)))
-    return u.where("_own").drop("_b", "_own")
-
-
 def bucketed_next(df: DataFrame, keys: Sequence[str], t_col: str, order: Sequence[str],
                   bucket_us: int, payload: Column, out_col: str) -> DataFrame:
     """Add ``out_col`` = ``payload`` of the next row of the same key in the
@@ -282,3 +259,28 @@ def rolling_range_mean(df: DataFrame, keys: Sequence[str], t_col: str, value: st
         s = F.col("_cs") - F.coalesce(F.col(f"_o_{name}.S"), F.lit(0).cast(dec))
         out = out.withColumn(name, F.when(n > 0, (s / n).cast("double"))).drop(f"_o_{name}")
     return df.join(out.drop("_cs", "_cn", *wcol), keys + [t_col], "left")
+
+
+def range_running_sum(df: DataFrame, groups: Sequence[str], order: Sequence[str], value: Column, out_col: str) -> DataFrame:
+    """Running sum of ``value`` (current row included) per group in the order
+    ``order``, for groups of any size.
+
+    Rows are range-partitioned by (groups, order), so a large group is spread
+    over many tasks; the sums of a group's earlier partitions come from one
+    row per (group, partition). The partitioned rows are written once, since a
+    range partition's number must not change between its two uses."""
+    groups, order = list(groups), list(order)
+    t = df.withColumn("_v", value).repartitionByRange(*groups, *order).withColumn("_part", F.spark_partition_id())
+    t = write_stage(t, "ranges")
+    key = groups + ["_part"]
+    sums = t.groupBy(*key).agg(F.sum("_v").alias("_s"))
+    w = Window.partitionBy(*groups) if groups else Window.partitionBy()
+    before = sums.select(*key, F.coalesce(F.sum("_s").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
+                                          F.lit(0)).alias("_before"))
+    here = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in key]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    return (t.withColumn("_run", F.sum("_v").over(here)).alias("l").join(before.alias("r"), cond)
+            .select(*[F.col(f"l.{c}") for c in df.columns], (F.col("_before") + F.col("_run")).alias(out_col)))

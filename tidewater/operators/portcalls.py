@@ -30,28 +30,33 @@ def ports_left_join(pings: DataFrame, ports: DataFrame, radius_nm: float = PORT_
     return degree_buffer_left_join(pings, ports, radius_nm)
 
 
-def hours_in_port(joined: DataFrame, ts: str = "base_date_time",
-                  bucket_us: int = DAY_US, hot_bucket_rows: int = HOT_BUCKET_ROWS) -> DataFrame:
-    """W7 time_diff, W8 port_group (in-port run id), W9 hours_in_port."""
+def hours_in_port(joined: DataFrame, ts: str = "base_date_time", bucket_us: int = DAY_US,
+                  hot_bucket_rows: int = HOT_BUCKET_ROWS, n_rows: int | None = None) -> DataFrame:
+    """W7 time_diff, W8 port_group (in-port run id), W9 hours_in_port.
+
+    Times are summed as whole microseconds and divided once, so the hours do
+    not depend on how the rows are cut into buckets. ``n_rows`` (the number of
+    pings, if known) saves the count that decides whether a vessel id can be
+    hot at all; widths change the partitioning only."""
     d = joined.withColumn("_t", epoch_us(F.col(ts))) \
         .withColumn("_pn", F.coalesce(F.col("port_number"), F.lit(-1))) \
         .withColumn("in_port", F.col("port_number").isNotNull().cast("int"))
-    # Vessel ids whose busiest day exceeds the target get narrower buckets
-    # (only possible when the whole input exceeds it).
-    widths = hot_key_widths(d, "mmsi", "_t", bucket_us, hot_bucket_rows) \
-        if checked_count(joined) > hot_bucket_rows else None
+    n = checked_count(joined) if n_rows is None else n_rows
+    widths = hot_key_widths(d, "mmsi", "_t", bucket_us, hot_bucket_rows) if n > hot_bucket_rows else None
     d = with_key_width(d, "mmsi", widths, bucket_us)
     bucket_us = "_w"
     d = bucketed_lag(d, ["mmsi"], "_t", bucket_us, "_prev",
                      payload=F.struct(F.col("_t").alias("t"), F.col("in_port").alias("ip")), order=_ORDER)
-    d = d.withColumn("time_diff", (F.col("_t") - F.col("_prev.t")) / float(US_PER_HOUR)) \
+    d = d.withColumn("_us", F.col("_t") - F.col("_prev.t")) \
+        .withColumn("time_diff", F.col("_us") / float(US_PER_HOUR)) \
         .withColumn("_chg", F.when(F.col("_prev").isNull() | (F.col("_prev.ip") != F.col("in_port")), 1)
                     .otherwise(0))
     d = bucketed_cumsum(d, ["mmsi"], "_t", bucket_us, F.col("_chg").cast("long"), "port_group", _ORDER)
     d = bucketed_cumsum(d, ["mmsi", "port_group"], "_t", bucket_us,
-                        F.coalesce(F.col("time_diff"), F.lit(0.0)), "_cum", _ORDER)
-    return d.withColumn("hours_in_port", F.when(F.col("in_port") == 1, F.col("_cum")).otherwise(F.lit(0.0))) \
-        .drop("_t", "_pn", "_prev", "_chg", "_cum", "_w")
+                        F.coalesce(F.col("_us"), F.lit(0)), "_cum", _ORDER)
+    hours = F.col("_cum") / float(US_PER_HOUR)
+    return d.withColumn("hours_in_port", F.when(F.col("in_port") == 1, hours).otherwise(F.lit(0.0))) \
+        .drop("_t", "_pn", "_prev", "_chg", "_us", "_cum", "_w")
 
 
 def port_call_candidates(with_hours: DataFrame,

@@ -54,7 +54,7 @@ def quantile_bins(df: DataFrame, col: str, out: str, q: int = 5) -> DataFrame:
     to the driver), duplicates merged; bins are right-closed with the lowest
     edge included."""
     probs = [i / q for i in range(q + 1)]
-    row = exact_percentiles(df, col, probs).first()
+    row = exact_percentiles(df.select(col), col, probs).first()
     edges = sorted(set(v for v in row if v is not None)) if row is not None else []
     if not edges:
         return df.withColumn(out, F.lit(None).cast("int"))

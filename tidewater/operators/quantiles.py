@@ -1,102 +1,62 @@
-"""Exact linear-interpolation percentiles with bounded per-task state.
-
-Spark's exact ``percentile`` keeps a value->count map of a whole group in the
-final merge task. Here each quantile is first bracketed with
-``percentile_approx`` (rank error <= N/accuracy, Greenwald-Khanna), then one
-more pass counts the rows below the bracket and gathers the *distinct*
-values inside it with their counts (at most about 10*N/accuracy + 2 values,
-however skewed the data). A window over that small table finds the two
-order statistics around rank p*(N-1) and interpolates
-``lo + (hi - lo) * frac`` (DuckDB ``quantile_cont`` / pandas ``quantile``).
+"""Exact linear-interpolation percentiles for groups of any size.
+
+Equal values are first counted (map-side combined), then the distinct values
+get their running counts from a range-partitioned running sum, and the order
+statistics around rank p * (n - 1) are the least values whose running count
+passes that rank: ``lo + (hi - lo) * frac``, as DuckDB ``quantile_cont`` and
+pandas ``quantile`` interpolate. No task holds more than one range partition,
+no sketch is involved, and ties, skew or the number of rows change nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_ACCURACY = 1_000_000
-# Bracket half-widths 3 * 10^-j, j = 0..LADDER-1. A group of n rows uses the
-# narrowest level with at least 3 ranks on each side of the target, so a
-# bracket holds about 6..60 rows plus the sketch error n / accuracy.
-LADDER = 8
+from tidewater.operators.ordered import range_running_sum
 
 
 def exact_percentiles(df: DataFrame, col: str, probs: Sequence[float],
                       names: Sequence[str] | None = None, group_cols: Sequence[str] = (),
                       extra_aggs: Sequence[Column] = (),
-                      accuracy: int = DEFAULT_ACCURACY,
                       positions: Sequence[int] | None = None) -> DataFrame:
     """One row per group: group columns, ``extra_aggs`` (over all rows), and
-    one column per probability (``names`` or p_<i>).
+    one column per probability (``names`` or p_<i>); NULLs are not counted.
 
     With ``positions`` (0-based ranks, one per probability) the exact order
-    statistic at that rank is returned instead of an interpolated value; the
-    probability then only places the bracket."""
-    probs = [float(p) for p in probs]
+    statistic at that rank is returned instead of an interpolated value."""
+    g = list(group_cols)
     names = list(names) if names else [f"p_{i}" for i in range(len(probs))]
-    g = list(group_cols) or ["_g"]
-    x = F.col(col).cast("double")
-    base = df.withColumn("_x", x)
-    if not group_cols:
-        base = base.withColumn("_g", F.lit(0))
-    d = base.where(F.col("_x").isNotNull())
-    margins = [3.0 * 10.0 ** -j for j in range(LADDER)]
-    lo_p = [max(p - m, 0.0) for p in probs for m in margins]
-    hi_p = [min(p + m, 1.0) for p in probs for m in margins]
-    stats = base.groupBy(*g).agg(
-        F.count("_x").alias("_n"),
-        F.percentile_approx("_x", F.array(*[F.lit(v) for v in lo_p + hi_p]), accuracy).alias("_b"),
-        *extra_aggs,
-    )
-    level = F.least(F.floor(F.log10(F.col("_n"))), F.lit(LADDER - 1)).cast("int")
-    n_lo = len(lo_p)
-    # One row per (group, prob) with its bracket and target rank.
-    per_p = stats.where(F.col("_n") > 0).select(
-        *g, "_n", "_b", level.alias("_lvl"),
-        F.posexplode(F.array(*[F.lit(p) for p in probs])).alias("_i", "_p")) \
-        .select(*g, "_n", "_i",
-                F.element_at("_b", F.col("_i") * LADDER + F.col("_lvl") + 1).alias("_blo"),
-                F.element_at("_b", F.col("_i") * LADDER + F.col("_lvl") + 1 + n_lo).alias("_bhi"),
-                (F.col("_p") * (F.col("_n") - 1) if positions is None
-                 else F.element_at(F.array(*[F.lit(float(v)) for v in positions]), F.col("_i") + 1)).alias("_pos"))
-    if group_cols:
-        j = d.select(*g, "_x").join(per_p.drop("_n"), g)
+    values = df.select(*g, F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    counted = values.groupBy(*g, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = range_running_sum(counted, g, ["_x"], F.col("_c"), "_cum")
+    sizes = ranked.groupBy(*g).agg(F.max("_cum").alias("_n"))
+
+    def at(rank):
+        """The least value whose running count passes ``rank``."""
+        return F.min(F.when(F.col("_cum") > rank, F.col("_x")))
+    if g:
+        rows = ranked.join(sizes, g)
+        n = F.col("_n")
     else:
-        # One group: its P brackets are scalars; attach them as literals
-        # (a join on the constant group key would plan as a cross join).
-        br = per_p.collect()
-        if not br:
-            j = d.select("_g", "_x", F.lit(None).cast("int").alias("_i"), F.lit(None).cast("double").alias("_blo"),
-                         F.lit(None).cast("double").alias("_bhi"), F.lit(None).cast("double").alias("_pos"))
-        else:
-            lits = F.array(*[F.struct(F.lit(r["_i"]).alias("_i"), F.lit(r["_blo"]).cast("double").alias("_blo"),
-                                      F.lit(r["_bhi"]).cast("double").alias("_bhi"),
-                                      F.lit(float(r["_pos"])).alias("_pos")) for r in br])
-            j = d.select("_g", "_x", F.inline(lits))
-    below = j.where(F.col("_x") < F.col("_blo")).groupBy(*g, "_i").agg(F.count(F.lit(1)).alias("_below"))
-    inside = j.where((F.col("_x") >= F.col("_blo")) & (F.col("_x") <= F.col("_bhi"))) \
-        .groupBy(*g, "_i", "_x").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*g, "_i").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.join(per_p, g + ["_i"]).join(below, g + ["_i"], "left") \
-        .withColumn("_below", F.coalesce(F.col("_below"), F.lit(0))) \
-        .withColumn("_cum", F.col("_below") + F.sum("_c").over(w))  # rows with value <= _x
-    k = F.floor(F.col("_pos"))
-    picked = ranked.groupBy(*g, "_i").agg(
-        F.min(F.when(F.col("_cum") > k, F.col("_x"))).alias("_v0"),
-        F.min(F.when(F.col("_cum") > k + 1, F.col("_x"))).alias("_v1"),
-        F.first(F.col("_pos") - k).alias("_frac"),
-    )
-    val = F.when(F.col("_frac") == 0, F.col("_v0")) \
-        .otherwise(F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.col("_frac"))
-    wide = picked.groupBy(*g).agg(*[
-        F.max(F.when(F.col("_i") == i, val)).alias(n) for i, n in enumerate(names)])
-    if group_cols:
-        return stats.drop("_b").join(wide, g, "left").drop("_n")
-    # One group: the P values are scalars; add them as literal columns.
-    vals = wide.first()
-    return stats.drop("_b", "_n", "_g").select(
-        "*", *[F.lit(vals[n] if vals is not None else None).cast("double").alias(n) for n in names])
-
+        total = sizes.first()["_n"]
+        rows, n = ranked, F.lit(total).cast("long")
+    aggs, vals = [], []
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (n - 1) if positions is None else F.lit(float(positions[i]))
+        k = F.floor(pos)
+        aggs += [at(k).alias(f"_a{i}"), at(k + 1).alias(f"_b{i}"), F.first(pos - k).alias(f"_f{i}")]
+        a, b, f = (F.col(f"_{x}{i}") for x in "abf")
+        vals.append(F.when(f == 0, a).otherwise(a + (b - a) * f).alias(names[i]))
+    wide = rows.groupBy(*g).agg(*aggs).select(*g, *vals)
+    if g:
+        keep = df.groupBy(*g).agg(*(extra_aggs or [F.count(F.lit(1)).alias("_rows")]))
+        return (keep if extra_aggs else keep.drop("_rows")).join(wide, g, "left")
+    # one group: its values are scalars
+    found = wide.first()
+    lits = [F.lit(found[c] if found is not None else None).cast("double").alias(c) for c in names]
+    if extra_aggs:
+        return df.agg(*extra_aggs).select("*", *lits)
+    return df.agg(F.count(F.lit(1)).alias("_rows")).select(*lits)

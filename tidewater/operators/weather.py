@@ -1,27 +1,29 @@
-"""Weather enrichment (F7, F8, J9, J10, F11-F13) and the derived fixtures.
-
-The reference fetches one hourly series per 1-degree cell and per
-destination port. Here the distinct (cell, hour) and (port, hour) keys are
-derived from the pings with Spark (`distinct` = one aggregation), and the
-weather values of the test fixture are integer formulas of those keys, the
-same in DuckDB. Joins are left equi-joins on the grid key and the floored
-hour; AQE broadcasts the weather side when it is small at run time and
-otherwise runs a sort-merge join with skew splitting.
+"""Weather enrichment.
+
+Weather comes as hourly frames per 1-degree cell (marine, wind) and per
+destination port, loaded from payload files (`sources.ais`) or derived for the
+tests (`sources.fixtures`). Joins are left equi-joins on the grid key and the
+floored hour; a ping without a row keeps NULLs. AQE broadcasts the weather
+side when it is small at run time and otherwise runs a sort-merge join with
+skew splitting.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.functions.geo import (US_PER_HOUR, epoch_us, flag, floor_hour, grid_1deg,
-                                     headwind, safe_key, sea_state)
+from tidewater.functions.geo import flag, floor_hour, grid_1deg, headwind, safe_key, sea_state
 
+# The three weather frames an enrichment can join.
+PARTS = ("marine", "wind", "port")
+
+# The weather variables.
 MARINE_COLUMNS = ["wave_height", "wave_direction", "wave_period", "swell_wave_height",
                   "ocean_current_velocity", "ocean_current_direction"]
 WIND_COLUMNS = ["wind_speed_10m", "wind_gusts_10m", "wind_direction_10m", "precipitation",
                 "weather_code", "visibility"]
-# Port weather columns are the wind columns renamed with a port_ prefix.
+# Port weather columns are the wind columns renamed with a port_ prefix.
 PORT_RENAME = {
     "wind_speed_10m": "port_wind_speed",
     "wind_gusts_10m": "port_wind_gusts",
@@ -39,60 +41,11 @@ def add_cell_keys(df: DataFrame, ts: str = "base_date_time") -> DataFrame:
         .withColumn("hour", floor_hour(ts))
 
 
-def _hour_no(hour: str = "hour") -> Column:
-    return (epoch_us(F.col(hour)) / US_PER_HOUR).cast("long")
-
-
-def _marine_values(s: Column) -> list[Column]:
-    inland = (s % 7) == 0
-    vals = [
-        (s % 50).cast("double") / 10.0,
-        ((s * 7) % 360).cast("double"),
-        (s % 13).cast("double") + 2.0,
-        (s % 30).cast("double") / 10.0,
-        (s % 20).cast("double") / 20.0,
-        ((s * 11) % 360).cast("double"),
-    ]
-    return [F.when(~inland, v).alias(n) for v, n in zip(vals, MARINE_COLUMNS)]
-
-
-def _wind_values(w: Column) -> list[Column]:
-    speed = (w % 25).cast("double") / 2.0
-    return [
-        speed.alias("wind_speed_10m"),
-        (speed + (w % 9).cast("double")).alias("wind_gusts_10m"),
-        ((w * 13) % 360).cast("double").alias("wind_direction_10m"),
-        F.when((w % 5) == 0, (w % 11).cast("double") / 4.0).otherwise(F.lit(0.0)).alias("precipitation"),
-        ((w % 4) * 20).cast("int").alias("weather_code"),
-        F.when((w % 7) != 0, ((w % 24) * 1000).cast("double")).alias("visibility"),
-    ]
-
-
-def cell_weather_fixture(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Hourly marine and wind rows for every (lat_bin, lon_bin, hour) seen."""
-    cells = keyed.select("lat_bin", "lon_bin", "hour").distinct()
-    li, lo = F.col("lat_bin").cast("long"), F.col("lon_bin").cast("long")
-    s = F.lit(31) * li + F.lit(17) * lo + _hour_no()
-    w = F.lit(13) * li + F.lit(29) * lo + F.lit(3) * _hour_no() + 5000
-    marine = cells.select("lat_bin", "lon_bin", "hour", *_marine_values(s))
-    wind = cells.select("lat_bin", "lon_bin", "hour", *_wind_values(w))
-    return marine, wind
-
-
-def port_weather_fixture(keyed: DataFrame, ports: DataFrame) -> DataFrame:
-    """Hourly surface weather per (destination_port, hour) seen."""
-    keys = keyed.where(F.col("destination_port").isNotNull()) \
-        .select("destination_port", "hour").distinct()
-    pn = ports.select(F.col("portName").alias("destination_port"), "port_number")
-    w = F.lit(41) * F.col("port_number") + F.lit(5) * _hour_no() + 7000
-    return keys.join(pn, "destination_port").select(
-        "destination_port", "hour", *_wind_values(w)).withColumnsRenamed(PORT_RENAME)
-
-
 def store_port_weather(port_weather: DataFrame, path: str) -> None:
-    """S5 store: port weather partitioned by a path-safe port key."""
+    """S5 store: port weather partitioned by a path-safe port key (F22); range
+    partitions keep a busy port from being one task."""
     port_weather.withColumn("port_key", safe_key("destination_port")) \
-        .repartition("port_key").write.mode("overwrite").partitionBy("port_key").parquet(path)
+        .repartitionByRange("port_key", "hour").write.mode("overwrite").partitionBy("port_key").parquet(path)
 
 
 def join_cell_weather(df: DataFrame, marine: DataFrame, wind: DataFrame) -> DataFrame:
@@ -107,20 +60,29 @@ def join_port_weather(df: DataFrame, port_weather: DataFrame) -> DataFrame:
 
 
 def derived_weather(df: DataFrame) -> DataFrame:
-    """F11 headwind, F12 sea state, F13 flags (missing input counts as 0)."""
-    return (
-        df.withColumn("headwind_component", headwind("cog", "wind_direction_10m", "wind_speed_10m"))
-        .withColumn("sea_state", sea_state("wave_height"))
-        .withColumn("adverse_sea_state", flag((F.col("wave_height") >= 2.0)
-                                              | (F.col("wind_speed_10m") >= 10.0)))
-        .withColumn("port_high_wind", flag(F.col("port_wind_gusts") >= 15.0))
-        .withColumn("port_precip_flag", flag(F.col("port_precipitation") > 0))
-    )
-
-
-def enrich(sea: DataFrame, ports: DataFrame) -> DataFrame:
-    """Cell keys, fixture weather, J9, J10 and derived columns."""
-    keyed = add_cell_keys(sea)
-    marine, wind = cell_weather_fixture(keyed)
-    pw = port_weather_fixture(keyed, ports)
-    return derived_weather(join_port_weather(join_cell_weather(keyed, marine, wind), pw))
+    """F11 headwind, F12 sea state, F13 flags (missing input counts as 0), as
+    far as the joined columns allow."""
+    have = set(df.columns)
+    wave, wind, port = "wave_height" in have, "wind_speed_10m" in have, "port_wind_gusts" in have
+    if wind:
+        df = df.withColumn("headwind_component", headwind("cog", "wind_direction_10m", "wind_speed_10m"))
+    if wave:
+        df = df.withColumn("sea_state", sea_state("wave_height"))
+    if wave and wind:
+        df = df.withColumn("adverse_sea_state", flag((F.col("wave_height") >= 2.0) | (F.col("wind_speed_10m") >= 10.0)))
+    if port:
+        df = df.withColumn("port_high_wind", flag(F.col("port_wind_gusts") >= 15.0)) \
+            .withColumn("port_precip_flag", flag(F.col("port_precipitation") > 0))
+    return df
+
+
+def enrich(keyed: DataFrame, frames: dict[str, DataFrame]) -> DataFrame:
+    """Pings with cell keys (`add_cell_keys`) joined with the given weather
+    frames (keys of `PARTS`) and the columns derived from them."""
+    cell = ["lat_bin", "lon_bin", "hour"]
+    for part in ("marine", "wind"):
+        if part in frames:
+            keyed = keyed.join(frames[part], cell, "left")
+    if "port" in frames:
+        keyed = join_port_weather(keyed, frames["port"])
+    return derived_weather(keyed)

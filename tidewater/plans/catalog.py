@@ -38,12 +38,12 @@ def r6(c) -> F.Column:
 
 
 W = oracle.with_ctes
-HW_SAMPLE_N = 8000
-IMPORTANCE_SAMPLE_N = 10000
+SAMPLE_N = 10000          # rows of the O4 sample
 TOP_PORTS_N = 10
 BUSY_PORTS_N = 15
 TEST_SHARE = 0.2
 SEED = 42
+# The columns of the correlation and coverage tables.
 CORR_FEATURES = ["wave_height", "wave_period", "swell_wave_height", "ocean_current_velocity",
                  "wind_speed_10m", "wind_gusts_10m", "headwind_component", "port_wind_speed",
                  "port_wind_gusts", "port_precipitation"]
@@ -91,7 +91,7 @@ def w2_visit_sessions(spark, d):
 
 @register("a1_port_visits", W("visits", "SELECT * FROM visits"))
 def a1_port_visits(spark, d):
-    return Stages(spark, d).visits
+    return Stages(spark, d).visits_plan
 
 
 _MATCH_SQL = "SELECT DISTINCT mmsi, portName FROM visits WHERE duration_hours >= CAST(1 AS DOUBLE)"
@@ -99,13 +99,13 @@ _MATCH_SQL = "SELECT DISTINCT mmsi, portName FROM visits WHERE duration_hours >=
 
 @register("a3_distinct_pairs", W("visits", _MATCH_SQL))
 def a3_distinct_pairs(spark, d):
-    return sessions.match(Stages(spark, d).visits, MIN_TIME_IN_PORT_H)
+    return sessions.match(Stages(spark, d).visits_plan, MIN_TIME_IN_PORT_H)
 
 
 @register("a2_vessels_per_port", W("visits", f"""
 SELECT portName, CAST(count(DISTINCT mmsi) AS BIGINT) AS n_vessels FROM ({_MATCH_SQL}) GROUP BY portName"""))
 def a2_vessels_per_port(spark, d):
-    m = sessions.match(Stages(spark, d).visits, MIN_TIME_IN_PORT_H)
+    m = sessions.match(Stages(spark, d).visits_plan, MIN_TIME_IN_PORT_H)
     return m.groupBy("portName").agg(F.count_distinct("mmsi").cast("long").alias("n_vessels"))
 
 
@@ -117,7 +117,7 @@ FROM ports p LEFT JOIN (SELECT portName, count(DISTINCT mmsi) AS n FROM ({_MATCH
 
 def _port_calls(spark, d):
     st = Stages(spark, d)
-    m = sessions.match(st.visits, MIN_TIME_IN_PORT_H)
+    m = sessions.match(st.visits_plan, MIN_TIME_IN_PORT_H)
     return sessions.port_call_counts(st.ports.select("port_number", "portName"), m) \
         .select("port_number", "portName", "port_call_count")
 
@@ -136,22 +136,22 @@ def o2_top_ports(spark, d):
 # ---------------------------------------------------------------- labels --
 @register("j3_current_port", W("labeled", "SELECT ping_id, mmsi, base_date_time, current_port FROM labeled"))
 def j3_current_port(spark, d):
-    return Stages(spark, d).labeled.select("ping_id", "mmsi", "base_date_time", "current_port")
+    return Stages(spark, d).labeled_plan.select("ping_id", "mmsi", "base_date_time", "current_port")
 
 
 @register("j4_origin_port", W("labeled", "SELECT ping_id, origin_port FROM labeled"))
 def j4_origin_port(spark, d):
-    return Stages(spark, d).labeled.select("ping_id", "origin_port")
+    return Stages(spark, d).labeled_plan.select("ping_id", "origin_port")
 
 
 @register("j5_destination_port", W("labeled", "SELECT ping_id, destination_port FROM labeled"))
 def j5_destination_port(spark, d):
-    return Stages(spark, d).labeled.select("ping_id", "destination_port")
+    return Stages(spark, d).labeled_plan.select("ping_id", "destination_port")
 
 
 @register("j6_voyage_stamp", W("labeled", "SELECT ping_id, voyage_id FROM labeled"))
 def j6_voyage_stamp(spark, d):
-    return Stages(spark, d).labeled.select("ping_id", "voyage_id")
+    return Stages(spark, d).labeled_plan.select("ping_id", "voyage_id")
 
 
 @register("w3_visit_pairs", W("vpair", """
@@ -159,7 +159,7 @@ SELECT mmsi, portName AS departure_port, entry_time AS dep_entry_time, exit_time
        arr_port AS arrival_port, arr_time AS arrival_time, arr_time > exit_time AS kept
 FROM vpair WHERE arr_time IS NOT NULL"""))
 def w3_visit_pairs(spark, d):
-    return voyages.pair_visits(Stages(spark, d).visits).select(
+    return voyages.pair_visits(Stages(spark, d).visits_plan).select(
         "mmsi", "departure_port", "dep_entry_time", "departure_time", "arrival_port", "arrival_time", "kept")
 
 
@@ -181,26 +181,26 @@ def a4_routes(spark, d):
 
 @register("p4_sea_pings", W("sea", "SELECT ping_id, mmsi, base_date_time, origin_port, destination_port, voyage_id FROM sea"))
 def p4_sea_pings(spark, d):
-    return feat.sea_pings(Stages(spark, d).labeled).select(
+    return feat.sea_pings(Stages(spark, d).labeled_plan).select(
         "ping_id", "mmsi", "base_date_time", "origin_port", "destination_port", "voyage_id")
 
 
 @register("j8_voyage_attr", W("sea", "SELECT ping_id, voyage_id, arrival_time FROM sea"))
 def j8_voyage_attr(spark, d):
     st = Stages(spark, d)
-    return feat.attach_arrival(feat.sea_pings(st.labeled), st.voyages_base).select("ping_id", "voyage_id", "arrival_time")
+    return feat.attach_arrival(feat.sea_pings(st.labeled_plan), st.voyages_base).select("ping_id", "voyage_id", "arrival_time")
 
 
 @register("w6_latest_per_vessel", W("labeled", """
 SELECT mmsi, max(base_date_time) AS base_date_time,
-       arg_max(current_port, base_date_time) FILTER (WHERE current_port IS NOT NULL) AS current_port,
-       arg_max(origin_port, base_date_time) FILTER (WHERE origin_port IS NOT NULL) AS origin_port,
-       arg_max(destination_port, base_date_time) FILTER (WHERE destination_port IS NOT NULL) AS destination_port,
-       arg_max(voyage_id, base_date_time) FILTER (WHERE voyage_id IS NOT NULL) AS voyage_id,
-       arg_max(sog, base_date_time) FILTER (WHERE sog IS NOT NULL) AS sog
+       arg_max(current_port, (base_date_time, ping_id)) FILTER (WHERE current_port IS NOT NULL) AS current_port,
+       arg_max(origin_port, (base_date_time, ping_id)) FILTER (WHERE origin_port IS NOT NULL) AS origin_port,
+       arg_max(destination_port, (base_date_time, ping_id)) FILTER (WHERE destination_port IS NOT NULL) AS destination_port,
+       arg_max(voyage_id, (base_date_time, ping_id)) FILTER (WHERE voyage_id IS NOT NULL) AS voyage_id,
+       arg_max(sog, (base_date_time, ping_id)) FILTER (WHERE sog IS NOT NULL) AS sog
 FROM labeled GROUP BY mmsi"""))
 def w6_latest_per_vessel(spark, d):
-    return feat.latest_per_vessel(Stages(spark, d).labeled,
+    return feat.latest_per_vessel(Stages(spark, d).labeled_plan,
                                   ["current_port", "origin_port", "destination_port", "voyage_id", "sog"])
 
 
@@ -221,7 +221,7 @@ SELECT s.ping_id, d.lat_dd AS dest_lat, d.lon_dd AS dest_lon, o.lat_dd AS origin
 FROM sea s LEFT JOIN ports d ON d.portName = s.destination_port LEFT JOIN ports o ON o.portName = s.origin_port"""))
 def j7_port_coords(spark, d):
     st = Stages(spark, d)
-    return feat.port_coordinates(feat.sea_pings(st.labeled), st.ports) \
+    return feat.port_coordinates(feat.sea_pings(st.labeled_plan), st.ports) \
         .select("ping_id", "dest_lat", "dest_lon", "origin_lat", "origin_lon")
 
 
@@ -230,7 +230,7 @@ SELECT ping_id, round(remaining_dist_nm, 6) AS remaining_dist_nm, round(total_di
 FROM sea_dist"""))
 def f2_haversine(spark, d):
     st = Stages(spark, d)
-    f = feat.distance_features(st.sea, st.ports)
+    f = feat.distance_features(st.sea_plan, st.ports)
     return f.select("ping_id", r6("remaining_dist_nm").alias("remaining_dist_nm"),
                     r6("total_dist_nm").alias("total_dist_nm"))
 
@@ -238,25 +238,25 @@ def f2_haversine(spark, d):
 @register("f9_fraction_completed", W("sea_dist", "SELECT ping_id, round(fraction_completed, 6) AS fraction_completed FROM sea_dist"))
 def f9_fraction_completed(spark, d):
     st = Stages(spark, d)
-    return feat.distance_features(st.sea, st.ports).select("ping_id", r6("fraction_completed").alias("fraction_completed"))
+    return feat.distance_features(st.sea_plan, st.ports).select("ping_id", r6("fraction_completed").alias("fraction_completed"))
 
 
 @register("f5_hours_between", W("features", "SELECT ping_id, remaining_travel_hours FROM features"))
 def f5_hours_between(spark, d):
-    return feat.remaining_travel(Stages(spark, d).sea).select("ping_id", feat.LABEL)
+    return feat.remaining_travel(Stages(spark, d).sea_plan).select("ping_id", feat.LABEL)
 
 
 @register("w4_rolling_sog", W("features", """
 SELECT ping_id, round(sog_roll_6h, 6) AS sog_roll_6h, round(sog_roll_24h, 6) AS sog_roll_24h FROM features"""))
 def w4_rolling_sog(spark, d):
-    f = Stages(spark, d).features
+    f = Stages(spark, d).features_plan
     return f.select("ping_id", r6("sog_roll_6h").alias("sog_roll_6h"), r6("sog_roll_24h").alias("sog_roll_24h"))
 
 
 @register("w5_lane_deviation", W("features", """
 SELECT ping_id, round(hist_avg_sog, 6) AS hist_avg_sog, round(sog_deviation, 6) AS sog_deviation FROM features"""))
 def w5_lane_deviation(spark, d):
-    f = Stages(spark, d).features
+    f = Stages(spark, d).features_plan
     return f.select("ping_id", r6("hist_avg_sog").alias("hist_avg_sog"), r6("sog_deviation").alias("sog_deviation"))
 
 
@@ -266,26 +266,26 @@ _TRAIN_SQL_COLS = ", ".join(
     else f"round({c}, 6) AS {c}" for c in feat.FEATURE_COLUMNS)
 
 
-def _rounded_training(f: DataFrame) -> DataFrame:
+def _rounded_training(f: DataFrame, more: list[str] = []) -> DataFrame:
     exact = {"mmsi", "base_date_time", "origin_port", "destination_port", "voyage_id", "latitude",
              "longitude", "sog", "remaining_travel_hours"}
-    return f.select(*[F.col(c) if c in exact else r6(c).alias(c) for c in feat.FEATURE_COLUMNS])
+    return f.select(*more, *[F.col(c) if c in exact else r6(c).alias(c) for c in feat.FEATURE_COLUMNS])
 
 
 @register("p9_training_set", W("features", f"SELECT {_TRAIN_SQL_COLS} FROM features"))
 def p9_training_set(spark, d):
-    return _rounded_training(Stages(spark, d).features)
+    return _rounded_training(Stages(spark, d).features_plan)
 
 
 @register("st5_latest_features", W("features", f"""
 SELECT mmsi, max(base_date_time) AS base_date_time,
-  {", ".join(f"arg_max({c}, base_date_time) FILTER (WHERE {c} IS NOT NULL) AS {c}"
+  {", ".join(f"arg_max({c}, (base_date_time, ping_id)) FILTER (WHERE {c} IS NOT NULL) AS {c}"
              for c in feat.FEATURE_COLUMNS if c not in ("mmsi", "base_date_time"))}
-FROM (SELECT {_TRAIN_SQL_COLS} FROM features) GROUP BY mmsi"""))
+FROM (SELECT ping_id, {_TRAIN_SQL_COLS} FROM features) GROUP BY mmsi"""))
 def st5_latest_features(spark, d):
     """ST5 batch form up to the model input: latest non-null feature values
     per vessel (the rows the predictor scores)."""
-    f = _rounded_training(Stages(spark, d).features)
+    f = _rounded_training(Stages(spark, d).features_plan, ["ping_id"])
     return feat.latest_per_vessel(f, feat.FEATURE_COLUMNS)
 
 
@@ -304,7 +304,7 @@ def a6_describe_label(spark, d):
 
 @register("a7_null_counts")
 def a7_null_counts(spark, d):
-    return profile.null_counts(Stages(spark, d).training, feat.FEATURE_COLUMNS) \
+    return profile.null_counts(feat.training_set(Stages(spark, d).features_plan), feat.FEATURE_COLUMNS) \
         .select("column_name", "nulls", r6("null_rate").alias("null_rate"))
 
 
@@ -323,7 +323,9 @@ SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT mmsi) AS BIGINT)
        round(avg(sog), 6) AS mean_sog, round(quantile_cont(sog, 0.5), 6) AS median_sog
 FROM labeled"""))
 def a8_dataset_counters(spark, d):
-    lab = Stages(spark, d).labeled
+    st = Stages(spark, d)
+    lab = st.stage(st.labeled_plan.select("mmsi", "voyage_id", "current_port", "base_date_time", "latitude",
+                                          "longitude", "sog"), "counters")
     extra = [
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("mmsi").alias("n_vessels"),
         F.count_distinct("voyage_id").alias("n_voyages"), F.count_distinct("current_port").alias("n_ports"),
@@ -354,9 +356,8 @@ FROM (SELECT voyage_id, row_number() OVER (ORDER BY ((voyage_id % 2147483648) *
 
 def voyage_split(features: DataFrame) -> DataFrame:
     """M3: distinct voyages; the first ceil(0.2 n) in seeded-hash order are
-    the test set. The ranking is a global order over distinct voyages (one
-    row per voyage); it is computed as a count plus a per-row rank from a
-    range-partitioned sort, never by collecting ids."""
+    the test set. The cut is an exact order statistic over distinct voyages,
+    found from a range-partitioned running count, never by collecting ids."""
     v = features.select("voyage_id").distinct().withColumn("_h", profile.sample_hash(F.col("voyage_id"), SEED))
     n = v.count()
     k = int(math.ceil(TEST_SHARE * n))
@@ -385,9 +386,9 @@ def j12_membership(spark, d):
 
 @register("o4_seeded_sample", W("features", f"""
 SELECT ping_id, remaining_travel_hours FROM features
-ORDER BY ((ping_id % 2147483648) * 1103515245 + {SEED}) % 2147483648, ping_id LIMIT {IMPORTANCE_SAMPLE_N}"""))
+ORDER BY ((ping_id % 2147483648) * 1103515245 + {SEED}) % 2147483648, ping_id LIMIT {SAMPLE_N}"""))
 def o4_seeded_sample(spark, d):
-    return profile.seeded_sample(Stages(spark, d).features, "ping_id", IMPORTANCE_SAMPLE_N, SEED) \
+    return profile.seeded_sample(Stages(spark, d).features, "ping_id", SAMPLE_N, SEED) \
         .select("ping_id", feat.LABEL)
 
 
@@ -468,13 +469,14 @@ def a17_candidates_per_vessel(spark, d):
 
 
 # ---------------------------------------------------------------- L4 weather
-def _enriched(spark, d):
-    return Stages(spark, d).enriched
+def _enriched(spark, d, *cols: str) -> DataFrame:
+    """The enriched columns of an analysis that reads them several times."""
+    return Stages(spark, d).enriched(*cols)
 
 
 @register("f8_grid_cell", W("enriched", "SELECT ping_id, lat_bin, lon_bin FROM sea_k"))
 def f8_grid_cell(spark, d):
-    return _enriched(spark, d).select("ping_id", "lat_bin", "lon_bin")
+    return Stages(spark, d).enriched_plan(()).select("ping_id", "lat_bin", "lon_bin")
 
 
 @register("j9_cell_weather", W("enriched", """
@@ -483,7 +485,7 @@ SELECT ping_id, lat_bin, lon_bin, hour, wave_height, wave_direction, wave_period
        precipitation, weather_code, visibility
 FROM enriched"""))
 def j9_cell_weather(spark, d):
-    return _enriched(spark, d).select(
+    return Stages(spark, d).enriched_plan(("marine", "wind")).select(
         "ping_id", "lat_bin", "lon_bin", "hour", "wave_height", "wave_direction", "wave_period",
         "swell_wave_height", "ocean_current_velocity", "ocean_current_direction", "wind_speed_10m",
         "wind_gusts_10m", "wind_direction_10m", "precipitation", "weather_code", "visibility")
@@ -493,25 +495,25 @@ def j9_cell_weather(spark, d):
 SELECT ping_id, destination_port, hour, port_wind_speed, port_wind_gusts, port_wind_direction,
        port_precipitation, port_weather_code, port_visibility FROM enriched"""))
 def j10_port_weather(spark, d):
-    return _enriched(spark, d).select(
+    return Stages(spark, d).enriched_plan(("port",)).select(
         "ping_id", "destination_port", "hour", "port_wind_speed", "port_wind_gusts", "port_wind_direction",
         "port_precipitation", "port_weather_code", "port_visibility")
 
 
 @register("f11_headwind", W("enriched", "SELECT ping_id, round(headwind_component, 6) AS headwind_component FROM enriched"))
 def f11_headwind(spark, d):
-    return _enriched(spark, d).select("ping_id", r6("headwind_component").alias("headwind_component"))
+    return Stages(spark, d).enriched_plan(("wind",)).select("ping_id", r6("headwind_component").alias("headwind_component"))
 
 
 @register("f12_sea_state", W("enriched", "SELECT ping_id, wave_height, sea_state FROM enriched"))
 def f12_sea_state(spark, d):
-    return _enriched(spark, d).select("ping_id", "wave_height", "sea_state")
+    return Stages(spark, d).enriched_plan(("marine",)).select("ping_id", "wave_height", "sea_state")
 
 
 @register("f13_weather_flags", W("enriched", """
 SELECT ping_id, adverse_sea_state, port_high_wind, port_precip_flag FROM enriched"""))
 def f13_weather_flags(spark, d):
-    return _enriched(spark, d).select("ping_id", "adverse_sea_state", "port_high_wind", "port_precip_flag")
+    return Stages(spark, d).enriched_plan().select("ping_id", "adverse_sea_state", "port_high_wind", "port_precip_flag")
 
 
 _WEATHER_COV = ["wave_height", "wave_period", "swell_wave_height", "ocean_current_velocity",
@@ -522,7 +524,7 @@ _WEATHER_COV = ["wave_height", "wave_period", "swell_wave_height", "ocean_curren
     f"round(avg(CASE WHEN {c} IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS {c}_coverage" for c in _WEATHER_COV)
     + " FROM enriched"))
 def a9_coverage(spark, d):
-    t = profile.coverage(_enriched(spark, d), _WEATHER_COV)
+    t = profile.coverage(Stages(spark, d).enriched_plan(), _WEATHER_COV)
     return t.select(*[r6(f"{c}_coverage").alias(f"{c}_coverage") for c in _WEATHER_COV])
 
 
@@ -544,7 +546,7 @@ SELECT ping_id, CAST({_qcut_sql('wave_height', 'valid')} AS INTEGER) AS wave_bin
        CAST({_qcut_sql('wind_speed_10m', 'valid')} AS INTEGER) AS wind_bin
 FROM valid""").replace("\n, valid AS", ",\nvalid AS"))
 def f14_quintile_bins(spark, d):
-    v = _valid(_enriched(spark, d))
+    v = _valid(_enriched(spark, d, "ping_id", "wave_height", "wind_speed_10m", "sog"))
     v = profile.quantile_bins(v, "wave_height", "wave_bin")
     v = profile.quantile_bins(v, "wind_speed_10m", "wind_bin")
     return v.select("ping_id", "wave_bin", "wind_bin")
@@ -561,7 +563,7 @@ SELECT 'wind_speed_10m', wind_bin, round(quantile_cont(sog, 0.5), 6), round(quan
        round(quantile_cont(sog, 0.75), 6), round(quantile_cont(wind_speed_10m, 0.5), 6)
 FROM binned GROUP BY wind_bin""").replace("\n, valid AS", ",\nvalid AS"))
 def a10_speed_by_quintile(spark, d):
-    v = _valid(_enriched(spark, d))
+    v = _valid(_enriched(spark, d, "wave_height", "wind_speed_10m", "sog"))
     out = None
     for var, b in (("wave_height", "wave_bin"), ("wind_speed_10m", "wind_bin")):
         binned = profile.quantile_bins(v, var, "bin")
@@ -582,7 +584,8 @@ SELECT destination_port, CAST(count(sog) AS BIGINT) AS ping_count, round(avg(por
 FROM enriched WHERE destination_port IN (SELECT destination_port FROM top) GROUP BY destination_port""")
     .replace("\n, top AS", ",\ntop AS"))
 def a11_busy_port_weather(spark, d):
-    e = _enriched(spark, d)
+    e = _enriched(spark, d, "destination_port", "sog", "port_wind_speed", "port_wind_gusts", "port_precipitation",
+                  feat.LABEL)
     top = profile.top_n(profile.group_sizes(e, "destination_port"), "n", BUSY_PORTS_N, "destination_port")
     return e.join(F.broadcast(top.select("destination_port")), "destination_port", "left_semi") \
         .groupBy("destination_port").agg(
@@ -601,7 +604,7 @@ SELECT e.voyage_id, min(e.origin_port) AS origin_port, min(e.destination_port) A
 FROM enriched e JOIN pick USING (voyage_id) GROUP BY e.voyage_id""").replace("\n, med AS", ",\nmed AS"))
 def a12_roughest_voyage(spark, d):
     """The voyage with the largest median wave height, and its track summary."""
-    e = _enriched(spark, d)
+    e = _enriched(spark, d, "voyage_id", "wave_height", "origin_port", "destination_port", "base_date_time")
     med = exact_percentiles(e, "wave_height", [0.5], ["median_wave"], ["voyage_id"])
     pick = med.orderBy(F.col("median_wave").desc(), "voyage_id").limit(1).select("voyage_id")
     track = e.join(F.broadcast(pick), "voyage_id", "left_semi")
@@ -617,35 +620,34 @@ def a12_roughest_voyage(spark, d):
 SELECT sea_state, round(quantile_cont(sog, 0.5), 6) AS median_sog, CAST(count(*) AS BIGINT) AS n
 FROM enriched WHERE sea_state IS NOT NULL AND sog IS NOT NULL GROUP BY sea_state"""))
 def a13_speed_by_sea_state(spark, d):
-    e = _enriched(spark, d).na.drop("any", subset=["sea_state", "sog"])
+    e = _enriched(spark, d, "sea_state", "sog").na.drop("any")
     t = exact_percentiles(e, "sog", [0.5], ["median_sog"], ["sea_state"], extra_aggs=[F.count(F.lit(1)).alias("n")])
     return t.select("sea_state", r6("median_sog").alias("median_sog"), "n")
 
 
-_HW_SAMPLE_SQL = f"""
-, hw AS (SELECT * FROM enriched WHERE headwind_component IS NOT NULL AND sog IS NOT NULL
-         ORDER BY ((ping_id % 2147483648) * 1103515245 + {SEED}) % 2147483648, ping_id LIMIT {HW_SAMPLE_N}),
+_HW_SQL = """
+, hw AS (SELECT * FROM enriched WHERE headwind_component IS NOT NULL AND sog IS NOT NULL),
 hw_s AS (SELECT min(headwind_component) AS lo, (max(headwind_component) - min(headwind_component)) / 20 AS w FROM hw),
-hw_b AS (SELECT hw.*, CAST(greatest(ceil((headwind_component - lo) / w), 1) AS INTEGER) AS hw_bin, lo, w
-         FROM hw, hw_s)"""
+hw_b AS (SELECT hw.*, CASE WHEN w > 0 THEN CAST(greatest(ceil((headwind_component - lo) / w), 1) AS INTEGER) ELSE 1 END
+           AS hw_bin, lo, w FROM hw, hw_s)"""
 
 
 def _hw_binned(spark, d):
-    e = _enriched(spark, d).na.drop("any", subset=["headwind_component", "sog"])
-    s = profile.seeded_sample(e, "ping_id", HW_SAMPLE_N, SEED)
-    st = s.agg(F.min("headwind_component").alias("lo"), F.max("headwind_component").alias("hi")).first()
-    lo, w = st["lo"], (st["hi"] - st["lo"]) / 20
-    return s.withColumn("hw_bin", geo.equal_width_bin("headwind_component", F.lit(lo), F.lit(w))), lo, w
+    """All rows with a head wind and a speed in 20 equal-width bins; the lower edge and the width."""
+    e = _enriched(spark, d, "ping_id", "headwind_component", "sog").na.drop("any")
+    st = e.agg(F.min("headwind_component").alias("lo"), F.max("headwind_component").alias("hi")).first()
+    lo, w = (0.0, 0.0) if st["lo"] is None else (st["lo"], (st["hi"] - st["lo"]) / 20)
+    return e.withColumn("hw_bin", geo.equal_width_bin("headwind_component", F.lit(lo), F.lit(w))), lo, w
 
 
-@register("f15_equal_width_bins", W("enriched", _HW_SAMPLE_SQL + "\nSELECT ping_id, hw_bin FROM hw_b")
+@register("f15_equal_width_bins", W("enriched", _HW_SQL + "\nSELECT ping_id, hw_bin FROM hw_b")
           .replace("\n, hw AS", ",\nhw AS"))
 def f15_equal_width_bins(spark, d):
     b, _, _ = _hw_binned(spark, d)
     return b.select("ping_id", "hw_bin")
 
 
-@register("a14_headwind_binned_mean", W("enriched", _HW_SAMPLE_SQL + """
+@register("a14_headwind_binned_mean", W("enriched", _HW_SQL + """
 SELECT hw_bin, round(min(lo) + (hw_bin - 0.5) * min(w), 6) AS bin_mid, round(avg(sog), 6) AS mean_sog,
        CAST(count(*) AS BIGINT) AS n FROM hw_b GROUP BY hw_bin""").replace("\n, hw AS", ",\nhw AS"))
 def a14_headwind_binned_mean(spark, d):
@@ -670,25 +672,20 @@ SELECT {keys}bin, round(lo + bin * w, 6) AS bin_lo, CAST(n AS BIGINT) AS count,
 
 @register("a15_histogram", W("enriched", _hist_sql("wave_height", None).replace("\n, hs AS", ",\nhs AS")))
 def a15_histogram(spark, d):
-    h = profile.equal_width_hist(_enriched(spark, d), "wave_height", 40)
+    h = profile.equal_width_hist(_enriched(spark, d, "wave_height"), "wave_height", 40)
     return h.select("bin", r6("bin_lo").alias("bin_lo"), "count", r6("density").alias("density"))
 
 
 @register("a15_density_by_flag", W("enriched", _hist_sql("remaining_travel_hours", "port_high_wind")
                                    .replace("\n, hs AS", ",\nhs AS")))
 def a15_density_by_flag(spark, d):
-    e = _enriched(spark, d).where(F.col("port_high_wind").isNotNull())
+    e = _enriched(spark, d, "port_high_wind", feat.LABEL).where(F.col("port_high_wind").isNotNull())
     h = profile.equal_width_hist(e, "remaining_travel_hours", 40, split="port_high_wind")
     return h.select("port_high_wind", "bin", r6("bin_lo").alias("bin_lo"), "count", r6("density").alias("density"))
 
 
-_CORR_SQL = ",\n".join(
-    f"SELECT '{f}' AS feature, " + ", ".join(f"corr({f}, {t}) AS corr_{t}" for t in CORR_TARGETS) + " FROM enriched"
-    for f in CORR_FEATURES)
-
-
 def _corr(spark, d):
-    e = _enriched(spark, d).na.drop("all", subset=CORR_FEATURES + CORR_TARGETS)
+    e = Stages(spark, d).enriched_plan().na.drop("all", subset=CORR_FEATURES + CORR_TARGETS)
     return profile.correlations(e, CORR_FEATURES, CORR_TARGETS)
 
 
@@ -781,7 +778,7 @@ def m5_permutation_importance(spark, d):
     from tidewater.plans import training
     _, f, split, model = _trained(spark, d)
     test = f.join(split.where("is_test").select("voyage_id"), "voyage_id", "left_semi")
-    sample = profile.seeded_sample(test, "ping_id", IMPORTANCE_SAMPLE_N, SEED)
+    sample = profile.seeded_sample(test, "ping_id", SAMPLE_N, SEED)
     return training.permutation_importance(model, sample)
 
 

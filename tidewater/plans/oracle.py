@@ -221,7 +221,7 @@ marine AS (
     CASE WHEN s % 7 <> 0 THEN CAST(s % 30 AS DOUBLE) / 10 END AS swell_wave_height,
     CASE WHEN s % 7 <> 0 THEN CAST(s % 20 AS DOUBLE) / 20 END AS ocean_current_velocity,
     CASE WHEN s % 7 <> 0 THEN CAST((s * 11) % 360 AS DOUBLE) END AS ocean_current_direction
-  FROM cells
+  FROM cells WHERE s % 11 <> 3
 ),
 wind AS (
   SELECT lat_bin, lon_bin, hour,
@@ -231,7 +231,7 @@ wind AS (
     CASE WHEN w % 5 = 0 THEN CAST(w % 11 AS DOUBLE) / 4 ELSE CAST(0 AS DOUBLE) END AS precipitation,
     CAST((w % 4) * 20 AS INTEGER) AS weather_code,
     CASE WHEN w % 7 <> 0 THEN CAST((w % 24) * 1000 AS DOUBLE) END AS visibility
-  FROM cells
+  FROM cells WHERE w % 13 <> 5
 ),
 port_w AS (
   SELECT destination_port, hour,
@@ -244,6 +244,7 @@ port_w AS (
   FROM (SELECT DISTINCT k.destination_port, k.hour,
                41 * pt.port_number + 5 * (epoch_us(k.hour) // 3600000000) + 7000 AS q
         FROM sea_k k JOIN ports pt ON pt.portName = k.destination_port)
+  WHERE q % 17 <> 4
 ),
 enriched0 AS (
   SELECT k.*,
@@ -279,7 +280,8 @@ pj AS (
        < CAST(0.075 AS DOUBLE) * CAST(0.075 AS DOUBLE)
 ),
 pj1 AS (
-  SELECT *, CAST(epoch_us(base_date_time) - epoch_us(lag(base_date_time) OVER w) AS DOUBLE)
+  SELECT *, epoch_us(base_date_time) - epoch_us(lag(base_date_time) OVER w) AS us_diff,
+         CAST(epoch_us(base_date_time) - epoch_us(lag(base_date_time) OVER w) AS DOUBLE)
               / CAST(3600000000 AS DOUBLE) AS time_diff,
          CASE WHEN port_number IS NOT NULL THEN 1 ELSE 0 END AS in_port,
          CASE WHEN lag(port_number IS NOT NULL) OVER w IS NULL
@@ -293,9 +295,9 @@ pj2 AS (
 ),
 port_hours AS (
   SELECT *, CASE WHEN in_port = 1 THEN
-              sum(coalesce(time_diff, 0)) OVER (PARTITION BY mmsi, port_group
+              CAST(sum(coalesce(us_diff, 0)) OVER (PARTITION BY mmsi, port_group
                    ORDER BY base_date_time, ping_id, coalesce(port_number, -1)
-                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) / CAST(3600000000 AS DOUBLE)
             ELSE CAST(0 AS DOUBLE) END AS hours_in_port
   FROM pj2
 ),

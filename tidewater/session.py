@@ -8,10 +8,12 @@ set runtime SQL options that affect semantics (UTC time zone).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import weakref
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime options the library relies on. All are session-settable.
 RUNTIME_CONF = {
@@ -54,11 +56,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster `spark.checkpoint.dir` names a shared (HDFS/object store)
-    folder and is used as is. Only when it is unset (tests, local runs) a
-    scratch folder is created.
+    folder and is used as is. Where it is unset, only a local master gets a
+    scratch folder: executors on other machines could not read it.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
         d = tempfile.mkdtemp(prefix="tidewater-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
@@ -66,6 +71,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def write_stage(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
+    """Write a stage result as Parquet in the shared folder and read it back.
+
+    Cuts the lineage, is computed once (``Dataset.checkpoint`` recomputes an
+    uncached input), and a lost executor costs no recomputation of earlier
+    stages. With ``root`` the table is kept under that folder by its name and
+    read instead of written when it is complete there (S4)."""
+    spark = df.sparkSession
+    if root is not None:
+        path = f"{root.rstrip('/')}/{name}"
+        if not path_exists(spark, f"{path}/_SUCCESS"):
+            df.write.mode("overwrite").parquet(path)
+    else:
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidewater/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 _COUNTS: "weakref.WeakKeyDictionary" = weakref.WeakKeyDictionary()
 
 

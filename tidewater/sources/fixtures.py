@@ -1,4 +1,4 @@
-"""Vessel fixtures derived from the driver tables.
+"""Vessel and weather fixtures derived from the driver tables.
 
 The driver ships no vessel data, so pings and ports are derived from
 ``events``, ``nation`` and ``region`` by integer/arithmetic formulas that are
@@ -9,9 +9,11 @@ map stage that grows with the source tables and never shuffles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.functions.geo import US_PER_HOUR, epoch_us
+from tidewater.operators.weather import MARINE_COLUMNS, PORT_RENAME
 from tidewater.session import prepare
 
 # Fixed values of the derivation (shared with the DuckDB oracle text).
@@ -100,3 +102,54 @@ def pings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast((event_id * 37) % 360 as double) as cog",
         "cast(60 + user_id % 25 as int) as vessel_type",
     )
+
+
+def _hour_no(hour: str = "hour") -> Column:
+    return (epoch_us(F.col(hour)) / US_PER_HOUR).cast("long")
+
+
+def _marine_values(s: Column) -> list[Column]:
+    inland = (s % 7) == 0
+    vals = [
+        (s % 50).cast("double") / 10.0,
+        ((s * 7) % 360).cast("double"),
+        (s % 13).cast("double") + 2.0,
+        (s % 30).cast("double") / 10.0,
+        (s % 20).cast("double") / 20.0,
+        ((s * 11) % 360).cast("double"),
+    ]
+    return [F.when(~inland, v).alias(n) for v, n in zip(vals, MARINE_COLUMNS)]
+
+
+def _wind_values(w: Column) -> list[Column]:
+    speed = (w % 25).cast("double") / 2.0
+    return [
+        speed.alias("wind_speed_10m"),
+        (speed + (w % 9).cast("double")).alias("wind_gusts_10m"),
+        ((w * 13) % 360).cast("double").alias("wind_direction_10m"),
+        F.when((w % 5) == 0, (w % 11).cast("double") / 4.0).otherwise(F.lit(0.0)).alias("precipitation"),
+        ((w % 4) * 20).cast("int").alias("weather_code"),
+        F.when((w % 7) != 0, ((w % 24) * 1000).cast("double")).alias("visibility"),
+    ]
+
+
+def cell_weather(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hourly marine and wind rows per (lat_bin, lon_bin, hour) seen. Some cells
+    have no marine or no wind row, as in files that were not fetched."""
+    cells = keyed.select("lat_bin", "lon_bin", "hour").distinct()
+    li, lo = F.col("lat_bin").cast("long"), F.col("lon_bin").cast("long")
+    s = F.lit(31) * li + F.lit(17) * lo + _hour_no()
+    w = F.lit(13) * li + F.lit(29) * lo + F.lit(3) * _hour_no() + 5000
+    marine = cells.where(s % 11 != 3).select("lat_bin", "lon_bin", "hour", *_marine_values(s))
+    wind = cells.where(w % 13 != 5).select("lat_bin", "lon_bin", "hour", *_wind_values(w))
+    return marine, wind
+
+
+def port_weather(keyed: DataFrame, ports: DataFrame) -> DataFrame:
+    """Hourly surface weather per (destination_port, hour) seen; some hours are missing."""
+    keys = keyed.where(F.col("destination_port").isNotNull()) \
+        .select("destination_port", "hour").distinct()
+    pn = ports.select(F.col("portName").alias("destination_port"), "port_number")
+    w = F.lit(41) * F.col("port_number") + F.lit(5) * _hour_no() + 7000
+    return keys.join(pn, "destination_port").where(w % 17 != 4).select(
+        "destination_port", "hour", *_wind_values(w)).withColumnsRenamed(PORT_RENAME)
