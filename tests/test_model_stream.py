@@ -55,7 +55,7 @@ def test_model_save_load_roundtrip(trained, spark):
 
 def test_permutation_importance_runs(trained):
     f, _, res = trained
-    imp = training.permutation_importance(res.model, f.limit(200), repeats=2)
+    imp = training.permutation_importance(training.model_scorer(res.model), f.limit(200), repeats=2)
     rows = imp.collect()
     assert {r.feature for r in rows} == set(training.MODEL_NUMERIC + feat.CATEGORICAL_FEATURES)
 
@@ -72,7 +72,7 @@ def test_messages_roundtrip_and_bad_json(spark, stages):
 def test_stream_visits_equal_batch(spark, stages):
     base = tempfile.mkdtemp(prefix="tw-st7-")
     S.write_replay(stages.pings, f"{base}/in", heartbeat_after_h=48.0)
-    msgs = S.parse_messages(spark.readStream.format("text").option("maxFilesPerTrigger", 4).load(f"{base}/in"))
+    msgs = S.read_file_stream(spark, f"{base}/in", 4)
     q = (S.stream_port_visits(msgs, stages.ports).writeStream.format("parquet").option("path", f"{base}/out")
          .option("checkpointLocation", f"{base}/ck").outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
@@ -81,11 +81,28 @@ def test_stream_visits_equal_batch(spark, stages):
     assert out.exceptAll(batch).count() == 0 and batch.exceptAll(out).count() == 0
 
 
+def test_many_categories_fit(spark):
+    """More ports than any fixed number of bins."""
+    n = 4000
+    rows = [(i, float(i % 7), 1.0, 2.0, 0.0, float(i % 50), 60.0, 0.5, f"p{i % 1500}", f"q{i % 40}", float(i % 50)) for i in range(n)]
+    cols = ["ping_id", *training.MODEL_NUMERIC, *feat.CATEGORICAL_FEATURES, feat.LABEL]
+    model = training.fit(spark.createDataFrame(rows, cols), dict(maxIter=2, maxDepth=2, stepSize=0.1, seed=1))
+    assert training.predict(model, spark.createDataFrame(rows[:5], cols)).count() == 5
+
+
+def test_bad_messages_are_counted_not_fatal(spark):
+    good = '{"ping_id": 1, "mmsi": 5, "base_date_time": "2024-01-01T00:00:00"}'
+    bad = ["{oops", '{"ping_id": 2, "mmsi": 5, "base_date_time": "yesterday"}', '{"ping_id": 3, "mmsi": 5}', '{"mmsi": 0, "base_date_time": "2024-01-01T00:00:00"}']
+    raw = spark.createDataFrame([(m,) for m in [good, *bad]], "value string")
+    assert {r.status: r.n for r in S.message_quality(raw).collect()} == {"ok": 1, "bad json": 1, "bad time": 2, "no vessel": 1}
+    assert [r.ping_id for r in S.parse_messages(raw).collect()] == [1]
+
+
 def test_predictor_foreach_batch(spark, stages, trained):
     _, _, res = trained
     base = tempfile.mkdtemp(prefix="tw-pred-")
     S.write_replay(stages.pings, f"{base}/in")
-    pred = S.Predictor(spark, stages.ports, res.model, f"{base}/state", buffer_hours=96.0)
+    pred = S.Predictor(spark, stages.ports, training.model_scorer(res.model), f"{base}/state", buffer_hours=192.0)
     assert pred.registry().count() == 0            # empty with schema before the first pass
     q = pred.start(S.read_file_stream(spark, f"{base}/in", files_per_trigger=12), f"{base}/ck")
     q.awaitTermination()
@@ -95,21 +112,65 @@ def test_predictor_foreach_batch(spark, stages, trained):
     assert len(rows) > 0
     assert all(r.predicted_remaining_hours >= 0 and r.origin_port and r.destination_port for r in rows)
     assert len({r.mmsi for r in rows}) == len(rows)
+    assert len(S._versions(spark, pred.registry_path)) <= 2 and len(S._versions(spark, pred.meta_path)) <= 2
+
 
+class Counting(S.Predictor):
+    """Records what each pass sees instead of scoring it."""
 
-def test_buffer_retention_and_replay(spark, stages, trained):
-    """ST3: batches wholly older than max(ts) - buffer_hours leave the buffer;
-    a replayed batch id overwrites its own outputs."""
+    def prediction_pass(self, buffer):
+        self.seen = getattr(self, "seen", []) + [{r.ping_id for r in buffer.select("ping_id").collect()}]
+        return self.spark.createDataFrame([], S.REGISTRY_SCHEMA)
+
+
+def _batch(spark, hours, first_id):
     from conftest import at, make_pings
-    _, _, res = trained
+    return make_pings(spark, [(first_id + i, 7, at(h), 0.0, 0.0, 5.0) for i, h in enumerate(hours)]) \
+        .withColumn("cog", F.lit(0.0)).withColumn("vessel_type", F.lit(70))
+
+
+def test_every_ping_reaches_a_pass(spark, stages):
+    """A batch that spans many buffers, late pings, and retention (ST2, ST3, ST8)."""
     base = tempfile.mkdtemp(prefix="tw-ret-")
-    pred = S.Predictor(spark, stages.ports, res.model, f"{base}/state", buffer_hours=48.0)
-    b0 = make_pings(spark, [(i, 7, at(i), 0.0, 0.0, 5.0) for i in range(10)])
-    b1 = make_pings(spark, [(100 + i, 7, at(100 + i), 0.0, 0.0, 5.0) for i in range(3)])
-    pred.process_batch(b0.withColumn("cog", F.lit(0.0)).withColumn("vessel_type", F.lit(70)), 0)
-    pred.process_batch(b1.withColumn("cog", F.lit(0.0)).withColumn("vessel_type", F.lit(70)), 1)
-    meta = spark.read.parquet(f"{base}/state/meta/v=1").collect()
-    assert [r.batch_id for r in meta] == [1]
-    pred.process_batch(b1.withColumn("cog", F.lit(0.0)).withColumn("vessel_type", F.lit(70)), 1)
-    assert [r.batch_id for r in spark.read.parquet(f"{base}/state/meta/v=1").collect()] == [1]
-    assert pred.registry().count() == 0
+    pred = Counting(spark, stages.ports, None, f"{base}/state", buffer_hours=48.0)
+    pred.process_batch(_batch(spark, range(0, 300, 5), 0), 0)
+    assert set().union(*pred.seen) == set(range(60))
+    assert all(len(s) <= 10 for s in pred.seen)          # 48 h hold 10 pings
+    pred.seen = []
+    pred.process_batch(_batch(spark, [310, 290, 100], 100), 1)   # the last one is older than the buffer
+    assert 100 in pred.seen[-1] and 101 in pred.seen[-1] and 102 not in set().union(*pred.seen)
+    pred.process_batch(_batch(spark, [600], 200), 2)
+    pred.process_batch(_batch(spark, [601], 300), 3)
+    left = {n for n, _ in S._children(spark, pred.buffer_path)}
+    assert left == {"batch=2", "batch=3"}                   # evicted batches are gone
+    pred.seen = []
+    pred.process_batch(_batch(spark, [601], 300), 3)        # a replayed batch sees what it saw
+    assert pred.seen == [{200, 300}]
+
+
+def test_passes_wait_for_enough_messages(spark, stages):
+    """ST4: with a count trigger a pass runs when that many messages have come, and at the end."""
+    base = tempfile.mkdtemp(prefix="tw-st4-")
+    pred = Counting(spark, stages.ports, None, f"{base}/state", buffer_hours=48.0, pass_every=5)
+    for i in range(4):
+        pred.process_batch(_batch(spark, [3 * i, 3 * i + 1], 10 * i), i)
+    assert pred.seen == [{0, 1, 10, 11, 20, 21}]
+    pred.flush()
+    assert pred.seen[1] == {0, 1, 10, 11, 20, 21, 30, 31}
+
+
+def test_failed_pass_is_repeated(spark, stages):
+    """ST9: a pass that fails leaves no version; the replayed batch starts from the one before."""
+    base = tempfile.mkdtemp(prefix="tw-st9-")
+    pred = Counting(spark, stages.ports, None, f"{base}/state", buffer_hours=48.0)
+    pred.process_batch(_batch(spark, [1], 0), 0)
+    ok = Counting.prediction_pass
+    try:
+        Counting.prediction_pass = lambda self, b: (_ for _ in ()).throw(RuntimeError("pass"))
+        with pytest.raises(RuntimeError):
+            pred.process_batch(_batch(spark, [2], 10), 1)
+    finally:
+        Counting.prediction_pass = ok
+    assert S._versions(spark, pred.meta_path) == [0]
+    pred.process_batch(_batch(spark, [2], 10), 1)
+    assert pred.seen[-1] == {0, 10}

@@ -124,3 +124,8 @@ def iso_timestamp(ts) -> Column:
 def safe_key(name) -> Column:
     """'/' and ' ' -> '_'."""
     return F.translate(_c(name), "/ ", "__")
+
+
+def to_int(text) -> Column:
+    """text to int by way of a double (``70.0`` is 70), NULL if it is no number."""
+    return _c(text).cast("string").try_cast("double").try_cast("int")

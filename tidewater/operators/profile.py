@@ -80,6 +80,11 @@ def top_n(df: DataFrame, by: str, n: int, tie: str) -> DataFrame:
     return df.orderBy(F.col(by).desc(), F.col(tie).asc()).limit(n)
 
 
+def preview(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
+    """The first ``n`` rows in the given order (TakeOrderedAndProject, no full sort)."""
+    return df.orderBy(*order).limit(n)
+
+
 def equal_width_hist(df: DataFrame, col: str, bins: int = 40, split: str | None = None) -> DataFrame:
     """Equal-width histogram (last bin closed) and density n / (N * width).
 

@@ -6,18 +6,26 @@ fixtures) and runs over whole tables. Names are ``<id>_<short name>``.
 
 from __future__ import annotations
 
+import hashlib
 import math
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.functions import geo
 from tidewater.operators import features as feat
-from tidewater.operators import portcalls, profile, sessions, voyages
+from tidewater.operators import portcalls, profile, sessions, voyages, weather
+from tidewater.operators.ordered import range_running_sum
 from tidewater.operators.quantiles import exact_percentiles
-from tidewater.plans import oracle
+from tidewater.plans import oracle, training
 from tidewater.plans.pipeline import MIN_TIME_IN_PORT_H, Stages
+from tidewater.session import ensure_checkpoint_dir, path_exists
+from tidewater.sources import ais, fixtures
+from tidewater.streaming import stream as S
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -40,6 +48,7 @@ def r6(c) -> F.Column:
 W = oracle.with_ctes
 SAMPLE_N = 10000          # rows of the O4 sample
 TOP_PORTS_N = 10
+PREVIEW_N = 5
 BUSY_PORTS_N = 15
 TEST_SHARE = 0.2
 SEED = 42
@@ -710,24 +719,129 @@ def o3_abs_order(spark, d):
     return _corr(spark, d).select("feature", "abs_rank")
 
 
-# ---------------------------------------------------------------- streaming
+# ---------------------------------------------------------------- sorted output, preview, keys
+@register("o1_sorted_output", W("visits", """
+SELECT mmsi, portName, entry_time, CAST(row_number() OVER (ORDER BY entry_time, mmsi, portName) AS BIGINT) AS pos FROM visits"""))
+def o1_sorted_output(spark, d):
+    """O1: visits in (entry_time, mmsi, portName) order with their place in it,
+    from range partitions (no task sorts everything)."""
+    return range_running_sum(Stages(spark, d).visits_plan.select("mmsi", "portName", "entry_time"), [],
+                             ["entry_time", "mmsi", "portName"], F.lit(1), "pos").select(
+        "mmsi", "portName", "entry_time", F.col("pos").cast("long").alias("pos"))
+
+
+@register("o5_preview", W("pings", f"""
+SELECT ping_id, mmsi, base_date_time, latitude, longitude, sog FROM pings ORDER BY base_date_time, ping_id LIMIT {PREVIEW_N}"""))
+def o5_preview(spark, d):
+    """The first rows in time order (a top-k, not a sort)."""
+    return profile.preview(Stages(spark, d).pings.select("ping_id", "mmsi", "base_date_time", "latitude", "longitude", "sog"),
+                           ["base_date_time", "ping_id"], PREVIEW_N)
+
+
+@register("f21_numeric_coercion", W("pings", """
+SELECT ping_id, TRY_CAST(trunc(TRY_CAST(txt AS DOUBLE)) AS INTEGER) AS vessel_type
+FROM (SELECT ping_id, CASE ping_id % 4 WHEN 0 THEN vessel_type || '.0' WHEN 1 THEN 'n/a' WHEN 2 THEN ' ' || vessel_type
+                           ELSE vessel_type || '' END AS txt FROM pings)"""))
+def f21_numeric_coercion(spark, d):
+    """numbers written as text in several ways; what is no number becomes NULL."""
+    vt = F.col("vessel_type").cast("string")
+    k = F.col("ping_id") % 4
+    txt = F.when(k == 0, F.concat(vt, F.lit(".0"))).when(k == 1, F.lit("n/a")).when(k == 2, F.concat(F.lit(" "), vt)).otherwise(vt)
+    return Stages(spark, d).pings.select("ping_id", geo.to_int(txt).alias("vessel_type"))
+
+
+@register("f22_safe_key", W("ports", "SELECT portName, replace(replace(portName, '/', '_'), ' ', '_') AS port_key FROM ports"))
+def f22_safe_key(spark, d):
+    return Stages(spark, d).ports.select("portName", geo.safe_key("portName").alias("port_key"))
+
+
+# ---------------------------------------------------------------- sources over files written from the tables
 def _scratch(spark, tag: str) -> str:
-    import uuid
-    from tidewater.session import ensure_checkpoint_dir
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidewater/{tag}-{uuid.uuid4().hex}"
 
 
-@register("st7_stream_visits", W("visits", "SELECT * FROM visits WHERE mmsi <> 0"))
-def st7_stream_visits(spark, d):
-    """ST7 (+S9, ST1, P7, ST4): visits computed by a Structured Streaming
-    query over the time-ordered JSON replay of the pings (file source,
-    availableNow), sessionized with a watermark and session_window, appended
-    to parquet; returns the sink table. Vessel id 0 is dropped by P7."""
-    from tidewater.streaming import stream as S
-    st = Stages(spark, d)
+_AIS_COLS = ["mmsi", "base_date_time", "latitude", "longitude", "sog", "vessel_type"]
+
+
+@register("s1_parquet_scan", W("pings", f"""
+SELECT {", ".join(_AIS_COLS)}, CASE WHEN day(base_date_time) % 2 = 0 THEN cog END AS cog FROM pings"""))
+def s1_parquet_scan(spark, d):
+    """S1 + U1: two folders of daily files with different columns, read as one table."""
+    p, base = Stages(spark, d).pings, _scratch(spark, "s1")
+    day = F.dayofmonth("base_date_time") % 2
+    dated = p.withColumn("date", F.to_date("base_date_time"))
+    for k, cols in ((0, [*_AIS_COLS, "cog"]), (1, _AIS_COLS)):
+        dated.where(day == k).select(*cols, "date").write.partitionBy("date").parquet(f"{base}/{k}")
+    return ais.read_ais_parquet(spark, [f"{base}/0", f"{base}/1"]).select(*_AIS_COLS, "cog")
+
+
+def _raw_csv(p: DataFrame, path: str) -> None:
+    """Daily raw CSV as providers write it: their column names, numbers as text, some broken."""
+    k = F.col("ping_id") % 97
+    vt = F.col("vessel_type").cast("string")
+    p.select(F.to_date("base_date_time").alias("day"), F.col("mmsi").alias("MMSI"),
+             F.when(k == 7, F.lit("not a time")).otherwise(geo.iso_timestamp("base_date_time")).alias("BaseDateTime"),
+             F.col("latitude").alias("LAT"), F.col("longitude").alias("LON"), F.col("sog").alias("SOG"), F.col("cog").alias("COG"),
+             F.when(k == 0, F.lit("n/a")).when(k % 2 == 1, F.concat(vt, F.lit(".0"))).otherwise(vt).alias("VesselType")) \
+        .write.option("header", True).partitionBy("day").csv(path)
+
+
+@register("s2_daily_csv_ingest", W("pings", """
+SELECT mmsi, base_date_time, latitude, longitude, sog, vessel_type FROM pings
+WHERE ping_id % 97 NOT IN (0, 7) AND vessel_type BETWEEN 70 AND 79"""))
+def s2_daily_csv_ingest(spark, d):
+    """Raw files of two deliveries ingested; the second run meets the first one's files again."""
+    p, base = Stages(spark, d).pings, _scratch(spark, "s2")
+    _raw_csv(p.where(F.dayofmonth("base_date_time") <= 15), f"{base}/csv/a")
+    ais.ingest_daily_csv(spark, f"{base}/csv", f"{base}/pings")
+    _raw_csv(p.where(F.dayofmonth("base_date_time") > 15), f"{base}/csv/b")
+    return ais.ingest_daily_csv(spark, f"{base}/csv", f"{base}/pings").select(*_AIS_COLS)
+
+
+@register("s3_port_csv", W("ports", "SELECT port_number, portName, round(lat_dd, 6) AS lat_dd, round(lon_dd, 6) AS lon_dd FROM ports"))
+def s3_port_csv(spark, d):
+    """S3: the port list through a CSV file with doubled quotes, DMS text to degrees."""
+    base = _scratch(spark, "s3")
+    Stages(spark, d).ports.select(F.col("port_number").alias("portNumber"), "portName", F.lit("US").alias("countryCode"),
+                                  "longitude", "latitude", F.lit("x").alias("dodWaterBody")) \
+        .write.option("header", True).option("escape", '"').option("quoteAll", True).csv(base)
+    good, _ = ais.read_ports_csv(spark, base)
+    return good.select("port_number", "portName", r6("lat_dd").alias("lat_dd"), r6("lon_dd").alias("lon_dd"))
+
+
+@register("s4_stage_reuse", W("voyages_full", "SELECT * FROM voyages_full"))
+def s4_stage_reuse(spark, d):
+    """Voyages from the stage tables that an earlier run kept; the second run has no pings to read."""
+    keep = _scratch(spark, "s4")
+    first = Stages(spark, d, keep_dir=keep)
+    first.labeled.count()
+    again = Stages(spark, d, pings_df=first.pings.limit(0), keep_dir=keep)
+    return voyages.count_voyage_pings(again.voyages_base, again.labeled)
+
+
+@register("s5_weather_payloads", W("enriched", """
+SELECT lat_bin, lon_bin, hour, wave_height, wave_direction, wave_period, swell_wave_height, ocean_current_velocity,
+       ocean_current_direction FROM marine"""))
+def s5_weather_payloads(spark, d):
+    """Marine weather through JSON payload files with parallel hourly arrays."""
+    st, base = Stages(spark, d), _scratch(spark, "s5")
+    marine, _ = fixtures.cell_weather(weather.add_cell_keys(feat.remaining_travel(st.sea_plan)))
+    key = ["lat_bin", "lon_bin"]
+    ais.write_weather_payloads(marine.withColumnRenamed("hour", "time"), key, ais.MARINE_HOURLY, base)
+    return ais.read_weather_payloads(spark, base, ais.MARINE_HOURLY, {k: T.DoubleType() for k in key}) \
+        .select(*key, "hour", *ais.MARINE_HOURLY)
+
+
+# ---------------------------------------------------------------- streaming
+def _replayed_visits(spark, st: Stages, files_per_trigger: int) -> DataFrame:
+    """The sink of the visit stream over a replay with a late ping: a copy of a slow ping 60
+    days before the first one, which comes last and must not open a visit."""
     base = _scratch(spark, "st7")
-    S.write_replay(st.pings, f"{base}/in", heartbeat_after_h=2 * 24.0)
-    msgs = S.parse_messages(spark.readStream.format("text").load(f"{base}/in"))
+    slow = st.pings.where("sog <= 1.5 and mmsi > 0")
+    late = slow.where(F.col("base_date_time") == F.lit(slow.agg(F.min("base_date_time")).first()[0])) \
+        .withColumn("base_date_time", F.col("base_date_time") - F.make_dt_interval(days=F.lit(60)))
+    S.write_replay(st.pings, f"{base}/in", heartbeat_after_h=2 * 24.0, late=late)
+    msgs = S.read_file_stream(spark, f"{base}/in", files_per_trigger)
     q = (S.stream_port_visits(msgs, st.ports).writeStream.format("parquet")
          .option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
          .outputMode("append").trigger(availableNow=True).start())
@@ -735,75 +849,205 @@ def st7_stream_visits(spark, d):
     return spark.read.parquet(f"{base}/out")
 
 
-# ---------------------------------------------------------------- model (rows-only: no SQL form)
-_MODELS: dict = {}
+@register("st7_stream_visits", W("visits", "SELECT * FROM visits WHERE mmsi <> 0"))
+def st7_stream_visits(spark, d):
+    """ST7 + ST8 (+S9, ST1, P7, ST4): visits computed by a Structured Streaming
+    query over the time-ordered JSON replay of the pings (file source, several
+    micro-batches, a late ping at the end), sessionized with a watermark and
+    session_window, appended to parquet; returns the sink table. Vessel id 0 is
+    dropped by P7."""
+    return _replayed_visits(spark, Stages(spark, d), files_per_trigger=8)
+
+
+@register("st9_restart", W("pings", """
+SELECT mmsi, CAST(count(*) AS BIGINT) AS n, min(base_date_time) AS first_time FROM pings WHERE mmsi <> 0 GROUP BY mmsi"""))
+def st9_restart(spark, d):
+    """ST9: a stream that fails in the middle of its second batch, after the batch was
+    written, and is started again: the replayed batch overwrites its folder, nothing is lost or doubled."""
+    base = _scratch(spark, "st9")
+    S.write_replay(Stages(spark, d).pings, f"{base}/in")
+    failed = []
+
+    def sink(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+        if batch_id == 1 and not failed:
+            failed.append(batch_id)
+            raise RuntimeError("planned failure")
+
+    def run():
+        S.read_file_stream(spark, f"{base}/in", 8).writeStream.foreachBatch(sink) \
+            .option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start().awaitTermination()
+    try:
+        run()
+    except StreamingQueryException as e:
+        if "planned failure" not in str(e):
+            raise
+    run()
+    return spark.read.schema(S.BUFFER_SCHEMA).parquet(f"{base}/out").groupBy("mmsi").agg(
+        F.count(F.lit(1)).alias("n"), F.min("base_date_time").alias("first_time"))
+
+
+@register("f20_message_quality", W("pings", """
+SELECT status, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT CASE WHEN ping_id % 50 = 1 THEN 'bad json' WHEN ping_id % 50 = 2 THEN 'bad time' WHEN mmsi = 0 THEN 'no vessel'
+              ELSE 'ok' END AS status FROM pings) GROUP BY status"""))
+def f20_message_quality(spark, d):
+    """messages by what is wrong with them; none stops the reader."""
+    p = Stages(spark, d).pings
+    k = F.col("ping_id") % 50
+    msgs = p.select("ping_id", F.to_json(S._message(p)).alias("value"))
+    broken = F.when(k == 1, F.expr("left(value, length(value) - 9)")) \
+        .when(k == 2, F.regexp_replace("value", '"base_date_time":"[^"]*"', '"base_date_time":"31 Foo"')).otherwise(F.col("value"))
+    return S.message_quality(msgs.select(broken.alias("value")))
+
+
+O6_BUFFER_H, O6_FILES = 48, 10
+_O6_SQL = f"""WITH {oracle.cte("ports")}, {oracle.cte("pings").replace("pings AS (", "pings0 AS (", 1)},
+units AS (SELECT *, epoch_us(base_date_time) AS us, dense_rank() OVER (ORDER BY epoch_us(base_date_time) // 86400000000) - 1 AS u FROM pings0),
+passes AS (SELECT hi, row_number() OVER (ORDER BY hi) AS pass FROM (
+  SELECT max(us) AS hi FROM units WHERE mmsi <> 0 GROUP BY u // {O6_FILES}, us // {O6_BUFFER_H * 1800000000})),
+pings AS (SELECT pass * 1000000000000 + ping_id AS ping_id, pass * 100000000000 + mmsi AS mmsi, base_date_time, latitude, longitude, sog, cog, vessel_type
+  FROM units JOIN passes ON us BETWEEN hi - {O6_BUFFER_H * 3600000000} AND hi WHERE mmsi <> 0),
+{", ".join(oracle.cte(c) for c in ("cand", "cand_s", "visits", "vpair", "voyages", "lookups", "labeled", "sea", "sea_dist", "features"))},
+latest AS (SELECT mmsi % 100000000000 AS mmsi, mmsi // 100000000000 AS pass, max(base_date_time) AS last_prediction_time,
+  {", ".join(f"arg_max({c}, (base_date_time, ping_id)) FILTER (WHERE {c} IS NOT NULL) AS {c}"
+             for c in ("remaining_dist_nm", "sog_roll_6h", "origin_port", "destination_port", "latitude", "longitude"))}
+  FROM features GROUP BY features.mmsi)
+SELECT mmsi, last_prediction_time, round(CASE WHEN sog_roll_6h > 0 THEN greatest(remaining_dist_nm / sog_roll_6h, 0) ELSE 0 END, 6)
+  AS predicted_remaining_hours, origin_port, destination_port, latitude, longitude
+FROM latest QUALIFY row_number() OVER (PARTITION BY mmsi ORDER BY pass DESC) = 1"""
+
+
+@register("o6_vessel_summary", _O6_SQL)
+def o6_vessel_summary(spark, d):
+    """O6 via ST1-ST6: the pings replayed as a message stream (S9, daily files,
+    10 per micro-batch), scored by the foreachBatch predictor with a 48 h
+    buffer, a pass for each 24 h of a batch; returns the vessel registry. The
+    scorer is the model-free one, so that SQL can repeat every pass."""
+    st = Stages(spark, d)
+    base = _scratch(spark, "o6")
+    S.write_replay(st.pings, f"{base}/in")
+    pred = S.Predictor(spark, st.ports, training.speed_scorer, f"{base}/state", buffer_hours=O6_BUFFER_H)
+    pred.start(S.read_file_stream(spark, f"{base}/in", O6_FILES), f"{base}/checkpoint").awaitTermination()
+    return pred.registry().withColumn("predicted_remaining_hours", r6("predicted_remaining_hours"))
+
+
+# ---------------------------------------------------------------- model
+_SPLIT_CTE = f"split AS ({_SPLIT_SQL}), test AS (SELECT f.* FROM features f JOIN split USING (voyage_id) WHERE is_test)"
+_SCORE_SQL = "CASE WHEN {s} > 0 THEN greatest({d} / {s}, 0) ELSE 0 END"
+_ERRORS_SQL = "1 - sum((p - y) * (p - y)) / (sum(y * y) - sum(y) * sum(y) / count(y))"
+
+
+def _with(level: str, ctes: str, body: str) -> str:
+    return W(level, f", {ctes}\n{body}").replace(f"\n, {ctes}", f",\n{ctes}")
+
+
+def _split_frames(spark, d) -> tuple[DataFrame, DataFrame]:
+    f = Stages(spark, d).features
+    return training.split_frames(f, voyage_split(f))
+
+
+@register("m1_category_index", W("features", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, {c} AS category, CAST(row_number() OVER (ORDER BY count(*) DESC, {c}) - 1 AS INTEGER) AS idx "
+    f"FROM features WHERE {c} IS NOT NULL GROUP BY {c}" for c in feat.CATEGORICAL_FEATURES)))
+def m1_category_index(spark, d):
+    return training.category_index(Stages(spark, d).features_plan)
+
+
+@register("f16_log_round_trip", W("features", """
+SELECT ping_id, round(ln(1 + remaining_travel_hours), 6) AS y_log,
+       round(greatest(exp(ln(1 + remaining_travel_hours) - 1) - 1, 0), 6) AS y_back FROM features"""))
+def f16_log_round_trip(spark, d):
+    """F16 + F10: the target's log, and back from a smaller prediction, clipped at zero."""
+    y = F.log1p(F.col(feat.LABEL))
+    return feat.remaining_travel(Stages(spark, d).sea_plan).select(
+        "ping_id", r6(y).alias("y_log"), r6(geo.clip_at_zero(F.expm1(y - 1))).alias("y_back"))
+
+
+@register("m4_scorer_metrics", _with("features", _SPLIT_CTE, f"""
+SELECT round(avg(abs(p - y)), 6) AS mae, round(sqrt(avg((p - y) * (p - y))), 6) AS rmse, round({_ERRORS_SQL}, 6) AS r2,
+       CAST(count(*) AS BIGINT) AS n_test
+FROM (SELECT remaining_travel_hours AS y, {_SCORE_SQL.format(d='remaining_dist_nm', s='sog_roll_6h')} AS p FROM test)"""))
+def m4_scorer_metrics(spark, d):
+    """M3 + M4 over the model-free scorer."""
+    _, test = _split_frames(spark, d)
+    m = training.metrics_table(training.speed_scorer(test))
+    return m.select(*[r6(c).alias(c) for c in ("mae", "rmse", "r2")], "n_test")
+
+
+M5_REPEATS = 3
+
+
+@register("m5_scorer_importance", _with("features", _SPLIT_CTE + f""",
+placed AS (SELECT *, row_number() OVER (ORDER BY ping_id) AS place FROM test),
+var AS (SELECT t.*, f, r, row_number() OVER (PARTITION BY f, r ORDER BY md5(ping_id || ':' || f || ':' || r), ping_id) AS pp
+  FROM test t, (VALUES ('remaining_dist_nm'), ('sog_roll_6h')) x(f), range({M5_REPEATS}) y(r)),
+mixed AS (SELECT v.f, v.r, v.remaining_travel_hours AS y,
+    CASE WHEN v.f = 'remaining_dist_nm' THEN d.remaining_dist_nm ELSE v.remaining_dist_nm END AS dist,
+    CASE WHEN v.f = 'sog_roll_6h' THEN d.sog_roll_6h ELSE v.sog_roll_6h END AS sp
+  FROM var v JOIN placed d ON v.pp = d.place),
+per AS (SELECT f, r, {_ERRORS_SQL} AS r2 FROM (SELECT *, {_SCORE_SQL.format(d='dist', s='sp')} AS p FROM mixed) GROUP BY f, r),
+ref AS (SELECT {_ERRORS_SQL} AS r2 FROM (SELECT remaining_travel_hours AS y, {_SCORE_SQL.format(d='remaining_dist_nm', s='sog_roll_6h')} AS p FROM test))""",
+    """SELECT f AS feature, round(avg(ref.r2 - per.r2), 6) AS importance_mean, round(stddev_pop(ref.r2 - per.r2), 6) AS importance_std
+FROM per, ref GROUP BY f"""))
+def m5_scorer_importance(spark, d):
+    """M5 over the model-free scorer and all test rows."""
+    _, test = _split_frames(spark, d)
+    t = training.permutation_importance(training.speed_scorer, test, ["remaining_dist_nm", "sog_roll_6h"], M5_REPEATS)
+    return t.select("feature", r6("importance_mean").alias("importance_mean"), r6("importance_std").alias("importance_std"))
 
 
 def _trained(spark, d):
-    """M3 split + M1/M2 fit on the training voyages; memoized per input folder."""
-    from tidewater.plans import training
+    """M3 split + M1/M2 fit on the training voyages. The model is saved under the session's
+    shared folder for its input and loaded by the queries after the first (S10); other
+    data files, by name, size or time, make another one."""
     st = Stages(spark, d)
     f = st.features
-    split = voyage_split(f)
-    key = (id(spark), d)
-    if key not in _MODELS:
-        _MODELS[key] = training.train(f, split).model
-    return st, f, split, _MODELS[key]
+    train_df, test = training.split_frames(f, voyage_split(f))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidewater/model-{spark.sparkContext.applicationId}-{_input_mark(spark, d)}"
+    if not path_exists(spark, f"{path}/metadata"):
+        training.save(training.fit(train_df), path)
+    return st, f, test, training.load(path)
+
+
+def _input_mark(spark, d: str) -> str:
+    """A hash of the names, sizes and times of the files under the tables a model depends on."""
+    jvm = spark._jvm
+    marks = []
+    for t in ("events", "nation", "region"):
+        p = jvm.org.apache.hadoop.fs.Path(f"{d}/{t}.parquet")
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = fs.listStatus(p)
+        marks += [f"{st.getPath()} {st.getLen()} {st.getModificationTime()}" for st in found]
+    return hashlib.md5("\n".join(sorted(marks)).encode()).hexdigest()
 
 
 @register("m2_test_predictions")
 def m2_test_predictions(spark, d):
     """M2 + M6 + F16 + F10 on the test voyages."""
-    from tidewater.plans import training
-    _, f, split, model = _trained(spark, d)
-    test = f.join(split.where("is_test").select("voyage_id"), "voyage_id", "left_semi")
+    _, _, test, model = _trained(spark, d)
     return training.predict(model, test).select("ping_id", "voyage_id", feat.LABEL, "predicted_remaining_hours")
 
 
 @register("m4_metrics")
 def m4_metrics(spark, d):
     """M4: MAE, RMSE and R^2 on the test voyages, one aggregation pass."""
-    p = m2_test_predictions(spark, d)
-    err = F.col("predicted_remaining_hours") - F.col(feat.LABEL)
-    y = F.col(feat.LABEL)
-    return p.agg(
-        F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"),
-        (1 - F.sum(err * err) / (F.sum(y * y) - F.sum(y) * F.sum(y) / F.count(y))).alias("r2"),
-        F.count(F.lit(1)).alias("n_test"))
+    return training.metrics_table(m2_test_predictions(spark, d))
 
 
 @register("m5_permutation_importance")
 def m5_permutation_importance(spark, d):
-    """M5 on a seeded sample of at most 10,000 test rows."""
-    from tidewater.plans import training
-    _, f, split, model = _trained(spark, d)
-    test = f.join(split.where("is_test").select("voyage_id"), "voyage_id", "left_semi")
-    sample = profile.seeded_sample(test, "ping_id", SAMPLE_N, SEED)
-    return training.permutation_importance(model, sample)
+    """M5 over all test rows."""
+    _, _, test, model = _trained(spark, d)
+    return training.permutation_importance(training.model_scorer(model), test)
 
 
 @register("st5_predictions")
 def st5_predictions(spark, d):
     """ST5 batch form: latest feature row per vessel -> predict -> clip, in
     the vessel-registry shape (O6 columns)."""
-    from tidewater.plans import training
     _, f, _, model = _trained(spark, d)
     latest = feat.latest_per_vessel(f, feat.FEATURE_COLUMNS)
     return training.predict(model, latest).select(
         "mmsi", F.col("base_date_time").alias("last_prediction_time"), "predicted_remaining_hours",
         "origin_port", "destination_port", "latitude", "longitude")
-
-
-@register("o6_vessel_summary")
-def o6_vessel_summary(spark, d):
-    """O6 via ST1-ST6: the pings replayed as a message stream (S9, day-ordered
-    files, 10 files per micro-batch), scored by the foreachBatch predictor
-    with a 48 h buffer; returns the vessel registry ordered by mmsi."""
-    from tidewater.streaming import stream as S
-    st, _, _, model = _trained(spark, d)
-    base = _scratch(spark, "o6")
-    S.write_replay(st.pings, f"{base}/in")
-    pred = S.Predictor(spark, st.ports, model, f"{base}/state", buffer_hours=48.0)
-    q = pred.start(S.read_file_stream(spark, f"{base}/in", files_per_trigger=10), f"{base}/checkpoint")
-    q.awaitTermination()
-    return pred.registry()

@@ -317,3 +317,8 @@ def with_ctes(upto: str, body: str) -> str:
             continue
         parts.append(text)
     return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+
+
+def cte(name: str) -> str:
+    """One CTE of the chain, for queries that put another one in its input's place."""
+    return _CTES[_LEVELS.index(name)][1]

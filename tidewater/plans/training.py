@@ -16,20 +16,21 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.geo import clip_at_zero
 from tidewater.operators.features import CATEGORICAL_FEATURES, LABEL
+from tidewater.operators.ordered import range_running_sum
+from tidewater.session import write_stage
 
-# Model inputs of the predictor: 7 numeric + 2 categorical.
+# Model inputs of the predictor, 7 numeric + 2 categorical.
 MODEL_NUMERIC = ["sog", "sog_roll_6h", "sog_roll_24h", "sog_deviation", "remaining_dist_nm",
                  "total_dist_nm", "fraction_completed"]
 GBT_PARAMS = dict(maxIter=200, maxDepth=5, stepSize=0.05, seed=42)
-MAX_BINS = 1024           # >= number of distinct ports
+MIN_BINS = 32
 SENTINEL = -1.0e9
 IMPORTANCE_REPEATS = 10
-IMPORTANCE_SAMPLE_N = 10000
 
 
 def model_inputs(df: DataFrame) -> DataFrame:
@@ -43,14 +44,15 @@ def model_inputs(df: DataFrame) -> DataFrame:
     return out
 
 
-def build_pipeline(gbt_params: dict | None = None) -> Pipeline:
-    """M1 + M2."""
+def build_pipeline(gbt_params: dict | None = None, n_categories: int = 0) -> Pipeline:
+    """M1 + M2. Trees need at least as many bins as the larger categorical
+    feature has values, one of them for unseen ones."""
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep") for c in CATEGORICAL_FEATURES]
     cols = [f"{c}__v" for c in MODEL_NUMERIC] + [f"{c}__isnull" for c in MODEL_NUMERIC] + \
         [f"{c}__idx" for c in CATEGORICAL_FEATURES]
     asm = VectorAssembler(inputCols=cols, outputCol="_features", handleInvalid="keep")
     gbt = GBTRegressor(featuresCol="_features", labelCol="_y", predictionCol="_pred_log",
-                       maxBins=MAX_BINS, **(gbt_params or GBT_PARAMS))
+                       maxBins=max(MIN_BINS, n_categories + 1), **(gbt_params or GBT_PARAMS))
     return Pipeline(stages=idx + [asm, gbt])
 
 
@@ -67,6 +69,44 @@ def metrics(pred: DataFrame) -> dict:
     return {m: ev.setMetricName(m).evaluate(pred) for m in ("mae", "rmse", "r2")}
 
 
+def model_scorer(model: PipelineModel):
+    """The model as a function of a feature frame (what the stream predictor takes)."""
+    return lambda df: predict(model, df)
+
+
+def speed_scorer(df: DataFrame) -> DataFrame:
+    """A model-free estimate in the model's place: remaining distance over the
+    6 h mean speed, 0 without one. Deterministic, so SQL can check what calls it."""
+    hours = F.col("remaining_dist_nm") / F.col("sog_roll_6h")
+    return df.withColumn("predicted_remaining_hours",
+                         clip_at_zero(F.when(F.col("sog_roll_6h") > 0, hours).otherwise(F.lit(0.0))))
+
+
+def metrics_table(pred: DataFrame) -> DataFrame:
+    """M4 as one aggregation: mae, rmse, r2, n_test."""
+    y = F.col(LABEL)
+    err = F.col("predicted_remaining_hours") - y
+    return pred.agg(
+        F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"),
+        (1 - F.sum(err * err) / (F.sum(y * y) - F.sum(y) * F.sum(y) / F.count(y))).alias("r2"),
+        F.count(F.lit(1)).alias("n_test"))
+
+
+def split_frames(features: DataFrame, split: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(train, test) by the voyage split (semi / anti join)."""
+    labeled = features.where(F.col(LABEL).isNotNull())
+    test_ids = split.where("is_test").select("voyage_id")
+    return labeled.join(test_ids, "voyage_id", "left_anti"), labeled.join(test_ids, "voyage_id", "left_semi")
+
+
+def fit(train_df: DataFrame, gbt_params: dict | None = None) -> PipelineModel:
+    """M1 + M2 on a training frame, which is written once: 200 rounds read it."""
+    cols = MODEL_NUMERIC + CATEGORICAL_FEATURES + [LABEL]
+    frame = write_stage(train_df.select(*cols), "training")
+    most = frame.agg(*[F.count_distinct(c).alias(c) for c in CATEGORICAL_FEATURES]).first()
+    return build_pipeline(gbt_params, max(most)).fit(model_inputs(frame))
+
+
 @dataclass
 class TrainResult:
     model: PipelineModel
@@ -74,15 +114,20 @@ class TrainResult:
 
 
 def train(features: DataFrame, split: DataFrame, gbt_params: dict | None = None) -> TrainResult:
-    """M3 split (semi/anti join on the voyage split), fit, evaluate."""
-    labeled = features.where(F.col(LABEL).isNotNull())
-    test_ids = split.where("is_test").select("voyage_id")
-    train_df = labeled.join(test_ids, "voyage_id", "left_anti")
-    test_df = labeled.join(test_ids, "voyage_id", "left_semi")
-    model = build_pipeline(gbt_params).fit(model_inputs(train_df))
+    """Split (M3), fit, evaluate (M4)."""
+    train_df, test_df = split_frames(features, split)
+    model = fit(train_df, gbt_params)
     return TrainResult(model, metrics(predict(model, test_df)))
 
 
+def category_index(features: DataFrame) -> DataFrame:
+    """M1: column_name, category, idx: by descending frequency, then name."""
+    found = StringIndexer(inputCols=CATEGORICAL_FEATURES, outputCols=[f"{c}__idx" for c in CATEGORICAL_FEATURES],
+                          handleInvalid="keep").fit(features)
+    rows = [(c, name, i) for c, names in zip(CATEGORICAL_FEATURES, found.labelsArray) for i, name in enumerate(names)]
+    return features.sparkSession.createDataFrame(rows, "column_name string, category string, idx int")
+
+
 def save(model: PipelineModel, path: str) -> None:
     """S10."""
     model.write().overwrite().save(path)
@@ -92,36 +137,34 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def permutation_importance(model: PipelineModel, sample: DataFrame,
-                           repeats: int = IMPORTANCE_REPEATS, seed: int = 42) -> DataFrame:
+def permutation_importance(score, rows: DataFrame, feats: list[str] | None = None,
+                           repeats: int = IMPORTANCE_REPEATS) -> DataFrame:
     """M5: mean drop of R^2 when one feature column is shuffled.
 
-    ``sample`` holds at most 10,000 rows (O4). All (feature, repeat)
-    permutations are built as one DataFrame: each copy of the sample gets
-    donor rows through two ``row_number``s (original order, seeded-hash
-    order) and an equi-join, so the whole importance run is a single scoring
-    job grouped by (feature, repeat)."""
-    feats = MODEL_NUMERIC + CATEGORICAL_FEATURES
-    base = sample.where(F.col(LABEL).isNotNull()).withColumn(
-        "_rn", F.row_number().over(Window.orderBy("ping_id")))
-    variants = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(r).alias("r"))
-                                   for f in feats for r in range(repeats)]))
+    All (feature, repeat) permutations of all rows are one frame: a row's donor
+    is the row whose place by ping_id equals the row's place in the order of
+    a hash of (ping_id, feature, repeat). Places come from range-partitioned
+    running counts, so no task holds a whole permutation; ``score`` runs once
+    over all of them, grouped by (feature, repeat). Callers that want less work
+    pass a sample."""
+    feats = feats or MODEL_NUMERIC + CATEGORICAL_FEATURES
+    base = write_stage(rows.where(F.col(LABEL).isNotNull()), "importance")
+    placed = range_running_sum(base.select("ping_id", *feats), [], ["ping_id"], F.lit(1), "_place")
+    donors = placed.select("_place", *[F.col(c).alias(f"_d_{c}") for c in feats])
+    variants = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(r).alias("r")) for f in feats for r in range(repeats)]))
     rep = base.select("*", variants.alias("_v")).select("*", "_v.f", "_v.r").drop("_v")
-    rep = rep.withColumn("_prn", F.row_number().over(
-        Window.partitionBy("f", "r").orderBy(F.xxhash64("ping_id", "f", "r", F.lit(seed)), "ping_id")))
-    donors = base.select(F.col("_rn").alias("_prn"), *[F.col(c).alias(f"_d_{c}") for c in feats])
-    j = rep.join(donors, "_prn")
+    rep = rep.withColumn("_h", F.md5(F.concat_ws(":", F.col("ping_id").cast("string"), "f", F.col("r").cast("string"))))
+    rep = range_running_sum(rep, ["f", "r"], ["_h", "ping_id"], F.lit(1), "_place").drop("_h")
+    j = rep.join(donors, "_place")
     for c in feats:
         j = j.withColumn(c, F.when(F.col("f") == c, F.col(f"_d_{c}")).otherwise(F.col(c)))
-    scored = predict(model, j.drop(*[f"_d_{c}" for c in feats]))
-    base_scored = predict(model, base)
-    def r2(df, keys):
-        mean = F.avg(LABEL).over(Window.partitionBy(*keys)) if keys else F.avg(LABEL).over(Window.partitionBy())
-        d = df.withColumn("_m", mean)
-        return d.groupBy(*keys).agg(
-            (1 - F.sum(F.pow(F.col(LABEL) - F.col("predicted_remaining_hours"), 2))
-             / F.sum(F.pow(F.col(LABEL) - F.col("_m"), 2))).alias("r2"))
-    ref = r2(base_scored.withColumn("_k", F.lit(1)), ["_k"]).first()["r2"]
-    per = r2(scored, ["f", "r"])
-    return per.groupBy(F.col("f").alias("feature")).agg(
-        (F.lit(ref) - F.avg("r2")).alias("importance_mean"), F.stddev_pop(F.lit(ref) - F.col("r2")).alias("importance_std"))
+    scored = score(j.drop(*[f"_d_{c}" for c in feats]))
+
+    def r2(df, *keys):
+        y = F.col(LABEL)
+        err = F.col("predicted_remaining_hours") - y
+        return df.groupBy(*keys).agg((1 - F.sum(err * err) / (F.sum(y * y) - F.sum(y) * F.sum(y) / F.count(y))).alias("r2"))
+    ref = r2(score(base)).first()["r2"]
+    drop = F.lit(ref) - F.col("r2")
+    return r2(scored, "f", "r").groupBy(F.col("f").alias("feature")).agg(
+        F.avg(drop).alias("importance_mean"), F.stddev_pop(drop).alias("importance_std"))

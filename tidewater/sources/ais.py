@@ -2,10 +2,9 @@
 
 * S1: many daily parquet files read as one table with a fixed schema
   (missing columns -> NULL), NaN -> NULL for doubles.
-* S2: daily CSV (plain or .csv.zst) -> rename/lower-case -> numeric coercion
-  -> cargo filter -> parquet partitioned by date; dates already written are
-  skipped with a left-anti join on the existing date partitions, days with no
-  cargo rows write nothing.
+* S2: daily CSV (plain or .csv.zst) -> rename -> numeric coercion -> cargo
+  filter -> parquet partitioned by date; files that were ingested before are
+  skipped, rows without a usable time kept apart.
 * S3: port list CSV with DMS coordinates -> lat_dd / lon_dd (F1), bad text ->
   NULL and counted, duplicated port names dropped (J7 needs a unique name).
 * S5: weather payloads (JSON objects with parallel hourly arrays) -> one row
@@ -18,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.functions.geo import dms_to_dd
-from tidewater.session import prepare
+from tidewater.functions.geo import dms_to_dd, to_int
+from tidewater.operators.weather import MARINE_COLUMNS, WIND_COLUMNS
+from tidewater.session import prepare, write_stage
 
 # Raw column names -> project column names.
 COLUMN_RENAME = {
@@ -80,89 +80,120 @@ def _nan_to_null(df: DataFrame) -> DataFrame:
                        if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields])
 
 
+def _row_key() -> F.Column:
+    """A stable key of a ping made from its content; equal rows share it."""
+    return F.xxhash64(*[f.name for f in AIS_SCHEMA.fields]).alias("ping_id")
+
+
 def read_ais_parquet(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """S1 + U1: one scan over all daily files, fixed schema, NaN -> NULL."""
+    """S1 + U1: one scan over all daily files, fixed schema, NaN -> NULL, and
+    ``ping_id``, the row key that the stay and port-call steps order ties by."""
     prepare(spark)
     paths = [paths] if isinstance(paths, str) else paths
-    return _nan_to_null(spark.read.schema(AIS_SCHEMA).parquet(*paths))
+    return _nan_to_null(spark.read.schema(AIS_SCHEMA).option("recursiveFileLookup", True).parquet(*paths)).select("*", _row_key())
 
 
 def normalize_raw(df: DataFrame) -> DataFrame:
-    """P8 + F21: raw names -> project names, lower-case, typed by try_cast."""
-    renamed = df.withColumnsRenamed({k: v for k, v in COLUMN_RENAME.items() if k in df.columns})
-    renamed = renamed.toDF(*[c.lower() for c in renamed.columns])
-    if "vessel_type" not in renamed.columns:
-        raise ValueError(f"'vessel_type' column not found. Available columns: {renamed.columns}")
+    """P8 + F21: raw names -> project names, typed by try_cast; columns that
+    the file does not have are NULL, except those the filter and the key need."""
+    known = {c.lower(): c for c in df.columns}
+    names = {ours: raw for raw, ours in COLUMN_RENAME.items()}
+    source = {f.name: known.get(names[f.name].lower(), known.get(f.name)) for f in AIS_SCHEMA.fields}
+    missing = [c for c in [*REQUIRED, "vessel_type"] if source[c] is None]
+    if missing:
+        raise ValueError(f"raw AIS file without {', '.join(missing)}")
     cols = []
     for f in AIS_SCHEMA.fields:
-        if f.name in renamed.columns:
-            c = F.col(f.name)
-            if isinstance(f.dataType, T.TimestampNTZType):
-                c = F.try_to_timestamp(c.cast("string")).cast("timestamp_ntz")
-            else:
-                c = c.cast("string").try_cast(f.dataType)
-            cols.append(c.alias(f.name))
+        if source[f.name] is None:
+            c = F.lit(None).cast(f.dataType)
+        elif isinstance(f.dataType, T.TimestampNTZType):
+            c = F.try_to_timestamp(F.col(source[f.name]).cast("string")).cast("timestamp_ntz")
+        elif isinstance(f.dataType, T.IntegerType):
+            c = to_int(F.col(source[f.name]))
         else:
-            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return _nan_to_null(renamed.select(*cols))
+            c = F.col(source[f.name]).cast("string").try_cast(f.dataType)
+        cols.append(c.alias(f.name))
+    return _nan_to_null(df.select(*cols))
 
 
 def cargo_filter(df: DataFrame) -> DataFrame:
     """vessel_type in [70, 79] after numeric coercion; non-numeric dropped."""
-    vt = F.col("vessel_type").cast("string").try_cast("int")
+    vt = F.col("vessel_type").cast("string").try_cast("double")
     return df.where(vt.between(CARGO_TYPE_MIN, CARGO_TYPE_MAX))
 
 
-def ingest_daily_csv(spark: SparkSession, csv_paths: str | list[str], out_dir: str) -> DataFrame:
-    """Daily raw CSV files -> cargo pings partitioned by date under
-    ``out_dir``; dates already present are skipped. Returns the rows
-    written (lazily re-read)."""
-    prepare(spark)
-    raw = spark.read.option("header", True).csv(csv_paths)
-    pings = cargo_filter(normalize_raw(raw)).withColumn("date", F.to_date("base_date_time"))
-    existing = _existing_dates(spark, out_dir)
-    if existing is not None:
-        pings = pings.join(existing, "date", "left_anti")
-    pings.repartition("date").sortWithinPartitions("mmsi", "base_date_time") \
-        .write.mode("append").partitionBy("date").parquet(out_dir)
-    return spark.read.parquet(out_dir)
+def ingest_daily_csv(spark: SparkSession, csv_path: str, out_dir: str) -> DataFrame:
+    """Raw CSV files under ``csv_path`` -> cargo pings under ``out_dir``,
+    partitioned by date; files ingested before are skipped. Returns all pings
+    ingested so far.
 
-
-def _existing_dates(spark: SparkSession, out_dir: str) -> DataFrame | None:
+    A file is known by its path, kept in ``out_dir/_files`` after its rows are
+    written, so a file with a few rows of the next day does not stand in for
+    that day's own file. Rows whose time does not parse go to
+    ``out_dir/_rejects``. A run that failed before it recorded its files leaves
+    a folder without a record, which readers skip and the next run replaces."""
+    prepare(spark)
+    raw = spark.read.option("header", True).option("recursiveFileLookup", True).csv(csv_path) \
+        .withColumn("_file", F.input_file_name())
+    done = _recorded(spark, out_dir)
+    run = f"run={(max(done[1]) + 1) if done[1] else 0}"
+    if done[0] is not None:
+        raw = raw.join(F.broadcast(done[0]) if done[0].limit(MAX_FILES + 1).count() <= MAX_FILES else done[0], "_file", "left_anti")
+    files = write_stage(raw.select("_file").distinct(), "files")
+    if not files.isEmpty():
+        pings = write_stage(cargo_filter(normalize_raw(raw.drop("_file"))), "ingest")
+        timed = F.col("base_date_time").isNotNull()
+        # a day's rows spread over tasks; files are sorted by vessel and time
+        pings.where(timed).withColumn("date", F.to_date("base_date_time")) \
+            .repartitionByRange("date", "mmsi", "base_date_time").sortWithinPartitions("date", "mmsi", "base_date_time") \
+            .write.mode("overwrite").partitionBy("date").parquet(f"{out_dir}/{run}")
+        pings.where(~timed).write.mode("overwrite").parquet(f"{out_dir}/_rejects/{run}")
+        files.write.mode("overwrite").parquet(f"{out_dir}/_files/{run}")
+    runs = _recorded(spark, out_dir)[1]
+    if not runs:
+        return spark.createDataFrame([], AIS_SCHEMA).select("*", _row_key())
+    return read_ais_parquet(spark, [f"{out_dir}/run={r}" for r in sorted(runs)])
+
+
+#: Names of ingested files that may be broadcast.
+MAX_FILES = 100_000
+
+
+def _recorded(spark: SparkSession, out_dir: str) -> tuple[DataFrame | None, list[int]]:
+    """(ingested files, runs that are complete)."""
     jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(out_dir)
+    p = jvm.org.apache.hadoop.fs.Path(f"{out_dir}/_files")
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(p):
-        return None
-    dates = [st.getPath().getName().split("=", 1)[1] for st in fs.listStatus(p)
-             if st.isDirectory() and st.getPath().getName().startswith("date=")]
-    if not dates:
-        return None
-    return spark.createDataFrame([(d,) for d in dates], "d string").select(F.to_date("d").alias("date"))
+        return None, []
+    runs = [int(st.getPath().getName()[4:]) for st in fs.listStatus(p)
+            if st.getPath().getName().startswith("run=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))]
+    if not runs:
+        return None, []
+    return spark.read.schema("_file string").parquet(*[f"{out_dir}/_files/run={r}" for r in runs]), runs
 
 
 def read_ports_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """S3 + F1: port list with decimal degrees. Returns (ports, bad_rows):
-    rows whose DMS text does not parse go to ``bad_rows``; the first row of
-    a duplicated portName is kept."""
+    """S3 + F1: port list with decimal degrees and ``port_number``. Returns
+    (ports, bad_rows): rows whose DMS text does not parse go to ``bad_rows``;
+    of a duplicated portName the row with the least number is kept. Quotes
+    inside a field are doubled, as CSV writers do."""
     prepare(spark)
-    p = spark.read.schema(PORTS_SCHEMA).option("header", True).csv(path) \
-        .withColumn("lat_dd", dms_to_dd("latitude")).withColumn("lon_dd", dms_to_dd("longitude"))
+    p = spark.read.schema(PORTS_SCHEMA).option("header", True).option("escape", '"').csv(path) \
+        .withColumn("lat_dd", dms_to_dd("latitude")).withColumn("lon_dd", dms_to_dd("longitude")) \
+        .withColumn("port_number", F.col("portNumber"))
     ok = F.col("lat_dd").isNotNull() & F.col("lon_dd").isNotNull()
-    good = p.where(ok).dropDuplicates(["portName"])
-    return good, p.where(~ok)
+    first = p.where(ok).groupBy("portName").agg(F.min(F.struct("port_number", *[c for c in p.columns if c != "port_number"])).alias("r"))
+    return first.select(*[F.col(f"r.{c}").alias(c) for c in p.columns]), p.where(~ok)
 
 
-MARINE_HOURLY = ["wave_height", "wave_direction", "wave_period", "swell_wave_height",
-                 "ocean_current_velocity", "ocean_current_direction"]
-SURFACE_HOURLY = ["wind_speed_10m", "wind_gusts_10m", "wind_direction_10m", "precipitation",
-                  "weather_code", "visibility"]
+MARINE_HOURLY, SURFACE_HOURLY = MARINE_COLUMNS, WIND_COLUMNS
 
 
 def read_weather_payloads(spark: SparkSession, path: str, variables: list[str],
                           key_cols: dict[str, T.DataType]) -> DataFrame:
     """JSON payloads ``{<keys>, "hourly": {"time": [...], <var>: [...]}}``
-    -> one row per (key, hour). A variable missing from a payload (e.g.
+    -> one row per (key, hour), the hour named as the weather joins need it. A variable missing from a payload (e.g.
     ``visibility``) becomes NULL."""
     prepare(spark)
     hourly = T.StructType([T.StructField("time", T.ArrayType(T.StringType()))] +
@@ -172,7 +203,7 @@ def read_weather_payloads(spark: SparkSession, path: str, variables: list[str],
     raw = spark.read.schema(schema).json(path)
     zipped = F.arrays_zip(*[F.col(f"hourly.{c}").alias(c) for c in ["time", *variables]])
     rows = raw.select(*key_cols, F.inline(zipped))
-    return rows.withColumn("time", F.to_timestamp("time").cast("timestamp_ntz"))
+    return rows.withColumn("time", F.try_to_timestamp("time").cast("timestamp_ntz")).withColumnRenamed("time", "hour")
 
 
 def write_weather_payloads(weather: DataFrame, key_cols: list[str], variables: list[str], path: str) -> None:

@@ -5,20 +5,26 @@
   not installed here, so tests use the file source with the same parser.
 * ST7: port visits on the stream: watermark + ``session_window`` with the
   gap threshold, appended to a parquet sink.
-* ST1-ST6: the predictor. Each micro-batch (trigger = ``maxFilesPerTrigger``
-  / ``maxOffsetsPerTrigger``, ST4) goes to ``foreachBatch``, which appends it
-  to the retained ping buffer (append-only, one folder per batch), reads it
-  back trimmed to ``max(ts) - buffer_hours`` over all vessels (P6/ST3,
+* ST1-ST6: the predictor. Each micro-batch goes to ``foreachBatch``, which
+  appends it to the retained ping buffer (append-only, one folder per batch),
+  reads it back trimmed to ``max(ts) - buffer_hours`` over all vessels (P6/ST3,
   exact), runs the same batch functions as the batch pipeline (ST5) and
-  upserts the vessel registry (ST6). Buffer folders, buffer metadata and the
-  registry are keyed by batch id, so a batch that is replayed after a failure
-  overwrites only its own outputs (idempotent) and the query restarts from
-  its checkpoint (ST9).
+  upserts the vessel registry (ST6). A micro-batch gets one pass per half
+  buffer length that it spans, so every ping reaches a pass. With
+  ``pass_every`` a pass waits until that many messages have come (ST4; a Kafka
+  source bounds its batches by ``maxOffsetsPerTrigger``). Buffer folders,
+  buffer metadata and the registry are keyed by batch id, so a batch that is
+  replayed after a failure overwrites only its own outputs (idempotent) and the
+  query restarts from its checkpoint (ST9). Evicted batches and superseded
+  versions are deleted.
+* Messages that do not parse are counted with their reason (F20); they never
+  stop the stream.
 """
 
 from __future__ import annotations
 
 import re
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +33,7 @@ from pyspark.sql import types as T
 from tidewater.functions.geo import US_PER_HOUR, epoch_us, iso_timestamp
 from tidewater.operators import features as feat
 from tidewater.operators import sessions, spatial, voyages
-from tidewater.session import prepare
+from tidewater.session import path_exists, prepare
 
 MESSAGE_SCHEMA = T.StructType([
     T.StructField("ping_id", T.LongType()),
@@ -43,6 +49,7 @@ MESSAGE_SCHEMA = T.StructType([
 
 HEARTBEAT_MMSI = -1
 
+# The columns of a message and of the vessel registry.
 REGISTRY_COLUMNS = ["mmsi", "last_prediction_time", "predicted_remaining_hours", "origin_port",
                     "destination_port", "latitude", "longitude"]
 REGISTRY_SCHEMA = ("mmsi bigint, last_prediction_time timestamp_ntz, predicted_remaining_hours double, "
@@ -50,8 +57,8 @@ REGISTRY_SCHEMA = ("mmsi bigint, last_prediction_time timestamp_ntz, predicted_r
 
 
 # ------------------------------------------------------------------ sinks/sources
-def to_messages(pings: DataFrame) -> DataFrame:
-    """One JSON text per ping, ISO-8601 time, NaN -> null."""
+def _message(pings: DataFrame):
+    """The message of a ping as a struct, ISO-8601 time, NaN -> null."""
     cols = []
     for f in pings.schema.fields:
         c = F.col(f.name)
@@ -60,42 +67,68 @@ def to_messages(pings: DataFrame) -> DataFrame:
         elif isinstance(f.dataType, T.DoubleType):
             c = F.nanvl(c, F.lit(None).cast("double"))
         cols.append(c.alias(f.name))
-    return pings.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("value"),
+    return F.struct(*cols)
+
+
+def to_messages(pings: DataFrame) -> DataFrame:
+    """One JSON text per ping, keyed by vessel id."""
+    return pings.select(F.to_json(_message(pings), {"ignoreNullFields": "false"}).alias("value"),
                         F.col("mmsi").cast("string").alias("key"))
 
 
-def write_replay(pings: DataFrame, path: str, files: int = 1,
-                 heartbeat_after_h: float | None = None) -> None:
-    """Replay folder of JSON-lines files in time order.
-
-    Pings are written day by day, in day order (the reference replays daily
-    files in sequence), each day sorted by time, so the file source, which
-    takes files in modification-time order, sees time-ordered batches. The
-    loop runs once per day of data (a list of dates is the only thing that
-    reaches the driver); each day is one Spark write of ``files`` files.
-
-    ``heartbeat_after_h`` appends one end-of-stream heartbeat message stamped
-    that many hours plus one second after the last ping, so an event-time
-    watermark can close the last open sessions. It carries the sentinel
-    vessel id -1 (outside the 9-digit MMSI range) at (0, 0) with sog 0: it
-    passes every filter Catalyst pushes below the watermark and then matches
-    no port in the spatial join, so it moves event time and adds no row.
-    Only the ST7 replay uses it."""
-    day = F.to_date(F.col("base_date_time"))
-    days = [r["d"] for r in pings.select(day.alias("d")).distinct().orderBy("d").collect()]
-    for i, d in enumerate(days):
-        part = pings.where(day == F.lit(d)).repartitionByRange(files, "base_date_time") \
-            .sortWithinPartitions("base_date_time", "ping_id")
-        to_messages(part).select("value").write.mode("overwrite" if i == 0 else "append").text(path)
+def write_replay(pings: DataFrame, path: str, unit_hours: float = 24.0,
+                 heartbeat_after_h: float | None = None, late: DataFrame | None = None) -> int:
+    """S9 (test support): replay folder of JSON-lines files in time order, one
+    file per ``unit_hours``, written by one job; returns the number of files.
+
+    Rows are range-partitioned by unit and each unit is one file. The file
+    source takes files in modification-time order, so the files get increasing
+    times (a list of file names is all that reaches the driver).
+
+    ``late`` pings come in a file after all others. ``heartbeat_after_h``
+    appends one heartbeat message in the last file, stamped that many hours
+    plus one second after the last ping, so an event-time watermark can close
+    the last open sessions. It carries the sentinel vessel id -1 (outside the
+    9-digit MMSI range) at (0, 0) with sog 0: it passes every filter Catalyst
+    pushes below the watermark and then matches no port in the spatial join,
+    so it moves event time and adds no row."""
+    unit = F.floor(epoch_us(F.col("base_date_time")) / int(unit_hours * US_PER_HOUR)).cast("long")
+
+    def lines(df, unit):
+        msg = F.to_json(_message(df), {"ignoreNullFields": "false"}).alias("value")
+        return df.select(unit.alias("_u"), "base_date_time", "ping_id", msg)
+    rows = lines(pings, unit)
+    last = 1 << 40
+    if late is not None:
+        rows = rows.unionByName(lines(late, F.lit(last)))
+    rows = rows.select("_u", "base_date_time", "ping_id", "value")
+    (rows.repartitionByRange("_u").sortWithinPartitions("_u", "base_date_time", "ping_id")
+     .select("_u", "value").write.mode("overwrite").partitionBy("_u").text(path))
     if heartbeat_after_h is not None:
         step = int(heartbeat_after_h * 3600) + 1
         hb = pings.agg(F.max("base_date_time").alias("m")).select(
+            F.lit(last + 1).alias("_u"),
             F.to_json(F.struct(
                 F.lit(HEARTBEAT_MMSI).cast("long").alias("mmsi"),
                 iso_timestamp(F.col("m") + F.make_interval(secs=F.lit(step))).alias("base_date_time"),
                 F.lit(0.0).alias("latitude"), F.lit(0.0).alias("longitude"), F.lit(0.0).alias("sog"),
             )).alias("value")).where(F.col("m").isNotNull())
-        hb.coalesce(1).write.mode("append").text(path)
+        hb.write.mode("append").partitionBy("_u").text(path)
+    return _order_files(pings.sparkSession, path)
+
+
+def _order_files(spark: SparkSession, path: str) -> int:
+    """Give the files of ``path/_u=<unit>/`` increasing modification times, in unit order."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [(int(st.getPath().getParent().getName().split("=", 1)[1]), st.getPath())
+             for st in fs.globStatus(jvm.org.apache.hadoop.fs.Path(p, "_u=*/part-*"))]
+    found.sort(key=lambda x: x[0])
+    start = int(time.time() * 1000) - 1000 * len(found)
+    for i, (_, file) in enumerate(found):
+        fs.setTimes(file, start + 1000 * i, -1)
+    return len(found)
 
 
 def write_kafka(pings: DataFrame, bootstrap_servers: str, topic: str) -> None:
@@ -104,15 +137,28 @@ def write_kafka(pings: DataFrame, bootstrap_servers: str, topic: str) -> None:
      .option("kafka.bootstrap.servers", bootstrap_servers).option("topic", topic).save())
 
 
-def parse_messages(raw: DataFrame, value_col: str = "value") -> DataFrame:
-    """ST1 + F20 + P7: JSON text -> typed pings; bad JSON is kept aside as
-    ``_corrupt_record`` (PERMISSIVE) and rows without a usable mmsi dropped."""
+def read_messages(raw: DataFrame, value_col: str = "value") -> DataFrame:
+    """ST1 + F20: JSON text -> the message columns and ``problem``: NULL for a
+    good message, else ``bad json``, ``bad time`` or ``no vessel`` (P7). A bad
+    message is data, never an error."""
     parsed = raw.select(F.from_json(F.col(value_col).cast("string"), MESSAGE_SCHEMA,
                                     {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("m"))
-    out = parsed.select("m.*").withColumn(
-        "base_date_time", F.to_timestamp("base_date_time").cast("timestamp_ntz")) \
-        .where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    return valid_keys(out)
+    ts = F.try_to_timestamp("base_date_time").cast("timestamp_ntz")
+    return parsed.select("m.*").withColumn("base_date_time", ts).withColumn(
+        "problem", F.when(F.col("_corrupt_record").isNotNull(), "bad json")
+        .when(F.col("base_date_time").isNull(), "bad time")
+        .when(F.col("mmsi").isNull() | (F.col("mmsi") == 0), "no vessel")).drop("_corrupt_record")
+
+
+def message_quality(raw: DataFrame, value_col: str = "value") -> DataFrame:
+    """number of messages per problem (``ok`` for good ones)."""
+    return read_messages(raw, value_col).groupBy(F.coalesce("problem", F.lit("ok")).alias("status")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+
+
+def parse_messages(raw: DataFrame, value_col: str = "value") -> DataFrame:
+    """The good messages as typed pings."""
+    return read_messages(raw, value_col).where(F.col("problem").isNull()).drop("problem")
 
 
 def valid_keys(df: DataFrame) -> DataFrame:
@@ -121,6 +167,7 @@ def valid_keys(df: DataFrame) -> DataFrame:
 
 
 def read_file_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """S9 + ST4: JSON-lines files, at most ``files_per_trigger`` per micro-batch."""
     r = spark.readStream.format("text")
     if files_per_trigger:
         r = r.option("maxFilesPerTrigger", files_per_trigger)
@@ -142,6 +189,8 @@ def stream_port_visits(pings: DataFrame, ports: DataFrame, radius_nm: float = 10
     """ST7: visits on a stream. Candidates come from the same grid join
     (stream-static, ports broadcast); sessions close when the watermark
     passes their end (append mode)."""
+    # merge a vessel's sessions map side before they are shuffled by vessel
+    pings.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     gap = f"{int(gap_threshold_h * 3600)} seconds"
     wm = pings.withColumn("_ts", F.col("base_date_time").cast("timestamp")).withWatermark("_ts", gap)
     cand = spatial.find_candidates(wm, ports, radius_nm, max_speed_knots)
@@ -155,17 +204,9 @@ def stream_port_visits(pings: DataFrame, ports: DataFrame, radius_nm: float = 10
 
 # ------------------------------------------------------------------ ST2-ST6
 def _versions(spark: SparkSession, path: str) -> list[int]:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        m = re.fullmatch(r"v=(\d+)", st.getPath().getName())
-        if m and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(m.group(1)))
-    return sorted(out)
+    """The complete versions ``v=<id>`` under a folder, ascending."""
+    found = [(re.fullmatch(r"v=(\d+)", name), p) for name, p in _children(spark, path)]
+    return sorted(int(m[1]) for m, p in found if m and path_exists(spark, f"{p}/_SUCCESS"))
 
 
 def _latest_before(spark: SparkSession, path: str, batch_id: int, schema) -> DataFrame:
@@ -175,19 +216,40 @@ def _latest_before(spark: SparkSession, path: str, batch_id: int, schema) -> Dat
     return spark.read.schema(schema).parquet(f"{path}/v={prior[-1]}")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _children(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(name, path) of the entries of a folder; none if it does not exist."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [(st.getPath().getName(), st.getPath().toString()) for st in fs.listStatus(p)] if fs.exists(p) else []
+
+
+BUFFER_SCHEMA = T.StructType([T.StructField(f.name, T.TimestampNTZType() if f.name == "base_date_time" else f.dataType)
+                              for f in MESSAGE_SCHEMA.fields if f.name != "_corrupt_record"])
+META_SCHEMA = "batch_id bigint, batch_min bigint, batch_max bigint, n bigint, passed boolean, running_max bigint"
+
+
 class Predictor:
     """Stateful scorer driven by ``foreachBatch``.
 
-    ``state_dir`` must be on shared storage (the cluster checkpoint folder)."""
+    ``score`` maps a frame of latest features to the same with
+    ``predicted_remaining_hours`` (`training.model_scorer`, or any other).
+    ``state_dir`` must be on shared storage (the cluster checkpoint folder).
+    ``pass_every``: messages to wait for between passes."""
 
-    def __init__(self, spark: SparkSession, ports: DataFrame, model, state_dir: str,
+    def __init__(self, spark: SparkSession, ports: DataFrame, score, state_dir: str,
                  buffer_hours: float = 48.0, radius_nm: float = 10.0, max_speed_knots: float = 1.5,
-                 gap_threshold_h: float = 24.0):
+                 gap_threshold_h: float = 24.0, pass_every: int = 1):
         self.spark = prepare(spark)
         self.ports = ports
-        self.model = model
+        self.score = score
         self.state_dir = state_dir.rstrip("/")
         self.buffer_hours = buffer_hours
+        self.pass_every = pass_every
         self.radius_nm, self.max_speed, self.gap = radius_nm, max_speed_knots, gap_threshold_h
 
     @property
@@ -198,68 +260,110 @@ class Predictor:
     def registry_path(self) -> str:
         return f"{self.state_dir}/registry"
 
+    @property
+    def meta_path(self) -> str:
+        return f"{self.state_dir}/meta"
+
     def prediction_pass(self, buffer: DataFrame) -> DataFrame:
         """ST5: visits -> labels -> voyages -> sea pings -> features ->
         latest per vessel -> predict -> clip. Same stage plan as the batch
-        pipeline, with the buffer in place of the pings."""
+        pipeline, with the buffer in place of the pings; its stage tables are
+        deleted when the registry is written."""
         from tidewater.plans.pipeline import Stages
-        from tidewater.plans.training import predict
         st = Stages(self.spark, pings_df=buffer, ports_df=self.ports, radius_nm=self.radius_nm,
-                    max_speed_knots=self.max_speed, gap_threshold_h=self.gap)
-        latest = feat.latest_per_vessel(st.features, feat.FEATURE_COLUMNS)
-        return predict(self.model, latest).select(
+                    max_speed_knots=self.max_speed, gap_threshold_h=self.gap, keep_dir=f"{self.state_dir}/pass")
+        _delete(self.spark, st.keep_dir)
+        latest = feat.latest_per_vessel(st.features_plan, feat.FEATURE_COLUMNS)
+        return self.score(latest).select(
             "mmsi", F.col("base_date_time").alias("last_prediction_time"), "predicted_remaining_hours",
             "origin_port", "destination_port", "latitude", "longitude")
 
-    @property
-    def meta_path(self) -> str:
-        return f"{self.state_dir}/meta"
+    def _buffer(self, batches: list[int], lo: int, hi: int) -> DataFrame:
+        t = epoch_us(F.col("base_date_time"))
+        return self.spark.read.schema(BUFFER_SCHEMA).parquet(
+            *[f"{self.buffer_path}/batch={i}" for i in batches]).where((t >= F.lit(lo)) & (t <= F.lit(hi)))
 
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
         """ST2/ST3/ST5/ST6 for one micro-batch.
 
         The buffer is append-only: the batch's rows go to ``batch=<id>`` and a
         meta version ``v=<id>`` lists the live batches (their max time is
-        inside the buffer) and the running max time over all vessels. The retained buffer is every batch folder up to ``id`` with
-        ``ts >= max - buffer_hours`` (P6, exact); folders wholly before the
-        cutoff are skipped by their recorded max. Each batch writes O(batch)
-        rows, and a replayed batch overwrites only its own folder and version.
-        """
-        spark = batch.sparkSession
-        schema = T.StructType([T.StructField(f.name, T.TimestampNTZType() if f.name == "base_date_time"
-                                             else f.dataType)
-                               for f in MESSAGE_SCHEMA.fields if f.name != "_corrupt_record"])
-        cols = schema.fieldNames()
+        inside the buffer) and the running max time over all vessels. A pass
+        reads the live folders with ``max - buffer_hours <= ts <= max`` (P6,
+        exact). The batch's times, with those of batches that still wait for a
+        pass, are cut into slices of half the buffer length, and each slice gets a
+        pass up to its last ping, so every ping is scored with at least half a
+        buffer of what came before it. Each batch
+        writes O(batch) rows, and a replayed batch overwrites only its own
+        folder and versions."""
+        t = epoch_us(F.col("base_date_time"))
+        batch.select(*BUFFER_SCHEMA.fieldNames()).write.mode("overwrite").parquet(f"{self.buffer_path}/batch={batch_id}")
+        own = self.spark.read.schema(BUFFER_SCHEMA).parquet(f"{self.buffer_path}/batch={batch_id}")
+        stats = own.agg(F.min(t).alias("lo"), F.max(t).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+        # live batches: a handful of rows of longs, read and written as scalars
+        prev = _latest_before(self.spark, self.meta_path, batch_id, META_SCHEMA).collect()
+        running = max([r["running_max"] for r in prev if r["running_max"] is not None], default=None)
+        rows = [(r["batch_id"], r["batch_min"], r["batch_max"], r["n"], r["passed"])
+                for r in prev if r["batch_id"] is not None and r["batch_id"] != batch_id]
+        if stats["n"]:
+            rows.append((batch_id, stats["lo"], stats["hi"], stats["n"], False))
+        if sum(r[3] for r in rows if not r[4]) >= max(self.pass_every, 1):
+            self._passes(rows, running, batch_id)
+            rows = [(*r[:4], True) for r in rows]
+        self._commit(rows, running, batch_id)
+
+    def _passes(self, rows: list, running: int | None, batch_id: int) -> None:
+        """One pass per slice over the batches that wait; then the registry."""
+        length = int(self.buffer_hours * US_PER_HOUR)
         t = epoch_us(F.col("base_date_time"))
-        b = batch.select(*cols)
-        b.write.mode("overwrite").parquet(f"{self.buffer_path}/batch={batch_id}")
-        meta_schema = "batch_id bigint, batch_max bigint, running_max bigint"
-        # Meta rows: only live batches (their max is inside the buffer); a
-        # handful of longs, read and written as scalars.
-        prev = _latest_before(spark, self.meta_path, batch_id, meta_schema).collect()
-        this_max = spark.read.schema(schema).parquet(f"{self.buffer_path}/batch={batch_id}") \
-            .agg(F.max(t).alias("m")).first()["m"]
-        maxes = [r["running_max"] for r in prev if r["running_max"] is not None]
-        if this_max is not None:
-            maxes.append(this_max)
-        if not maxes:
-            return
-        running_max = max(maxes)
-        cutoff = running_max - int(self.buffer_hours * US_PER_HOUR)
-        rows = [(r["batch_id"], r["batch_max"]) for r in prev if r["batch_id"] != batch_id] + [(batch_id, this_max)]
-        live = [(i, m) for i, m in rows if m is not None and m >= cutoff]
-        spark.createDataFrame([(i, m, running_max) for i, m in live] or [(batch_id, this_max, running_max)],
-                              meta_schema).write.mode("overwrite").parquet(f"{self.meta_path}/v={batch_id}")
-        if not live:
-            return
-        buf = spark.read.schema(schema).parquet(*[f"{self.buffer_path}/batch={i}" for i, _ in live]) \
-            .where(t >= F.lit(cutoff))
-        new = self.prediction_pass(buf)
-        reg_old = _latest_before(spark, self.registry_path, batch_id, REGISTRY_SCHEMA)
-        merged = reg_old.withColumn("_v", F.lit(0)).unionByName(new.withColumn("_v", F.lit(1)))
-        reg = merged.groupBy("mmsi").agg(F.max_by(F.struct(*REGISTRY_COLUMNS[1:]), F.col("_v")).alias("r")) \
-            .select("mmsi", "r.*")
-        reg.write.mode("overwrite").parquet(f"{self.registry_path}/v={batch_id}")
+        waiting = [r[0] for r in rows if not r[4]]
+        fresh = self._buffer(waiting, min(r[1] for r in rows), max(r[2] for r in rows))
+        ends = [r["hi"] for r in fresh.groupBy(F.floor(t / (length // 2)).alias("s")).agg(F.max(t).alias("hi")).orderBy("s").collect()]
+        if running is not None:  # late slices are seen from the latest time on
+            ends = sorted({max(e, running) for e in ends})
+        registry = _latest_before(self.spark, self.registry_path, batch_id, REGISTRY_SCHEMA)
+        for k, end in enumerate(ends):
+            live = [r[0] for r in rows if r[2] >= end - length and r[1] <= end]
+            new = self.prediction_pass(self._buffer(live, end - length, end))
+            merged = registry.withColumn("_v", F.lit(0)).unionByName(new.withColumn("_v", F.lit(1)))
+            reg = merged.groupBy("mmsi").agg(F.max_by(F.struct(*REGISTRY_COLUMNS[1:]), F.col("_v")).alias("r")) \
+                .select("mmsi", "r.*")
+            last = k == len(ends) - 1
+            path = f"{self.registry_path}/v={batch_id}" if last else f"{self.registry_path}/slice={batch_id}-{k}"
+            reg.write.mode("overwrite").parquet(path)
+            registry = self.spark.read.schema(REGISTRY_SCHEMA).parquet(path)
+
+    def _commit(self, rows: list, running: int | None, batch_id: int) -> None:
+        """The meta version, and away with what neither it nor the version before needs (a
+        replayed batch starts from that one): evicted batches and superseded versions."""
+        spark = self.spark
+        running = max([r[2] for r in rows] + ([running] if running is not None else []), default=None)
+        cutoff = None if running is None else running - int(self.buffer_hours * US_PER_HOUR)
+        live = [r for r in rows if r[2] >= cutoff or not r[4]]
+        meta = [(*r, running) for r in live] or [(None, None, None, None, None, running)]
+        before = {r["batch_id"] for r in _latest_before(spark, self.meta_path, batch_id, META_SCHEMA).collect()}
+        spark.createDataFrame(meta, META_SCHEMA).write.mode("overwrite").parquet(f"{self.meta_path}/v={batch_id}")
+        keep = before | {r[0] for r in live} | {batch_id}
+        for name, path in _children(spark, self.buffer_path):
+            if name.startswith("batch=") and int(name[6:]) not in keep:
+                _delete(spark, path)
+        for root in (self.meta_path, self.registry_path):
+            for v in _versions(spark, root)[:-2]:
+                _delete(spark, f"{root}/v={v}")
+        for name, path in _children(spark, self.registry_path):
+            if name.startswith("slice="):
+                _delete(spark, path)
+
+    def flush(self) -> None:
+        """A pass over the messages that still wait for ``pass_every`` (the end of a finite stream)."""
+        last = _versions(self.spark, self.meta_path)
+        if last:
+            batch_id = last[-1] + 1
+            rows = [(r["batch_id"], r["batch_min"], r["batch_max"], r["n"], r["passed"]) for r in
+                    _latest_before(self.spark, self.meta_path, batch_id, META_SCHEMA).collect() if r["batch_id"] is not None]
+            if any(not r[4] for r in rows):
+                self._passes(rows, None, batch_id)
+                self._commit([(*r[:4], True) for r in rows], None, batch_id)
 
     def registry(self) -> DataFrame:
         """Vessel summary ordered by mmsi; empty with schema before the first pass."""
