@@ -217,12 +217,21 @@ def test_chunks_cover_the_text():
 
 def test_long_text_scores_as_its_blocks():
     rng = np.random.default_rng(0)
-    model = quality.Model(rng.normal(size=(8, 256, 16)).astype(np.float32), np.zeros(16, np.float32), rng.normal(size=32), 0.1)
+    f, h = quality.FILTERS, quality.HIDDEN
+    model = quality.Model(rng.normal(size=(quality.KERNEL, 256, f)).astype(np.float32), np.zeros(f, np.float32),
+                          rng.normal(0, 0.02, (3 * f, h)), rng.normal(size=h), rng.normal(0, 0.1, h), 0.1)
     text = rng.integers(1, 255, 3 * 448 * quality.BLOCK + 99, dtype=np.uint8).tobytes()
     rows, real = quality.chunks(text)
     top, _ = quality.convolve(model.table, model.bias, rows, real, quality.STRIDE)
-    want = 1 / (1 + np.exp(-np.clip(np.concatenate([top.mean(axis=0), top.max(axis=0)]) @ model.weight + 0.1, -30, 30)))
-    assert quality.score(model, text) == pytest.approx(want, rel=1e-5)
+    x = np.concatenate([top.mean(axis=0), top.max(axis=0), top.min(axis=0)])
+    want = 1 / (1 + np.exp(-(np.maximum(x @ model.w1 + model.b1, 0) @ model.w2 + model.b2)))
+    assert 0.01 < want < 0.99 and quality.score(model, text) == pytest.approx(want, rel=1e-4)
+
+
+def test_training_separates_what_is_separable():
+    texts = [(b"AB" if i % 2 else b"xy") * (20 + 300 * (i % 5)) for i in range(20)]
+    model = quality.train(texts, [i % 2 for i in range(20)], quality.Fit(epochs=30, batch=4))
+    assert all((quality.score(model, t) > 0.5) == bool(i % 2) for i, t in enumerate(texts))
 
 
 def test_quality_on_held_out_rows(spark):

@@ -149,7 +149,7 @@ def render_conversations(rows: DataFrame, template=Marked, conv_col: str = "conv
     block = F.lit(0).cast("long")
     if template.local:
         long = t.groupBy("conv_id").count().where(F.col("count") > SEGMENT).select(F.col("conv_id").alias("_long"), F.lit(True).alias("_is"))
-        if not long.isEmpty():
+        if long.limit(1).count():
             t = t.join(maybe_broadcast(long), F.col("conv_id").eqNullSafe(F.col("_long")), "left")
             block = F.when(F.col("_is"), F.coalesce(F.floor(F.col("turn") / SEGMENT), F.lit(-(1 << 62)))).otherwise(0).cast("long")
     t = t.withColumn("block", block)
@@ -203,7 +203,7 @@ def digests(rows: DataFrame, template=Marked) -> DataFrame:
     longer ones move once more, to be streamed in order."""
     conv = F.col("conv_id")
     sized = rows.groupBy("conv_id").count().where(F.col("count") > SEGMENT).select(conv.alias("_long"))
-    if not template.local or sized.isEmpty():
+    if not template.local or not sized.limit(1).count():
         return render_conversations(rows, template).mapInArrow(_digests(template), _DIGEST_DDL)
     side = maybe_broadcast(sized)
     same = conv.eqNullSafe(F.col("_long"))

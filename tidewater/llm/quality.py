@@ -4,8 +4,9 @@ A text's UTF-8 bytes are cut into overlapping chunks that cover all of it. Each
 filter sees ``KERNEL`` bytes at every ``STRIDE``-th position; since a byte is one
 of 256 values, a filter is a table of one number per (offset, byte), and the
 convolution is a sum of table rows. A chunk's features are the filters' maxima over
-its positions; a document's are the mean and the maximum of its chunks' features,
-combined by a logistic layer into the probability of label 1.
+its positions; a document's are the mean, the maximum and the minimum of its chunks'
+features (what is everywhere, anywhere, nowhere missing), combined by a layer of
+``HIDDEN`` units into the probability of label 1.
 
 The network is fitted in numpy on a bounded sample of labelled documents
 (``Fit.rows`` documents of at most ``Fit.max_bytes`` bytes, those with the smallest
@@ -31,29 +32,31 @@ from tidewater.llm.bytecnn import Adam, convolve, sigmoid, table_gradient
 from tidewater.llm.common import fresh, setup
 
 CHUNK, OVERLAP = 512, 64
-KERNEL, STRIDE, FILTERS = 8, 4, 16
+KERNEL, STRIDE, FILTERS, HIDDEN = 4, 2, 24, 24
 POSITIONS = (CHUNK - KERNEL) // STRIDE + 1
-BLOCK = 256  # chunks convolved at once: about 2 MB of activations
+BLOCK = 64  # chunks convolved at once: about 2 MB of activations
 THRESHOLD = 0.3
 
 
 @dataclass(frozen=True)
 class Fit:
     """The bounds and settings of the fit."""
-    rows: int = 2400
+    rows: int = 5000
     max_bytes: int = 16_384
-    epochs: int = 12
+    epochs: int = 10
     batch: int = 32
-    rate: float = 0.02
+    rate: float = 0.01
     seed: int = 7
 
 
 @dataclass
 class Model:
-    table: np.ndarray  # (KERNEL, 256, FILTERS)
-    bias: np.ndarray   # (FILTERS,)
-    weight: np.ndarray  # (2 * FILTERS,)
-    offset: float
+    table: np.ndarray   # (KERNEL, 256, FILTERS)
+    bias: np.ndarray    # (FILTERS,)
+    w1: np.ndarray      # (3 * FILTERS, HIDDEN)
+    b1: np.ndarray      # (HIDDEN,)
+    w2: np.ndarray      # (HIDDEN,)
+    b2: float
 
 
 def chunks(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -68,17 +71,24 @@ def chunks(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return rows, real
 
 
+def _head(p, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hidden activations, logits) of pooled features."""
+    a = np.maximum(x @ p["w1"] + p["b1"], 0)
+    return a, a @ p["w2"] + p["b2"]
+
+
 def score(model: Model, text: bytes | None) -> float:
     text = text or b""
-    total, most, n = np.zeros(FILTERS), np.zeros(FILTERS, np.float32), 0
+    total, most, least, n = np.zeros(FILTERS), np.zeros(FILTERS), np.full(FILTERS, np.inf), 0
     step = (CHUNK - OVERLAP) * BLOCK
     for at in range(0, max(1, len(text) - OVERLAP), step):
         rows, real = chunks(text[at:at + step + OVERLAP])
         top, _ = convolve(model.table, model.bias, rows, real, STRIDE)
         total += top.sum(axis=0)
-        most = np.maximum(most, top.max(axis=0))
+        most, least = np.maximum(most, top.max(axis=0)), np.minimum(least, top.min(axis=0))
         n += len(rows)
-    return float(sigmoid(np.concatenate([total / n, most]) @ model.weight + model.offset))
+    _, z = _head(vars(model), np.concatenate([total / n, most, least])[None])
+    return float(sigmoid(z)[0])
 
 
 def train(texts: list[bytes], labels: list[int], fit: Fit = Fit()) -> Model:
@@ -87,7 +97,8 @@ def train(texts: list[bytes], labels: list[int], fit: Fit = Fit()) -> Model:
     y = np.asarray(labels, np.float64)
     prior = (y.sum() + 1) / (len(y) + 2)
     net = Adam({"table": rng.normal(0, 0.1, (KERNEL, 256, FILTERS)).astype(np.float32), "bias": np.zeros(FILTERS, np.float32),
-                "weight": rng.normal(0, 0.1, 2 * FILTERS), "offset": np.array(np.log(prior / (1 - prior)))})
+                "w1": rng.normal(0, (3 * FILTERS) ** -0.5, (3 * FILTERS, HIDDEN)), "b1": np.zeros(HIDDEN),
+                "w2": rng.normal(0, 0.3, HIDDEN), "b2": np.array(np.log(prior / (1 - prior)))})
     p = net.p
     if 0 < y.sum() < len(y):
         cut = [chunks(t) for t in texts]
@@ -100,18 +111,20 @@ def train(texts: list[bytes], labels: list[int], fit: Fit = Fit()) -> Model:
                 first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
                 doc = np.repeat(np.arange(len(ids)), sizes)
                 top, where = convolve(p["table"], p["bias"], rows, real, STRIDE)
-                most = np.maximum.reduceat(top, first)
-                x = np.concatenate([np.add.reduceat(top, first) / sizes[:, None], most], axis=1)
-                err = (sigmoid(x @ p["weight"] + p["offset"]) - y[ids]) / len(ids)
-                dx = err[:, None] * p["weight"]
-                dtop = dx[doc, :FILTERS] / sizes[doc, None] + dx[doc, FILTERS:] * (top == most[doc])
+                most, least = np.maximum.reduceat(top, first), np.minimum.reduceat(top, first)
+                x = np.concatenate([np.add.reduceat(top, first) / sizes[:, None], most, least], axis=1)
+                a, z = _head(p, x)
+                err = (sigmoid(z) - y[ids]) / len(ids)
+                da = err[:, None] * p["w2"] * (a > 0)
+                mean_g, most_g, least_g = np.split(da @ p["w1"].T, 3, axis=1)
+                dtop = mean_g[doc] / sizes[doc, None] + most_g[doc] * (top == most[doc]) + least_g[doc] * (top == least[doc])
                 dtop *= top > 0
-                net.update({"weight": x.T @ err + 1e-4 * p["weight"], "offset": err.sum(), "bias": dtop.sum(axis=0),
-                            "table": table_gradient(p["table"], rows, where, dtop, STRIDE)},
+                net.update({"w2": a.T @ err, "b2": err.sum(), "w1": x.T @ da + 1e-5 * p["w1"], "b1": da.sum(axis=0),
+                            "bias": dtop.sum(axis=0), "table": table_gradient(p["table"], rows, where, dtop, STRIDE)},
                            fit.rate * (1 - epoch / fit.epochs))
     else:
-        p["weight"][:] = 0
-    return Model(p["table"], p["bias"], p["weight"], float(p["offset"]))
+        p["w2"][:] = 0
+    return Model(p["table"], p["bias"], p["w1"], p["b1"], p["w2"], float(p["b2"]))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
