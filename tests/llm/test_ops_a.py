@@ -6,11 +6,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from tidewater.llm import decontam, mixing, quality, simhash
 from tidewater.llm.common import components, neighbours
+from tests_llm_helpers import brute_components, brute_fingerprint, brute_hits, brute_targets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -20,31 +20,6 @@ def docs_of(spark, rows):
     return spark.createDataFrame([(i, t, "en", s, None) for i, t, s in rows], DOCS)
 
 
-def brute_fingerprint(text):
-    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
-    if not words:
-        return 0
-    shingles = [b" ".join(words[i:i + 4]) for i in range(max(1, len(words) - 3))]
-    hashes = [xxhash.xxh64_intdigest(s, seed=42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
-def brute_components(nodes, linked):
-    parent = {n: n for n in nodes}
-
-    def root(n):
-        while parent[n] != n:
-            n = parent[n]
-        return n
-    nodes = list(nodes)
-    for i, a in enumerate(nodes):
-        for b in nodes[:i]:
-            if linked(a, b):
-                x, y = sorted((root(a), root(b)))
-                parent[y] = x
-    return {n: root(n) for n in nodes}
-
-
 def test_components_of_paths_stars_and_loops(spark):
     rng = random.Random(3)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(40)] + [(500, 500)]
@@ -115,20 +90,6 @@ def test_rows_that_share_an_id_keep_their_texts(spark):
     assert simhash.deduplicate(docs_of(spark, rows)).count() == 2
 
 
-def brute_targets(sizes, weights=(1, 2, 3), cap=3):
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    w = {s: weights[i % 3] for i, s in enumerate(names)}
-    total, capped = sum(sizes.values()), set()
-    while True:
-        rest = total - sum(cap * sizes[s] for s in capped)
-        free = [s for s in names if s not in capped]
-        level = rest / sum(w[s] for s in free) if free else 0
-        over = [s for s in free if w[s] * level > cap * sizes[s]]
-        if not over:
-            return {s: cap * sizes[s] if s in capped else w[s] * level for s in names}
-        capped |= set(over)
-
-
 def test_mix_against_its_rules(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 30, 200])), rng.choice(["b", "a", None, "é", "Z"] + ["big"] * 4)) for i in range(600)]
@@ -160,23 +121,6 @@ def test_mix_against_its_rules(spark):
     assert some.columns == ["doc_id", "text", "lang", "source", "n_chars", "taken"] and some.where("taken <= 0").count() == 0
 
 
-def brute_hits(text, items):
-    def words(t):
-        out = "".join(c.lower() if "A" <= c <= "Z" else c if c >= "\x80" or c.isalnum() else " " for c in t or "")
-        return [w for w in out.replace(" ", " ").split(" ") if w]
-    doc = words(text)
-    hit, found = set(), set()
-    for item, t in items:
-        w = words(t)
-        for i in range(max(1, len(w) - 9) if w else 0):
-            win = w[i:i + 10]
-            for j in range(len(doc) - len(win) + 1):
-                if doc[j:j + len(win)] == win:
-                    hit |= set(range(j, j + len(win)))
-                    found.add(str(item))
-    return len(doc), len(hit), sorted(found)
-
-
 def test_decontamination_against_brute_force(spark, monkeypatch):
     rng = random.Random(4)
     vocab = ["alpha", "Béta", "g1", "delta", "x"]

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from tests_llm_helpers import brute_lines
 from tidewater.llm import chat, imatch, linespread, pagediff, secretscan, urltree
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -251,24 +252,6 @@ def test_scan_learns_forms_and_keeps_base(spark):
 
 # --- 5: lines
 
-def brute_lines(rows, min_sites):
-    texts = defaultdict(set)
-    for _, t, s in rows:
-        texts[t or ""].add("" if s is None else "=" + s)
-    sites = defaultdict(set)
-    for t, s in texts.items():
-        for line in t.split("\n"):
-            sites[line.strip(" \t\r")].add(min(s))
-    gone = {line for line, s in sites.items() if line and len(s) >= min_sites}
-    out = []
-    for i, t, _ in rows:
-        lines = (t or "").split("\n")
-        kept = [x for x in lines if x.strip(" \t\r") not in gone]
-        strip = len(kept) < len(lines) and len("\n".join(kept)) >= len(t) * (1 - linespread.COPY_SHARE)
-        out.append((i, "\n".join(kept) if strip else t, len(lines) - len(kept) if strip else 0))
-    return sorted(out, key=str)
-
-
 def test_line_spread_against_brute_force(spark):
     rng = random.Random(10)
     rows = []
