@@ -21,16 +21,11 @@ from tidewater.session import checked_count, write_stage
 
 DAY_US = 86_400_000_000
 
-# Keys per block for the two-level prefix sum in `global_index`. A 9-digit
-# vessel id range has fewer than 1,000 blocks of this size.
-INDEX_BLOCK_BITS = 20
-
-
 # Target rows per (key, bucket) partition for adaptive bucket widths.
 HOT_BUCKET_ROWS = 2_000_000
 # A hot-key table has at most (rows / HOT_BUCKET_ROWS) entries; it is
 # broadcast only below this many rows.
-BROADCAST_MAX_HOT_KEYS = 1_000_000
+BROADCAST_MAX_HOT_KEYS = 200_000
 
 
 def bucket_of(t_us: Column, bucket_us) -> Column:
@@ -164,34 +159,20 @@ def global_index(df: DataFrame, key: str, t_col: str, order: Sequence[str], buck
                  out_col: str) -> DataFrame:
     """0-based row number over the total order ``(key, t_col, *order)``.
 
-    Three-level prefix sum: per key-block totals (at most a few thousand
-    rows, one task), per key totals within a block, per bucket totals within
-    a key; then ``row_number`` within ``(key, bucket)``. No window ever holds
-    more than one bucket of one key or one block of key totals.
-    """
-    rows = df.withColumn("_b", bucket_of(F.col(t_col), bucket_us)) \
-        .withColumn("_blk", F.shiftright(F.col(key), INDEX_BLOCK_BITS))
-    cnt = rows.groupBy("_blk", key, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    per_key = cnt.groupBy("_blk", key).agg(F.sum("_n").alias("_nk"))
-    per_blk = per_key.groupBy("_blk").agg(F.sum("_nk").alias("_nb"))
-    unbounded = (Window.unboundedPreceding, -1)
-    blk_off = per_blk.select(
-        "_blk", F.coalesce(F.sum("_nb").over(Window.orderBy("_blk").rowsBetween(*unbounded)),
-                           F.lit(0)).alias("_ob"))
-    key_off = per_key.select(
-        "_blk", key, F.coalesce(F.sum("_nk").over(
-            Window.partitionBy("_blk").orderBy(key).rowsBetween(*unbounded)), F.lit(0)).alias("_ok"))
-    b_off = cnt.select(
-        "_blk", key, "_b", F.coalesce(F.sum("_n").over(
-            Window.partitionBy(key).orderBy("_b").rowsBetween(*unbounded)), F.lit(0)).alias("_obk"))
-    offs = b_off.join(key_off, ["_blk", key]).join(blk_off, ["_blk"]) \
-        .select(key, "_b", (F.col("_ob") + F.col("_ok") + F.col("_obk")).alias("_off"))
+    Rows are counted per (key, bucket); a range-partitioned running sum over
+    these counts gives each bucket its offset, and ``row_number`` within
+    (key, bucket) the rest. No window holds more than one bucket of one key or
+    one range of counts, whatever the keys are."""
+    rows = df.withColumn("_b", bucket_of(F.col(t_col), bucket_us))
+    counts = rows.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    offs = range_running_sum(counts, [], [key, "_b"], F.col("_n"), "_cum") \
+        .select(key, "_b", (F.col("_cum") - F.col("_n")).alias("_off"))
     w = Window.partitionBy(key, "_b").orderBy(t_col, *order)
     return (
         rows.withColumn("_rn", F.row_number().over(w))
         .join(offs, [key, "_b"])
         .withColumn(out_col, (F.col("_off") + F.col("_rn") - 1).cast("long"))
-        .drop("_b", "_blk", "_rn", "_off")
+        .drop("_b", "_rn", "_off")
     )
 
 

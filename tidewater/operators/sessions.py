@@ -96,9 +96,10 @@ def match(visits: DataFrame, min_time_in_port: float = 1.0) -> DataFrame:
 
 
 def port_call_counts(ports: DataFrame, matched: DataFrame) -> DataFrame:
-    """A2 + J11: distinct vessels per port, left from ports, missing -> 0.
+    """A2 + J11: vessels per port of distinct (vessel, port) pairs (`match`), left
+    from ports, missing -> 0.
 
     Pure: returns a new frame, never mutates the port table."""
-    counts = matched.groupBy("portName").agg(F.count_distinct("mmsi").alias("_c"))
+    counts = matched.groupBy("portName").agg(F.count("mmsi").alias("_c"))
     return ports.join(counts, "portName", "left") \
         .withColumn("port_call_count", F.coalesce(F.col("_c"), F.lit(0)).cast("long")).drop("_c")

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from tidewater.functions.geo import DEGREES_PER_NM, METRES_PER_NM, mercator_x, mercator_y
 from tidewater.session import checked_count
 
-# A port list is a dimension table (thousands of rows); 9 cells per port.
-BROADCAST_MAX_PORT_ROWS = 2_000_000
-
+# A port list is a dimension table (thousands of rows); 9 cells of about 100
+# bytes per port. Beyond this many rows the port side is not broadcast.
+BROADCAST_MAX_PORT_ROWS = 200_000
 
 
 def _offsets():
