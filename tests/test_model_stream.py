@@ -116,11 +116,14 @@ def test_predictor_foreach_batch(spark, stages, trained):
 
 
 class Counting(S.Predictor):
-    """Records what each pass sees instead of scoring it."""
+    """Records what each slice sees instead of scoring it."""
 
     def prediction_pass(self, buffer):
-        self.seen = getattr(self, "seen", []) + [{r.ping_id for r in buffer.select("ping_id").collect()}]
-        return self.spark.createDataFrame([], S.REGISTRY_SCHEMA)
+        seen = {}
+        for r in buffer.select("slice", "ping_id").collect():
+            seen.setdefault(r.slice, set()).add(r.ping_id)
+        self.seen = getattr(self, "seen", []) + [seen[k] for k in sorted(seen)]
+        return self.spark.createDataFrame([], S.REGISTRY_SCHEMA + ", slice bigint")
 
 
 def _batch(spark, hours, first_id):

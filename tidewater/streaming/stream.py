@@ -9,8 +9,8 @@
   appends it to the retained ping buffer (append-only, one folder per batch),
   reads it back trimmed to ``max(ts) - buffer_hours`` over all vessels (P6/ST3,
   exact), runs the same batch functions as the batch pipeline (ST5) and
-  upserts the vessel registry (ST6). A micro-batch gets one pass per half
-  buffer length that it spans, so every ping reaches a pass. With
+  upserts the vessel registry (ST6). A micro-batch is scored in slices of
+  half a buffer length, so every ping is scored. With
   ``pass_every`` a pass waits until that many messages have come (ST4; a Kafka
   source bounds its batches by ``maxOffsetsPerTrigger``). Buffer folders,
   buffer metadata and the registry are keyed by batch id, so a batch that is
@@ -228,6 +228,9 @@ def _children(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     return [(st.getPath().getName(), st.getPath().toString()) for st in fs.listStatus(p)] if fs.exists(p) else []
 
 
+#: More than any vessel id (9 digits); a pass numbers its vessels slice * VESSEL_IDS + mmsi.
+VESSEL_IDS = 100_000_000_000
+
 BUFFER_SCHEMA = T.StructType([T.StructField(f.name, T.TimestampNTZType() if f.name == "base_date_time" else f.dataType)
                               for f in MESSAGE_SCHEMA.fields if f.name != "_corrupt_record"])
 META_SCHEMA = "batch_id bigint, batch_min bigint, batch_max bigint, n bigint, passed boolean, running_max bigint"
@@ -266,35 +269,37 @@ class Predictor:
 
     def prediction_pass(self, buffer: DataFrame) -> DataFrame:
         """ST5: visits -> labels -> voyages -> sea pings -> features ->
-        latest per vessel -> predict -> clip. Same stage plan as the batch
-        pipeline, with the buffer in place of the pings; its stage tables are
-        deleted when the registry is written."""
+        latest per vessel -> predict -> clip, for every ``slice`` of the buffer
+        at once. Same stage plan as the batch pipeline, with the buffer in place
+        of the pings and a vessel of each slice as a vessel of its own; its
+        stage tables are deleted when the next pass begins. Returns the
+        registry columns and ``slice``."""
         from tidewater.plans.pipeline import Stages
-        st = Stages(self.spark, pings_df=buffer, ports_df=self.ports, radius_nm=self.radius_nm,
+        pings = buffer.withColumn("mmsi", F.col("slice") * VESSEL_IDS + F.col("mmsi")).drop("slice")
+        st = Stages(self.spark, pings_df=pings, ports_df=self.ports, radius_nm=self.radius_nm,
                     max_speed_knots=self.max_speed, gap_threshold_h=self.gap, keep_dir=f"{self.state_dir}/pass")
         _delete(self.spark, st.keep_dir)
         latest = feat.latest_per_vessel(st.features_plan, feat.FEATURE_COLUMNS)
         return self.score(latest).select(
-            "mmsi", F.col("base_date_time").alias("last_prediction_time"), "predicted_remaining_hours",
+            F.floor(F.col("mmsi") / VESSEL_IDS).alias("slice"), (F.col("mmsi") % VESSEL_IDS).alias("mmsi"),
+            F.col("base_date_time").alias("last_prediction_time"), "predicted_remaining_hours",
             "origin_port", "destination_port", "latitude", "longitude")
 
-    def _buffer(self, batches: list[int], lo: int, hi: int) -> DataFrame:
-        t = epoch_us(F.col("base_date_time"))
-        return self.spark.read.schema(BUFFER_SCHEMA).parquet(
-            *[f"{self.buffer_path}/batch={i}" for i in batches]).where((t >= F.lit(lo)) & (t <= F.lit(hi)))
+    def _buffer(self, batches: list[int]) -> DataFrame:
+        return self.spark.read.schema(BUFFER_SCHEMA).parquet(*[f"{self.buffer_path}/batch={i}" for i in batches])
 
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
         """ST2/ST3/ST5/ST6 for one micro-batch.
 
         The buffer is append-only: the batch's rows go to ``batch=<id>`` and a
         meta version ``v=<id>`` lists the live batches (their max time is
-        inside the buffer) and the running max time over all vessels. A pass
-        reads the live folders with ``max - buffer_hours <= ts <= max`` (P6,
-        exact). The batch's times, with those of batches that still wait for a
-        pass, are cut into slices of half the buffer length, and each slice gets a
-        pass up to its last ping, so every ping is scored with at least half a
-        buffer of what came before it. Each batch
-        writes O(batch) rows, and a replayed batch overwrites only its own
+        inside the buffer) and the running max time over all vessels. The
+        batch's times, with those of batches that still wait for a pass, are
+        cut into slices of half the buffer length. A slice is scored up to its
+        last ping, over the pings with ``last - buffer_hours <= ts <= last``
+        (P6, exact), so every ping is scored with at least half a buffer of
+        what came before it; one pass does all slices, in which a ping occurs
+        three times at most. Each batch writes O(batch) rows, and a replayed batch overwrites only its own
         folder and versions."""
         t = epoch_us(F.col("base_date_time"))
         batch.select(*BUFFER_SCHEMA.fieldNames()).write.mode("overwrite").parquet(f"{self.buffer_path}/batch={batch_id}")
@@ -313,25 +318,24 @@ class Predictor:
         self._commit(rows, running, batch_id)
 
     def _passes(self, rows: list, running: int | None, batch_id: int) -> None:
-        """One pass per slice over the batches that wait; then the registry."""
+        """One pass over the slices of the batches that wait; then the registry."""
         length = int(self.buffer_hours * US_PER_HOUR)
         t = epoch_us(F.col("base_date_time"))
-        waiting = [r[0] for r in rows if not r[4]]
-        fresh = self._buffer(waiting, min(r[1] for r in rows), max(r[2] for r in rows))
-        ends = [r["hi"] for r in fresh.groupBy(F.floor(t / (length // 2)).alias("s")).agg(F.max(t).alias("hi")).orderBy("s").collect()]
+        fresh = self._buffer([r[0] for r in rows if not r[4]])
+        ends = [r["hi"] for r in fresh.groupBy(F.floor(t / (length // 2)).alias("s")).agg(F.max(t).alias("hi")).collect()]
         if running is not None:  # late slices are seen from the latest time on
-            ends = sorted({max(e, running) for e in ends})
-        registry = _latest_before(self.spark, self.registry_path, batch_id, REGISTRY_SCHEMA)
-        for k, end in enumerate(ends):
-            live = [r[0] for r in rows if r[2] >= end - length and r[1] <= end]
-            new = self.prediction_pass(self._buffer(live, end - length, end))
-            merged = registry.withColumn("_v", F.lit(0)).unionByName(new.withColumn("_v", F.lit(1)))
-            reg = merged.groupBy("mmsi").agg(F.max_by(F.struct(*REGISTRY_COLUMNS[1:]), F.col("_v")).alias("r")) \
-                .select("mmsi", "r.*")
-            last = k == len(ends) - 1
-            path = f"{self.registry_path}/v={batch_id}" if last else f"{self.registry_path}/slice={batch_id}-{k}"
-            reg.write.mode("overwrite").parquet(path)
-            registry = self.spark.read.schema(REGISTRY_SCHEMA).parquet(path)
+            ends = [max(e, running) for e in ends]
+        ends = sorted(set(ends))
+        live = [r[0] for r in rows if r[2] >= ends[0] - length]
+        slices = F.array(*[F.struct(F.lit(i).cast("long").alias("slice"), F.lit(e).cast("long").alias("end")) for i, e in enumerate(ends)])
+        inside = F.filter(slices, lambda x: (t >= x["end"] - length) & (t <= x["end"]))
+        buffer = self._buffer(live).select("*", F.explode(F.transform(inside, lambda x: x["slice"])).alias("slice"))
+        new = self.prediction_pass(buffer)
+        old = _latest_before(self.spark, self.registry_path, batch_id, REGISTRY_SCHEMA)
+        merged = old.withColumn("slice", F.lit(-1).cast("long")).unionByName(new)
+        reg = merged.groupBy("mmsi").agg(F.max_by(F.struct(*REGISTRY_COLUMNS[1:]), F.col("slice")).alias("r")) \
+            .select("mmsi", "r.*")
+        reg.write.mode("overwrite").parquet(f"{self.registry_path}/v={batch_id}")
 
     def _commit(self, rows: list, running: int | None, batch_id: int) -> None:
         """The meta version, and away with what neither it nor the version before needs (a
@@ -350,9 +354,6 @@ class Predictor:
         for root in (self.meta_path, self.registry_path):
             for v in _versions(spark, root)[:-2]:
                 _delete(spark, f"{root}/v={v}")
-        for name, path in _children(spark, self.registry_path):
-            if name.startswith("slice="):
-                _delete(spark, path)
 
     def flush(self) -> None:
         """A pass over the messages that still wait for ``pass_every`` (the end of a finite stream)."""
