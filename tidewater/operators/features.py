@@ -72,9 +72,9 @@ def rolling_sog(df: DataFrame, ts: str = "base_date_time", bucket_us: int = DAY_
     """Mean sog over (t - 6 h, t] and (t - 24 h, t] per vessel.
 
     Equal-timestamp pings are peers and see each other (RANGE frame). Means
-    are differences of exact prefix sums (`rolling_range_mean`), so they cost
-    the same for a vessel of any size and do not depend on how its rows are
-    cut into buckets. ``widths`` (`hot_key_widths`) gives hot vessel ids
+    are running sums of what enters and leaves the window (`rolling_range_mean`),
+    exact, so they are linear in a vessel's rows and do not depend on how these
+    are cut into buckets. ``widths`` (`hot_key_widths`) gives hot vessel ids
     narrower buckets."""
     t = with_key_width(df.withColumn("_t", epoch_us(F.col(ts))), "mmsi", widths, bucket_us)
     wins = {k: h * US_PER_HOUR for k, h in ROLLING_WINDOWS_H.items()}

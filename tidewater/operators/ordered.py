@@ -176,70 +176,40 @@ def global_index(df: DataFrame, key: str, t_col: str, order: Sequence[str], buck
     )
 
 
-def bucketed_last_at_or_before(rows: DataFrame, events: DataFrame, keys: Sequence[str], t_col: str,
-                               bucket_us: int, payloads: Sequence[str]) -> DataFrame:
-    """As-of backward: for every row of ``rows``, each payload column of the
-    latest row of ``events`` (same key) with event time <= row time where
-    that payload is not NULL. ``events`` carries ``keys``, ``t_col`` and the
-    payload columns (output under the same names).
-
-    One union partitioned by (key, bucket); events of earlier buckets enter
-    through one head row per bucket from a per-(key, bucket) summary."""
-    keys, payloads = list(keys), list(payloads)
-    wcol = [bucket_us] if isinstance(bucket_us, str) else []
-    r = rows.withColumn("_b", bucket_of(F.col(t_col), bucket_us)).withColumn("_k", F.lit(1))
-    e = events.select(*keys, t_col, *payloads, *wcol) \
-        .withColumn("_b", bucket_of(F.col(t_col), bucket_us)).withColumn("_k", F.lit(0))
-    last_in_b = e.groupBy(*keys, "_b").agg(*[
-        F.max_by(p, F.when(F.col(p).isNotNull(), F.col(t_col))).alias(f"_l_{p}") for p in payloads])
-    row_b = r.groupBy(*keys, "_b").agg(F.lit(True).alias("_has"), *_width_aggs(bucket_us))
-    wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    heads = (row_b.join(last_in_b, keys + ["_b"], "full")
-             .select(*keys, "_b", "_has", *wcol, *[F.last(f"_l_{p}", True).over(wb).alias(p) for p in payloads])
-             .where(F.col("_has"))
-             .select(*keys, "_b", (F.col("_b") * _width(bucket_us) - 1).alias(t_col), F.lit(-1).alias("_k"),
-                     *payloads))
-    e_in = e.join(row_b.select(*keys, "_b"), keys + ["_b"], "left_semi").drop(*wcol)
-    u = r.unionByName(e_in, allowMissingColumns=True).unionByName(heads, allowMissingColumns=True)
-    w = Window.partitionBy(*keys, "_b").orderBy(t_col, "_k") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    for p in payloads:
-        u = u.withColumn(p, F.last(p, True).over(w))
-    return u.where(F.col("_k") == 1).drop("_b", "_k")
-
-
 def rolling_range_mean(df: DataFrame, keys: Sequence[str], t_col: str, value: str,
                        windows: dict[str, int], bucket_us) -> DataFrame:
     """Time-range rolling means over (t - w, t] per key, exact, with no
     lower bound on the bucket width (so hot keys can use narrow buckets).
 
-    mean = (S(t) - S(t - w)) / (N(t) - N(t - w)) where S, N are per-key
-    cumulative sums and counts of non-null values over distinct timestamps
-    (peers share one value, as in a RANGE frame). Sums are DECIMAL, so the
-    differences are exact. S(t - w) is the as-of value of the same table
-    shifted by w (all windows in one pass). Results are joined back on
+    Every distinct (key, t) enters a window with its sum and count of non-null
+    values at t (peers share one value, as in a RANGE frame) and leaves it at
+    t + w, before what enters then. The window's sum at t is the running sum of
+    what has entered and left, all windows in one pass. Sums are DECIMAL, so
+    leaving takes off exactly what entering added. Results are joined back on
     (key, t)."""
     keys = list(keys)
     dec = "decimal(38,12)"
     wcol = [bucket_us] if isinstance(bucket_us, str) else []
     pts = df.groupBy(*keys, t_col).agg(
-        F.sum(F.col(value).cast(dec)).alias("_s"), F.count(value).alias("_c"),
+        F.coalesce(F.sum(F.col(value).cast(dec)), F.lit(0)).cast(dec).alias("_s"), F.count(value).alias("_c"),
         *[F.first(c).alias(c) for c in wcol])
-    cum = bucketed_cumsum(pts, keys, t_col, bucket_us, {
-        "_cs": F.coalesce(F.col("_s"), F.lit(0).cast(dec)), "_cn": F.col("_c")}).drop("_s", "_c")
-    shifted = None
-    for name, w in windows.items():
-        part = cum.select(*keys, (F.col(t_col) + w).alias(t_col), *wcol,
-                          *[F.struct(F.col("_cs").alias("S"), F.col("_cn").alias("N")).alias(f"_o_{n}")
-                            if n == name else F.lit(None).cast("struct<S:decimal(38,12),N:bigint>").alias(f"_o_{n}")
-                            for n in windows])
-        shifted = part if shifted is None else shifted.unionByName(part)
-    out = bucketed_last_at_or_before(cum, shifted, keys, t_col, bucket_us, [f"_o_{n}" for n in windows])
-    for name in windows:
-        n = F.col("_cn") - F.coalesce(F.col(f"_o_{name}.N"), F.lit(0))
-        s = F.col("_cs") - F.coalesce(F.col(f"_o_{name}.S"), F.lit(0).cast(dec))
-        out = out.withColumn(name, F.when(n > 0, (s / n).cast("double"))).drop(f"_o_{name}")
-    return df.join(out.drop("_cs", "_cn", *wcol), keys + [t_col], "left")
+
+    def event(at, sign, enters, window):
+        return F.struct(at.alias("t"), (F.col("_s") * sign).cast(dec).alias("s"), (F.col("_c") * sign).alias("c"),
+                        F.lit(enters).alias("_e"), F.lit(window).alias("w"))
+    events = [event(F.col(t_col), 1, 1, -1)] + [event(F.col(t_col) + w, -1, 0, i) for i, w in enumerate(windows.values())]
+    e = pts.select(*keys, *wcol, F.explode(F.array(*events)).alias("_x")) \
+        .select(*keys, *wcol, F.col("_x.t").alias(t_col), F.col("_x.s").alias("_s"), F.col("_x.c").alias("_c"),
+                F.col("_x._e").alias("_e"), F.col("_x.w").alias("_win"))
+    sums = {}
+    for i in range(len(windows)):
+        mine = (F.col("_e") == 1) | (F.col("_win") == i)
+        sums[f"_S{i}"] = F.when(mine, F.col("_s")).otherwise(F.lit(0).cast(dec))
+        sums[f"_N{i}"] = F.when(mine, F.col("_c")).otherwise(F.lit(0).cast("long"))
+    run = bucketed_cumsum(e, keys, t_col, bucket_us, sums, order=["_e"]).where("_e = 1")
+    means = [F.when(F.col(f"_N{i}") > 0, (F.col(f"_S{i}") / F.col(f"_N{i}")).cast("double")).alias(name)
+             for i, name in enumerate(windows)]
+    return df.join(run.select(*keys, t_col, *means), keys + [t_col], "left")
 
 
 def range_running_sum(df: DataFrame, groups: Sequence[str], order: Sequence[str], value: Column, out_col: str) -> DataFrame:
