@@ -33,7 +33,7 @@ def _signed(x):
 def brute_imatch(text, df, n):
     words = set(_TERM.findall((text or "").lower()))
     band = {w for w in words if df.get(w, 0) >= imatch.LOW * n and df.get(w, 0) <= max(1, imatch.HIGH * n) and df.get(w)}
-    hashes = sorted((xxhash.xxh64_intdigest(w.encode(), 42) for w in (band or words)), key=_signed)
+    hashes = sorted((xxhash.xxh64_intdigest(w.encode(), 42) for w in (band if len(band) >= imatch.MIN_TERMS else words)), key=_signed)
     level = max(0, math.floor(math.log2(max(1, len(hashes)) / 64)) + 2)
     entries = []
     for l in (level, level + 1):
@@ -142,6 +142,24 @@ def test_conversations_long_and_odd(spark):
     seg = chat.render_conversations(df.where("conv_id = 77")).collect()
     assert len(seg) >= 700 // chat.SEGMENT and "".join(s.formatted for s in sorted(seg, key=lambda s: (s.block, s.seq))) == \
         chat.Marked.render(by[77])
+    for x in seg:
+        assert "".join(x.formatted[t.start:t.stop] for t in x.turns) == x.formatted and not x.rewrites
+
+
+def test_rewrites_are_reported_per_conversation(spark):
+    class Forgetful:  # shows the last assistant turn's text only; not local
+        local = False
+
+        @staticmethod
+        def render(turns):
+            last = max((i for i, t in enumerate(turns) if t[0] == "assistant"), default=-1)
+            return "".join(f"[{r}]{t if r != 'assistant' or i == last else '-'}\n" for i, (r, t) in enumerate(turns))
+    rows = [(c, t, "assistant" if t % 2 else "user", f"t{t}") for c in (1, 2) for t in range(100 if c == 1 else 2)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.render_conversations(df, Forgetful).collect()}
+    assert len(got) == 2 and list(got[2].rewrites) == [] and list(got[1].rewrites) == list(range(3, 100, 2))
+    last = got[1].loss[-1]
+    assert got[1].formatted[last.start:last.stop] == "t99"
 
 
 # --- 3: pages
@@ -304,3 +322,13 @@ def test_bad_branches_are_blocked(spark):
         assert r.verdict == ("block" if "/spam/" in r.path or r.host == "bad.example" and r.page_id is not None else r.verdict)
         if r.host == "site.example" and "/spam/" not in r.path:
             assert r.verdict == "allow"
+
+
+def test_candidates_next_to_spans():
+    rng = random.Random(4)
+    for _ in range(500):
+        ends = sorted(rng.sample(range(60), 2 * rng.randrange(1, 6)))
+        cands = list(zip(ends[::2], ends[1::2]))
+        spans = sorted((a, a + rng.randrange(1, 15), 0) for a in rng.sample(range(60), rng.randrange(6)))
+        want = [not any(a < hi and lo < b for a, b, _ in spans) for lo, hi in cands]
+        assert secretscan.uncovered(cands, spans) == want

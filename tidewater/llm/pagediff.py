@@ -56,7 +56,7 @@ _DROP_WORDS = re.compile(
     r"^(ads?|advert\w*|sponsor\w*|promo\w*|banners?|sidebars?|aside|menus?|nav|navbar|navigation|breadcrumbs?|footer|masthead|"
     r"cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|"
     r"recommended|comments?|replies|respond|disqus|pagination|pager|toolbar|widget|skip)$")
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([A-Za-z][^\s/<>]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 

@@ -47,7 +47,7 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # 18 characters and more
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
-_LETTER_DIGIT = re.compile(r"[A-Za-z].*[0-9]|[0-9].*[A-Za-z]")
+_LETTER, _DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
 _PIECE = re.compile(r"[A-Za-z0-9]{12,}")
 _CHANGES = re.compile(r"[a-z](?=[A-Z0-9])|[A-Z](?=[0-9])|[0-9](?=[A-Za-z])")
 _IS_HEX = re.compile(r"[0-9a-f]+")
@@ -83,7 +83,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _RUN.finditer(text) if _LETTER_DIGIT.search(m[0])]
+    return [m.span() for m in _RUN.finditer(text) if _DIGIT.search(m[0]) and _LETTER.search(m[0])]
 
 
 def keylike(token: str) -> bool:
@@ -91,8 +91,15 @@ def keylike(token: str) -> bool:
     return any(len(_CHANGES.findall(piece)) >= 4 for piece in _PIECE.findall(token))
 
 
-def _overlaps(spans: list[tuple[int, int, int]], lo: int, hi: int) -> bool:
-    return any(a < hi and lo < b for a, b, _ in spans)
+def uncovered(cands: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[bool]:
+    """Whether each candidate overlaps no span; both ascend by start, one pass over the two."""
+    out, at, reach = [], 0, -1
+    for lo, hi in cands:
+        while at < len(spans) and spans[at][0] < hi:
+            reach = max(reach, spans[at][1])
+            at += 1
+        out.append(reach <= lo)
+    return out
 
 
 def window(text: str, lo: int, hi: int) -> bytes:
@@ -172,7 +179,10 @@ def train(findings: list[tuple[bytes, int, int]], fit: Fit = Fit()) -> Model:
 def scan(texts: list[str | None], model: Model) -> list[dict]:
     """Spans of every text; the candidates of all the texts are scored together."""
     base = [base_spans(t or "") for t in texts]
-    more = [(i, lo, hi) for i, t in enumerate(texts) for lo, hi in candidates(t or "") if not _overlaps(base[i], lo, hi)]
+    more = []
+    for i, t in enumerate(texts):
+        cands = candidates(t or "")
+        more += [(i, lo, hi) for (lo, hi), free in zip(cands, uncovered(cands, base[i])) if free]
     spans = [list(b) for b in base]
     for at in range(0, len(more), 1024):
         some = more[at:at + 1024]
@@ -198,9 +208,9 @@ def findings(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             out = []
             for text in batch.iloc[:, 0]:
-                base = base_spans(text)
-                for lo, hi in candidates(text):
-                    label = _overlaps(base, lo, hi)
+                cands = candidates(text)
+                for (lo, hi), free in zip(cands, uncovered(cands, base_spans(text))):
+                    label = not free
                     if label or not keylike(text[lo:hi]):
                         out.append((window(text, lo, hi), _class(text[lo:hi]), int(label)))
             yield pd.DataFrame(out, columns=["window", "kind", "label"])
