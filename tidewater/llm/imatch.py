@@ -9,7 +9,8 @@ sorted terms that a document has in one (level, part). A document uses the level
 at which a part holds 1/4 to 1/2 and 1/8 to 1/4 of one of its terms on average: most
 entries hash one or two terms, so the share of equal entries follows the overlap
 of the term sets, a long text is as robust to an edit as a short one, and two versions
-of a text share a level. A document without any lexicon term uses all its terms.
+of a text share a level. A document with fewer than ``MIN_TERMS`` lexicon terms uses
+all its terms: a hash of one or two rare words would say nothing of the rest.
 
 Document frequencies are exact counts over all documents, aggregated map side
 first. The lexicon reaches the documents as a Bloom filter of fixed size, a
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import neighbours, setup, stage_table
 
 LOW, HIGH = 1 / 2000, 1 / 20
+MIN_TERMS = 8
 SUBSETS = 64      # the top 6 bits of a term's hash
 LEVELS = 2
 BLOCK_BITS = 6    # documents meet their neighbours in blocks of 64 consecutive ids
@@ -95,7 +97,7 @@ def with_fingerprint(df: DataFrame, text: Column, bits: Column, out: str) -> Dat
     cols = df.columns
     d = df.withColumn("_t", terms(text))
     d = d.withColumn("_band", F.filter("_t", lambda h: _in_lexicon(bits, h)))
-    d = d.withColumn("_u", F.sort_array(F.when(F.size("_band") > 0, F.col("_band")).otherwise(F.col("_t"))))
+    d = d.withColumn("_u", F.sort_array(F.when(F.size("_band") >= MIN_TERMS, F.col("_band")).otherwise(F.col("_t"))))
     d = d.withColumn("_level", F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.size("_u"), F.lit(1)) / SUBSETS)).cast("int") + 2))
     last = F.col("_u")
     for i in range(LEVELS):
