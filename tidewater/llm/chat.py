@@ -105,11 +105,11 @@ def trace(render: Callable[[list[Turn]], str], turns: list[Turn]) -> tuple[str,
     return before, spans, contents, rewrites
 
 
+_SPAN = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
 _SEGMENTS = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("seq", pa.int64()), ("formatted", pa.large_string()),
-                       ("loss", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-                       ("rewrites", pa.int64())])
-_SEGMENT_DDL = ("conv_id long, block long, seq long, formatted string, "
-                "loss array<struct<start:long, stop:long>>, rewrites long")
+                       ("turns", pa.list_(_SPAN)), ("loss", pa.list_(_SPAN)), ("rewrites", pa.list_(pa.int64()))])
+_SEGMENT_DDL = ("conv_id long, block long, seq long, formatted string, turns array<struct<start:long, stop:long>>, "
+                "loss array<struct<start:long, stop:long>>, rewrites array<long>")
 
 
 def _segments(template):
@@ -118,9 +118,10 @@ def _segments(template):
         key, turns, seq = None, [], 0
 
         def close() -> dict:
-            out, _, contents, rewrites = trace(template.render, turns)
-            loss = [{"start": c[0], "stop": c[1]} for (role, _), c in zip(turns, contents) if role == LOSS_ROLE and c]
-            return {"conv_id": key[0], "block": key[1], "seq": seq, "formatted": out, "loss": loss, "rewrites": len(rewrites)}
+            out, spans, contents, rewrites = trace(template.render, turns)
+            loss = [c for (role, _), c in zip(turns, contents) if role == LOSS_ROLE and c]
+            return {"conv_id": key[0], "block": key[1], "seq": seq, "formatted": out, "rewrites": rewrites,
+                    **{name: [{"start": a, "stop": b} for a, b in found] for name, found in (("turns", spans), ("loss", loss))}}
         for batch in batches:
             done = []
             for conv, block, role, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -139,9 +140,10 @@ def _segments(template):
 
 def render_conversations(rows: DataFrame, template=Marked, conv_col: str = "conv_id", turn_col: str = "turn",
                          role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, block, seq, formatted, loss (code point spans of the assistant's escaped
-    texts in ``formatted``), rewrites: the segments of every conversation; ordered by
-    (block, seq) they are its output. Conversations of at most ``SEGMENT`` turns, and all
+    """conv_id, block, seq, formatted, turns and loss (code point spans, in ``formatted``,
+    of every turn and of the assistant's escaped texts), rewrites (turns that changed
+    earlier output): the segments of every conversation; ordered by (block, seq) they
+    are its output. Conversations of at most ``SEGMENT`` turns, and all
     those of a template that is not local, are one segment."""
     setup(rows.sparkSession)
     t = rows.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"),
@@ -183,7 +185,7 @@ def _digests(template):
                     state["loss_chars"] += len(text)
                     state["loss"].update(text.encode())
                 state["formatted_chars"] += len(x["formatted"])
-                state["rewrites"] += x["rewrites"]
+                state["rewrites"] += len(x["rewrites"])
             yield _table(done)
         if state:
             yield _table([state])
