@@ -324,6 +324,33 @@ def test_bad_branches_are_blocked(spark):
             assert r.verdict == "allow"
 
 
+def labelled_pages(spark, groups):
+    """groups: (urls, share of bad pages as one in k, 0 for none)."""
+    rows, labels = [], []
+    for urls, one_in in groups:
+        for j, url in enumerate(urls):
+            labels.append((len(rows), 0 if one_in and j % one_in == 0 else 1, 0))
+            rows.append((len(rows), url, None))
+    return (spark.createDataFrame(rows, "page_id long, url string, html string"),
+            spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+
+
+def test_deep_branches_are_told_apart(spark):
+    site = "http://site.example"
+    groups = [([f"{site}/forum/casino/{i}" for i in range(300)], 1), ([f"{site}/forum/help/{i}" for i in range(600)], 0),
+              ([f"{site}/a/b/c/d/bad/{i}/" for i in range(300)], 1), ([f"{site}/a/b/c/d/good/{i}" for i in range(600)], 0),
+              ([f"{site}/en/{i}" for i in range(300)], 0), ([f"{site}/en/{i}/" for i in range(300)], 0),
+              (["http://long.example" + "/x" * 60 + "/1"], 1), ([f"http://long.example/y/{i}" for i in range(99)], 0)]
+    pages, labels = labelled_pages(spark, groups)
+    got = urltree.judge(pages, labels).collect()
+    assert len(got) == pages.count()
+    for r in got:
+        assert r.verdict == ("block" if "/casino/" in r.path or "/bad/" in r.path else "allow")
+    p, leaves = urltree.templates(pages, labels)
+    assert leaves.where("host = 'site.example' and pattern = 'en/*'").first().n == 600
+    assert urltree.tree(leaves).count() == leaves.count()
+
+
 def test_candidates_next_to_spans():
     rng = random.Random(4)
     for _ in range(500):

@@ -3,15 +3,19 @@
 Templates. A path's segments are generalised: one that is a number (with or without
 an extension), a long hexadecimal string or a date becomes ``*``. Of what is left,
 a segment that has more than ``MAX_CHILDREN`` siblings under its parent in a host
-becomes ``*`` too. Two levels are kept; deeper ones are cut off as ``**``.
+becomes ``*`` too. Every segment of a path is a level; slashes at its end are not.
 
 Merging. Sibling branches of a parent whose labelled shares of bad pages do not
 differ from the parent's by more than ``MERGE_Z`` standard errors are one branch
-(``~``); only branches that stand out keep a node of their own.
+(``~``); only branches that stand out keep a node of their own. A path that ends at a
+node is a branch of it too (an empty segment), at every level.
 
 Purity. A node's share of bad pages is smoothed towards its parent's smoothed share,
-the host's towards the whole table's, with a weight of ``PRIOR`` pages. A page whose
-node reaches ``BLOCK_AT`` is blocked. Pages are bad when labelled quality 0 or toxic 1.
+the host's towards the whole table's, with a weight of ``PRIOR`` pages. From the third
+level on, a node with all the labelled pages of its parent has its parent's share: the
+same pages are not counted again at each level of a long path. The tree is built level
+by level until no node has labelled paths that still differ. A page whose node reaches
+``BLOCK_AT`` is blocked. Pages are bad when labelled quality 0 or toxic 1.
 
 Explicit rules (host suffix, path prefix) come first; the longest that fits decides.
 
@@ -61,75 +65,84 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _segment(path: Column, i: int) -> Column:
-    """The i-th path segment, generalised by its form; empty if there is none."""
-    s = F.coalesce(F.get(F.split(path, "/"), F.lit(i)), F.lit(""))
-    return F.when(s.rlike(_VARIABLE), F.lit("*")).otherwise(s)
+def pattern_of(path: Column) -> Column:
+    """The path's segments, generalised by their form, without slashes at its ends."""
+    segments = F.slice(F.split(F.rtrim(path, F.lit("/")), "/"), 2, 1 << 30)
+    return F.array_join(F.transform(segments, lambda s: F.when(s.rlike(_VARIABLE), F.lit("*")).otherwise(s)), "/")
 
 
-def _shares(branches: DataFrame, keys: list[str], out: str, prior: Column) -> DataFrame:
-    """``branches`` summed by ``keys``, with ``out``: the share of bad pages smoothed towards ``prior``."""
-    sums = branches.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.first(prior).alias("prior"))
-    return sums.select(*keys, ((F.col("bad") + F.lit(PRIOR) * F.col("prior")) / (F.col("n") + F.lit(PRIOR))).alias(out))
+def _segment(level: int) -> Column:
+    """The pattern's segment at ``level``, from 1; empty if there is none."""
+    return F.coalesce(F.get(F.split("pattern", "/"), F.lit(level - 1)), F.lit(""))
 
 
 def templates(pages: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pages with host, path, s1, s2; nodes with their smoothed share ``purity``).
-
-    A node is (host, b1, b2), each b a segment, ``*`` or, merged, ``~``.
-    """
+    """(pages with host, path, pattern; labelled and bad pages of each host and pattern)."""
     setup(pages.sparkSession)
     seen = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(
         F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad"))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    p = pages.select("page_id", host.alias("host"), path.alias("path"))
-    p = p.withColumn("s1", _segment(F.col("path"), 1)).withColumn(
-        "s2", F.when(F.size(F.split("path", "/")) > 3, F.lit("**")).otherwise(_segment(F.col("path"), 2)))
-    counted = stage_table(p.join(seen, F.col("page_id") == F.col("_id"), "left").groupBy("host", "s1", "s2")
+    p = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("pattern", pattern_of(F.col("path")))
+    counted = stage_table(p.join(seen, F.col("page_id") == F.col("_id"), "left").groupBy("host", "pattern")
                           .agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")), "leaves")
     return p, counted
 
 
-def _wild(leaves: DataFrame, level: str, parent: list[str], out: str) -> DataFrame:
-    """Map of the segments of ``level`` to themselves, or to ``*`` under a parent with many children."""
-    kids = leaves.select(*parent, level).distinct()
-    many = kids.groupBy(*parent).agg((F.count("*") > MAX_CHILDREN).alias("_many"))
-    return leaves.join(many, parent).withColumn(out, F.when(F.col("_many"), F.lit("*")).otherwise(F.col(level))).drop("_many")
+def _wild(leaves: DataFrame, level: int) -> DataFrame:
+    """``leaves`` with ``seg``: the segment at ``level``, or ``*`` under a node with many children."""
+    t = leaves.withColumn("seg", _segment(level))
+    many = t.select("node", "seg").distinct().groupBy("node").agg((F.count("*") > MAX_CHILDREN).alias("_many"))
+    return t.join(many, "node").withColumn("seg", F.when(F.col("_many"), F.lit("*")).otherwise(F.col("seg"))).drop("_many")
 
 
-def _merge(counts: DataFrame, level: str, parent: list[str], out: str) -> DataFrame:
-    """``counts`` with ``out``: the branch name, ``~`` where its share is like the parent's."""
-    by = counts.groupBy(*parent, level).agg(F.sum("n").alias("_n"), F.sum("bad").alias("_b"))
-    up = by.groupBy(*parent).agg(F.sum("_n").alias("_pn"), F.sum("_b").alias("_pb"))
+def _descend(leaves: DataFrame, level: int) -> DataFrame:
+    """``leaves`` with ``node`` and ``purity`` of the branch at ``level`` below their node:
+    the segment there, or ``~`` where its share is like the node's."""
+    t = _wild(leaves, level)
+    by = t.groupBy("node", "seg").agg(F.sum("n").alias("_n"), F.sum("bad").alias("_b"), F.first("purity").alias("_prior"))
+    up = by.groupBy("node").agg(F.sum("_n").alias("_pn"), F.sum("_b").alias("_pb"))
     share = F.col("_pb") / F.greatest(F.col("_pn"), F.lit(1))
     error = F.sqrt((share * (1 - share) + F.lit(1e-9)) / F.greatest(F.col("_n"), F.lit(1)))
     z = F.abs(F.col("_b") / F.greatest(F.col("_n"), F.lit(1)) - share) / error
-    named = by.join(up, parent).select(*parent, level, F.when((F.col("_n") == 0) | (z <= MERGE_Z), F.lit("~")).otherwise(F.col(level)).alias(out))
-    return counts.join(named, [*parent, level])
+    by = by.join(up, "node").withColumn(
+        "branch", F.when((F.col("_n") == 0) | (z <= MERGE_Z), F.lit("~")).otherwise(F.col("seg")))
+    sums = by.groupBy("node", "branch").agg(F.sum("_n").alias("_n"), F.sum("_b").alias("_b"), F.first("_prior").alias("_prior"),
+                                            F.first("_pn").alias("_pn"))
+    smooth = (F.col("_b") + F.lit(PRIOR) * F.col("_prior")) / (F.col("_n") + F.lit(PRIOR))
+    whole = F.lit(level > 2) & (F.col("_n") == F.col("_pn"))
+    sums = sums.select("node", "branch", F.when(whole, F.col("_prior")).otherwise(smooth).alias("_purity"))
+    named = by.select("node", "seg", "branch").join(sums, ["node", "branch"])
+    return (t.drop("purity").join(named, ["node", "seg"])
+            .select("host", "pattern", "n", "bad", F.concat("node", F.lit("/"), "branch").alias("node"), F.col("_purity").alias("purity")))
+
+
+def _open(leaves: DataFrame, level: int) -> bool:
+    """Whether a node at ``level`` has labelled pages whose paths differ below it."""
+    rest = F.array_join(F.slice(F.split("pattern", "/"), level + 1, 1 << 30), "/")
+    below = leaves.where("n > 0").groupBy("node").agg(F.min(rest).alias("lo"), F.max(rest).alias("hi"))
+    return not below.where("lo <> hi").isEmpty()
 
 
 def tree(leaves: DataFrame) -> DataFrame:
-    """(host, s1, s2, node, purity) for every leaf pattern seen: the node it falls
-    into and the node's smoothed share of bad pages."""
-    t = _wild(leaves, "s1", ["host"], "w1")
-    t = _merge(t, "w1", ["host"], "b1")
-    t = _wild(t, "s2", ["host", "b1"], "w2")
-    t = stage_table(_merge(t, "w2", ["host", "b1"], "b2"), "branches")
-    whole = t.agg(F.sum("n").alias("_n0"), F.sum("bad").alias("_b0")).select(
+    """(host, pattern, node, purity) for every pattern seen: the node it falls into
+    and the node's smoothed share of bad pages."""
+    whole = leaves.agg(F.sum("n").alias("_n0"), F.sum("bad").alias("_b0")).select(
         (F.coalesce(F.col("_b0"), F.lit(0)) / F.greatest(F.coalesce("_n0", F.lit(0)), F.lit(1))).alias("share"))
-    share = whole.scalar()
-    t = t.join(_shares(t, ["host"], "p0", share), "host")
-    t = t.join(_shares(t, ["host", "b1"], "p1", F.col("p0")), ["host", "b1"])
-    t = t.join(_shares(t, ["host", "b1", "b2"], "purity", F.col("p1")), ["host", "b1", "b2"])
-    node = F.concat("host", F.lit("/"), "b1", F.lit("/"), "b2")
-    return t.select("host", "s1", "s2", node.alias("node"), "purity")
+    hosts = leaves.groupBy("host").agg(F.sum("n").alias("_n"), F.sum("bad").alias("_b")).select(
+        "host", F.col("host").alias("node"), ((F.col("_b") + F.lit(PRIOR) * whole.scalar()) / (F.col("_n") + F.lit(PRIOR))).alias("purity"))
+    t, level = stage_table(_descend(leaves.join(hosts, "host"), 1), "level"), 2
+    t = stage_table(_descend(t, level), "level")
+    while _open(t, level):
+        level += 1
+        t = stage_table(_descend(t, level), "level")
+    return t.select("host", "pattern", "node", "purity")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict for every page."""
     p, leaves = templates(pages, labels)
-    bad = stage_table(tree(leaves).where(F.col("purity") >= BLOCK_AT).select("host", "s1", "s2", F.lit("block").alias("_bad")), "blocked")
+    bad = stage_table(tree(leaves).where(F.col("purity") >= BLOCK_AT).select("host", "pattern", F.lit("block").alias("_bad")), "blocked")
     rule, decided = rule_for(F.col("host"), F.col("path"), rules)
-    return (p.join(maybe_broadcast(bad), ["host", "s1", "s2"], "left")
+    return (p.join(maybe_broadcast(bad), ["host", "pattern"], "left")
             .select("page_id", "host", "path", rule.alias("rule"),
                     F.coalesce(decided, F.col("_bad"), F.lit("allow")).alias("verdict")))
