@@ -351,6 +351,17 @@ def test_deep_branches_are_told_apart(spark):
     assert urltree.tree(leaves).count() == leaves.count()
 
 
+def test_bad_directory_among_many(spark):
+    """A directory is judged by its own pages, with 51 siblings or more as with few."""
+    for others in (49, 50, 200):
+        groups = [([f"http://site.example/dir{d}/{i}" for i in range(5)], 0) for d in range(others)]
+        groups.append(([f"http://site.example/casino/{i}" for i in range(300)], 1))
+        groups += [([f"http://deep.example/a/dir{d}/{i}" for i in range(5)], 0) for d in range(others)]
+        groups.append(([f"http://deep.example/a/casino/{i}" for i in range(300)], 1))
+        for r in urltree.judge(*labelled_pages(spark, groups)).collect():
+            assert r.verdict == ("block" if "/casino/" in r.path else "allow")
+
+
 def test_candidates_next_to_spans():
     rng = random.Random(4)
     for _ in range(500):

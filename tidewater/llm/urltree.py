@@ -1,13 +1,13 @@
 """URL filtering by a path-template tree.
 
 Templates. A path's segments are generalised: one that is a number (with or without
-an extension), a long hexadecimal string or a date becomes ``*``. Of what is left,
-a segment that has more than ``MAX_CHILDREN`` siblings under its parent in a host
-becomes ``*`` too. Every segment of a path is a level; slashes at its end are not.
+an extension), a long hexadecimal string or a date becomes ``*``. Every segment of a
+path is a level; slashes at its end are not.
 
 Merging. Sibling branches of a parent whose labelled shares of bad pages do not
 differ from the parent's by more than ``MERGE_Z`` standard errors are one branch
-(``~``); only branches that stand out keep a node of their own. A path that ends at a
+(``~``); only branches that stand out keep a node of their own. Each segment is tested by
+its own labelled pages, however many siblings it has. A path that ends at a
 node is a branch of it too (an empty segment), at every level.
 
 Purity. A node's share of bad pages is smoothed towards its parent's smoothed share,
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import maybe_broadcast, setup, stage_table
 
-MAX_CHILDREN = 50
+MAX_CHILDREN = 50  # of the oracle's SQL alone; the tree has no such limit
 MERGE_Z = 3.0
 PRIOR = 20.0
 BLOCK_AT = 0.5
@@ -88,17 +88,10 @@ def templates(pages: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame
     return p, counted
 
 
-def _wild(leaves: DataFrame, level: int) -> DataFrame:
-    """``leaves`` with ``seg``: the segment at ``level``, or ``*`` under a node with many children."""
-    t = leaves.withColumn("seg", _segment(level))
-    many = t.select("node", "seg").distinct().groupBy("node").agg((F.count("*") > MAX_CHILDREN).alias("_many"))
-    return t.join(many, "node").withColumn("seg", F.when(F.col("_many"), F.lit("*")).otherwise(F.col("seg"))).drop("_many")
-
-
 def _descend(leaves: DataFrame, level: int) -> DataFrame:
     """``leaves`` with ``node`` and ``purity`` of the branch at ``level`` below their node:
     the segment there, or ``~`` where its share is like the node's."""
-    t = _wild(leaves, level)
+    t = leaves.withColumn("seg", _segment(level))
     by = t.groupBy("node", "seg").agg(F.sum("n").alias("_n"), F.sum("bad").alias("_b"), F.first("purity").alias("_prior"))
     up = by.groupBy("node").agg(F.sum("_n").alias("_pn"), F.sum("_b").alias("_pb"))
     share = F.col("_pb") / F.greatest(F.col("_pn"), F.lit(1))
