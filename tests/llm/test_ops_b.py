@@ -370,3 +370,29 @@ def test_candidates_next_to_spans():
         spans = sorted((a, a + rng.randrange(1, 15), 0) for a in rng.sample(range(60), rng.randrange(6)))
         want = [not any(a < hi and lo < b for a, b, _ in spans) for lo, hi in cands]
         assert secretscan.uncovered(cands, spans) == want
+
+
+def test_long_candidates_are_seen_whole():
+    rng = random.Random(8)
+    key = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    path = lambda n: "/".join(rng.choice(["docs", "page1", "images", "2024", "index"]) for _ in range(n))
+    for n in range(12, 300):
+        seen = {x for a, b in secretscan.parts(7, 7 + n) for x in range(a, b)}
+        assert seen == set(range(7, 7 + n)) and all(b - a <= secretscan.BODY for a, b in secretscan.parts(7, 7 + n))
+    cuts = []
+    for _ in range(700):
+        cuts += secretscan.labelled(f"see {path(12)}/1.html and token = {key(32)} here")
+        cuts += secretscan.labelled(f"at {path(12)}/{rng.choice(['token=', 'secret='])}{key(40)} then")
+        cuts += secretscan.labelled(f"visit {path(3)}/page7 and more")
+    rng.shuffle(cuts)
+    model = secretscan.train(cuts)
+    model.thresholds = (0.5, 0.5)
+    for _ in range(20):
+        text = f"go to {path(12)}/{key(40)} now"  # the key begins behind the first BODY characters
+        plain = f"go to {path(20)}/page1 now"
+        spans = [secretscan.scan([t], model)[0]["spans"] for t in (text, plain)]
+        assert spans == [f"cnn:6:{len(text) - 4}", ""]
+    both = f"id {key(22)}+{'0123456789abcdef'}+{key(22)} end"  # the hex run in it is a base span
+    got = secretscan.scan([both], model)[0]
+    assert got["base"] != got["spans"] and f"cnn:3:{len(both) - 4}" in got["spans"]
+    assert secretscan.scan([f"token = {key(32)}"], model)[0]["spans"].startswith("assign:0:40")

@@ -3,13 +3,16 @@
 Three patterns (assignments to password-like names, access keys, long hexadecimal
 runs) give the base spans, which always stand. A candidate is any run of 12 and more
 token characters with a letter and a digit, wherever it stands in the text. The
-network sees the candidate and its surroundings: ``LEFT`` characters before it, its first
-``BODY``, and ``RIGHT`` after; it adds the candidates it accepts that no base span
-overlaps, as kind ``cnn``.
+network sees windows of ``BODY`` characters of it, ``STEP`` apart and over all of it, each
+with ``LEFT`` characters before and ``RIGHT`` after; a candidate is accepted by any of its
+windows. Accepted candidates of which a character is in no base span are added whole, as
+kind ``cnn``; the others are reported already.
 
 It is trained on labelled findings of the corpus: candidates of a bounded sample of
-documents (``Fit.docs``), positive where a base span overlaps, negative where not and
-the form is not a key's either (`keylike`: a long piece that mixes character classes often).
+documents (``Fit.docs``), window by window: positive where a base span overlaps, negative
+where not and the candidate's form is not a key's either (`keylike`: a long piece that mixes
+character classes often). A window of a longer candidate that holds a few characters of a
+span alone is left out.
 What looks like a key but has no name before it is unknown and not trained on. Each
 positive comes a second time with its left context replaced by that of a negative, so
 that a secret's form counts without the name before it. The findings are split by hash into
@@ -38,6 +41,8 @@ from tidewater.llm.common import setup
 KINDS = ("assign", "access", "hex", "cnn")
 LEFT, BODY, RIGHT = 20, 44, 8
 WIDTH = LEFT + BODY + RIGHT
+STEP = BODY // 2
+SHORTEST = 12  # characters of a candidate
 KERNEL, FILTERS = 5, 16
 MIN_RECALL = 0.95
 CLASSES = 2  # lower-case hexadecimal candidates, and all others
@@ -102,14 +107,52 @@ def uncovered(cands: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -
     return out
 
 
+def beyond(cands: list[tuple[int, int]], spans: list[tuple[int, int, int]]) -> list[bool]:
+    """Whether each candidate has a character in no span; both ascend by start, one pass over the two."""
+    whole = []  # the spans' union
+    for lo, hi, _ in spans:
+        if whole and lo <= whole[-1][1]:
+            whole[-1][1] = max(whole[-1][1], hi)
+        else:
+            whole.append([lo, hi])
+    out, at = [], 0
+    for lo, hi in cands:
+        while at < len(whole) and whole[at][1] < hi:
+            at += 1
+        out.append(at == len(whole) or whole[at][0] > lo)
+    return out
+
+
+def parts(lo: int, hi: int) -> list[tuple[int, int]]:
+    """The candidate's windows: one if it fits, else overlapping ones, the last at its end."""
+    return [(at, at + BODY) for at in range(lo, hi - BODY, STEP)] + [(max(lo, hi - BODY), hi)]
+
+
 def window(text: str, lo: int, hi: int) -> bytes:
-    """The candidate and its context in WIDTH bytes; characters beyond ASCII are one byte."""
+    """A window and its context in WIDTH bytes; characters beyond ASCII are one byte."""
     def part(s: str) -> bytes:
         return s.encode("ascii", "replace")
-    left, body, right = part(text[max(0, lo - LEFT):lo]), part(text[lo:hi])[:BODY], part(text[hi:hi + RIGHT])
+    left, body, right = part(text[max(0, lo - LEFT):lo]), part(text[lo:hi]), part(text[hi:hi + RIGHT])
     return left.rjust(LEFT, b"\0") + body.ljust(BODY, b"\0") + right.ljust(RIGHT, b"\0")
 
 
+def labelled(text: str) -> list[tuple[bytes, int, int]]:
+    """(window, class, label) of the candidates' windows; what looks like a key without a span is left out."""
+    cands, spans = candidates(text), base_spans(text)
+    cuts = [parts(lo, hi) for lo, hi in cands]
+    free = iter(uncovered([w for c in cuts for w in c], spans))
+    # the windows with a span in all but their first or last SHORTEST - 1 characters
+    deep = iter(uncovered([(a + SHORTEST - 1, b - SHORTEST + 1) if len(c) > 1 else (a, b) for c in cuts for a, b in c], spans))
+    out = []
+    for (lo, hi), cut in zip(cands, cuts):
+        odd = keylike(text[lo:hi])
+        for a, b in cut:
+            none, few = next(free), next(deep)
+            if not few or none and not odd:
+                out.append((window(text, a, b), _class(text[a:b]), int(not few)))
+    return out
+
+
 def _class(token: str) -> int:
     return 0 if _IS_HEX.fullmatch(token) else 1
 
@@ -182,15 +225,15 @@ def scan(texts: list[str | None], model: Model) -> list[dict]:
     more = []
     for i, t in enumerate(texts):
         cands = candidates(t or "")
-        more += [(i, lo, hi) for (lo, hi), free in zip(cands, uncovered(cands, base[i])) if free]
-    spans = [list(b) for b in base]
+        more += [(i, c, a, b) for c, new in zip(cands, beyond(cands, base[i])) if new for a, b in parts(*c)]
+    spans, taken = [list(b) for b in base], set()
     for at in range(0, len(more), 1024):
         some = more[at:at + 1024]
-        rows = _rows([window(texts[i], lo, hi) for i, lo, hi in some])
+        rows = _rows([window(texts[i], a, b) for i, _, a, b in some])
         prob = sigmoid(model.scale[0] * _logits(vars(model), rows) + model.scale[1])
-        for (i, lo, hi), s in zip(some, prob):
-            if s >= model.thresholds[_class(texts[i][lo:hi])]:
-                spans[i].append((lo, hi, 3))
+        taken |= {(i, c) for (i, c, a, b), s in zip(some, prob) if s >= model.thresholds[_class(texts[i][a:b])]}
+    for i, c in taken:
+        spans[i].append((*c, 3))
     out = []
     for b, s in zip(base, spans):
         n = [sum(kind == k for _, _, kind in b) for k in range(3)]
@@ -203,16 +246,12 @@ def _joined(spans) -> str:
 
 
 def findings(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(window, kind, label): the labelled candidates of ``docs``."""
+    """(window, kind, label): the labelled windows of ``docs``."""
     def run(batches):
         for batch in batches:
             out = []
             for text in batch.iloc[:, 0]:
-                cands = candidates(text)
-                for (lo, hi), free in zip(cands, uncovered(cands, base_spans(text))):
-                    label = not free
-                    if label or not keylike(text[lo:hi]):
-                        out.append((window(text, lo, hi), _class(text[lo:hi]), int(label)))
+                out += labelled(text)
             yield pd.DataFrame(out, columns=["window", "kind", "label"])
     return docs.select(text_col).where(F.col(text_col).isNotNull()).mapInPandas(run, "window binary, kind int, label int")
 
