@@ -396,3 +396,23 @@ def test_long_candidates_are_seen_whole():
     got = secretscan.scan([both], model)[0]
     assert got["base"] != got["spans"] and f"cnn:3:{len(both) - 4}" in got["spans"]
     assert secretscan.scan([f"token = {key(32)}"], model)[0]["spans"].startswith("assign:0:40")
+
+
+def test_thresholds_keep_the_promised_recall(spark):
+    rng = random.Random(9)
+    model = secretscan.train([])
+    for low in (-4.0, -0.5, 3.0):  # positives that mostly score below even odds, and above
+        scores = sorted(rng.gauss(low, 1) for _ in range(400))
+        counts = Counter((1, 1, math.floor(x / secretscan.BIN)) for x in scores)
+        counts += Counter((1, 0, math.floor(rng.gauss(low - 3, 1) / secretscan.BIN)) for _ in range(900))
+        got = secretscan.calibrate(model, [(*k, n) for k, n in counts.items()])
+        a, b = got.scale
+        kept = sum(1 / (1 + math.exp(-(a * x + b))) >= got.thresholds[1] for x in scores)
+        assert 0.95 * 400 <= kept <= 0.97 * 400 and got.thresholds[0] == 2.0
+    # a class that the sample has hardly any of gets its threshold from all documents
+    key = lambda n, s: "".join(rng.choice(s) for _ in range(n))
+    rows = [(i, f"see page{i}/of/the/site and token = {key(32, 'abcdXYZW0123456789')} here", "s") for i in range(300)]
+    rows += [(300 + i, f"sum {key(40, 'abcdef0123456789')} of it", "s") for i in range(40)]
+    docs = docs_of(spark, rows)
+    model = secretscan.fit(docs, secretscan.Fit(docs=150, findings=60, epochs=3))
+    assert all(0 <= t < 1 for t in model.thresholds)

@@ -15,10 +15,11 @@ character classes often). A window of a longer candidate that holds a few charac
 span alone is left out.
 What looks like a key but has no name before it is unknown and not trained on. Each
 positive comes a second time with its left context replaced by that of a negative, so
-that a secret's form counts without the name before it. The findings are split by hash into
-a part to train on, one to calibrate the scores on (Platt scaling) and one to set the
-thresholds on: per class of candidate, the largest with at least ``MIN_RECALL`` of the
-positives.
+that a secret's form counts without the name before it. The weights are trained on part of
+the sample. The scores are calibrated (Platt scaling) and the thresholds set by counts of
+(class, label, score bin) over the labelled windows of all documents, without those the
+weights may come from: per class of window, the largest with at least ``MIN_RECALL`` of the
+positives, whatever it is.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans. Without
 positives of a class, nothing of that class is added.
@@ -27,7 +28,9 @@ positives of a class, nothing of that class is added.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+import zlib
+from collections import Counter
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -45,6 +48,7 @@ STEP = BODY // 2
 SHORTEST = 12  # characters of a candidate
 KERNEL, FILTERS = 5, 16
 MIN_RECALL = 0.95
+BIN, BINS = 0.01, 3000  # of a score (a logit), and bins on either side of zero
 CLASSES = 2  # lower-case hexadecimal candidates, and all others
 RESULT = "struct<n_assign:bigint, n_access:bigint, n_hex:bigint, base:string, spans:string>"
 
@@ -167,56 +171,84 @@ def _logits(p: dict, rows: np.ndarray) -> np.ndarray:
     return top @ p["weight"] + p["offset"]
 
 
-def _renamed(rows, kind, y, part, rng):
+def _held(window: bytes) -> bool:
+    """Whether a window of the sample is kept from the weights."""
+    return zlib.crc32(window) % 5 <= 1
+
+
+def _renamed(rows, y, rng):
     yes, no = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     moved = rows[yes].copy()
     moved[:, :LEFT] = rows[rng.choice(no, len(yes)), :LEFT]
-    return moved, kind[yes], y[yes], part[yes]
+    return moved, y[yes]
 
 
 def train(findings: list[tuple[bytes, int, int]], fit: Fit = Fit()) -> Model:
-    """``findings``: (window, class, label) in a fixed random order; every fifth calibrates,
-    the one after it sets the thresholds, the rest train."""
+    """The weights, fitted on those of ``findings`` (window, class, label), in a fixed random
+    order, that are not held; scores are not calibrated and no class is accepted yet."""
     rng = np.random.default_rng(fit.seed)
-    part = np.arange(len(findings)) % 5
+    findings = [f for f in findings if not _held(f[0])]
     rows = _rows([f[0] for f in findings]) if findings else np.zeros((0, WIDTH), np.uint8)
-    kind, y = (np.array([f[i] for f in findings], np.int64) for i in (1, 2))
+    y = np.array([f[2] for f in findings], np.int64)
     p = {"table": rng.normal(0, 0.1, (KERNEL, 256, FILTERS)).astype(np.float32), "bias": np.zeros(FILTERS, np.float32),
          "weight": rng.normal(0, 0.1, FILTERS), "offset": np.array(0.0)}
-    fitted = np.flatnonzero(part > 1)
-    if not 0 < y[fitted].sum() < len(fitted):
-        return Model(p["table"], p["bias"], p["weight"], 0.0, (1.0, 0.0), (2.0,) * CLASSES)
-    # a secret's form without the name before it: in every part, each positive comes a
-    # second time with a negative's left context
-    rows, kind, y, part = (np.concatenate(z) for z in zip((rows, kind, y, part), _renamed(rows, kind, y, part, rng)))
-    fitted = part > 1
-    x, t = rows[fitted], y[fitted]
-    net, real = Adam(p), np.full(fit.batch, WIDTH - KERNEL + 1)
-    for epoch in range(fit.epochs):
-        order = rng.permutation(len(t))
-        for at in range(0, len(t), fit.batch):
-            ids = order[at:at + fit.batch]
-            top, where = convolve(p["table"], p["bias"], x[ids], real[:len(ids)], 1)
-            err = (sigmoid(top @ p["weight"] + p["offset"]) - t[ids]) / len(ids)
-            dtop = err[:, None] * p["weight"] * (top > 0)
-            net.update({"weight": top.T @ err + 1e-4 * p["weight"], "offset": err.sum(), "bias": dtop.sum(axis=0),
-                        "table": table_gradient(p["table"], x[ids], where, dtop, 1)}, fit.rate * (1 - epoch / fit.epochs))
+    if 0 < y.sum() < len(y):
+        # a secret's form without the name before it: each positive comes a second time
+        # with a negative's left context
+        x, t = (np.concatenate(z) for z in zip((rows, y), _renamed(rows, y, rng)))
+        net, real = Adam(p), np.full(fit.batch, WIDTH - KERNEL + 1)
+        for epoch in range(fit.epochs):
+            order = rng.permutation(len(t))
+            for at in range(0, len(t), fit.batch):
+                ids = order[at:at + fit.batch]
+                top, where = convolve(p["table"], p["bias"], x[ids], real[:len(ids)], 1)
+                err = (sigmoid(top @ p["weight"] + p["offset"]) - t[ids]) / len(ids)
+                dtop = err[:, None] * p["weight"] * (top > 0)
+                net.update({"weight": top.T @ err + 1e-4 * p["weight"], "offset": err.sum(), "bias": dtop.sum(axis=0),
+                            "table": table_gradient(p["table"], x[ids], where, dtop, 1)}, fit.rate * (1 - epoch / fit.epochs))
+    return Model(p["table"], p["bias"], p["weight"], float(p["offset"]), (1.0, 0.0), (2.0,) * CLASSES)
+
+
+def calibrate(model: Model, counts: list[tuple[int, int, int, int]]) -> Model:
+    """``model`` with scale and thresholds from (class, label, score bin, number) of labelled windows."""
+    kind, t, at, n = (np.array(x, np.int64) for x in (zip(*counts) if counts else [()] * 4))
     a, b = 1.0, 0.0
-    held = part == 0
-    z, t = _logits(p, rows[held]), y[held]
-    if 0 < t.sum() < len(t):  # Platt scaling with smoothed targets, by gradient steps
-        goal = np.where(t == 1, (t.sum() + 1) / (t.sum() + 2), 1 / ((t == 0).sum() + 2))
+    z, yes, no = (at + 0.5) * BIN, n[t == 1].sum(), n[t == 0].sum()
+    if yes and no:  # Platt scaling with smoothed targets, by gradient steps
+        goal = np.where(t == 1, (yes + 1) / (yes + 2), 1 / (no + 2))
         for _ in range(300):
             d = sigmoid(a * z + b) - goal
-            a, b = a - 0.1 * float(np.mean(d * z)) / max(1.0, float(np.mean(z * z))), b - 0.1 * float(np.mean(d))
-    chosen = part == 1
-    prob, t, k = sigmoid(a * _logits(p, rows[chosen]) + b), y[chosen], kind[chosen]
+            a, b = (a - 0.1 * float(np.average(d * z, weights=n)) / max(1.0, float(np.average(z * z, weights=n))),
+                    b - 0.1 * float(np.average(d, weights=n)))
+        if a <= 0:  # the order of the scores stays
+            a, b = 1.0, 0.0
     thresholds = []
     for c in range(CLASSES):
-        own = np.sort(prob[(t == 1) & (k == c)])[::-1]
-        # the largest threshold that keeps MIN_RECALL of the positives, not below even odds
-        thresholds.append(max(0.5, float(own[int(np.ceil(MIN_RECALL * len(own))) - 1])) if len(own) else 2.0)
-    return Model(p["table"], p["bias"], p["weight"], float(p["offset"]), (a, b), tuple(thresholds))
+        own = np.flatnonzero((t == 1) & (kind == c))
+        own = own[np.argsort(-at[own])]
+        kept = np.cumsum(n[own])
+        if not len(own):
+            thresholds.append(2.0)
+            continue
+        last = int(at[own[int(np.searchsorted(kept, np.ceil(MIN_RECALL * kept[-1])))]])
+        # the lower edge of the bin that makes MIN_RECALL full; the lowest bin has none
+        thresholds.append(float(sigmoid(a * (last * BIN) + b)) if last > -BINS else 0.0)
+    return replace(model, scale=(a, b), thresholds=tuple(thresholds))
+
+
+def score_counts(texts: list[str], sampled: list[bool], model: Model, contexts: list[bytes]) -> Counter:
+    """Number of labelled windows by (class, label, score bin); of the sample's texts the
+    held ones alone. Each positive counts a second time with a left context of ``contexts``."""
+    out = Counter()
+    for text, mine in zip(texts, sampled):
+        found = [f for f in labelled(text) if not mine or _held(f[0])]
+        if contexts:
+            found += [(contexts[zlib.crc32(w[::-1]) % len(contexts)] + w[LEFT:], k, y) for w, k, y in found if y]
+        for at in range(0, len(found), 1024):
+            some = found[at:at + 1024]
+            bins = np.clip(np.floor(_logits(vars(model), _rows([f[0] for f in some])) / BIN), -BINS, BINS - 1).astype(int)
+            out.update((k, y, int(i)) for (_, k, y), i in zip(some, bins))
+    return out
 
 
 def scan(texts: list[str | None], model: Model) -> list[dict]:
@@ -257,14 +289,27 @@ def findings(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def fit(docs: DataFrame, fit: Fit = Fit(), id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """The network fitted on the findings of about ``fit.docs`` documents, chosen by id hash."""
+    """The network, its weights fitted on the findings of about ``fit.docs`` documents, chosen
+    by id hash, calibration and thresholds set on those of all documents."""
     setup(docs.sparkSession)
     n = docs.count()
     share = min(1.0, fit.docs / max(n, 1))
     pick = F.pmod(F.xxhash64(F.lit(fit.seed), F.col(id_col)), F.lit(1 << 20)) < int(share * (1 << 20))
     order = F.xxhash64(F.lit(fit.seed), "window")
     rows = findings(docs.where(pick), text_col).orderBy(order, "window", "kind", "label").limit(fit.findings).collect()
-    return train([(bytes(r["window"]), r["kind"], r["label"]) for r in rows], fit)
+    rows = [(bytes(r["window"]), r["kind"], r["label"]) for r in rows]
+    sent = docs.sparkSession.sparkContext.broadcast((train(rows, fit), [w[:LEFT] for w, _, y in rows if not y]))
+
+    def run(batches):
+        model, contexts = sent.value
+        for batch in batches:
+            found = score_counts(list(batch.iloc[:, 0]), list(batch.iloc[:, 1]), model, contexts)
+            yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["kind", "label", "bin", "n"])
+    counts = (docs.select(text_col, pick).where(F.col(text_col).isNotNull())
+              .mapInPandas(run, "kind int, label int, bin int, n long").groupBy("kind", "label", "bin").agg(F.sum("n").alias("n")))
+    if not 0 < sum(y for w, _, y in rows if not _held(w)) < sum(not _held(w) for w, _, _ in rows):
+        return sent.value[0]
+    return calibrate(sent.value[0], sorted(map(tuple, counts.collect())))
 
 
 def secrets(docs: DataFrame, model: Model, text_col: str = "text", out: str = "secrets") -> DataFrame:
