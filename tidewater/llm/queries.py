@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import (chat, decontam, imatch, linespread, mixing, oracle, pagediff, quality, secretscan,
-                           simhash, urltree)
+                           sentencepieces, simhash, urltree)
 from tidewater.llm.common import setup
 
 
@@ -79,8 +79,18 @@ def op10_decontaminate(spark, sf_dir):
         (h.n_hit > 0).alias("contaminated"))
 
 
+def op11_sentencepiece(spark, sf_dir):
+    """Every document's ids, an end id last, and the text they decode to."""
+    import public_tokenizers
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = sentencepieces.tokenize(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded="decoded", end=True)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
+                      F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_imatch, op2_chat_format, op3_page_diff, op4_secret_scan, op5_line_spread, op6_mix_sources, op7_url_tree, op8_simhash, op9_quality, op10_decontaminate)}
+    op1_imatch, op2_chat_format, op3_page_diff, op4_secret_scan, op5_line_spread, op6_mix_sources, op7_url_tree, op8_simhash, op9_quality, op10_decontaminate, op11_sentencepiece)}
 
 #: The others have no SQL form (XXH64 fingerprints, html, regular-expression offsets, a
 #: network); tests/llm holds them against brute force.
