@@ -44,11 +44,11 @@ from pyspark.sql.functions import pandas_udf
 
 from tidewater.llm.common import setup
 
-MARK = "▁"       # the word mark
-CACHE = 400_000  # chunks of a worker's cache, about
-LONGEST = 64     # code points of a chunk whose agenda is in the arrays
-PART = 1 << 20   # code points worked on at a time
-_NEVER = 1 << 24  # above every rank
+MARK = "▁"         # the word mark
+CACHE = 1_000_000  # chunks of a worker's cache, about
+LONGEST = 64       # code points of a chunk whose agenda is in the arrays
+PART = 1 << 20     # code points worked on at a time
+_NEVER = 1 << 24   # above every rank
 BPE = 2            # of the model file's trainer settings, field 3: its model type
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # fixed values of the model file: types of pieces
 UNKNOWN_TEXT = " ⁇ "
