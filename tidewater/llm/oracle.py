@@ -3,7 +3,7 @@ exact counts in place of sketches, running sums in place of histograms."""
 
 from __future__ import annotations
 
-from tidewater.llm import linespread, mixing, urltree
+from tidewater.llm import linespread, mixing, termaudit, urltree
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -130,3 +130,59 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
+
+def op12() -> str:
+    bit = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    step = "list_reduce(range(8), lambda x, i: " + bit + ", xor(acc, b))"
+    crc = ("xor(list_reduce([ord(ch)::BIGINT FOR ch IN string_split(conv_id::VARCHAR, '')], "
+           f"lambda acc, b: {step}, 4294967295::BIGINT), 4294967295)")
+    return f"""
+WITH t AS (SELECT conv_id, list(md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))
+      || ':' || len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::VARCHAR
+    ORDER BY turn NULLS FIRST, role, text) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, own, ({crc} % 4)::INTEGER AS h FROM t),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.own[1:h.h], []), h.own[h.h + 1:]) AS turns
+  FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 20),
+m AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM r),
+n AS (SELECT array_to_string(turns[1:depth], ',') AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    any_value(CASE WHEN depth > 0 THEN array_to_string(turns[1:depth - 1], ',') END) AS parent,
+    any_value(turns[1:depth]) AS turns,
+    any_value(CASE WHEN depth > 0 THEN string_split(turns[depth], ':')[2]::BIGINT ELSE 0 END) AS words,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(turns) = depth), '')) AS ends_sha256
+  FROM m GROUP BY node, depth),
+k AS (SELECT parent, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY parent, n.depth),
+e AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON n.node = k.parent AND n.depth = k.depth),
+up AS (SELECT array_to_string(turns[1:d], ',') AS upper, d, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM e) GROUP BY upper, d)
+SELECT e.conv_id, e.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, e.n_convs, e.n_children,
+  n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, e.ends_sha256
+FROM e JOIN up ON e.node = up.upper AND e.depth = up.d LEFT JOIN n p ON e.parent = p.node AND p.depth = e.depth - 1"""
+
+
+def op13() -> str:
+    p = "(1 + (1000000000::HUGEINT * (coalesce({n}, 0) + 2)) // ({total} + 2 * v))"
+    score = "((({p}) - ({q})) * (({p}) - ({q}))) // (({p}) + ({q}))"
+    return f"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS i,
+    regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+occ AS (SELECT lang, source, i, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM occ GROUP BY lang, term HAVING count(DISTINCT i) >= {termaudit.MIN_DOCS}),
+vs AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM occ JOIN kept USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT a.lang, a.source, coalesce(v, 0) AS v, coalesce((SELECT sum(n) FROM c WHERE c.lang = a.lang AND c.source = a.source), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) a LEFT JOIN vs USING (lang)),
+s AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, {p.format(n='c.n', total='total')} AS p
+  FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+l AS (SELECT lang, term, {p.format(n='n', total='total')} AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term) JOIN (SELECT lang, v, sum(total) AS total FROM g GROUP BY lang, v) USING (lang)),
+pv AS (SELECT a.lang, a.source, b.source AS item, sum({score.format(p='a.p', q='b.p')}) AS value
+  FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source),
+terms AS (SELECT s.lang, s.source, 'term' AS part, s.term AS item, ({score.format(p='p', q='q')})::BIGINT AS value
+  FROM s JOIN l USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= {termaudit.TOP}"""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import (chat, decontam, imatch, linespread, mixing, oracle, pagediff, quality, secretscan,
-                           sentencepieces, simhash, urltree)
+from tidewater.llm import (chat, decontam, imatch, linespread, mixing, oracle, pagediff, prefixtrie, quality,
+                           secretscan, sentencepieces, simhash, termaudit, urltree)
 from tidewater.llm.common import setup
 
 
@@ -89,10 +89,21 @@ def op11_sentencepiece(spark, sf_dir):
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op12_prefix_trie(spark, sf_dir):
+    own = prefixtrie.paths(_table(spark, sf_dir, "conversations"))
+    return prefixtrie.trie(prefixtrie.rebuilt(own)).drop("path")
+
+
+def op13_divergence(spark, sf_dir):
+    return termaudit.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_imatch, op2_chat_format, op3_page_diff, op4_secret_scan, op5_line_spread, op6_mix_sources, op7_url_tree, op8_simhash, op9_quality, op10_decontaminate, op11_sentencepiece)}
+    op1_imatch, op2_chat_format, op3_page_diff, op4_secret_scan, op5_line_spread, op6_mix_sources, op7_url_tree, op8_simhash, op9_quality, op10_decontaminate, op11_sentencepiece, op12_prefix_trie,
+    op13_divergence)}
 
 #: The others have no SQL form (XXH64 fingerprints, html, regular-expression offsets, a
 #: network); tests/llm holds them against brute force.
 ORACLE = {"op2_chat_format": oracle.op2(), "op5_line_spread": oracle.op5(), "op6_mix_sources": oracle.op6(),
-          "op7_url_tree": oracle.op7(), "op10_decontaminate": oracle.op10()}
+          "op7_url_tree": oracle.op7(), "op10_decontaminate": oracle.op10(),
+          "op12_prefix_trie": oracle.op12(), "op13_divergence": oracle.op13()}
