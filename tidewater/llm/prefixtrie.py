@@ -10,9 +10,13 @@ aggregation finds the nodes and measures their subtrees. Every row moves up once
 is one aggregation for each level, combined map side first, so a beginning that a third of
 all conversations share is one row a task.
 
+Depths that at most ``DEEP_ROWS`` conversations of ``DEEP_BYTES`` in all reach are peeled in the same way
+within tasks, one for each beginning: a single conversation of many turns costs no steps of its own.
+
 A path is one binary value, ``WIDTH`` bytes a turn (the MD5 of its role and text, then the
-number of words of the text): texts never move. Each level is written to the shared folder, in
-one table, and read by the next: a lost executor costs a part of one level.
+number of words of the text): texts never move. A node is named by the MD5 of its path. Each
+level is written to the shared folder, in one table, and read by the next: a lost executor costs
+a part of one level.
 
 The conversations that end at a node, in ascending order of their ids, are hashed in runs: ids are sorted
 by (path, id) in range partitions, each makes one text of at most ``RUN`` ids after the other,
@@ -22,7 +26,8 @@ other way), holding one run at a time.
 Null roles and texts are empty. Turns are ordered by number, null first, turns of one
 number by their digests. Rows without a conv_id belong to no conversation and are left
 out. An empty table gives no rows, a conversation none of whose turns is left ends at the root.
-The turns' digests of one conversation (24 bytes each), not its texts, must fit into a task.
+The turns' digests of one conversation (24 bytes each), not its texts, must fit into a task, and
+a conversation of d turns is hashed at each of its d depths.
 """
 
 from __future__ import annotations
@@ -41,6 +46,7 @@ WIDTH = 24     # bytes of a path for each turn: 16 of the digest, 8 of the numbe
 SHARED = 4     # a conversation takes fewer than so many turns from the first of its block
 BLOCK = 20     # ids in a block
 RUN = 1 << 16  # ids in one text on the way to a node's hash
+DEEP_ROWS, DEEP_BYTES = 1000, 1 << 24
 _WORD = r"[^\x20\x09-\x0D]+"
 _NONE = hashlib.sha256(b"").hexdigest()
 
@@ -76,86 +82,129 @@ def rebuilt(own: DataFrame) -> DataFrame:
                                         F.substring("path", F.col("h") * WIDTH + 1, F.length("path"))).alias("path")))
 
 
+def _key(path) -> Column:
+    return F.unhex(F.md5(path))
+
+
+_NODE = ("path binary, key binary, parent binary, n_convs long, conv_id long, n_children long, n_leaves long, "
+         "saved_tokens long, depth int")
+
+
 def _peel(live: DataFrame) -> DataFrame:
     """The nodes of one level from its ended conversations and the stripped nodes below it."""
     words = F.conv(F.hex(F.substring("path", -8, 8)), 16, 10).cast("long")
     nodes = live.groupBy("path").agg(
         F.sum("n_convs").alias("n_convs"), F.min("conv_id").alias("conv_id"), F.sum("n_children").alias("n_children"),
         F.greatest(F.sum("n_leaves"), F.lit(1)).cast("long").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"))
-    return nodes.withColumn("saved_tokens", F.col("saved_tokens") + (F.col("n_convs") - 1) * F.coalesce(words, F.lit(0)))
+    return nodes.select(
+        "path", _key("path").alias("key"), F.when(_turns("path") > 0, _key(_first(F.col("path"), _turns("path") - 1))).alias("parent"),
+        "n_convs", "conv_id", "n_children", "n_leaves",
+        (F.col("saved_tokens") + (F.col("n_convs") - 1) * F.coalesce(words, F.lit(0))).alias("saved_tokens"))
+
+
+def _peel_deep(ended: DataFrame, floor: int) -> DataFrame:
+    """The nodes beyond depth ``floor``, of few conversations; ``path`` only at the last level above it."""
+    def peel(pdf: pd.DataFrame) -> pd.DataFrame:
+        ends: dict[int, list] = {}
+        for path, n, conv in zip(pdf["path"], pdf["n_convs"], pdf["conv_id"]):
+            ends.setdefault(len(path) // WIDTH, []).append((bytes(path), (n, conv, 0, 0, 0)))
+        live, out = {}, []
+
+        def merge(path, row):
+            old = live.get(path)
+            live[path] = row if old is None else (old[0] + row[0], min(old[1], row[1]), old[2] + row[2], old[3] + row[3], old[4] + row[4])
+        for depth in range(max(ends), floor, -1):
+            for path, row in ends.get(depth, ()):
+                merge(path, row)
+            level, live = live, {}
+            for path, (n, conv, children, leaves, saved) in level.items():
+                leaves, saved = leaves or 1, saved + (n - 1) * int.from_bytes(path[-8:], "big")
+                up = path[:-WIDTH]
+                out.append((path if depth == floor + 1 else None, hashlib.md5(path).digest(), hashlib.md5(up).digest(),
+                            n, conv, children, leaves, saved, depth))
+                merge(up, (n, conv, 1, leaves, saved))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _NODE.split(", ")])
+    same = ended.groupBy("path").agg(F.count("*").alias("n_convs"), F.min("conv_id").alias("conv_id"))
+    return same.groupBy(_first(F.col("path"), F.lit(floor)).alias("start")).applyInPandas(peel, _NODE)
 
 
 def nodes(convs: DataFrame) -> DataFrame:
-    """``convs(conv_id, path)`` to (path, depth, conv_id, n_convs, n_children, n_leaves, saved_tokens), one row a node."""
+    """``convs(conv_id, path)`` to (key, parent, depth, conv_id, n_convs, n_children, n_leaves, saved_tokens), one row a
+    node; ``path`` where it was at hand."""
     spark = setup(convs.sparkSession)
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     # sorted by depth, so that a level's conversations are in few files
     (convs.withColumn("depth", _turns("path")).repartitionByRange("depth", "conv_id")
      .write.partitionBy("depth").parquet(f"{root}/ended"))
     ended = spark.read.schema("conv_id long, path binary, depth int").parquet(f"{root}/ended")
-    deepest = ended.agg(F.max("depth")).first()[0]
+    lengths = ended.groupBy("depth").count().orderBy(F.col("depth").desc()).collect()  # one row a length
+    if not lengths:
+        return spark.createDataFrame([], _NODE)
+    floor, rows, size = lengths[0]["depth"], 0, 0
+    for r in lengths:  # the least depth beyond which there are few conversations
+        if rows > DEEP_ROWS or size > DEEP_BYTES or r["depth"] == 0:
+            break
+        floor, rows, size = r["depth"], rows + r["count"], size + r["count"] * r["depth"] * WIDTH
+    if floor < lengths[0]["depth"]:
+        _peel_deep(ended.where(F.col("depth") > floor), floor).write.partitionBy("depth").parquet(f"{root}/nodes")
     zero = F.lit(0).cast("long")
-    schema = "path binary, n_convs long, conv_id long, n_children long, n_leaves long, saved_tokens long"
-    below = None
-    for depth in range(-1 if deepest is None else deepest, -1, -1):
+    below = floor < lengths[0]["depth"]
+    for depth in range(floor, -1, -1):
         live = ended.where(F.col("depth") == depth).select(
             "path", F.lit(1).cast("long").alias("n_convs"), "conv_id", zero.alias("n_children"), zero.alias("n_leaves"), zero.alias("saved_tokens"))
-        if below is not None:
-            live = live.unionByName(below.select(
+        if below:
+            under = spark.read.schema(_NODE).parquet(f"{root}/nodes").where(F.col("depth") == depth + 1)
+            live = live.unionByName(under.select(
                 _first(F.col("path"), F.lit(depth)).alias("path"), "n_convs", "conv_id",
                 F.lit(1).cast("long").alias("n_children"), "n_leaves", "saved_tokens"))
-        at = f"{root}/nodes/depth={depth}"
-        _peel(live).write.parquet(at)
-        below = spark.read.schema(schema).parquet(at)
-    if below is None:
-        return spark.createDataFrame([], schema + ", depth int")
-    return spark.read.schema(schema + ", depth int").parquet(f"{root}/nodes")
+        _peel(live).write.parquet(f"{root}/nodes/depth={depth}")
+        below = True
+    return spark.read.schema(_NODE).parquet(f"{root}/nodes")
 
 
 def ends(convs: DataFrame) -> DataFrame:
-    """(path, ends_sha256) of the paths at which conversations end: the hash of their ids, ascending, joined by commas."""
+    """(key, ends_sha256) of the nodes at which conversations end: the hash of their ids, ascending, joined by commas."""
     def runs(batches):
         key, ids = None, []
         for batch in batches:
             out = []
-            for path, i in zip(batch["path"], batch["conv_id"]):
-                if path != key or len(ids) == RUN:
+            for node, i in zip(batch["key"], batch["conv_id"]):
+                if node != key or len(ids) == RUN:
                     if ids:
                         out.append((key, ids[0], ",".join(map(str, ids))))
-                    key, ids = path, []
+                    key, ids = node, []
                 ids.append(i)
-            yield pd.DataFrame(out, columns=["path", "at", "ids"])
-        yield pd.DataFrame([(key, ids[0], ",".join(map(str, ids)))] if ids else [], columns=["path", "at", "ids"])
-    t = convs.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id")
-    t = stage_table(t.mapInPandas(runs, "path binary, at long, ids string"), "runs")
-    many = stage_table(t.groupBy("path").count().where("count > 1").select("path"), "many")
+            yield pd.DataFrame(out, columns=["key", "at", "ids"])
+        yield pd.DataFrame([(key, ids[0], ",".join(map(str, ids)))] if ids else [], columns=["key", "at", "ids"])
+    t = convs.select(_key("path").alias("key"), "conv_id")
+    t = t.repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id")
+    t = stage_table(t.mapInPandas(runs, "key binary, at long, ids string"), "runs")
+    many = stage_table(t.groupBy("key").count().where("count > 1").select("key"), "many")
 
     def stream(batches):
         key, h = None, None
         for batch in batches:
             out = []
-            for path, ids in zip(batch["path"], batch["ids"]):
-                if path != key:
+            for node, ids in zip(batch["key"], batch["ids"]):
+                if node != key:
                     if h:
                         out.append((key, h.hexdigest()))
-                    key, h = path, hashlib.sha256(ids.encode())
+                    key, h = node, hashlib.sha256(ids.encode())
                 else:
                     h.update(b"," + ids.encode())
-            yield pd.DataFrame(out, columns=["path", "ends_sha256"])
-        yield pd.DataFrame([(key, h.hexdigest())] if h else [], columns=["path", "ends_sha256"])
-    whole = t.join(many, "path", "left_anti").select("path", F.sha2(F.col("ids").cast("binary"), 256).alias("ends_sha256"))
-    long = t.join(many, "path", "left_semi").repartition("path").sortWithinPartitions("path", "at")
-    return whole.unionByName(long.select("path", "ids").mapInPandas(stream, "path binary, ends_sha256 string"))
+            yield pd.DataFrame(out, columns=["key", "ends_sha256"])
+        yield pd.DataFrame([(key, h.hexdigest())] if h else [], columns=["key", "ends_sha256"])
+    whole = t.join(many, "key", "left_anti").select("key", F.sha2(F.col("ids").cast("binary"), 256).alias("ends_sha256"))
+    long = t.join(many, "key", "left_semi").repartition("key").sortWithinPartitions("key", "at")
+    return whole.unionByName(long.select("key", "ids").mapInPandas(stream, "key binary, ends_sha256 string"))
 
 
 def trie(convs: DataFrame) -> DataFrame:
     """``convs(conv_id, path)`` to one row a node: conv_id (its least member), depth, parent_conv_id, n_convs,
-    n_children, n_leaves, saved_tokens, ends_sha256, and ``path``."""
+    n_children, n_leaves, saved_tokens, ends_sha256, and its ``key``."""
     convs = stage_table(convs, "conversations")
-    found = nodes(convs)
-    parents = found.where("n_children > 0").select(F.col("path").alias("_parent"), F.col("conv_id").alias("parent_conv_id"))
-    cut = F.when(F.col("depth") > 0, _first(F.col("path"), F.col("depth") - 1))
-    return (found.withColumn("_parent", cut).join(parents, "_parent", "left")
-            .join(ends(convs), "path", "left")
+    found = nodes(convs).drop("path")
+    parents = found.where("n_children > 0").select(F.col("key").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
+    return (found.join(parents, "parent", "left").join(ends(convs), "key", "left")
             .select("conv_id", F.col("depth").cast("long").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves",
-                    "saved_tokens", F.coalesce("ends_sha256", F.lit(_NONE)).alias("ends_sha256"), "path"))
+                    "saved_tokens", F.coalesce("ends_sha256", F.lit(_NONE)).alias("ends_sha256"), "key"))

@@ -91,7 +91,7 @@ def op11_sentencepiece(spark, sf_dir):
 
 def op12_prefix_trie(spark, sf_dir):
     own = prefixtrie.paths(_table(spark, sf_dir, "conversations"))
-    return prefixtrie.trie(prefixtrie.rebuilt(own)).drop("path")
+    return prefixtrie.trie(prefixtrie.rebuilt(own)).drop("key")
 
 
 def op13_divergence(spark, sf_dir):
