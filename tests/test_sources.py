@@ -45,6 +45,38 @@ def test_ingest_by_file(spark):
     assert again.select("ping_id").distinct().count() == 6
 
 
+def test_ingest_by_header_and_new_files_only(spark):
+    """Files of one folder with other column orders and sets; a later run reads the new file's lines alone."""
+    d = tempfile.mkdtemp(prefix="tw-headers-")
+    _write_csv(f"{d}/csv", "a.csv", [_row(1, "2025-01-01T00:00:00"), _row(2, "2025-01-01T00:00:00")])
+    _write_csv(f"{d}/csv", "b.csv", [("2025-01-01T01:00:00", "70", -74.0, 40.0, 3, 1.0, "N")],
+               ("BaseDateTime", "VesselType", "LON", "LAT", "MMSI", "SOG", "VesselName"))
+    _write_csv(f"{d}/csv", "c.csv", [(1.0, 4, "71", 40.0, "2025-01-01T02:00:00", -74.0)],
+               ("sog", "mmsi", "vesseltype", "lat", "basedatetime", "lon"))
+    _write_csv(f"{d}/csv", "only_header.csv", [])
+    first = ais.ingest(spark, f"{d}/csv", f"{d}/out", files_per_batch=2)
+    assert len(first) == 2 and sum(p["numInputRows"] for p in first) == 8
+    got = {r.mmsi: r for r in ais.ingested(spark, f"{d}/out").collect()}
+    assert sorted(got) == [1, 2, 3, 4] and {(r.latitude, r.longitude) for r in got.values()} == {(40.0, -74.0)}
+    assert got[3].vessel_name == "N" and got[1].vessel_name is None
+    _write_csv(f"{d}/csv", "d.csv", [_row(9, "2025-01-02T00:00:00")])
+    again = ais.ingest(spark, f"{d}/csv", f"{d}/out")
+    assert [p["numInputRows"] for p in again] == [2]           # d.csv: its header and its row
+    assert ais.ingest(spark, f"{d}/csv", f"{d}/out") == []     # nothing new, nothing read
+    assert sorted(r.mmsi for r in ais.ingested(spark, f"{d}/out").collect()) == [1, 2, 3, 4, 9]
+
+
+def test_ingest_takes_up_a_failed_run(spark):
+    """A file without a needed column stops the run, nothing of it is kept; mended, the next run ingests it."""
+    d = tempfile.mkdtemp(prefix="tw-failed-")
+    _write_csv(f"{d}/csv", "a.csv", [(1, "2025-01-01T00:00:00")], ("MMSI", "BaseDateTime"))
+    with pytest.raises(Exception, match="raw AIS file without"):
+        ais.ingest(spark, f"{d}/csv", f"{d}/out")
+    assert ais.ingested(spark, f"{d}/out").isEmpty()
+    _write_csv(f"{d}/csv", "a.csv", [_row(1, "2025-01-01T00:00:00")])
+    assert [r.mmsi for r in ais.ingest_daily_csv(spark, f"{d}/csv", f"{d}/out").collect()] == [1]
+
+
 def test_missing_columns_are_named(spark):
     df = spark.createDataFrame([(1, "2025-01-01T00:00:00")], "MMSI long, BaseDateTime string")
     with pytest.raises(ValueError, match="vessel_type"):

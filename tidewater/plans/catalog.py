@@ -775,14 +775,16 @@ def s1_parquet_scan(spark, d):
     return ais.read_ais_parquet(spark, [f"{base}/0", f"{base}/1"]).select(*_AIS_COLS, "cog")
 
 
-def _raw_csv(p: DataFrame, path: str) -> None:
-    """Daily raw CSV as providers write it: their column names, numbers as text, some broken."""
+def _raw_csv(p: DataFrame, path: str, backwards: bool = False) -> None:
+    """Daily raw CSV as providers write it: their column names, numbers as text, some broken; the
+    columns in another order with ``backwards``."""
     k = F.col("ping_id") % 97
     vt = F.col("vessel_type").cast("string")
-    p.select(F.to_date("base_date_time").alias("day"), F.col("mmsi").alias("MMSI"),
-             F.when(k == 7, F.lit("not a time")).otherwise(geo.iso_timestamp("base_date_time")).alias("BaseDateTime"),
-             F.col("latitude").alias("LAT"), F.col("longitude").alias("LON"), F.col("sog").alias("SOG"), F.col("cog").alias("COG"),
-             F.when(k == 0, F.lit("n/a")).when(k % 2 == 1, F.concat(vt, F.lit(".0"))).otherwise(vt).alias("VesselType")) \
+    cols = [F.col("mmsi").alias("MMSI"),
+            F.when(k == 7, F.lit("not a time")).otherwise(geo.iso_timestamp("base_date_time")).alias("BaseDateTime"),
+            F.col("latitude").alias("LAT"), F.col("longitude").alias("LON"), F.col("sog").alias("SOG"), F.col("cog").alias("COG"),
+            F.when(k == 0, F.lit("n/a")).when(k % 2 == 1, F.concat(vt, F.lit(".0"))).otherwise(vt).alias("VesselType")]
+    p.select(F.to_date("base_date_time").alias("day"), *(cols[::-1] if backwards else cols)) \
         .write.option("header", True).partitionBy("day").csv(path)
 
 
@@ -790,11 +792,14 @@ def _raw_csv(p: DataFrame, path: str) -> None:
 SELECT mmsi, base_date_time, latitude, longitude, sog, vessel_type FROM pings
 WHERE ping_id % 97 NOT IN (0, 7) AND vessel_type BETWEEN 70 AND 79"""))
 def s2_daily_csv_ingest(spark, d):
-    """Raw files of two deliveries ingested; the second run meets the first one's files again."""
+    """Raw files of three deliveries, one with its columns in another order, ingested by two
+    runs; the second one meets the first one's files again and reads the new ones."""
     p, base = Stages(spark, d).pings, _scratch(spark, "s2")
-    _raw_csv(p.where(F.dayofmonth("base_date_time") <= 15), f"{base}/csv/a")
+    day = F.dayofmonth("base_date_time")
+    _raw_csv(p.where(day <= 10), f"{base}/csv/a")
+    _raw_csv(p.where(day.between(11, 15)), f"{base}/csv/b", backwards=True)
     ais.ingest_daily_csv(spark, f"{base}/csv", f"{base}/pings")
-    _raw_csv(p.where(F.dayofmonth("base_date_time") > 15), f"{base}/csv/b")
+    _raw_csv(p.where(day > 15), f"{base}/csv/c")
     return ais.ingest_daily_csv(spark, f"{base}/csv", f"{base}/pings").select(*_AIS_COLS)
 
 

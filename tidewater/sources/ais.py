@@ -3,8 +3,9 @@
 * S1: many daily parquet files read as one table with a fixed schema
   (missing columns -> NULL), NaN -> NULL for doubles.
 * S2: daily CSV (plain or .csv.zst) -> rename -> numeric coercion -> cargo
-  filter -> parquet partitioned by date; files that were ingested before are
-  skipped, rows without a usable time kept apart.
+  filter -> parquet partitioned by date; every file is read by its own header, a
+  run reads the files that no run before it has read (the checkpoint of a file
+  stream is the ledger), rows without a usable time are kept apart.
 * S3: port list CSV with DMS coordinates -> lat_dd / lon_dd (F1), bad text ->
   NULL and counted, duplicated port names dropped (J7 needs a unique name).
 * S5: weather payloads (JSON objects with parallel hourly arrays) -> one row
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 
 from tidewater.functions.geo import dms_to_dd, to_int
 from tidewater.operators.weather import MARINE_COLUMNS, WIND_COLUMNS
-from tidewater.session import prepare, write_stage
+from tidewater.session import prepare
 
 # Raw column names -> project column names.
 COLUMN_RENAME = {
@@ -122,55 +123,83 @@ def cargo_filter(df: DataFrame) -> DataFrame:
     return df.where(vt.between(CARGO_TYPE_MIN, CARGO_TYPE_MAX))
 
 
-def ingest_daily_csv(spark: SparkSession, csv_path: str, out_dir: str) -> DataFrame:
+def read_raw_csv(spark: SparkSession, headers: dict[str, list[str]]) -> DataFrame:
+    """Raw CSV files as typed pings, by ``headers``: a header line to the files that begin with it.
+    Columns are found by name, so files may order them differently or lack some."""
+    frames = [normalize_raw(spark.read.option("header", True).csv(sorted(files))) for _, files in sorted(headers.items())]
+    whole = frames[0]
+    for f in frames[1:]:
+        whole = whole.unionByName(f)
+    return whole
+
+
+def file_headers(lines: DataFrame) -> dict[str, list[str]]:
+    """Header line to files, from ``lines(value, file, block_start)`` of text files. A file's
+    first line is the least row of its first block; one row a file reaches the driver, and a run
+    takes at most ``FILES_PER_BATCH`` files at a time."""
+    first = (lines.where("block_start = 0").withColumn("_at", F.monotonically_increasing_id())
+             .groupBy("file").agg(F.min_by("value", "_at").alias("header")))
+    out: dict[str, list[str]] = {}
+    for r in first.collect():
+        out.setdefault(r["header"].strip("\ufeff\r"), []).append(r["file"])
+    return out
+
+
+def ingest_daily_csv(spark: SparkSession, csv_path: str, out_dir: str, files_per_batch: int | None = None) -> DataFrame:
     """Raw CSV files under ``csv_path`` -> cargo pings under ``out_dir``,
-    partitioned by date; files ingested before are skipped. Returns all pings
-    ingested so far.
-
-    A file is known by its path, kept in ``out_dir/_files`` after its rows are
-    written, so a file with a few rows of the next day does not stand in for
-    that day's own file. Rows whose time does not parse go to
-    ``out_dir/_rejects``. A run that failed before it recorded its files leaves
-    a folder without a record, which readers skip and the next run replaces."""
+    partitioned by date; files ingested before are not read again. Returns all
+    pings ingested so far."""
+    ingest(spark, csv_path, out_dir, files_per_batch)
+    return ingested(spark, out_dir)
+
+
+def ingest(spark: SparkSession, csv_path: str, out_dir: str, files_per_batch: int | None = None) -> list[dict]:
+    """One run of S2; returns the progress of its micro-batches.
+
+    A file stream over the raw lines finds the new files; its checkpoint,
+    ``out_dir/_ledger``, records them by path once their batch is written, so a
+    file with a few rows of the next day does not stand in for that day's own
+    file, and a run that fails is taken up by the next one at the batch that
+    failed. A batch writes ``run=<batch>`` (and ``_rejects/run=<batch>``, the
+    rows whose time does not parse) over what a failed attempt left there."""
     prepare(spark)
-    raw = spark.read.option("header", True).option("recursiveFileLookup", True).csv(csv_path) \
-        .withColumn("_file", F.input_file_name())
-    done = _recorded(spark, out_dir)
-    run = f"run={(max(done[1]) + 1) if done[1] else 0}"
-    if done[0] is not None:
-        raw = raw.join(F.broadcast(done[0]) if done[0].limit(MAX_FILES + 1).count() <= MAX_FILES else done[0], "_file", "left_anti")
-    files = write_stage(raw.select("_file").distinct(), "files")
-    if not files.isEmpty():
-        pings = write_stage(cargo_filter(normalize_raw(raw.drop("_file"))), "ingest")
+    lines = (spark.readStream.format("text").option("recursiveFileLookup", True)
+             .option("maxFilesPerTrigger", files_per_batch or FILES_PER_BATCH)
+             .option("maxFileAge", "36500d")  # a file delivered late is not too old
+             .load(csv_path).select("value", F.col("_metadata.file_path").alias("file"),
+                                    F.col("_metadata.file_block_start").alias("block_start")))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        headers = file_headers(batch)
+        if not headers:
+            return
+        pings = cargo_filter(read_raw_csv(batch.sparkSession, headers))
         timed = F.col("base_date_time").isNotNull()
+        pings.where(~timed).write.mode("overwrite").parquet(f"{out_dir}/_rejects/run={batch_id}")
         # a day's rows spread over tasks; files are sorted by vessel and time
         pings.where(timed).withColumn("date", F.to_date("base_date_time")) \
             .repartitionByRange("date", "mmsi", "base_date_time").sortWithinPartitions("date", "mmsi", "base_date_time") \
-            .write.mode("overwrite").partitionBy("date").parquet(f"{out_dir}/{run}")
-        pings.where(~timed).write.mode("overwrite").parquet(f"{out_dir}/_rejects/{run}")
-        files.write.mode("overwrite").parquet(f"{out_dir}/_files/{run}")
-    runs = _recorded(spark, out_dir)[1]
-    if not runs:
-        return spark.createDataFrame([], AIS_SCHEMA).select("*", _row_key())
-    return read_ais_parquet(spark, [f"{out_dir}/run={r}" for r in sorted(runs)])
-
+            .write.mode("overwrite").partitionBy("date").parquet(f"{out_dir}/run={batch_id}")
+    q = (lines.writeStream.foreachBatch(write).option("checkpointLocation", f"{out_dir}/_ledger")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return [p for p in q.recentProgress if p["numInputRows"]]
 
-#: Names of ingested files that may be broadcast.
-MAX_FILES = 100_000
 
-
-def _recorded(spark: SparkSession, out_dir: str) -> tuple[DataFrame | None, list[int]]:
-    """(ingested files, runs that are complete)."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{out_dir}/_files")
+def ingested(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The pings of all batches that are complete."""
+    prepare(spark)
+    p = spark._jvm.org.apache.hadoop.fs.Path(out_dir)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return None, []
-    runs = [int(st.getPath().getName()[4:]) for st in fs.listStatus(p)
-            if st.getPath().getName().startswith("run=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))]
+    runs = [st.getPath().toString() for st in (fs.listStatus(p) if fs.exists(p) else [])
+            if st.getPath().getName().startswith("run=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))]
     if not runs:
-        return None, []
-    return spark.read.schema("_file string").parquet(*[f"{out_dir}/_files/run={r}" for r in runs]), runs
+        return spark.createDataFrame([], AIS_SCHEMA).select("*", _row_key())
+    return read_ais_parquet(spark, sorted(runs))
+
+
+#: Files that one batch of an ingest takes at most.
+FILES_PER_BATCH = 1000
 
 
 def read_ports_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
