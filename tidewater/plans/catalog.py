@@ -25,6 +25,7 @@ from tidewater.plans import oracle, training
 from tidewater.plans.pipeline import MIN_TIME_IN_PORT_H, Stages
 from tidewater.session import ensure_checkpoint_dir, path_exists
 from tidewater.sources import ais, fixtures
+from tidewater.streaming import keyed
 from tidewater.streaming import stream as S
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -892,6 +893,81 @@ def st9_restart(spark, d):
         F.count(F.lit(1)).alias("n"), F.min("base_date_time").alias("first_time"))
 
 
+BUFFER_US = int(keyed.BUFFER_HOURS) * 3600000000
+_TRACKS_SQL = f"""
+SELECT mmsi, min(base_date_time) AS first_time, max(base_date_time) AS last_time, count(*) AS n_pings,
+  round(avg(sog), 6) AS mean_sog, arg_max(latitude, base_date_time) AS latitude, arg_max(longitude, base_date_time) AS longitude
+FROM (SELECT *, max(us) OVER (PARTITION BY mmsi, track) AS hi FROM (
+  SELECT *, sum(brk) OVER (PARTITION BY mmsi ORDER BY us) AS track FROM (
+    SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY mmsi ORDER BY us) > {BUFFER_US} THEN 1 ELSE 0 END AS brk
+    FROM (SELECT *, epoch_us(base_date_time) AS us FROM {{src}} WHERE mmsi <> 0))))
+WHERE us >= hi - {BUFFER_US} GROUP BY mmsi, track"""
+
+
+def _arrivals(spark, base: str):
+    """(a function that lets pings arrive as a replay folder, one that runs the keyed stream over what has come)."""
+    def arrive(pings: DataFrame, name: str, **kw) -> None:
+        S.write_replay(pings, f"{base}/in/part={name}", **kw)
+
+    def run() -> list[dict]:
+        return keyed.run_tracks(S.read_file_stream(spark, f"{base}/in", 8), f"{base}/out", f"{base}/checkpoint")
+    return arrive, run
+
+
+@register("st2_vessel_buffer", W("pings", _TRACKS_SQL.format(src="pings")))
+def st2_vessel_buffer(spark, d):
+    """ST2 + ST3 in scale mode: 48 h of pings per vessel in keyed state, evicted by event-time
+    timers. The stream is stopped in the middle of the replay and started again; a heartbeat
+    lets the timers of the last tracks fire."""
+    st, base = Stages(spark, d), _scratch(spark, "st2")
+    arrive, run = _arrivals(spark, base)
+    mid = F.dayofmonth("base_date_time") <= 15
+    month = F.date_trunc("month", "base_date_time") == F.lit(st.pings.agg(F.min(F.date_trunc("month", "base_date_time"))).first()[0])
+    early = F.coalesce(month & mid, F.lit(False))
+    arrive(st.pings.where(early), "a")
+    run()
+    arrive(st.pings.where(~early), "b", heartbeat_after_h=5 * keyed.BUFFER_HOURS)
+    run()
+    return spark.read.parquet(f"{base}/out").withColumn("mean_sog", r6("mean_sog"))
+
+
+def _late(pings: DataFrame) -> DataFrame:
+    """A ping more of every vessel, from its last one: at the cutoff (even ids) or a second before it (odd ids)."""
+    cut = pings.agg((F.max("base_date_time") - F.expr(f"INTERVAL '{int(keyed.BUFFER_HOURS)}' HOUR")).alias("c")).first()[0]
+    last = pings.where("mmsi > 0").groupBy("mmsi").agg(F.max_by(F.struct("ping_id", "latitude", "longitude", "sog", "cog", "vessel_type"),
+                                                               F.struct("base_date_time", "ping_id")).alias("r"))
+    at = F.lit(cut).cast("timestamp_ntz")
+    return last.select("mmsi", "r.*").withColumn(
+        "base_date_time", F.when(F.col("mmsi") % 2 == 0, at).otherwise(at - F.expr("INTERVAL '1' SECOND")))
+
+
+_WITH_LATE = f"""(SELECT mmsi, base_date_time, sog, latitude, longitude FROM pings
+  UNION ALL SELECT mmsi, (SELECT max(base_date_time) FROM pings) - INTERVAL {int(keyed.BUFFER_HOURS)} HOUR, 0, 0, 0
+  FROM (SELECT DISTINCT mmsi FROM pings WHERE mmsi > 0 AND mmsi % 2 = 0))"""
+
+
+@register("st8_late_pings", W("pings", f"""
+SELECT mmsi, last_time, n_pings FROM ({_TRACKS_SQL.format(src=_WITH_LATE)})
+UNION ALL SELECT 0, NULL, (SELECT count(DISTINCT mmsi) FROM pings WHERE mmsi % 2 = 1)"""))
+def st8_late_pings(spark, d):
+    """ST8: late pings of every vessel after all others, at the cutoff of the buffer (kept) and
+    a second before it (rejected, counted by the stream's progress as vessel 0)."""
+    st, base = Stages(spark, d), _scratch(spark, "st8")
+    arrive, run = _arrivals(spark, base)
+    arrive(st.pings, "a")
+    run()
+    late = _late(st.pings)
+    arrive(late, "b")
+    n = keyed.rejected(run())
+    arrive(st.pings.limit(0).unionByName(late.orderBy("mmsi").limit(1), allowMissingColumns=True).withColumn(
+        "base_date_time", F.col("base_date_time") + F.expr(f"INTERVAL '{int(5 * keyed.BUFFER_HOURS)}' HOUR"))
+        .withColumn("mmsi", F.lit(S.HEARTBEAT_MMSI).cast("long")), "c")
+    run()
+    counted = spark.range(1).select(F.lit(0).cast("long").alias("mmsi"), F.lit(None).cast("timestamp_ntz").alias("last_time"),
+                                    F.lit(n).cast("long").alias("n_pings"))
+    return spark.read.parquet(f"{base}/out").select("mmsi", "last_time", "n_pings").unionByName(counted)
+
+
 @register("f20_message_quality", W("pings", """
 SELECT status, CAST(count(*) AS BIGINT) AS n FROM (
   SELECT CASE WHEN ping_id % 50 = 1 THEN 'bad json' WHEN ping_id % 50 = 2 THEN 'bad time' WHEN mmsi = 0 THEN 'no vessel'
