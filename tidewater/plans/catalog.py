@@ -27,6 +27,7 @@ from tidewater.session import ensure_checkpoint_dir, path_exists
 from tidewater.sources import ais, fixtures
 from tidewater.streaming import keyed
 from tidewater.streaming import stream as S
+from tidewater.streaming.registry import Registry
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -1008,11 +1009,31 @@ def o6_vessel_summary(spark, d):
     st = Stages(spark, d)
     base = _scratch(spark, "o6")
     S.write_replay(st.pings, f"{base}/in")
-    pred = S.Predictor(spark, st.ports, training.speed_scorer, f"{base}/state", buffer_hours=O6_BUFFER_H)
+    pred = S.Predictor(spark, st.ports, training.speed_scorer, f"{base}/state", buffer_hours=O6_BUFFER_H, compact_every=2)
     pred.start(S.read_file_stream(spark, f"{base}/in", O6_FILES), f"{base}/checkpoint").awaitTermination()
     return pred.registry().withColumn("predicted_remaining_hours", r6("predicted_remaining_hours"))
 
 
+@register("st6_registry_deltas", W("pings", """
+SELECT mmsi, max(base_date_time) AS last_time, arg_max(latitude, (base_date_time, ping_id)) AS latitude,
+  arg_max(longitude, (base_date_time, ping_id)) AS longitude FROM pings GROUP BY mmsi"""))
+def st6_registry_deltas(spark, d):
+    """ST6: each vessel's last position from passes over three days of pings each: deltas, compactions
+    between them, and the last batch twice, as after a failure (its first attempt wrote too little)."""
+    p = Stages(spark, d).pings
+    reg = Registry(spark, f"{_scratch(spark, 'st6')}/registry", "mmsi long, last_time timestamp_ntz, latitude double, longitude double",
+                   compact_every=3)
+    unit = F.floor(geo.epoch_us(F.col("base_date_time")) / (3 * 24 * geo.US_PER_HOUR))
+    ends = p.agg(F.min(unit).alias("lo"), F.max(unit).alias("hi")).first()
+    for batch, u in enumerate(range(ends["lo"], ends["hi"] + 1)):
+        last = (p.where(unit == u).groupBy("mmsi").agg(F.max_by(F.struct("base_date_time", "latitude", "longitude"), F.struct("base_date_time", "ping_id")).alias("r"))
+                .select("mmsi", F.col("r.base_date_time").alias("last_time"), "r.latitude", "r.longitude"))
+        if u == ends["hi"]:
+            reg.write(last.limit(1), batch)
+        reg.write(last, batch)
+    return reg.read()
+
+
 # ---------------------------------------------------------------- model
 _SPLIT_CTE = f"split AS ({_SPLIT_SQL}), test AS (SELECT f.* FROM features f JOIN split USING (voyage_id) WHERE is_test)"
 _SCORE_SQL = "CASE WHEN {s} > 0 THEN greatest({d} / {s}, 0) ELSE 0 END"

@@ -9,7 +9,7 @@
   appends it to the retained ping buffer (append-only, one folder per batch),
   reads it back trimmed to ``max(ts) - buffer_hours`` over all vessels (P6/ST3,
   exact), runs the same batch functions as the batch pipeline (ST5) and
-  upserts the vessel registry (ST6). A micro-batch is scored in slices of
+  upserts the vessel registry (ST6, ``registry.py``: deltas over a base). A micro-batch is scored in slices of
   half a buffer length, so every ping is scored. With
   ``pass_every`` a pass waits until that many messages have come (ST4; a Kafka
   source bounds its batches by ``maxOffsetsPerTrigger``). Buffer folders,
@@ -34,6 +34,7 @@ from tidewater.functions.geo import US_PER_HOUR, epoch_us, iso_timestamp
 from tidewater.operators import features as feat
 from tidewater.operators import sessions, spatial, voyages
 from tidewater.session import path_exists, prepare
+from tidewater.streaming.registry import Registry
 
 MESSAGE_SCHEMA = T.StructType([
     T.StructField("ping_id", T.LongType()),
@@ -246,7 +247,7 @@ class Predictor:
 
     def __init__(self, spark: SparkSession, ports: DataFrame, score, state_dir: str,
                  buffer_hours: float = 48.0, radius_nm: float = 10.0, max_speed_knots: float = 1.5,
-                 gap_threshold_h: float = 24.0, pass_every: int = 1):
+                 gap_threshold_h: float = 24.0, pass_every: int = 1, compact_every: int = 8):
         self.spark = prepare(spark)
         self.ports = ports
         self.score = score
@@ -254,15 +255,12 @@ class Predictor:
         self.buffer_hours = buffer_hours
         self.pass_every = pass_every
         self.radius_nm, self.max_speed, self.gap = radius_nm, max_speed_knots, gap_threshold_h
+        self.vessels = Registry(self.spark, f"{self.state_dir}/registry", REGISTRY_SCHEMA, compact_every=compact_every)
 
     @property
     def buffer_path(self) -> str:
         return f"{self.state_dir}/buffer"
 
-    @property
-    def registry_path(self) -> str:
-        return f"{self.state_dir}/registry"
-
     @property
     def meta_path(self) -> str:
         return f"{self.state_dir}/meta"
@@ -331,11 +329,10 @@ class Predictor:
         inside = F.filter(slices, lambda x: (t >= x["end"] - length) & (t <= x["end"]))
         buffer = self._buffer(live).select("*", F.explode(F.transform(inside, lambda x: x["slice"])).alias("slice"))
         new = self.prediction_pass(buffer)
-        old = _latest_before(self.spark, self.registry_path, batch_id, REGISTRY_SCHEMA)
-        merged = old.withColumn("slice", F.lit(-1).cast("long")).unionByName(new)
-        reg = merged.groupBy("mmsi").agg(F.max_by(F.struct(*REGISTRY_COLUMNS[1:]), F.col("slice")).alias("r")) \
+        # of the slices that score a vessel, the last one stands
+        reg = new.groupBy("mmsi").agg(F.max_by(F.struct(*REGISTRY_COLUMNS[1:]), F.col("slice")).alias("r")) \
             .select("mmsi", "r.*")
-        reg.write.mode("overwrite").parquet(f"{self.registry_path}/v={batch_id}")
+        self.vessels.write(reg, batch_id)
 
     def _commit(self, rows: list, running: int | None, batch_id: int) -> None:
         """The meta version, and away with what neither it nor the version before needs (a
@@ -351,9 +348,8 @@ class Predictor:
         for name, path in _children(spark, self.buffer_path):
             if name.startswith("batch=") and int(name[6:]) not in keep:
                 _delete(spark, path)
-        for root in (self.meta_path, self.registry_path):
-            for v in _versions(spark, root)[:-2]:
-                _delete(spark, f"{root}/v={v}")
+        for v in _versions(spark, self.meta_path)[:-2]:
+            _delete(spark, f"{self.meta_path}/v={v}")
 
     def flush(self) -> None:
         """A pass over the messages that still wait for ``pass_every`` (the end of a finite stream)."""
@@ -368,10 +364,7 @@ class Predictor:
 
     def registry(self) -> DataFrame:
         """Vessel summary ordered by mmsi; empty with schema before the first pass."""
-        vs = _versions(self.spark, self.registry_path)
-        if not vs:
-            return self.spark.createDataFrame([], REGISTRY_SCHEMA)
-        return self.spark.read.schema(REGISTRY_SCHEMA).parquet(f"{self.registry_path}/v={vs[-1]}").orderBy("mmsi")
+        return self.vessels.read().orderBy("mmsi")
 
     def start(self, stream: DataFrame, checkpoint: str, available_now: bool = True):
         w = stream.writeStream.foreachBatch(self.process_batch).option("checkpointLocation", checkpoint)
