@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry_mod
 from tidewater.operators.voyages import VOYAGE_COLUMNS
 
@@ -79,3 +81,25 @@ def test_label_windows_are_bucketed(spark):
         if "Window [" in line and "last(" in line:
             part = line.split("[")[-1]
             assert "_b#" in line, line
+
+
+def test_sketches_of_days_merge_and_counters_come_with_the_write(spark, tmp_path):
+    """A2: many vessels over days, unions within the tolerance; A7-A9: an observation equals a scan of its own."""
+    from tidewater.operators import profile, spread
+    rows = spark.range(30000).select(
+        (F.col("id") % 9000).alias("mmsi"), F.when(F.col("id") % 3 == 0, "A").otherwise("B").alias("portName"),
+        F.timestamp_seconds(F.lit(1735689600) + (F.col("id") % 10) * 86400).cast("timestamp_ntz").alias("base_date_time"))
+    spread.port_day_sketches(rows).write.partitionBy("day").parquet(f"{tmp_path}/s")
+    kept = spark.read.schema("portName string, sketch binary, day date").parquet(f"{tmp_path}/s")
+    near = {r.portName: r.vessels for r in spread.vessels_between(kept, F.lit("2025-01-03").cast("date"), F.lit("2025-01-05").cast("date")).collect()}
+    exact = rows.where(F.dayofmonth("base_date_time").between(3, 5)).groupBy("portName").agg(F.count_distinct("mmsi").alias("n"))
+    checked = [(r.portName, r.n, r.t) for r in exact.withColumn("t", spread.tolerance(F.col("n"))).collect()]
+    assert len(checked) == 2 and all(abs(near[p] - n) <= t and t < 0.1 * n for p, n, t in checked)
+    assert spread.vessels_between(kept, F.lit("2024-01-01").cast("date"), F.lit("2024-01-02").cast("date")).count() == 0
+
+    holes = rows.withColumn("mmsi", F.when(F.col("mmsi") % 4 != 0, F.col("mmsi")))
+    watched, found = profile.observed(holes, ["mmsi", "portName"])
+    watched.write.parquet(f"{tmp_path}/w")
+    got = {r.column_name: (r.nulls, round(r.null_rate, 9), round(r.coverage, 9)) for r in profile.observed_nulls(spark, found, ["mmsi", "portName"]).collect()}
+    want = {r.column_name: (r.nulls, round(r.null_rate, 9), round(1 - r.null_rate, 9)) for r in profile.null_counts(holes, ["mmsi", "portName"]).collect()}
+    assert got == want and got["mmsi"][0] == 7500 * 1

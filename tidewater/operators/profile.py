@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.operators.quantiles import exact_percentiles
@@ -47,6 +47,21 @@ def coverage(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.agg(*[F.avg(F.col(c).isNotNull().cast("int")).alias(f"{c}_coverage") for c in cols])
 
 
+def observed(df: DataFrame, cols: Sequence[str], name: str = "profile") -> tuple[DataFrame, Observation]:
+    """A7-A9 without a scan of their own: ``df`` and an Observation that counts its rows and the nulls of
+    ``cols`` while ``df`` is written (or read to the end) by whatever action comes next."""
+    found = Observation(name)
+    return df.observe(found, F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in cols]), found
+
+
+def observed_nulls(spark: SparkSession, found: Observation, cols: Sequence[str]) -> DataFrame:
+    """column_name, nulls, null_rate and coverage of an observation that has been made: one row a column."""
+    m = found.get
+    rate = [(c, m[c], m[c] / m["_n"] if m["_n"] else None) for c in cols]
+    return spark.createDataFrame([(c, n, r, None if r is None else 1 - r) for c, n, r in rate],
+                                 "column_name string, nulls long, null_rate double, coverage double")
+
+
 def quantile_bins(df: DataFrame, col: str, out: str, q: int = 5) -> DataFrame:
     """pd.qcut(q, labels=False, duplicates='drop') as a column.
 

@@ -6,6 +6,7 @@ fixtures) and runs over whole tables. Names are ``<id>_<short name>``.
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import math
 import uuid
@@ -18,10 +19,11 @@ from pyspark.sql import types as T
 
 from tidewater.functions import geo
 from tidewater.operators import features as feat
-from tidewater.operators import portcalls, profile, sessions, voyages, weather
+from tidewater.operators import portcalls, profile, sessions, spread, voyages, weather
 from tidewater.operators.ordered import range_running_sum
 from tidewater.operators.quantiles import exact_percentiles
 from tidewater.plans import oracle, training
+from tidewater.plans.daily import DailyVisits
 from tidewater.plans.pipeline import MIN_TIME_IN_PORT_H, Stages
 from tidewater.session import ensure_checkpoint_dir, path_exists
 from tidewater.sources import ais, fixtures
@@ -120,6 +122,31 @@ def a2_vessels_per_port(spark, d):
     return m.groupBy("portName").agg(F.count("mmsi").alias("n_vessels"))
 
 
+@register("a2_vessels_from_sketches", W("cand", """
+SELECT span, portName, CAST(count(DISTINCT mmsi) AS BIGINT) AS n_vessels, true AS within
+FROM cand, (VALUES ('all days', 1, 31), ('days 5 to 20', 5, 20)) AS s(span, lo, hi)
+WHERE day(base_date_time) BETWEEN lo AND hi GROUP BY span, portName"""))
+def a2_vessels_from_sketches(spark, d):
+    """A2 approximate: vessels per port over two ranges of days of a month, from the sketches kept per port and day,
+    against the exact counts."""
+    cand = Stages(spark, d).candidates
+    at = f"{_scratch(spark, 'a2')}/sketches"
+    spread.port_day_sketches(cand).write.partitionBy("day").parquet(at)
+    kept = spark.read.schema("portName string, sketch binary, day date").parquet(at)
+    whole = None
+    for span, lo, hi in (("all days", 1, 31), ("days 5 to 20", 5, 20)):
+        # every month's days of the range; a range in one month is one span of dates
+        days = F.dayofmonth("day").between(lo, hi)
+        near = spread.vessels_between(kept.where(days), F.lit("0001-01-01").cast("date"), F.lit("9999-12-31").cast("date"))
+        exact = (cand.where(F.dayofmonth("base_date_time").between(lo, hi)).select("portName", "mmsi").distinct()
+                 .groupBy("portName").agg(F.count("mmsi").alias("n_vessels")))
+        rows = exact.join(near, "portName", "left").select(
+            F.lit(span).alias("span"), "portName", "n_vessels",
+            F.coalesce(F.abs(F.col("vessels") - F.col("n_vessels")) <= spread.tolerance(F.col("n_vessels")), F.lit(False)).alias("within"))
+        whole = rows if whole is None else whole.unionByName(rows)
+    return whole
+
+
 _J11_SQL = f"""
 SELECT p.port_number, p.portName, CAST(coalesce(c.n, 0) AS BIGINT) AS port_call_count
 FROM ports p LEFT JOIN (SELECT portName, count(DISTINCT mmsi) AS n FROM ({_MATCH_SQL}) GROUP BY portName) c
@@ -325,6 +352,22 @@ ORACLE["a7_null_counts"] = W("features", "\nUNION ALL\n".join(
     for c in feat.FEATURE_COLUMNS))
 
 
+@register("a7_observed_nulls")
+def a7_observed_nulls(spark, d):
+    """A7 + A9 counted while the training set is written: no scan of its own."""
+    watched, found = profile.observed(feat.training_set(Stages(spark, d).features_plan), feat.FEATURE_COLUMNS)
+    watched.write.parquet(f"{_scratch(spark, 'a7')}/training")
+    return profile.observed_nulls(spark, found, feat.FEATURE_COLUMNS).select(
+        "column_name", "nulls", r6("null_rate").alias("null_rate"), r6("coverage").alias("coverage"))
+
+
+ORACLE["a7_observed_nulls"] = W("features", "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column_name, CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS nulls, "
+    f"round(CAST(count(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) / count(*), 6) AS null_rate, "
+    f"round(CAST(count({c}) AS DOUBLE) / count(*), 6) AS coverage FROM features"
+    for c in feat.FEATURE_COLUMNS))
+
+
 @register("a8_dataset_counters", W("labeled", """
 SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT mmsi) AS BIGINT) AS n_vessels,
        CAST(count(DISTINCT voyage_id) AS BIGINT) AS n_voyages, CAST(count(DISTINCT current_port) AS BIGINT) AS n_ports,
@@ -338,8 +381,7 @@ def a8_dataset_counters(spark, d):
     lab = st.stage(st.labeled_plan.select("mmsi", "voyage_id", "current_port", "base_date_time", "latitude",
                                           "longitude", "sog"), "counters")
     extra = [
-        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("mmsi").alias("n_vessels"),
-        F.count_distinct("voyage_id").alias("n_voyages"), F.count_distinct("current_port").alias("n_ports"),
+        F.count(F.lit(1)).alias("n_rows"),
         F.min("base_date_time").alias("first_time"), F.max("base_date_time").alias("last_time"),
         F.min("latitude").alias("lat_min"), F.max("latitude").alias("lat_max"),
         F.min("longitude").alias("lon_min"), F.max("longitude").alias("lon_max"),
@@ -347,6 +389,9 @@ def a8_dataset_counters(spark, d):
         r6(F.avg("sog")).alias("mean_sog"),
     ]
     t = exact_percentiles(lab, "sog", [0.5], names=["median_sog"], extra_aggs=extra)
+    # distinct counts over the distinct keys, each its own aggregation: one with all three would expand the table
+    for c, key in (("n_vessels", "mmsi"), ("n_voyages", "voyage_id"), ("n_ports", "current_port")):
+        t = t.withColumn(c, lab.where(F.col(key).isNotNull()).select(key).distinct().agg(F.count(F.lit(1))).scalar())
     return t.select(*[F.col(c) for c in [
         "n_rows", "n_vessels", "n_voyages", "n_ports", "first_time", "last_time", "lat_min", "lat_max",
         "lon_min", "lon_max", "share_in_port", "mean_sog"]], r6("median_sog").alias("median_sog"))
@@ -403,6 +448,17 @@ def o4_seeded_sample(spark, d):
         .select("ping_id", feat.LABEL)
 
 
+SMALL_SAMPLE_N = 100      # fewer than any table has
+
+
+@register("o4_seeded_sample_bound", W("features", f"""
+SELECT ping_id, remaining_travel_hours FROM features
+ORDER BY ((ping_id % 2147483648) * 1103515245 + {SEED + 1}) % 2147483648, ping_id LIMIT {SMALL_SAMPLE_N}"""))
+def o4_seeded_sample_bound(spark, d):
+    """O4 where the limit binds, with another seed."""
+    return profile.seeded_sample(Stages(spark, d).features, "ping_id", SMALL_SAMPLE_N, SEED + 1).select("ping_id", feat.LABEL)
+
+
 # ---------------------------------------------------------------- fixtures/scalars
 @register("f1_dms_to_dd", W("ports", """
 SELECT portName,
@@ -826,6 +882,25 @@ def s4_stage_reuse(spark, d):
     return voyages.count_voyage_pings(again.voyages_base, again.labeled)
 
 
+@register("s4_daily_pipeline", W("voyages", """
+SELECT 'visit' AS kind, mmsi, portName AS port, entry_time AS from_time, exit_time AS to_time, NULL AS to_port, round(duration_hours, 6) AS hours FROM visits
+UNION ALL SELECT 'voyage', mmsi, departure_port, departure_time, arrival_time, arrival_port, round(duration_hours, 6) FROM voyages"""))
+def s4_daily_pipeline(spark, d):
+    """S4 + S2 day by day: visits and voyages kept up to date over four runs, the last two days by themselves;
+    then the last run but one again."""
+    st = Stages(spark, d)
+    ends = st.pings.agg(F.min(F.to_date("base_date_time")).alias("lo"), F.max(F.to_date("base_date_time")).alias("hi")).first()
+    daily = DailyVisits(spark, _scratch(spark, "s4d"), st.pings, st.ports)
+    for back in (9, 1, 0, -1):
+        daily.advance(ends["hi"] - datetime.timedelta(days=back))
+    daily.redo(ends["hi"] - datetime.timedelta(days=1))
+    v = daily.visits().select(F.lit("visit").alias("kind"), "mmsi", F.col("portName").alias("port"), F.col("entry_time").alias("from_time"),
+                              F.col("exit_time").alias("to_time"), F.lit(None).cast("string").alias("to_port"), r6("duration_hours").alias("hours"))
+    w = daily.voyages().select(F.lit("voyage").alias("kind"), "mmsi", F.col("departure_port").alias("port"), F.col("departure_time").alias("from_time"),
+                               F.col("arrival_time").alias("to_time"), F.col("arrival_port").alias("to_port"), r6("duration_hours").alias("hours"))
+    return v.unionByName(w)
+
+
 @register("s5_weather_payloads", W("enriched", """
 SELECT lat_bin, lon_bin, hour, wave_height, wave_direction, wave_period, swell_wave_height, ocean_current_velocity,
        ocean_current_direction FROM marine"""))
@@ -1014,6 +1089,36 @@ def o6_vessel_summary(spark, d):
     return pred.registry().withColumn("predicted_remaining_hours", r6("predicted_remaining_hours"))
 
 
+ST4_EVERY, ST4_FILES = 300, 2
+
+
+class _PassLog(S.Predictor):
+    """Notes which batches pass, and over how many messages, in place of scoring them."""
+
+    def _passes(self, rows, running, batch_id):
+        waiting = [r for r in rows if not r[4]]
+        self.log = getattr(self, "log", []) + [(batch_id, len(waiting), sum(r[3] for r in waiting))]
+
+
+@register("st4_count_trigger", W("pings", f"""
+, b AS (SELECT u // {ST4_FILES} AS batch, count(*) FILTER (WHERE mmsi <> 0) AS n FROM (
+  SELECT mmsi, dense_rank() OVER (ORDER BY CAST(base_date_time AS DATE)) - 1 AS u FROM pings) GROUP BY 1),
+r AS (SELECT batch, n, (n >= {ST4_EVERY}) AS fires, 1 AS waited, n AS total FROM b WHERE batch = 0
+  UNION ALL SELECT b.batch, b.n, (CASE WHEN r.fires THEN 0 ELSE r.total END) + b.n >= {ST4_EVERY},
+    (CASE WHEN r.fires THEN 0 ELSE r.waited END) + 1, (CASE WHEN r.fires THEN 0 ELSE r.total END) + b.n
+  FROM r JOIN b ON b.batch = r.batch + 1)
+SELECT CAST(CASE WHEN fires THEN batch ELSE batch + 1 END AS BIGINT) AS batch_id, CAST(waited AS BIGINT) AS n_batches, CAST(total AS BIGINT) AS n_messages
+FROM r WHERE fires OR (batch = (SELECT max(batch) FROM b) AND total > 0)""").replace("WITH ", "WITH RECURSIVE ", 1))
+def st4_count_trigger(spark, d):
+    """ST4: a pass whenever enough messages wait, and one at the end of the stream: its batch, the batches and the messages it takes in."""
+    st, base = Stages(spark, d), _scratch(spark, "st4")
+    S.write_replay(st.pings, f"{base}/in")
+    pred = _PassLog(spark, st.ports, None, f"{base}/state", buffer_hours=O6_BUFFER_H, pass_every=ST4_EVERY)
+    pred.start(S.read_file_stream(spark, f"{base}/in", ST4_FILES), f"{base}/checkpoint").awaitTermination()
+    pred.flush()
+    return spark.createDataFrame(getattr(pred, "log", []), "batch_id long, n_batches long, n_messages long")
+
+
 @register("st6_registry_deltas", W("pings", """
 SELECT mmsi, max(base_date_time) AS last_time, arg_max(latitude, (base_date_time, ping_id)) AS latitude,
   arg_max(longitude, (base_date_time, ping_id)) AS longitude FROM pings GROUP BY mmsi"""))
