@@ -1,8 +1,10 @@
 """Port matching and visit detection."""
 
+import random
+
 from conftest import at, hourly, make_pings
 
-from tidewater.operators import sessions, spatial
+from tidewater.operators import portcalls, sessions, spatial
 
 
 def visits(pings, ports, gap=24.0):
@@ -143,3 +145,30 @@ def test_hours_in_port_hot_key_split_is_identical(spark):
     rb = sorted((r.ping_id, r.port_number, r.port_group, round(r.hours_in_port, 9),
                  None if r.time_diff is None else round(r.time_diff, 9)) for r in b.collect())
     assert ra == rb and len(ra) > 1000
+
+
+def test_port_hours_against_plain_windows(spark, ports):
+    """W7-W9 in one pass: equal to running values over whole vessels, whatever the bucket width."""
+    rng = random.Random(11)
+    rows = []
+    for m in (1, 2, None):
+        h = 0.0
+        for _ in range(60):
+            h += rng.choice([0, 0.25, 3, 30, 60])  # equal times, and gaps of several buckets
+            rows.append((len(rows), m, at(h), *rng.choice([(-74.0, 40.7), (-118.2, 33.7), (0.0, 0.0)]), 0.1))
+    joined = portcalls.ports_left_join(make_pings(spark, [(i, m, t, lon, lat, s) for i, m, t, lon, lat, s in rows]), ports)
+    want, last = {}, {}
+    for r in sorted(joined.collect(), key=lambda r: (r.base_date_time, r.ping_id)):
+        ip = int(r.port_number is not None)
+        old = last.get(r.mmsi)
+        diff = None if old is None else (r.base_date_time - old[0]).total_seconds() / 3600
+        if old is None or old[1] != ip:
+            run, total = (old[2] if old else 0) + 1, diff or 0.0
+        else:
+            run, total = old[2], old[3] + diff
+        last[r.mmsi] = (r.base_date_time, ip, run, total)
+        want[r.ping_id] = (None if diff is None else round(diff, 6), run, round(total if ip else 0.0, 6))
+    for kw in ({}, {"bucket_us": 3_600_000_000}, {"hot_bucket_rows": 1}):
+        got = {r.ping_id: (None if r.time_diff is None else round(r.time_diff, 6), r.port_group, round(r.hours_in_port, 6))
+               for r in portcalls.hours_in_port(joined, **kw).collect()}
+        assert got == want, kw
