@@ -416,3 +416,18 @@ def test_thresholds_keep_the_promised_recall(spark):
     docs = docs_of(spark, rows)
     model = secretscan.fit(docs, secretscan.Fit(docs=150, findings=60, epochs=3))
     assert all(0 <= t < 1 for t in model.thresholds)
+
+
+def test_small_bad_directories_do_not_take_clean_ones_along(spark):
+    """100 directories of 5 bad pages and 100 of 5 clean ones: the bad half is blocked, no clean page; with the
+    bad pages dealt at random (a share of 0.3) no directory is."""
+    def judged(host, bad):
+        pages = [(1000 * d + i, f"http://{host}/d{d}/{i}.html") for d in range(200) for i in range(5)]
+        labels = [(p, 0 if bad(p // 1000, p % 1000) else 1, 0) for p, _ in pages]
+        df = spark.createDataFrame([(*p, None) for p in pages], "page_id long, url string, html string")
+        out = urltree.judge(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+        return {r.page_id for r in out if r.verdict == "block"}
+    assert judged("mixed.example.io", lambda d, i: d < 100) == {1000 * d + i for d in range(100) for i in range(5)}
+    rng = random.Random(12)
+    dealt = {(d, i): rng.random() < 0.3 for d in range(200) for i in range(5)}
+    assert judged("even.example.io", lambda d, i: dealt[d, i]) == set()

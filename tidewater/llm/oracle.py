@@ -76,18 +76,24 @@ def op7() -> str:
         s = f"coalesce(string_split(path, '/')[{i}], '')"
         return f"CASE WHEN regexp_matches({s}, '{urltree._VARIABLE}') THEN '*' ELSE {s} END"
 
-    def wild(src, level, parent, out):
-        return (f"(SELECT a.*, CASE WHEN m.kids > {urltree.MAX_CHILDREN} THEN '*' ELSE {level} END AS {out} FROM {src} a "
-                f"JOIN (SELECT {parent}, count(DISTINCT {level}) AS kids FROM {src} GROUP BY {parent}) m USING ({parent}))")
-
     def merge(src, level, parent, out):
-        return f"""(SELECT a.*, CASE WHEN k.n = 0 OR abs(k.bad / greatest(k.n, 1) - u.bad / greatest(u.n, 1))
-    / sqrt((u.bad / greatest(u.n, 1) * (1 - u.bad / greatest(u.n, 1)) + 1e-9) / greatest(k.n, 1)) <= {urltree.MERGE_Z} THEN '~' ELSE {level} END AS {out}
-  FROM {src} a JOIN (SELECT {parent}, {level}, sum(n) AS n, sum(bad) AS bad FROM {src} GROUP BY {parent}, {level}) k USING ({parent}, {level})
+        z = ("abs(k.bad / greatest(k.n, 1) - u.bad / greatest(u.n, 1)) / sqrt((u.bad / greatest(u.n, 1) * "
+             "(1 - u.bad / greatest(u.n, 1)) + 1e-9) / greatest(k.n, 1))")
+        kids = f"""(SELECT k.*, k.n > 0 AND {z} > {urltree.MERGE_Z} AS alone
+  FROM (SELECT {parent}, {level}, sum(n) AS n, sum(bad) AS bad FROM {src} GROUP BY {parent}, {level}) k
   JOIN (SELECT {parent}, sum(n) AS n, sum(bad) AS bad FROM {src} GROUP BY {parent}) u USING ({parent}))"""
-
-    def share(keys, prior):
-        return f"((sum(bad) OVER (PARTITION BY {keys}) + {urltree.PRIOR}::DOUBLE * {prior}) / (sum(n) OVER (PARTITION BY {keys}) + {urltree.PRIOR}::DOUBLE))"
+        return f"""(SELECT a.*, CASE WHEN k.alone THEN {level}
+    WHEN k.n > 0 AND r.kids > 1 AND (r.sq - r.bad * r.bad / r.n) / nullif(r.bad / r.n * (1 - r.bad / r.n), 0) - (r.kids - 1)
+      > {urltree.MERGE_Z} * sqrt(2.0 * (r.kids - 1)) THEN CASE WHEN k.bad / k.n >= r.bad / r.n THEN '~+' ELSE '~-' END
+    ELSE '~' END AS {out}
+  FROM {src} a JOIN {kids} k USING ({parent}, {level})
+  LEFT JOIN (SELECT {parent}, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, count(*) AS kids, sum(bad * bad / n) AS sq
+    FROM {kids} WHERE NOT alone AND n > 0 GROUP BY {parent}) r USING ({parent}))"""
+
+    def share(keys, prior, parent=None):
+        smooth = f"((sum(bad) OVER (PARTITION BY {keys}) + {urltree.PRIOR}::DOUBLE * {prior}) / (sum(n) OVER (PARTITION BY {keys}) + {urltree.PRIOR}::DOUBLE))"
+        return smooth if parent is None else (
+            f"CASE WHEN sum(n) OVER (PARTITION BY {keys}) = sum(n) OVER (PARTITION BY {parent}) THEN {prior} ELSE {smooth} END")
     fits, verdicts = [], []
     for text, decision in sorted(urltree.RULES, key=lambda r: (-len(r[0]), r[0])):
         name, _, prefix = text.partition("/")
@@ -100,14 +106,12 @@ u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([
   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 p AS (SELECT *, {segment(2)} AS s1, CASE WHEN len(string_split(path, '/')) > 3 THEN '**' ELSE {segment(3)} END AS s2 FROM u),
 leaves AS (SELECT host, s1, s2, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM p LEFT JOIN seen ON page_id = doc_id GROUP BY host, s1, s2),
-t1 AS {wild('leaves', 's1', 'host', 'w1')},
-t2 AS {merge('t1', 'w1', 'host', 'b1')},
-t3 AS {wild('t2', 's2', 'host, b1', 'w2')},
-t4 AS {merge('t3', 'w2', 'host, b1', 'b2')},
+t2 AS {merge('leaves', 's1', 'host', 'b1')},
+t4 AS {merge('t2', 's2', 'host, b1', 'b2')},
 g AS (SELECT coalesce(sum(bad), 0) / greatest(coalesce(sum(n), 0), 1) AS share FROM t4),
 q0 AS (SELECT t4.*, {share('host', '(SELECT share FROM g)')} AS p0 FROM t4),
-q1 AS (SELECT *, {share('host, b1', 'p0')} AS p1 FROM q0),
-q2 AS (SELECT *, {share('host, b1, b2', 'p1')} AS purity FROM q1)
+q1 AS (SELECT *, {share('host, b1', 'p0', 'host')} AS p1 FROM q0),
+q2 AS (SELECT *, {share('host, b1, b2', 'p1', 'host, b1')} AS purity FROM q1)
 SELECT page_id, host, path, CASE {' '.join(fits)} END AS rule,
   CASE {' '.join(verdicts)} WHEN purity >= {urltree.BLOCK_AT} THEN 'block' ELSE 'allow' END AS verdict
 FROM p JOIN q2 USING (host, s1, s2)"""

@@ -4,16 +4,19 @@ Templates. A path's segments are generalised: one that is a number (with or with
 an extension), a long hexadecimal string or a date becomes ``*``. Every segment of a
 path is a level; slashes at its end are not.
 
-Merging. Sibling branches of a parent whose labelled shares of bad pages do not
-differ from the parent's by more than ``MERGE_Z`` standard errors are one branch
-(``~``); only branches that stand out keep a node of their own. Each segment is tested by
+Merging. A branch whose labelled share of bad pages differs from its parent's by more than
+``MERGE_Z`` standard errors keeps a node of its own. Its other siblings are one branch
+(``~``), unless their shares differ among each other by more than chance (the chi-square
+of their counts lies ``MERGE_Z`` deviations above its mean): then those with at least their common
+share are one branch (``~+``) and the others another (``~-``), so that many small bad
+directories do not take as many clean ones along. Each segment is tested by
 its own labelled pages, however many siblings it has. A path that ends at a
 node is a branch of it too (an empty segment), at every level.
 
 Purity. A node's share of bad pages is smoothed towards its parent's smoothed share,
-the host's towards the whole table's, with a weight of ``PRIOR`` pages. From the third
-level on, a node with all the labelled pages of its parent has its parent's share: the
-same pages are not counted again at each level of a long path. The tree is built level
+the host's towards the whole table's, with a weight of ``PRIOR`` pages. A node with all the
+labelled pages of its parent has its parent's share: the same pages are not counted again
+at each level of a long path. The tree is built level
 by level until no node has labelled paths that still differ. A page whose node reaches
 ``BLOCK_AT`` is blocked. Pages are bad when labelled quality 0 or toxic 1.
 
@@ -35,7 +38,6 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import maybe_broadcast, setup, stage_table
 
-MAX_CHILDREN = 50  # of the oracle's SQL alone; the tree has no such limit
 MERGE_Z = 3.0
 PRIOR = 20.0
 BLOCK_AT = 0.5
@@ -97,12 +99,19 @@ def _descend(leaves: DataFrame, level: int) -> DataFrame:
     share = F.col("_pb") / F.greatest(F.col("_pn"), F.lit(1))
     error = F.sqrt((share * (1 - share) + F.lit(1e-9)) / F.greatest(F.col("_n"), F.lit(1)))
     z = F.abs(F.col("_b") / F.greatest(F.col("_n"), F.lit(1)) - share) / error
-    by = by.join(up, "node").withColumn(
-        "branch", F.when((F.col("_n") == 0) | (z <= MERGE_Z), F.lit("~")).otherwise(F.col("seg")))
+    by = by.join(up, "node").withColumn("_alone", (F.col("_n") > 0) & (z > MERGE_Z))
+    like = by.where("not _alone and _n > 0").groupBy("node").agg(
+        F.sum("_n").alias("_rn"), F.sum("_b").alias("_rb"), F.count("*").alias("_k"), F.sum(F.col("_b") * F.col("_b") / F.col("_n")).alias("_sq"))
+    mean = F.col("_rb") / F.col("_rn")
+    spread = (F.col("_sq") - mean * F.col("_rb")) / F.nullif(mean * (1 - mean), F.lit(0.0)) - (F.col("_k") - 1)
+    mixed = F.coalesce((F.col("_k") > 1) & (spread > MERGE_Z * F.sqrt(2.0 * (F.col("_k") - 1))), F.lit(False))
+    side = F.when(F.col("_b") / F.col("_n") >= F.col("_mean"), F.lit("~+")).otherwise(F.lit("~-"))
+    by = (by.join(like.select("node", mean.alias("_mean"), mixed.alias("_mixed")), "node", "left")
+          .withColumn("branch", F.when(F.col("_alone"), F.col("seg")).when((F.col("_n") > 0) & F.col("_mixed"), side).otherwise(F.lit("~"))))
     sums = by.groupBy("node", "branch").agg(F.sum("_n").alias("_n"), F.sum("_b").alias("_b"), F.first("_prior").alias("_prior"),
                                             F.first("_pn").alias("_pn"))
     smooth = (F.col("_b") + F.lit(PRIOR) * F.col("_prior")) / (F.col("_n") + F.lit(PRIOR))
-    whole = F.lit(level > 2) & (F.col("_n") == F.col("_pn"))
+    whole = F.col("_n") == F.col("_pn")
     sums = sums.select("node", "branch", F.when(whole, F.col("_prior")).otherwise(smooth).alias("_purity"))
     named = by.select("node", "seg", "branch").join(sums, ["node", "branch"])
     return (t.drop("purity").join(named, ["node", "seg"])
