@@ -161,3 +161,21 @@ def test_shared_folder_is_required_off_local(spark, monkeypatch):
                 return default
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_kept_stages_follow_their_input(spark):
+    """A changed input or setting, or a run that wrote one of the two tables alone, is not reused."""
+    import shutil
+    d, keep = tempfile.mkdtemp(prefix="tw-mark-"), tempfile.mkdtemp(prefix="tw-kept-")
+    for t in ("events", "nation", "region"):
+        shutil.copy(f"{SF}/{t}.parquet", d)
+    first = Stages(spark, d, keep_dir=keep)
+    n = first.labeled.count()
+    assert Stages(spark, d, pings_df=first.pings.limit(0), keep_dir=keep).labeled.count() == n > 0
+    assert Stages(spark, d, pings_df=first.pings.limit(0), keep_dir=keep, gap_threshold_h=12.0).labeled.count() == 0
+    session.delete_path(spark, f"{first._kept}/labeled")     # as a run that failed between the two
+    again = Stages(spark, d, keep_dir=keep)
+    assert not session.path_exists(spark, f"{again._kept}/voyages") and again.labeled.count() == n
+    spark.read.parquet(f"{SF}/events.parquet").limit(100).coalesce(1).write.mode("overwrite").parquet(f"{d}/events.parquet")
+    changed = Stages(spark, d, keep_dir=keep)
+    assert changed._kept != first._kept and changed.labeled.count() == 100

@@ -7,7 +7,6 @@ fixtures) and runs over whole tables. Names are ``<id>_<short name>``.
 from __future__ import annotations
 
 import datetime
-import hashlib
 import math
 import uuid
 from collections.abc import Callable
@@ -25,7 +24,7 @@ from tidewater.operators.quantiles import exact_percentiles
 from tidewater.plans import oracle, training
 from tidewater.plans.daily import DailyVisits
 from tidewater.plans.pipeline import MIN_TIME_IN_PORT_H, Stages
-from tidewater.session import ensure_checkpoint_dir, path_exists
+from tidewater.session import ensure_checkpoint_dir, input_mark, path_exists
 from tidewater.sources import ais, fixtures
 from tidewater.streaming import keyed
 from tidewater.streaming import stream as S
@@ -1218,15 +1217,8 @@ def _trained(spark, d):
 
 
 def _input_mark(spark, d: str) -> str:
-    """A hash of the names, sizes and times of the files under the tables a model depends on."""
-    jvm = spark._jvm
-    marks = []
-    for t in ("events", "nation", "region"):
-        p = jvm.org.apache.hadoop.fs.Path(f"{d}/{t}.parquet")
-        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-        found = fs.listStatus(p)
-        marks += [f"{st.getPath()} {st.getLen()} {st.getModificationTime()}" for st in found]
-    return hashlib.md5("\n".join(sorted(marks)).encode()).hexdigest()
+    """A mark of the tables a model depends on."""
+    return input_mark(spark, [f"{d}/{t}.parquet" for t in ("events", "nation", "region")])
 
 
 @register("m2_test_predictions")

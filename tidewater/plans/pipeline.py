@@ -17,7 +17,7 @@ from tidewater.functions.geo import epoch_us
 from tidewater.operators import features as feat
 from tidewater.operators import portcalls, sessions, spatial, voyages, weather
 from tidewater.operators.ordered import DAY_US, HOT_BUCKET_ROWS, hot_key_widths
-from tidewater.session import checked_count, prepare, write_stage
+from tidewater.session import checked_count, delete_path, input_mark, path_exists, prepare, write_stage
 from tidewater.sources import fixtures
 
 RADIUS_NM = 10.0
@@ -28,8 +28,10 @@ MIN_TIME_IN_PORT_H = 1.0
 
 @dataclass
 class Stages:
-    """``keep_dir``: a folder in which stage tables are kept by name and reused by
-    later runs over the same input (S4); without it every run writes its own."""
+    """``keep_dir``: a folder in which stage tables are kept and reused by later runs
+    over the same input and settings (S4): they lie under a mark of the input files, so a
+    changed input gets new ones, and voyages and labelled pings are reused together or
+    not at all. Without it every run writes its own."""
     spark: SparkSession
     sf_dir: str | None = None
     pings_df: DataFrame | None = None     # overrides the fixture pings (loaded files, stream buffer)
@@ -47,7 +49,23 @@ class Stages:
         return self._cache[name]
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
-        return write_stage(df, name, self.keep_dir)
+        return write_stage(df, name, self._kept)
+
+    @property
+    def _kept(self) -> str | None:
+        """The folder of the kept tables; at its first use, one of a run that did not get to its end is emptied."""
+        if self.keep_dir is None or self.sf_dir is None:  # frames at hand have no files to mark
+            return self.keep_dir
+
+        def build():
+            mark = input_mark(self.spark, [f"{self.sf_dir}/{t}.parquet" for t in ("events", "nation", "region")],
+                              self.radius_nm, self.max_speed_knots, self.gap_threshold_h)
+            root = f"{self.keep_dir.rstrip('/')}/{mark}"
+            if not all(path_exists(self.spark, f"{root}/{t}/_SUCCESS") for t in ("voyages", "labeled")):
+                for t in ("voyages", "labeled"):
+                    delete_path(self.spark, f"{root}/{t}")
+            return root
+        return self._get("kept", build)
 
     # inputs
     @property

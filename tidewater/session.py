@@ -7,6 +7,7 @@ set runtime SQL options that affect semantics (UTC time zone).
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import tempfile
@@ -94,6 +95,21 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def input_mark(spark: SparkSession, paths: list[str], *settings) -> str:
+    """A hash of the names, sizes and times of the files under ``paths``, and of settings."""
+    marks = [repr(settings)] if settings else []
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        marks += [f"{st.getPath()} {st.getLen()} {st.getModificationTime()}" for st in fs.listStatus(p)]
+    return hashlib.md5("\n".join(sorted(marks)).encode()).hexdigest()
+
+
 _COUNTS: "weakref.WeakKeyDictionary" = weakref.WeakKeyDictionary()
 
 
