@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tidewater.functions import geo
 from tidewater.operators import features as feat
-from tidewater.operators import portcalls, profile, sessions, spread, voyages, weather
+from tidewater.operators import boosting, portcalls, profile, sessions, spread, voyages, weather
 from tidewater.operators.ordered import range_running_sum
 from tidewater.operators.quantiles import exact_percentiles
 from tidewater.plans import oracle, training
@@ -1250,3 +1250,62 @@ def st5_predictions(spark, d):
     return training.predict(model, latest).select(
         "mmsi", F.col("base_date_time").alias("last_prediction_time"), "predicted_remaining_hours",
         "origin_port", "destination_port", "latitude", "longitude")
+
+
+# The reference's depth and bins; fewer and larger steps, as SQL repeats every tree.
+BOOST = boosting.Params(rounds=8, max_depth=5, step=0.3)
+_HOURS_SQL = "round(greatest(exp(pred::DOUBLE / 1000000) - 1, 0), 6)"
+_BOOST_CTE = f"split AS ({_SPLIT_SQL}), fr AS (SELECT f.*, f.ping_id AS rid, is_test FROM features f JOIN split USING (voyage_id)),\n" + \
+    oracle.boosting("fr", "NOT is_test", feat.LABEL, training.MODEL_NUMERIC, feat.CATEGORICAL_FEATURES, BOOST)
+
+
+def _boosted(spark, d):
+    """(features, test rows, boosted model): fitted once a session and input, saved and loaded."""
+    f = Stages(spark, d).features
+    train_df, test = training.split_frames(f, voyage_split(f))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidewater/boosted-{spark.sparkContext.applicationId}-{_input_mark(spark, d)}"
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        model = boosting.fit(train_df, F.log1p(feat.LABEL), training.MODEL_NUMERIC, feat.CATEGORICAL_FEATURES, BOOST)
+        boosting.save(spark, model, path)
+    return f, test, boosting.load(spark, path)
+
+
+@register("m2_boosted_predictions", _with("features", _BOOST_CTE, f"""
+SELECT ping_id, voyage_id, round(remaining_travel_hours, 6) AS remaining_travel_hours, {_HOURS_SQL} AS predicted_remaining_hours
+FROM fr JOIN boosted USING (rid) WHERE is_test"""))
+def m2_boosted_predictions(spark, d):
+    """M2 + M6 + F16 + F10: histogram boosting with its own handling of missing values, on the test voyages."""
+    _, test, model = _boosted(spark, d)
+    return training.boosted_scorer(model)(test).select(
+        "ping_id", "voyage_id", r6(feat.LABEL).alias(feat.LABEL), r6("predicted_remaining_hours").alias("predicted_remaining_hours"))
+
+
+@register("m4_boosted_metrics", _with("features", _BOOST_CTE, f"""
+SELECT round(avg(abs(p - y)), 6) AS mae, round(sqrt(avg((p - y) * (p - y))), 6) AS rmse, round({_ERRORS_SQL}, 6) AS r2,
+       CAST(count(*) AS BIGINT) AS n_test
+FROM (SELECT remaining_travel_hours AS y, greatest(exp(pred::DOUBLE / 1000000) - 1, 0) AS p FROM fr JOIN boosted USING (rid) WHERE is_test)"""))
+def m4_boosted_metrics(spark, d):
+    """M4 of the boosted model."""
+    _, test, model = _boosted(spark, d)
+    m = training.metrics_table(training.boosted_scorer(model)(test))
+    return m.select(*[r6(c).alias(c) for c in ("mae", "rmse", "r2")], "n_test")
+
+
+_LATEST_SQL = f"""SELECT mmsi, max(base_date_time) AS last_prediction_time, {", ".join(
+    f"arg_max({c}, (base_date_time, ping_id)) FILTER (WHERE {c} IS NOT NULL) AS {c}"
+    for c in [*training.MODEL_NUMERIC, *feat.CATEGORICAL_FEATURES, "latitude", "longitude"])} FROM features GROUP BY mmsi"""
+
+
+@register("st5_boosted_predictions", _with("features", _BOOST_CTE.replace(
+    "fr AS (SELECT f.*, f.ping_id AS rid, is_test FROM features f JOIN split USING (voyage_id))",
+    f"latest AS ({_LATEST_SQL}), fr AS (SELECT f.*, f.ping_id AS rid, is_test FROM features f JOIN split USING (voyage_id)"
+    " UNION ALL BY NAME SELECT *, -mmsi AS rid, true AS is_test FROM latest)"), f"""
+SELECT l.mmsi, l.last_prediction_time, {_HOURS_SQL} AS predicted_remaining_hours, l.origin_port, l.destination_port, l.latitude, l.longitude
+FROM latest l JOIN boosted ON rid = -l.mmsi"""))
+def st5_boosted_predictions(spark, d):
+    """ST5 + M6 with a loaded model: latest feature row per vessel, scored and clipped, in the registry's shape."""
+    f, _, model = _boosted(spark, d)
+    latest = feat.latest_per_vessel(f, feat.FEATURE_COLUMNS)
+    return training.boosted_scorer(model)(latest).select(
+        "mmsi", F.col("base_date_time").alias("last_prediction_time"), r6("predicted_remaining_hours").alias("predicted_remaining_hours"),
+        "origin_port", "destination_port", "latitude", "longitude")

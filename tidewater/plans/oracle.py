@@ -322,3 +322,50 @@ def with_ctes(upto: str, body: str) -> str:
 def cte(name: str) -> str:
     """One CTE of the chain, for queries that put another one in its input's place."""
     return _CTES[_LEVELS.index(name)][1]
+
+
+def boosting(rows: str, train: str, target: str, numeric: list[str], categorical: list[str], p) -> str:
+    """CTEs up to ``boosted`` (rid, pred): the trees of ``operators.boosting`` fitted on the rows of
+    ``rows`` (rid, features, target) that fulfil ``train`` and applied to all of them; ``p`` are its Params."""
+    k = len(numeric)
+    lost, cell = f"(f < {k} AND bin = -1)", "PARTITION BY node, f"
+    order = f"{cell} ORDER BY CASE WHEN f < {k} THEN bin::DOUBLE ELSE g::DOUBLE / n::DOUBLE END, bin"
+    nums = " UNION ALL ".join(f"SELECT rid, {train} AS tr, {i} AS f, round({c}, 6) AS x FROM {rows}" for i, c in enumerate(numeric))
+    cats = " UNION ALL ".join(f"SELECT rid, {train} AS tr, {k + i} AS f, {c} AS x FROM {rows}" for i, c in enumerate(categorical))
+    parts = [f"""nums AS MATERIALIZED ({nums}), cats AS MATERIALIZED ({cats}),
+cum AS (SELECT *, (sum(c) OVER (PARTITION BY f ORDER BY x))::BIGINT AS cum, (sum(c) OVER (PARTITION BY f))::BIGINT AS n
+  FROM (SELECT f, x, count(*) AS c FROM nums WHERE tr AND x IS NOT NULL GROUP BY f, x)),
+edges AS MATERIALIZED (SELECT f, x FROM cum WHERE (cum * {p.max_bins}) // n > ((cum - c) * {p.max_bins}) // n AND cum < n),
+names AS (SELECT f, x, row_number() OVER (PARTITION BY f ORDER BY x) - 1 AS bin FROM (SELECT DISTINCT f, x FROM cats WHERE tr AND x IS NOT NULL)),
+bins AS MATERIALIZED (SELECT rid, a.f, CASE WHEN a.x IS NULL THEN -1 ELSE count(e.x) END AS bin
+    FROM nums a LEFT JOIN edges e ON e.f = a.f AND e.x < a.x GROUP BY rid, a.f, a.x
+  UNION ALL SELECT rid, a.f, coalesce(bin, -1) FROM cats a LEFT JOIN names USING (f, x)),
+ys AS (SELECT rid, {train} AS tr, floor(ln(1 + {target}) * 1000000 + 0.5)::BIGINT AS y FROM {rows}),
+s0_0 AS MATERIALIZED (SELECT *, (SELECT floor(sum(y)::DOUBLE / count(*) + 0.5)::BIGINT FROM ys WHERE tr) AS pred, 1 AS node FROM ys)"""]
+    for t in range(p.rounds):
+        for d in range(p.max_depth):
+            st, nx = f"s{t}_{d}", f"s{t}_{d + 1}"
+            r, b = f"r{t}_{d}", f"b{t}_{d}"
+            parts.append(f"""{r} AS MATERIALIZED (SELECT node, f, bin, all_n, all_g, nm, gm, row_number() OVER ({order}) AS rk,
+    sum(n) OVER ({order} ROWS UNBOUNDED PRECEDING) AS cn, sum(g) OVER ({order} ROWS UNBOUNDED PRECEDING) AS cg
+  FROM (SELECT *, sum(n) OVER ({cell}) AS all_n, sum(g) OVER ({cell}) AS all_g,
+      sum(CASE WHEN {lost} THEN n ELSE 0 END) OVER ({cell}) AS nm, sum(CASE WHEN {lost} THEN g ELSE 0 END) OVER ({cell}) AS gm
+    FROM (SELECT node, f, bin, count(*) AS n, sum(y - pred) AS g FROM {st} JOIN bins USING (rid) WHERE tr GROUP BY node, f, bin))
+  WHERE NOT {lost}),
+{b} AS MATERIALIZED (SELECT node, f, rk, ml, bin FROM (
+    SELECT *, gl::DOUBLE * gl::DOUBLE / nl::DOUBLE + (all_g - gl)::DOUBLE * (all_g - gl)::DOUBLE / (all_n - nl)::DOUBLE AS gain FROM (
+      SELECT *, cn + CASE WHEN ml THEN nm ELSE 0 END AS nl, cg + CASE WHEN ml THEN gm ELSE 0 END AS gl FROM (
+        SELECT *, unnest(CASE WHEN nm > 0 THEN [true, false] ELSE [cn >= all_n - cn] END) AS ml FROM {r}))
+    WHERE nl >= {max(p.min_leaf, 1)} AND all_n - nl >= {max(p.min_leaf, 1)})
+  WHERE gain > all_g::DOUBLE * all_g::DOUBLE / all_n::DOUBLE
+  QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, rk, ml DESC) = 1),
+{nx} AS MATERIALIZED (SELECT s.rid, s.tr, s.y, s.pred, CASE WHEN b.node IS NULL THEN s.node WHEN
+    CASE WHEN b.f >= {k} THEN coalesce(r.rk <= b.rk, false) WHEN x.bin = -1 THEN b.ml ELSE x.bin <= b.bin END
+    THEN 2 * s.node ELSE 2 * s.node + 1 END AS node
+  FROM {st} s LEFT JOIN {b} b ON b.node = s.node LEFT JOIN bins x ON x.rid = s.rid AND x.f = b.f
+  LEFT JOIN {r} r ON r.node = s.node AND r.f = b.f AND r.bin = x.bin)""")
+        st = f"s{t}_{p.max_depth}"
+        parts.append(f"""s{t + 1}_0 AS MATERIALIZED (SELECT rid, tr, y, pred + v AS pred, 1 AS node FROM {st} JOIN (
+  SELECT node, floor({p.step}::DOUBLE * sum(y - pred)::DOUBLE / count(*)::DOUBLE + 0.5)::BIGINT AS v FROM {st} WHERE tr GROUP BY node) USING (node))""")
+    parts.append(f"boosted AS (SELECT rid, pred FROM s{p.rounds}_0)")
+    return ",\n".join(parts)

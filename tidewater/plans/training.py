@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.geo import clip_at_zero
+from tidewater.operators import boosting
 from tidewater.operators.features import CATEGORICAL_FEATURES, LABEL
 from tidewater.operators.ordered import range_running_sum
 from tidewater.session import write_stage
@@ -74,6 +75,14 @@ def model_scorer(model: PipelineModel):
     return lambda df: predict(model, df)
 
 
+def boosted_scorer(model: boosting.Model):
+    """The histogram-boosted model of the log target as a function of a feature frame."""
+    def score(df: DataFrame) -> DataFrame:
+        out = boosting.predict(model, df, "_pred_log")
+        return out.withColumn("predicted_remaining_hours", clip_at_zero(F.expm1("_pred_log"))).drop("_pred_log")
+    return score
+
+
 def speed_scorer(df: DataFrame) -> DataFrame:
     """A model-free estimate in the model's place: remaining distance over the
     6 h mean speed, 0 without one. Deterministic, so SQL can check what calls it."""
