@@ -281,12 +281,15 @@ def test_line_spread_against_brute_force(spark):
         rows.append((i, "\n".join(x + rng.choice(["", " ", "\r"]) for x in own), rng.choice([None] + [f"s{n}" for n in range(25)])))
     rows += [(1000 + n, "copied whole\nsecond line", f"s{n}") for n in range(20)]  # copies are one document
     rows += [(2000 + n, f"near copy\nlong common body of the text in every copy\n{n}", f"s{n}") for n in range(20)]
+    rows.append((2100, "boiler line 39", "s1"))  # nothing but boilerplate: left empty
     rows += [(3000, None, "s1"), (3001, "", "s2"), (3002, "\n\n", "s3"), (None, "no id\nboiler line 39", "s4"), (5, rows[5][1], rows[5][2])]
     docs = docs_of(spark, rows).withColumn("found", F.lit("x"))
     got = linespread.remove(docs)
     assert got.columns == docs.columns + ["_n_lines", "_n_removed"]
     assert sorted(((r.doc_id, r.text, r._n_removed) for r in got.collect()), key=str) == brute_lines(rows, linespread.MIN_SITES)
     assert any(n for _, _, n in brute_lines(rows, linespread.MIN_SITES))
+    left = {r.doc_id: r.text for r in got.where("doc_id >= 1000").collect()}
+    assert left[2100] == "" and left[1000] == "copied whole\nsecond line" and left[2000] == "0"
     assert linespread.dedup_lines(docs.limit(0)).count() == 0
 
 

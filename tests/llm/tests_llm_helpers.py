@@ -4,9 +4,6 @@ from collections import defaultdict
 
 import xxhash
 
-from tidewater.llm import linespread
-
-
 def brute_fingerprint(text):
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
     if not words:
@@ -76,6 +73,5 @@ def brute_lines(rows, min_sites):
     for i, t, _ in rows:
         lines = (t or "").split("\n")
         kept = [x for x in lines if x.strip(" \t\r") not in gone]
-        strip = len(kept) < len(lines) and len("\n".join(kept)) >= len(t) * (1 - linespread.COPY_SHARE)
-        out.append((i, "\n".join(kept) if strip else t, len(lines) - len(kept) if strip else 0))
+        out.append((i, t if t is None else "\n".join(kept), len(lines) - len(kept)))
     return sorted(out, key=str)

@@ -32,9 +32,8 @@ texts AS (SELECT body, min(coalesce(site, '')) AS site FROM d GROUP BY body),
 occ AS (SELECT DISTINCT {line.format('u.line')} AS line, site FROM texts, unnest(string_split(body, chr(10))) AS u(line)),
 boiler AS (SELECT list(line) AS all_lines FROM (SELECT line FROM occ WHERE line <> '' GROUP BY line HAVING count(*) >= {linespread.MIN_SITES})),
 k AS (SELECT d.*, [x FOR x IN lines IF {line.format('x')} = '' OR NOT list_contains(coalesce(all_lines, []), {line.format('x')})] AS kept FROM d, boiler),
-s AS (SELECT *, len(kept) < len(lines) AND length(array_to_string(kept, chr(10))) >= length(body) * (1 - {linespread.COPY_SHARE}::DOUBLE) AS strip FROM k),
-r AS (SELECT doc_id, lines, kept, strip, CASE WHEN strip THEN array_to_string(kept, chr(10)) ELSE body END AS result FROM s)
-SELECT doc_id, len(lines)::BIGINT AS n_lines, CASE WHEN strip THEN len(lines) - len(kept) ELSE 0 END::BIGINT AS n_removed,
+r AS (SELECT doc_id, lines, kept, array_to_string(kept, chr(10)) AS result FROM k)
+SELECT doc_id, len(lines)::BIGINT AS n_lines, (len(lines) - len(kept))::BIGINT AS n_removed,
   length(result)::BIGINT AS kept_chars, sha256(result) AS kept_sha256 FROM r"""
 
 
