@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import xxhash
 
+
 def brute_fingerprint(text):
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
     if not words:
