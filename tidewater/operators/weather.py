@@ -10,13 +10,17 @@ skew splitting.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions.geo import flag, floor_hour, grid_1deg, headwind, safe_key, sea_state
+from tidewater.operators.spatial import BROADCAST_MAX_PORT_ROWS
+from tidewater.session import checked_count
 
 # The three weather frames an enrichment can join.
 PARTS = ("marine", "wind", "port")
+# Key of the cell weather frames.
+CELL = ["lat_bin", "lon_bin", "hour"]
 
 # The weather variables.
 MARINE_COLUMNS = ["wave_height", "wave_direction", "wave_period", "swell_wave_height",
@@ -48,10 +52,46 @@ def store_port_weather(port_weather: DataFrame, path: str) -> None:
         .repartitionByRange("port_key", "hour").write.mode("overwrite").partitionBy("port_key").parquet(path)
 
 
-def join_cell_weather(df: DataFrame, marine: DataFrame, wind: DataFrame) -> DataFrame:
-    """Two left joins on (lat_bin, lon_bin, hour)."""
-    k = ["lat_bin", "lon_bin", "hour"]
-    return df.join(marine, k, "left").join(wind, k, "left")
+def whole_cells(df: DataFrame) -> DataFrame:
+    """``df`` with its cell as integers, NULL where there is none."""
+    return df.withColumns({c: F.col(c).try_cast("int") for c in CELL[:2]})
+
+
+def join_stored_cell_weather(df: DataFrame, stored: DataFrame) -> DataFrame:
+    """J9 against a table of ``store_cell_weather``: the pings are shuffled into its buckets, the table stays."""
+    keyed = df.withColumns({f"_{c}": F.col(c).try_cast("int") for c in CELL[:2]}).alias("l")
+    on = [F.col("l._lat_bin") == F.col("r.lat_bin"), F.col("l._lon_bin") == F.col("r.lon_bin"), F.col("l.hour") == F.col("r.hour")]
+    values = [F.col(f"r.{c}") for c in stored.columns if c not in CELL]
+    return keyed.join(stored.alias("r"), on, "left").select("l.*", *values).drop("_lat_bin", "_lon_bin")
+
+
+def stored_port_weather(pings: DataFrame, path: str) -> DataFrame:
+    """The stored weather of the ports that ``pings`` head for. The semi-join on the
+    partition key lets Spark list and read the folders of these ports alone (dynamic
+    partition pruning). Ports without a name have no weather."""
+    stored = pings.sparkSession.read.parquet(path).withColumn("port_key", F.col("port_key").cast("string"))
+    heads = pings.where(F.col("destination_port") != "").select(safe_key("destination_port").alias("port_key")).distinct()
+    if checked_count(heads) <= BROADCAST_MAX_PORT_ROWS:
+        heads = F.broadcast(heads)
+    return stored.join(heads, "port_key", "left_semi").drop("port_key")
+
+
+def store_cell_weather(cell_weather: DataFrame, table: str, path: str, buckets: int) -> None:
+    """S5 store: cell weather bucketed by the join key, one file a bucket, as table ``table``
+    with its files in ``path``. The cells are stored as integers: Spark normalises floating
+    keys before it joins them and cannot use buckets of such."""
+    whole_cells(cell_weather).repartition(buckets, *CELL).write.mode("overwrite").bucketBy(buckets, *CELL).sortBy(*CELL) \
+        .option("path", path).saveAsTable(table)
+
+
+def open_cell_weather(spark: SparkSession, table: str, path: str, buckets: int) -> DataFrame:
+    """A table of ``store_cell_weather``; a session that does not know it takes it over from its files."""
+    if not spark.catalog.tableExists(table):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+        key = ", ".join(CELL)
+        spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) "
+                  f"INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+    return spark.table(table)
 
 
 def join_port_weather(df: DataFrame, port_weather: DataFrame) -> DataFrame:
@@ -79,10 +119,9 @@ def derived_weather(df: DataFrame) -> DataFrame:
 def enrich(keyed: DataFrame, frames: dict[str, DataFrame]) -> DataFrame:
     """Pings with cell keys (`add_cell_keys`) joined with the given weather
     frames (keys of `PARTS`) and the columns derived from them."""
-    cell = ["lat_bin", "lon_bin", "hour"]
     for part in ("marine", "wind"):
         if part in frames:
-            keyed = keyed.join(frames[part], cell, "left")
+            keyed = keyed.join(frames[part], CELL, "left")
     if "port" in frames:
         keyed = join_port_weather(keyed, frames["port"])
     return derived_weather(keyed)

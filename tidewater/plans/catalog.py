@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tidewater.functions import geo
 from tidewater.operators import features as feat
-from tidewater.operators import boosting, portcalls, profile, sessions, spread, voyages, weather
+from tidewater.operators import boosting, polygons, portcalls, profile, sessions, spread, voyages, weather
 from tidewater.operators.ordered import range_running_sum
 from tidewater.operators.quantiles import exact_percentiles
 from tidewater.plans import oracle, training
@@ -54,6 +54,8 @@ TOP_PORTS_N = 10
 PREVIEW_N = 5
 BUSY_PORTS_N = 15
 TEST_SHARE = 0.2
+WEATHER_BUCKETS = 16      # of stored cell weather; a cluster takes as many as fit its largest table
+BUFFER_NM, BUFFER_SEGMENTS = 1.08, 3  # the coarse polygons of j2_buffer_polygons
 SEED = 42
 # The columns of the correlation and coverage tables.
 CORR_FEATURES = ["wave_height", "wave_period", "swell_wave_height", "ocean_current_velocity",
@@ -534,6 +536,24 @@ def a17_candidates_per_vessel(spark, d):
     return portcalls.candidates_per_vessel(Stages(spark, d).port_call_candidates)
 
 
+@register("j1_buffer_polygons", W("cand", oracle.polygons(
+    "(SELECT * FROM pings WHERE sog <= CAST(1.5 AS DOUBLE))", "mercator", 10.0 * geo.METRES_PER_NM, polygons.QUARTER_SEGMENTS) + """
+SELECT ping_id, mmsi, base_date_time, portName FROM inside"""))
+def j1_buffer_polygons(spark, d):
+    """J1 within the buffers' polygons in place of circles."""
+    st = Stages(spark, d)
+    return polygons.find_candidates_in_buffers(st.pings, st.ports).select("ping_id", "mmsi", "base_date_time", "portName")
+
+
+@register("j2_buffer_polygons", W("cand", oracle.polygons("pings", "degrees", BUFFER_NM * geo.DEGREES_PER_NM, BUFFER_SEGMENTS) + """
+SELECT p.ping_id, i.port_number, i.portName FROM pings p LEFT JOIN inside i USING (ping_id)"""))
+def j2_buffer_polygons(spark, d):
+    """J2 within coarse polygons of a radius that pings lie on both sides of; some are in a circle
+    and not in its polygon."""
+    st = Stages(spark, d)
+    return polygons.buffer_left_join(st.pings, st.ports, BUFFER_NM, BUFFER_SEGMENTS).select("ping_id", "port_number", "portName")
+
+
 # ---------------------------------------------------------------- L4 weather
 def _enriched(spark, d, *cols: str) -> DataFrame:
     """The enriched columns of an analysis that reads them several times."""
@@ -566,6 +586,40 @@ def j10_port_weather(spark, d):
         "port_precipitation", "port_weather_code", "port_visibility")
 
 
+def _stored(spark, d, part: str) -> tuple[DataFrame, DataFrame, str]:
+    """Sea pings with cell keys, one part of their weather, and a folder to store it in."""
+    st = Stages(spark, d)
+    keyed = weather.add_cell_keys(feat.remaining_travel(st.sea))
+    frames = dict(zip(weather.PARTS, (*fixtures.cell_weather(keyed), fixtures.port_weather(keyed, st.ports))))
+    return keyed, frames[part], _scratch(spark, f"weather_{part}")
+
+
+@register("j9_stored_weather", W("enriched", """
+SELECT ping_id, lat_bin, lon_bin, hour, wind_speed_10m, wind_gusts_10m, wind_direction_10m, precipitation,
+       weather_code, visibility, round(headwind_component, 6) AS headwind_component
+FROM enriched"""))
+def j9_stored_weather(spark, d):
+    """J9 over stored weather: a table bucketed by (cell, hour), so that the join shuffles the pings alone."""
+    keyed, wind, path = _stored(spark, d, "wind")
+    table = f"wind_{uuid.uuid4().hex}"
+    weather.store_cell_weather(wind, table, path, WEATHER_BUCKETS)
+    stored = weather.open_cell_weather(spark, table, path, WEATHER_BUCKETS)
+    e = weather.derived_weather(weather.join_stored_cell_weather(keyed, stored))
+    return e.select("ping_id", *weather.CELL, *weather.WIND_COLUMNS, r6("headwind_component").alias("headwind_component"))
+
+
+@register("j10_stored_weather", W("enriched", """
+SELECT ping_id, destination_port, hour, port_wind_speed, port_wind_gusts, port_wind_direction,
+       port_precipitation, port_weather_code, port_visibility, port_high_wind, port_precip_flag
+FROM enriched"""))
+def j10_stored_weather(spark, d):
+    """J10 over stored weather: a folder a port, of which only those that pings head for are read."""
+    keyed, port, path = _stored(spark, d, "port")
+    weather.store_port_weather(port, path)
+    e = weather.enrich(keyed, {"port": weather.stored_port_weather(keyed, path)})
+    return e.select("ping_id", "destination_port", "hour", *weather.PORT_RENAME.values(), "port_high_wind", "port_precip_flag")
+
+
 @register("f11_headwind", W("enriched", "SELECT ping_id, round(headwind_component, 6) AS headwind_component FROM enriched"))
 def f11_headwind(spark, d):
     return Stages(spark, d).enriched_plan(("wind",)).select("ping_id", r6("headwind_component").alias("headwind_component"))

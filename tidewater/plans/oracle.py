@@ -8,6 +8,8 @@ division or floating sums are rounded to 6 decimals on both sides.
 
 from __future__ import annotations
 
+import math
+
 R6 = 6  # decimals for rounded doubles (both sides)
 
 # Ordered CTE chain; a query includes the chain up to the level it needs.
@@ -369,3 +371,24 @@ s0_0 AS MATERIALIZED (SELECT *, (SELECT floor(sum(y)::DOUBLE / count(*) + 0.5)::
   SELECT node, floor({p.step}::DOUBLE * sum(y - pred)::DOUBLE / count(*)::DOUBLE + 0.5)::BIGINT AS v FROM {st} WHERE tr GROUP BY node) USING (node))""")
     parts.append(f"boosted AS (SELECT rid, pred FROM s{p.rounds}_0)")
     return ",\n".join(parts)
+
+
+def polygons(points: str, plane: str, radius: float, quarter_segments: int) -> str:
+    """CTEs up to ``inside`` (the columns of ``points``, port_number, portName): the points in the ports' buffer
+    polygons, each point tested against every edge; ``plane`` is mercator or degrees. To follow a CTE chain."""
+    x, y = "{t}.{lon}", "{t}.{lat}"
+    if plane == "mercator":
+        x = "CAST(6378137 AS DOUBLE) * ({t}.{lon} * pi() / 180)"
+        y = "CAST(6378137 AS DOUBLE) * ln(tan(pi() / 4 + ({t}.{lat} * pi() / 180) / 2))"
+    p, q = {"t": "p", "lon": "longitude", "lat": "latitude"}, {"t": "q", "lon": "lon_dd", "lat": "lat_dd"}
+    r, turn, n = f"CAST({radius!r} AS DOUBLE)", f"CAST({math.pi / 2 / quarter_segments!r} AS DOUBLE)", 4 * quarter_segments
+    return f""", corners AS (
+  SELECT port_number, portName, k, {x.format(**q)} + {r} * cos(k * {turn}) AS x, {y.format(**q)} + {r} * sin(k * {turn}) AS y
+  FROM ports q, range({n}) ks(k)),
+sides AS (SELECT a.port_number, a.portName, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2
+  FROM corners a JOIN corners b ON b.port_number = a.port_number AND b.k = (a.k + 1) % {n}),
+spots AS (SELECT *, {x.format(**p)} AS px, {y.format(**p)} AS py FROM {points} p),
+inside AS (SELECT s.* EXCLUDE (px, py), e.port_number, e.portName FROM spots s JOIN sides e
+    ON (e.y1 > s.py) <> (e.y2 > s.py) AND s.px < (e.x2 - e.x1) * (s.py - e.y1) / (e.y2 - e.y1) + e.x1
+  GROUP BY ALL HAVING count(*) % 2 = 1)
+"""
