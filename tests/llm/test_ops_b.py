@@ -365,6 +365,29 @@ def test_bad_directory_among_many(spark):
             assert r.verdict == ("block" if "/casino/" in r.path else "allow")
 
 
+def test_unnamed_keys_of_held_out_documents(spark):
+    """Recall and precision on keys without a name before them, in documents the fit never saw."""
+    rng = random.Random(31)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    key = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    words = "alpha beta gamma internationalisation responsibilities donaudampfschiff 123456789012 and/or/otherwise of the".split()
+
+    def prose(extra):
+        some = [rng.choice(words) for _ in range(30)]
+        return " ".join(some[:15] + [extra] + some[15:])
+    named = [prose(f"{rng.choice(['token', 'secret', 'api_key'])} = {key(rng.choice([20, 24, 32, 40]), letters + rng.choice(['', '0123456789']))}") for _ in range(1500)]
+    plain = [prose(rng.choice(["", f"see https://host{i}.example.org/path/{i}.html"])) for i in range(1500)]
+    model = secretscan.fit(docs_of(spark, [(i, t, "s") for i, t in enumerate(named + plain)]))
+    assert model.borrowed == (0,) and model.thresholds[0] == model.thresholds[1] < 1
+    hidden = [key(n, a) for n in (28, 35) for a in (letters, letters + "0123456789") for _ in range(100)]  # letters alone, too
+    texts = [prose(k) for k in hidden] + [prose("") for _ in range(400)]
+    got = [r["spans"] for r in secretscan.scan(texts, model)]
+    want = [f"cnn:{t.index(k)}:{t.index(k) + len(k)}" for t, k in zip(texts, hidden)]
+    hits = sum(w in g.split(",") for w, g in zip(want, got))
+    added = sum(len([s for s in g.split(",") if s]) for g in got)
+    assert hits >= 0.9 * len(hidden) and hits >= 0.9 * added, (hits, added)
+
+
 def test_candidates_next_to_spans():
     rng = random.Random(4)
     for _ in range(500):
@@ -411,7 +434,9 @@ def test_thresholds_keep_the_promised_recall(spark):
         got = secretscan.calibrate(model, [(*k, n) for k, n in counts.items()])
         a, b = got.scale
         kept = sum(1 / (1 + math.exp(-(a * x + b))) >= got.thresholds[1] for x in scores)
-        assert 0.95 * 400 <= kept <= 0.97 * 400 and got.thresholds[0] == 2.0
+        assert 0.95 * 400 <= kept <= 0.97 * 400
+        assert got.thresholds[0] == got.thresholds[1] and got.borrowed == (0,)  # none of class 0 were labelled
+    assert secretscan.calibrate(model, [(1, 0, 5, 9)]).thresholds == (2.0, 2.0)
     # a class that the sample has hardly any of gets its threshold from all documents
     key = lambda n, s: "".join(rng.choice(s) for _ in range(n))
     rows = [(i, f"see page{i}/of/the/site and token = {key(32, 'abcdXYZW0123456789')} here", "s") for i in range(300)]

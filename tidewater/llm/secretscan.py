@@ -2,7 +2,7 @@
 
 Three patterns (assignments to password-like names, access keys, long hexadecimal
 runs) give the base spans, which always stand. A candidate is any run of 12 and more
-token characters with a letter and a digit, wherever it stands in the text. The
+token characters, wherever it stands in the text; long words are candidates too. The
 network sees windows of ``BODY`` characters of it, ``STEP`` apart and over all of it, each
 with ``LEFT`` characters before and ``RIGHT`` after; a candidate is accepted by any of its
 windows. Accepted candidates of which a character is in no base span are added whole, as
@@ -14,15 +14,16 @@ where not and the candidate's form is not a key's either (`keylike`: a long piec
 character classes often). A window of a longer candidate that holds a few characters of a
 span alone is left out.
 What looks like a key but has no name before it is unknown and not trained on. Each
-positive comes a second time with its left context replaced by that of a negative, so
+positive comes ``RENAMED`` more times with its left context replaced by that of a negative, so
 that a secret's form counts without the name before it. The weights are trained on part of
 the sample. The scores are calibrated (Platt scaling) and the thresholds set by counts of
 (class, label, score bin) over the labelled windows of all documents, without those the
 weights may come from: per class of window, the largest with at least ``MIN_RECALL`` of the
-positives, whatever it is.
+positives, whatever it is. A class without positives takes the highest threshold of the
+others (``Model.borrowed`` names it).
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans. Without
-positives of a class, nothing of that class is added.
+positives of any class, nothing is added.
 """
 
 from __future__ import annotations
@@ -47,6 +48,7 @@ WIDTH = LEFT + BODY + RIGHT
 STEP = BODY // 2
 SHORTEST = 12  # characters of a candidate
 KERNEL, FILTERS = 5, 16
+RENAMED = 3
 MIN_RECALL = 0.95
 BIN, BINS = 0.01, 3000  # of a score (a logit), and bins on either side of zero
 CLASSES = 2  # lower-case hexadecimal candidates, and all others
@@ -56,7 +58,6 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # 18 characters and more
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
-_LETTER, _DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
 _PIECE = re.compile(r"[A-Za-z0-9]{12,}")
 _CHANGES = re.compile(r"[a-z](?=[A-Z0-9])|[A-Z](?=[0-9])|[0-9](?=[A-Za-z])")
 _IS_HEX = re.compile(r"[0-9a-f]+")
@@ -66,7 +67,7 @@ _IS_HEX = re.compile(r"[0-9a-f]+")
 class Fit:
     """Bounds and settings of the fit."""
     docs: int = 6000        # documents in the sample, about
-    findings: int = 6000    # candidates kept of them, at most
+    findings: int = 6000    # candidates kept of them, at most, half of either label
     epochs: int = 10
     batch: int = 64
     rate: float = 0.01
@@ -81,6 +82,7 @@ class Model:
     offset: float
     scale: tuple[float, float]  # Platt: probability = sigmoid(scale[0] * logit + scale[1])
     thresholds: tuple[float, ...]  # by class
+    borrowed: tuple[int, ...] = ()  # classes without labelled positives
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -92,7 +94,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _RUN.finditer(text) if _DIGIT.search(m[0]) and _LETTER.search(m[0])]
+    return [m.span() for m in _RUN.finditer(text)]
 
 
 def keylike(token: str) -> bool:
@@ -178,6 +180,7 @@ def _held(window: bytes) -> bool:
 
 def _renamed(rows, y, rng):
     yes, no = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    yes = np.tile(yes, RENAMED)
     moved = rows[yes].copy()
     moved[:, :LEFT] = rows[rng.choice(no, len(yes)), :LEFT]
     return moved, y[yes]
@@ -193,8 +196,8 @@ def train(findings: list[tuple[bytes, int, int]], fit: Fit = Fit()) -> Model:
     p = {"table": rng.normal(0, 0.1, (KERNEL, 256, FILTERS)).astype(np.float32), "bias": np.zeros(FILTERS, np.float32),
          "weight": rng.normal(0, 0.1, FILTERS), "offset": np.array(0.0)}
     if 0 < y.sum() < len(y):
-        # a secret's form without the name before it: each positive comes a second time
-        # with a negative's left context
+        # a secret's form without the name before it: each positive comes again with
+        # negatives' left contexts
         x, t = (np.concatenate(z) for z in zip((rows, y), _renamed(rows, y, rng)))
         net, real = Adam(p), np.full(fit.batch, WIDTH - KERNEL + 1)
         for epoch in range(fit.epochs):
@@ -228,12 +231,14 @@ def calibrate(model: Model, counts: list[tuple[int, int, int, int]]) -> Model:
         own = own[np.argsort(-at[own])]
         kept = np.cumsum(n[own])
         if not len(own):
-            thresholds.append(2.0)
+            thresholds.append(None)
             continue
         last = int(at[own[int(np.searchsorted(kept, np.ceil(MIN_RECALL * kept[-1])))]])
         # the lower edge of the bin that makes MIN_RECALL full; the lowest bin has none
         thresholds.append(float(sigmoid(a * (last * BIN) + b)) if last > -BINS else 0.0)
-    return replace(model, scale=(a, b), thresholds=tuple(thresholds))
+    own = [x for x in thresholds if x is not None]
+    return replace(model, scale=(a, b), thresholds=tuple(max(own, default=2.0) if x is None else x for x in thresholds),
+                   borrowed=tuple(c for c, x in enumerate(thresholds) if x is None))
 
 
 def score_counts(texts: list[str], sampled: list[bool], model: Model, contexts: list[bytes]) -> Counter:
@@ -296,7 +301,10 @@ def fit(docs: DataFrame, fit: Fit = Fit(), id_col: str = "doc_id", text_col: str
     share = min(1.0, fit.docs / max(n, 1))
     pick = F.pmod(F.xxhash64(F.lit(fit.seed), F.col(id_col)), F.lit(1 << 20)) < int(share * (1 << 20))
     order = F.xxhash64(F.lit(fit.seed), "window")
-    rows = findings(docs.where(pick), text_col).orderBy(order, "window", "kind", "label").limit(fit.findings).collect()
+    found = findings(docs.where(pick), text_col)
+    # long words outnumber secrets by far: half of the bound is for either label
+    halves = [found.where(F.col("label") == y).orderBy(order, "window", "kind").limit(fit.findings // 2) for y in (0, 1)]
+    rows = halves[0].unionByName(halves[1]).collect()
     rows = [(bytes(r["window"]), r["kind"], r["label"]) for r in rows]
     sent = docs.sparkSession.sparkContext.broadcast((train(rows, fit), [w[:LEFT] for w, _, y in rows if not y]))
 
