@@ -33,7 +33,11 @@ def _signed(x):
 def brute_imatch(text, df, n):
     words = set(_TERM.findall((text or "").lower()))
     band = {w for w in words if df.get(w, 0) >= imatch.LOW * n and df.get(w, 0) <= max(1, imatch.HIGH * n) and df.get(w)}
-    hashes = sorted((xxhash.xxh64_intdigest(w.encode(), 42) for w in (band if len(band) >= imatch.MIN_TERMS else words)), key=_signed)
+    return len(band), brute_part(band), brute_part(words)
+
+
+def brute_part(words):
+    hashes = sorted((xxhash.xxh64_intdigest(w.encode(), 42) for w in words), key=_signed)
     level = max(0, math.floor(math.log2(max(1, len(hashes)) / 64)) + 2)
     entries = []
     for l in (level, level + 1):
@@ -50,6 +54,8 @@ def brute_imatch(text, df, n):
 
 
 def brute_likeness(a, b):
+    part = 1 if min(a[0], b[0]) >= imatch.MIN_TERMS else 2
+    a, b = a[part], b[part]
     if not a[1] and not b[1]:
         return 1.0
     lo, hi = max(a[0], b[0]), min(a[0], b[0]) + 1
@@ -78,11 +84,42 @@ def test_imatch_against_its_definition(spark):
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         a, b, c = (brute_imatch(x, df, n) for x in (t, edited, nxt))
         for f, s in ((a, r.fingerprint), (b, r.edited_fingerprint)):
-            level, *entries = s.split(".")
-            assert int(level) == f[0] and {int(e, 16) for e in entries if e} == f[1]
+            size, *parts = s.split("|")
+            assert int(size) == f[0] and len(parts) == 2
+            for got_part, want in zip(parts, f[1:]):
+                level, *entries = got_part.split(".")
+                assert int(level) == want[0] and {int(e, 16) for e in entries if e} == want[1]
         assert r.near_edited == pytest.approx(brute_likeness(a, b)) and r.near_next == pytest.approx(brute_likeness(a, c))
 
 
+def test_imatch_edit_across_the_lexicon_bound(spark):
+    """A text with just enough lexicon terms and its edit with one less are compared over all terms of both."""
+    rng = random.Random(2)
+    common = [f"c{i}" for i in range(30)]
+    rows = [(i, " ".join(common + [f"f{rng.randrange(400)}"]), "s") for i in range(300)]
+    rare = [f"r{i}" for i in range(imatch.MIN_TERMS)]
+    rows += [(1000, " ".join(common[:12] + rare), "s"), (1001, " ".join(common[:12] + rare[:-1]), "s")]
+    got = {r.doc_id: r for r in imatch.edited_pairs(docs_of(spark, rows)).collect()}
+    assert [int(got[i].fingerprint.split("|")[0]) for i in (1000, 1001)] == [imatch.MIN_TERMS, imatch.MIN_TERMS - 1]
+    assert got[1001].near_next > 0.8
+
+
+def test_imatch_many_rows_without_an_id(spark):
+    rows = [(i, f"text number {i} of them", "s") for i in range(-3, 4)]
+    bare = [(None, f"row {i % 40} without an id", "s") for i in range(200)] + [(None, None, "s")]
+    for some in (rows + bare, bare, rows):
+        order = sorted((r for r in some if r[0] is not None), key=lambda r: -r[0])
+        least = min((t or "" for i, t, _ in some if i is None), default=None)
+        texts = [t for _, t, _ in order] + ([least] if least is not None else [])
+        after = {i: texts[(at + 1) % len(texts)] for at, (i, _, _) in enumerate(order)} | {None: texts[0]}
+
+        def edited(i, t):
+            cut = len(t) // 3
+            return hashlib.sha256((t[:len(t) - cut] + after[i][:cut]).encode()).hexdigest()
+        got = Counter((r.doc_id, r.edited_sha256) for r in imatch.edited_pairs(docs_of(spark, some)).collect())
+        assert got == Counter((i, edited(i, t or "")) for i, t, _ in some)
+
+
 def test_imatch_odd_tables(spark):
     assert imatch.edited_pairs(docs_of(spark, []).limit(0)).count() == 0
     one = imatch.edited_pairs(docs_of(spark, [(4, "abc def ghi", "s")])).first()

@@ -9,8 +9,13 @@ sorted terms that a document has in one (level, part). A document uses the level
 at which a part holds 1/4 to 1/2 and 1/8 to 1/4 of one of its terms on average: most
 entries hash one or two terms, so the share of equal entries follows the overlap
 of the term sets, a long text is as robust to an edit as a short one, and two versions
-of a text share a level. A document with fewer than ``MIN_TERMS`` lexicon terms uses
-all its terms: a hash of one or two rare words would say nothing of the rest.
+of a text share a level.
+
+Every fingerprint has two parts: the entries of the document's lexicon terms, and those of
+all its terms. Two documents are compared by their lexicon parts where both have
+``MIN_TERMS`` lexicon terms or more, else by their parts of all terms: a hash of one or two
+rare words would say nothing of the rest. So a text and its edit are always compared
+over terms chosen alike.
 
 Document frequencies are exact counts over all documents, aggregated map side
 first. The lexicon reaches the documents as a Bloom filter of fixed size, a
@@ -24,7 +29,8 @@ All of it is DataFrame functions; no Python runs on the executors.
 Null and empty texts have no entries; two empty fingerprints have likeness 1, an
 empty and another 0. Rows that share a doc_id are one document for the order of
 documents; the next document's text is then its least one. Null ids come after
-all others. With one document, the next document is itself.
+all others; however many rows have none, only the least text of them takes part in the
+blocks of ids. With one document, the next document is itself.
 """
 
 from __future__ import annotations
@@ -93,27 +99,40 @@ def _entries(kept: Column, level: Column) -> Column:
 
 
 def with_fingerprint(df: DataFrame, text: Column, bits: Column, out: str) -> DataFrame:
-    """``df`` with ``out``: struct(level, entries) of ``text``."""
+    """``df`` with ``out``: struct(n, band, every): the number of lexicon terms of ``text``, and the
+    struct(level, entries) of these terms and of all its terms."""
     cols = df.columns
-    d = df.withColumn("_t", terms(text))
-    d = d.withColumn("_band", F.filter("_t", lambda h: _in_lexicon(bits, h)))
-    d = d.withColumn("_u", F.sort_array(F.when(F.size("_band") >= MIN_TERMS, F.col("_band")).otherwise(F.col("_t"))))
-    d = d.withColumn("_level", F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.size("_u"), F.lit(1)) / SUBSETS)).cast("int") + 2))
-    last = F.col("_u")
-    for i in range(LEVELS):
-        d = d.withColumn(f"_s{i}", _thinned(last, F.col("_level") + i))
-        last = F.col(f"_s{i}")
-    entries = F.concat(*[_entries(F.col(f"_s{i}"), F.col("_level") + i) for i in range(LEVELS)])
-    return d.select(*cols, F.struct(F.col("_level").alias("level"), entries.alias("entries")).alias(out))
+    d = df.withColumn("_every", F.sort_array(terms(text)))
+    d = d.withColumn("_band", F.filter("_every", lambda h: _in_lexicon(bits, h)))
+    fields = [F.size("_band").alias("n")]
+    for part in ("band", "every"):
+        size = F.greatest(F.size(f"_{part}"), F.lit(1))
+        d = d.withColumn(f"_{part}l", F.greatest(F.lit(0), F.floor(F.log2(size / SUBSETS)).cast("int") + 2))
+        last = F.col(f"_{part}")
+        for i in range(LEVELS):
+            d = d.withColumn(f"_{part}{i}", _thinned(last, F.col(f"_{part}l") + i))
+            last = F.col(f"_{part}{i}")
+        entries = F.concat(*[_entries(F.col(f"_{part}{i}"), F.col(f"_{part}l") + i) for i in range(LEVELS)])
+        fields.append(F.struct(F.col(f"_{part}l").alias("level"), entries.alias("entries")).alias(part))
+    return d.select(*cols, F.struct(*fields).alias(out))
 
 
 def as_text(fp: Column) -> Column:
-    """A fingerprint as a string: its first level, then its entries in hexadecimal."""
-    return F.concat_ws(".", fp["level"].cast("string"), F.transform(fp["entries"], lambda e: F.lower(F.hex(e))))
+    """A fingerprint as a string: the number of lexicon terms, then for either part its first
+    level and its entries in hexadecimal."""
+    def part(p):
+        return F.concat_ws(".", p["level"].cast("string"), F.transform(p["entries"], lambda e: F.lower(F.hex(e))))
+    return F.concat_ws("|", fp["n"].cast("string"), part(fp["band"]), part(fp["every"]))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Of the (level, part) pairs that either fingerprint fills at their common levels,
+    """The share of equal entries in the part of two fingerprints that both have (see above)."""
+    both = F.least(a["n"], b["n"]) >= MIN_TERMS
+    return F.when(both, _part_likeness(a["band"], b["band"])).otherwise(_part_likeness(a["every"], b["every"]))
+
+
+def _part_likeness(a: Column, b: Column) -> Column:
+    """Of the (level, part) pairs that either fills at their common levels,
     the share with equal entries; 0 without a common level, 1 for two empty ones."""
     lo = F.greatest(a["level"], b["level"])
     hi = F.least(a["level"], b["level"]) + (LEVELS - 1)
@@ -148,12 +167,20 @@ def lexicon_filter(docs: DataFrame, text_col: str = "text") -> Column:
 
 
 def _with_next(own: DataFrame) -> DataFrame:
-    """``own(k, text, fp)`` with ``nxt``: text and fp of the next document, that with the next
-    smaller key (after the smallest, the largest; of rows with one key, the least text).
+    """``own(k, text, fp)``, null keys after all others, with ``nxt``: text and fp of the next document, that
+    with the next smaller key (after the smallest, the largest; of rows with one key, the least text).
 
     Rows meet in blocks of neighbouring keys, so texts are shuffled once; only the
     first document of each block moves on, to the block above.
     """
+    first = F.min(F.struct("text", "fp"))
+    top = own.agg(F.max("k")).first()[0]
+    rest = own.where("k is null")
+    # rows without an id all have the same next document; one of them stands for them in the blocks
+    after = rest if top is None else own.where(F.col("k") == top)
+    alone = rest.join(F.broadcast(after.agg(first.alias("nxt")))).select("k", "text", "fp", "nxt")
+    least = rest.agg(first.alias("r")).where("r is not null").select(F.lit(_NO_ID).alias("k"), "r.text", "r.fp", F.lit(False).alias("own"))
+    own = own.where("k is not null").withColumn("own", F.lit(True)).unionByName(least)
     own = own.withColumn("b", F.shiftright("k", BLOCK_BITS))
     in_block = Window.partitionBy("b").orderBy("k", F.col("text").desc())
     rows = own.withColumn("above", F.lead("k").over(in_block))
@@ -167,8 +194,9 @@ def _with_next(own: DataFrame) -> DataFrame:
     info = neighbours(blocks, ["b"]).select("b", F.coalesce("next.b", F.lit(lowest)).alias("taker"))
     tops = (rows.where("above is null").select("b", "text", "fp").join(info, "b")
             .select("taker", F.struct("text", "fp").alias("first")))
-    return (marked.withColumn("below", below).join(tops, F.col("b") == F.col("taker"), "left")
-            .select("k", "text", "fp", F.coalesce("below", "first").alias("nxt")))
+    met = (marked.withColumn("below", below).join(tops, F.col("b") == F.col("taker"), "left").where("own")
+           .select("k", "text", "fp", F.coalesce("below", "first").alias("nxt")))
+    return met.unionByName(alone)
 
 
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,13 +207,13 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     points of the next one.
     """
     bits = lexicon_filter(docs, text_col)
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("k"),
+    keyed = docs.select(F.col(id_col).cast("long").alias("k"),
                         F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     both = _with_next(with_fingerprint(keyed, F.col("text"), bits, "fp"))
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     both = both.select(
-        F.when(F.col("k") != _NO_ID, F.col("k")).alias("doc_id"), n.cast("long").alias("n_chars"),
+        F.col("k").alias("doc_id"), n.cast("long").alias("n_chars"),
         "fp", F.col("nxt.fp").alias("next_fp"),
         F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.col("nxt.text"), F.lit(1), cut)).alias("edited"))
     both = with_fingerprint(both, F.col("edited"), bits, "edited_fp")
