@@ -1,12 +1,14 @@
 """Model (M1-M6, S10) and streaming (ST1-ST7, S7, S9) on the sf0.001 fixture."""
 
 import os
+import random
 import tempfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewater.operators import features as feat
+from tidewater.operators import ordered
 from tidewater.plans import catalog, training
 from tidewater.plans.pipeline import Stages
 from tidewater.streaming import stream as S
@@ -177,3 +179,39 @@ def test_failed_pass_is_repeated(spark, stages):
     assert S._versions(spark, pred.meta_path) == [0]
     pred.process_batch(_batch(spark, [2], 10), 1)
     assert pred.seen[-1] == {0, 10}
+
+
+def test_permutation_importance_moves_places_only(spark, monkeypatch):
+    """The copies of the rows are never written, and a permutation cut by its hash is the whole one."""
+    import hashlib
+    rng = random.Random(4)
+    rows = [(i * 7 % 101, rng.uniform(1, 90), None if i % 9 == 0 else rng.uniform(1, 20), rng.uniform(0, 9)) for i in range(101)]
+    df = spark.createDataFrame(rows, "ping_id long, remaining_dist_nm double, sog_roll_6h double, remaining_travel_hours double")
+    sizes = []
+    for module in (training, ordered):
+        def write(frame, name, *more, _write=module.write_stage):
+            out = _write(frame, name, *more)
+            sizes.append(out.count())
+            return out
+        monkeypatch.setattr(module, "write_stage", write)
+    monkeypatch.setattr(training, "CUT_ROWS", 5, raising=False)
+    feats = ["remaining_dist_nm", "sog_roll_6h"]
+    got = {r.feature: (r.importance_mean, r.importance_std) for r in
+           training.permutation_importance(training.speed_scorer, df, feats, 2).collect()}
+    assert max(sizes) <= len(rows)
+
+    def r2(rows):
+        y = [r[3] for r in rows]
+        p = [max(r[1] / r[2], 0) if r[2] else 0 for r in rows]
+        return 1 - sum((a - b) ** 2 for a, b in zip(p, y)) / (sum(v * v for v in y) - sum(y) ** 2 / len(y))
+    rows.sort()
+    for k, f in enumerate(feats, 1):
+        drops = []
+        for r in range(2):
+            order = sorted(range(len(rows)), key=lambda i: hashlib.md5(f"{rows[i][0]}:{f}:{r}".encode()).hexdigest())
+            mixed = [list(x) for x in rows]
+            for donor, i in enumerate(order):
+                mixed[i][k] = rows[donor][k]
+            drops.append(r2(rows) - r2(mixed))
+        mean = sum(drops) / 2
+        assert got[f] == pytest.approx((mean, (sum((d - mean) ** 2 for d in drops) / 2) ** 0.5))

@@ -16,7 +16,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.geo import clip_at_zero
@@ -32,6 +32,7 @@ GBT_PARAMS = dict(maxIter=200, maxDepth=5, stepSize=0.05, seed=42)
 MIN_BINS = 32
 SENTINEL = -1.0e9
 IMPORTANCE_REPEATS = 10
+CUT_ROWS = 100_000  # rows of one permutation that a window orders
 
 
 def model_inputs(df: DataFrame) -> DataFrame:
@@ -150,24 +151,40 @@ def permutation_importance(score, rows: DataFrame, feats: list[str] | None = Non
                            repeats: int = IMPORTANCE_REPEATS) -> DataFrame:
     """M5: mean drop of R^2 when one feature column is shuffled.
 
-    All (feature, repeat) permutations of all rows are one frame: a row's donor
-    is the row whose place by ping_id equals the row's place in the order of
-    a hash of (ping_id, feature, repeat). Places come from range-partitioned
-    running counts, so no task holds a whole permutation; ``score`` runs once
+    A row's donor is the row whose place by ping_id equals the row's place in the order of
+    a hash of (ping_id, feature, repeat). That order is cut by the hash's first digits, so places
+    are row numbers within a cut plus the sizes of the cuts before, and no task holds a whole
+    permutation. Only places and the one donor value go through the shuffles of the (feature,
+    repeat) copies; a row's own columns meet them in the last join. ``score`` runs once
     over all of them, grouped by (feature, repeat). Callers that want less work
     pass a sample."""
     feats = feats or MODEL_NUMERIC + CATEGORICAL_FEATURES
-    base = write_stage(rows.where(F.col(LABEL).isNotNull()), "importance")
-    placed = range_running_sum(base.select("ping_id", *feats), [], ["ping_id"], F.lit(1), "_place")
-    donors = placed.select("_place", *[F.col(c).alias(f"_d_{c}") for c in feats])
-    variants = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(r).alias("r")) for f in feats for r in range(repeats)]))
-    rep = base.select("*", variants.alias("_v")).select("*", "_v.f", "_v.r").drop("_v")
-    rep = rep.withColumn("_h", F.md5(F.concat_ws(":", F.col("ping_id").cast("string"), "f", F.col("r").cast("string"))))
-    rep = range_running_sum(rep, ["f", "r"], ["_h", "ping_id"], F.lit(1), "_place").drop("_h")
-    j = rep.join(donors, "_place")
-    for c in feats:
-        j = j.withColumn(c, F.when(F.col("f") == c, F.col(f"_d_{c}")).otherwise(F.col(c)))
-    scored = score(j.drop(*[f"_d_{c}" for c in feats]))
+    placed = write_stage(range_running_sum(rows.where(F.col(LABEL).isNotNull()), [], ["ping_id"], F.lit(1), "_place"), "importance")
+    base = placed.drop("_place")
+    digits, rest = 0, placed.count()
+    while rest > CUT_ROWS:
+        digits, rest = digits + 1, rest / 16
+    variants = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.lit(f).alias("name"), F.lit(r).alias("r"))
+                                   for i, f in enumerate(feats) for r in range(repeats)]))
+    rep = placed.select("_place", "ping_id", variants.alias("_v")).select("_place", "ping_id", "_v.*")
+    md5 = F.md5(F.concat_ws(":", F.col("ping_id").cast("string"), "name", F.col("r").cast("string")))
+    rep = rep.withColumn("_h", md5).select("_place", "ping_id", "f", "r", F.substring("_h", 1, digits).alias("_cut"), F.unhex("_h").alias("_h"))
+    cut = ["f", "r", "_cut"]
+    sizes = rep.groupBy(*cut).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("f", "r").orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*cut, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    moved = rep.withColumn("_rn", F.row_number().over(Window.partitionBy(*cut).orderBy("_h", "ping_id"))).join(offsets, cut) \
+        .select("f", "r", F.col("_place").alias("_to"), (F.col("_off") + F.col("_rn")).alias("_from"))
+    kinds = sorted({t for c, t in placed.dtypes if c in feats})
+    kind = {c: f"_value{kinds.index(t)}" for c, t in placed.dtypes if c in feats}
+    donors = placed.select(F.col("_place").alias("_from"), *[F.col(c).alias(f"_d_{c}") for c in feats])
+    values = moved.join(donors, "_from").select("f", "r", F.col("_to").alias("_place"), *[
+        F.coalesce(*[F.when(F.col("f") == i, F.col(f"_d_{c}")) for i, c in enumerate(feats) if kind[c] == k]).alias(k)
+        for k in sorted(set(kind.values()))])
+    j = values.join(placed, "_place").drop("_place")
+    j = j.select(*[F.when(F.col("f") == feats.index(c), F.col(kind[c])).otherwise(F.col(c)).alias(c) if c in feats else F.col(c)
+                   for c in base.columns], F.element_at(F.array(*map(F.lit, feats)), F.col("f") + 1).alias("f"), "r")
+    scored = score(j)
 
     def r2(df, *keys):
         y = F.col(LABEL)
