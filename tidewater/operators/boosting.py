@@ -1,7 +1,7 @@
 """Histogram gradient boosting (M2) with missing values and categories as they are.
 
 Squared-loss trees over binned features. A tree level is one aggregation: every
-row adds (count, gradient) to the cell (node, feature, bin), combined map side, so
+row adds (count, gradient) to the cell (node, feature, bin), in numpy inside the task, so
 what is shuffled has at most nodes x features x bins rows a task, whatever the
 number of rows. The best split of each node is found over that histogram by
 windows; one row a node reaches the driver.
@@ -25,10 +25,13 @@ level by level to ``max_depth``; there is no early stopping.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.operators.ordered import range_running_sum
@@ -37,7 +40,7 @@ from tidewater.session import write_stage
 SCALE = 1_000_000
 DECIMALS = 6  # numeric features are rounded before binning
 MISSING = -1
-WRITE_EVERY = 10  # trees whose expressions pile up before predictions are written
+WRITE_EVERY = 10  # trees that every level walks again before predictions are written
 
 
 @dataclass
@@ -95,41 +98,130 @@ def categories(df: DataFrame, categorical: Sequence[str], max_bins: int) -> list
     return out
 
 
-def _bins(model: Model) -> str:
-    """SQL of the array of a row's bins, numeric columns first."""
-    parts = []
-    for c, edges in zip(model.numeric, model.edges):
-        ends = f"array({', '.join(f'{e!r}D' for e in edges)})" if edges else "cast(array() AS array<double>)"
-        parts.append(f"if({_value(c)} IS NULL, {MISSING}, size(filter({ends}, e -> e < {_value(c)})))")
-    for c, values in zip(model.categorical, model.categories):
-        names = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
-        parts.append(f"coalesce(cast(array_position(array({names}), cast({_q(c)} AS string)) AS int) - 1, {MISSING})"
-                     if values else f"{MISSING}")
-    return f"array({', '.join(parts)})"
+def _binner(model: Model):
+    """A function of a row's raw values (numeric ones as `_value` gives them, NaN for none; categories as
+    text), a column each, to its bins: an int array of rows x features. Numeric: the ends below the value."""
+    def bins(columns: Sequence) -> np.ndarray:
+        out = np.empty((len(columns[0]) if len(columns) else 0, len(columns)), dtype=np.int32)
+        for i, (x, edges) in enumerate(zip(columns, model.edges)):
+            x = np.asarray(x, dtype=np.float64)
+            out[:, i] = np.where(np.isnan(x), MISSING, np.searchsorted(np.array(edges, dtype=np.float64), x, side="left"))
+        for i, (v, names) in enumerate(zip(columns[len(model.numeric):], model.categories), len(model.numeric)):
+            out[:, i] = pd.Categorical(v, categories=names).codes
+        return out
+    return bins
 
 
-def _tree_sql(tree: dict, leaf, node: int = 1) -> str:
-    """SQL of ``leaf(node)`` at the node a row of bins ends at."""
-    s = tree.get(str(node))
-    if s is None or "value" in s:
-        return str(leaf(node))
-    b = f"bins[{s['feature']}]"
-    if s["left"] is not None:
-        test = f"{b} IN ({', '.join(map(str, s['left']))})"
-    else:
-        test = f"{b} BETWEEN {MISSING if s['missing_left'] else 0} AND {s['bin']}"
-    return f"CASE WHEN {test} THEN {_tree_sql(tree, leaf, 2 * node)} ELSE {_tree_sql(tree, leaf, 2 * node + 1)} END"
+def _raw(model: Model) -> list[Column]:
+    """What `_binner` takes, once a row."""
+    return [F.expr(_value(c)) for c in model.numeric] + [F.col(_q(c)).cast("string") for c in model.categorical]
 
 
-def _values_sql(trees: list[dict]) -> str:
-    return " + ".join(f"cast({_tree_sql(t, lambda n, t=t: t[str(n)]['value'])} AS bigint)" for t in trees) or "0L"
+def binned(df: DataFrame, model: Model, y) -> DataFrame:
+    """(bins, y) of every row."""
+    bins, width = _binner(model), len(model.numeric) + len(model.categorical)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = bins([b.column(i).to_pandas() for i in range(width)]).ravel()
+            ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * width)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(flat)), b.column(width)], ["bins", "y"])
+    raw = [c.alias(f"_{i}") for i, c in enumerate(_raw(model))]
+    return df.select(*raw, y.alias("y")).mapInArrow(run, "bins array<int>, y long")
 
-def histogram(state: DataFrame, tree: dict, nodes: Sequence[int]) -> DataFrame:
-    """(node, f, bin, n, g) of the rows that have come to one of ``nodes``."""
-    at = state.selectExpr(f"cast({_tree_sql(tree, lambda n: n)} AS int) AS node", "y - pred AS g", "bins")
-    return (at.where(F.col("node").isin(list(nodes))).select("node", "g", F.posexplode("bins").alias("f", "bin"))
-            .groupBy("node", "f", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("g").alias("g")))
+
+def _ends_at(tree: dict, bins: np.ndarray) -> np.ndarray:
+    """The node at which each row of bins ends."""
+    node = np.ones(len(bins), dtype=np.int64)
+    for k in sorted(int(k) for k, s in tree.items() if "value" not in s):
+        s = tree[str(k)]
+        at = np.flatnonzero(node == k)
+        b = bins[at, s["feature"]]
+        left = np.isin(b, s["left"]) if s["left"] is not None else (b >= (MISSING if s["missing_left"] else 0)) & (b <= s["bin"])
+        node[at] = np.where(left, 2 * k, 2 * k + 1)
+    return node
+
+
+def _grown(trees: list[dict], bins: np.ndarray) -> np.ndarray:
+    """The sum of the trees' values for each row of bins."""
+    total = np.zeros(len(bins), dtype=np.int64)
+    for t in trees:
+        leaves = {int(k): s["value"] for k, s in t.items() if "value" in s}
+        values = np.zeros(max(leaves) + 1, dtype=np.int64)
+        values[list(leaves)] = list(leaves.values())
+        total += values[_ends_at(t, bins)]
+    return total
+
+
+def _row_bins(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("bins").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+@dataclass
+class State:
+    """Rows (bins, y, pred) as written, and the trees grown since, which ``pred`` lacks."""
+    written: DataFrame
+    new: list[dict] = field(default_factory=list)
+
+    def write(self) -> State:
+        new = self.new
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                pred = b.column("pred").to_numpy(zero_copy_only=False) + _grown(new, _row_bins(b))
+                yield pa.RecordBatch.from_arrays([b.column("bins"), b.column("y"), pa.array(pred)], ["bins", "y", "pred"])
+        return State(write_stage(self.written.mapInArrow(run, "bins array<int>, y long, pred long"), "boosted"))
+
+
+def _cell_sums(cell: np.ndarray, g: np.ndarray, size: int) -> np.ndarray:
+    """Exact sums of ``g`` by cell: ``bincount`` adds doubles, so the high and the low bits are added by themselves."""
+    high, low = g >> 26, g & ((1 << 26) - 1)
+    return (np.bincount(cell, high, size).astype(np.int64) << 26) + np.bincount(cell, low, size).astype(np.int64)
+
+
+def histogram(state: State, tree: dict, nodes: Sequence[int], max_bins: int) -> DataFrame:
+    """(node, f, bin, n, g) of the rows that have come to one of ``nodes``. A task adds its rows up
+    batch by batch and gives at most nodes x features x bins rows, a few times that if its sums get near 2^63."""
+    new, wide = state.new, max_bins + 1
+    place = np.full(2 * max(nodes) + 2, -1, dtype=np.int64)
+    place[list(nodes)] = np.arange(len(nodes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = g = None
+        bound = 0
+
+        def cells():
+            at = np.flatnonzero(n)
+            node, f, b = np.unravel_index(at, (len(nodes), features, wide))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.array(nodes, dtype=np.int32)[node]), pa.array(f.astype(np.int32)), pa.array((b - 1).astype(np.int32)),
+                 pa.array(n[at]), pa.array(g[at])], ["node", "f", "bin", "n", "g"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bins = _row_bins(batch)
+            features = bins.shape[1]
+            ends = _ends_at(tree, bins)
+            here = place[np.minimum(ends, len(place) - 1)]
+            take = here >= 0
+            grad = (batch.column("y").to_numpy(zero_copy_only=False) - batch.column("pred").to_numpy(zero_copy_only=False) - _grown(new, bins))[take]
+            cell = ((here[take, None] * features + np.arange(features)) * wide + bins[take] + 1)
+            top = int(max(grad.max(initial=0), -int(grad.min(initial=0)), 1))
+            step = max(1, (1 << 61) // top)  # rows whose gradients are sure to add up below 2^61
+            for lo in range(0, len(grad), step):
+                part, at = grad[lo:lo + step], cell[lo:lo + step].ravel()
+                if n is not None and bound + top * len(part) >= 1 << 62:
+                    yield cells()
+                    n = None
+                if n is None:
+                    n, g, bound = np.zeros(len(nodes) * features * wide, np.int64), np.zeros(len(nodes) * features * wide, np.int64), 0
+                bound += top * len(part)
+                n += np.bincount(at, minlength=len(n))
+                g += _cell_sums(at, np.repeat(part, features), len(g))
+        if n is not None:
+            yield cells()
+    found = state.written.mapInArrow(run, "node int, f int, bin int, n long, g long")
+    return found.groupBy("node", "f", "bin").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
 
 
 def best_splits(hist: DataFrame, n_numeric: int, min_leaf: int) -> DataFrame:
@@ -160,7 +252,7 @@ def _leaf(g: int, n: int, step: float) -> int:
     return int((step * g / n + 0.5) // 1)
 
 
-def grow(state: DataFrame, n: int, g: int, n_numeric: int, p: Params) -> tuple[dict, int]:
+def grow(state: State, n: int, g: int, n_numeric: int, p: Params) -> tuple[dict, int]:
     """(tree, sum of gradients after it) for ``n`` rows whose gradients sum to ``g``."""
     tree: dict[str, dict] = {}
     open_nodes = {1: (n, g)}
@@ -170,7 +262,7 @@ def grow(state: DataFrame, n: int, g: int, n_numeric: int, p: Params) -> tuple[d
         if depth < p.max_depth and open_nodes:
             able = [k for k, (m, _) in open_nodes.items() if m >= 2 * p.min_leaf]
             if able:
-                rows = best_splits(histogram(state, tree, able), n_numeric, p.min_leaf).collect()  # one row a node
+                rows = best_splits(histogram(state, tree, able, p.max_bins), n_numeric, p.min_leaf).collect()  # one row a node
                 found = {r["node"]: r["s"] for r in rows}
         after = {}
         for k, (m, h) in open_nodes.items():
@@ -193,32 +285,31 @@ def fit(df: DataFrame, target, numeric: Sequence[str], categorical: Sequence[str
     rows = df.withColumn("_y", target).where("_y IS NOT NULL AND NOT isnan(_y)")
     model = Model(list(numeric), list(categorical), bin_edges(rows, numeric, p.max_bins),
                   categories(rows, categorical, p.max_bins))
-    base = write_stage(rows.selectExpr(f"{_bins(model)} AS bins", f"cast(floor(_y * {SCALE} + 0.5D) AS bigint) AS y"), "binned")
+    base = write_stage(binned(rows, model, F.expr(f"cast(floor(_y * {SCALE} + 0.5D) AS bigint)")), "binned")
     n, total = base.agg(F.count(F.lit(1)), F.sum("y")).first()
     if not n:
         return model
     model.base = int((total / n + 0.5) // 1)
-    state = base.withColumn("pred", F.lit(model.base).cast("long"))
-    written, g = state, total - n * model.base
-    new: list[dict] = []
+    state, g = State(base.withColumn("pred", F.lit(model.base).cast("long"))), total - n * model.base
     for i in range(p.rounds):
         tree, g = grow(state, n, g, len(model.numeric), p)
         model.trees.append(tree)
-        new.append(tree)
-        state = written.selectExpr("bins", "y", f"pred + {_values_sql(new)} AS pred")
-        if len(new) == WRITE_EVERY and i + 1 < p.rounds:
-            written = state = write_stage(state, "boosted")
-            new = []
+        state = State(state.written, [*state.new, tree])
+        if len(state.new) == WRITE_EVERY and i + 1 < p.rounds:
+            state = state.write()
     return model
 
 
 def predict(model: Model, df: DataFrame, out: str = "prediction") -> DataFrame:
     """``df`` with the model's value in the target's unit; any feature can be NULL in a row."""
-    total = F.lit(model.base).cast("long")
-    for i in range(0, len(model.trees), WRITE_EVERY):
-        total = total + F.expr(_values_sql(model.trees[i:i + WRITE_EVERY]))
-    whole = df.select(F.struct(*[F.col(_q(c)) for c in df.columns]).alias("row"), F.expr(_bins(model)).alias("bins"))
-    return whole.select("row.*", (total.cast("double") / SCALE).alias(out))
+    if not model.numeric and not model.categorical:
+        return df.withColumn(out, F.lit((model.base + sum(t["1"]["value"] for t in model.trees)) / SCALE))
+    bins, base, trees = _binner(model), model.base, model.trees
+
+    @F.pandas_udf("long")
+    def value(*columns: pd.Series) -> pd.Series:
+        return pd.Series(base + _grown(trees, bins(columns)))
+    return df.select("*", (value(*_raw(model)).cast("double") / SCALE).alias(out))
 
 
 def save(spark: SparkSession, model: Model, path: str) -> None:
