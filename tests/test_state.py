@@ -108,3 +108,57 @@ def test_compaction_rewrites_touched_buckets_only(spark):
     got = {r.mmsi: r.x for r in reg.read().collect()}
     assert len(got) == 200 and got[7] == 1.0 and sum(got.values()) == 1.0
     assert len([b for b in reg._list("base/v=0") if b.startswith("bucket=")]) == 7
+
+
+def test_an_arrival_is_one_element_of_the_state():
+    """Whatever pings come at once are one chunk of the list, and the list alone is kept."""
+    import pandas as pd
+
+    class Held:
+        def __init__(self):
+            self.rows = []
+
+        def exists(self):
+            return bool(self.rows)
+
+        def appendList(self, rows):
+            self.rows += rows
+
+        def appendValue(self, row):
+            self.rows.append(row)
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = rows
+
+        def clear(self):
+            self.rows = []
+
+        def update(self, row):
+            self.rows = [row]
+
+    class Handle:
+        def __init__(self):
+            self.states, self.timers = [], []
+
+        def getListState(self, name, schema):
+            self.states.append(Held())
+            return self.states[-1]
+        getValueState = getListState
+
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 10 ** 9
+    handle, buffer = Handle(), keyed.TrackBuffer(10_000_000)
+    buffer.init(handle)
+    rows = pd.DataFrame({"us": [k * 1_000_000 for k in range(50)], "sog": [None] + [1.0] * 49, "latitude": 1.0, "longitude": [None] * 49 + [2.0]})
+    list(buffer.handleInputRows((7,), iter([rows[:30], rows[30:]]), None))
+    list(buffer.handleInputRows((7,), iter([rows[:1]]), None))
+    assert len(handle.states) == 1 and len(handle.states[0].rows) == 2 and len(handle.timers) == 1
+    out = next(buffer.handleExpiredTimer((7,), Now(), None))
+    assert out.iloc[0].tolist() == [7, 39_000_000, 49_000_000, 11, 11, 11.0, 1.0, 2.0] and not handle.states[0].rows

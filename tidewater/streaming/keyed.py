@@ -4,7 +4,7 @@ The predictor in ``stream.py`` trims one buffer of all vessels by the latest tim
 any of them. This form keeps state by vessel (``transformWithState`` on RocksDB), so
 vessels spread over the cluster and no batch reads a ping twice:
 
-* ``ListState``: the pings of the vessel. Arrivals are appended, never rewritten.
+* ``ListState``: the pings of the vessel, one packed chunk for each arrival. Arrivals are appended, never rewritten.
 * an event-time timer, one a vessel: ``buffer_hours`` after a vessel's latest ping. When
   the watermark passes it, tracks that have ended (no ping for ``buffer_hours``) leave
   the state and are put out, what the open track holds beyond its last ``buffer_hours``
@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,8 @@ from tidewater.functions.geo import US_PER_HOUR, epoch_us
 
 BUFFER_HOURS = 48.0
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE = "us long, sog double, latitude double, longitude double"
+STATE = "chunk binary"
+PING = np.dtype([("us", "<i8"), ("sog", "<f8"), ("latitude", "<f8"), ("longitude", "<f8")])
 TRACK = ("mmsi long, first_us long, last_us long, n_pings long, n_sog long, sum_sog double, "
          "latitude double, longitude double")
 
@@ -46,52 +48,50 @@ class TrackBuffer(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.pings = handle.getListState("pings", STATE)
-        self.timer = handle.getValueState("timer", "ms long")
 
     def _wait(self, last_us: int) -> None:
         """A timer for the time from which a track with this last ping has ended."""
-        ms = (last_us + self.length) // 1000 + 1
-        self.handle.registerTimer(ms)
-        self.timer.update((ms,))
+        self.handle.registerTimer((last_us + self.length) // 1000 + 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest = None
+        parts = []
         for part in rows:
-            self.pings.appendList([(int(us), *(None if pd.isna(x) else float(x) for x in rest)) for us, *rest in
-                                   part[["us", "sog", "latitude", "longitude"]].itertuples(index=False)])
-            latest = int(part["us"].max()) if latest is None else max(latest, int(part["us"].max()))
-        if latest is not None and not self.timer.exists():
-            self._wait(latest)
+            chunk = np.empty(len(part), PING)
+            for c in PING.names:
+                chunk[c] = part[c].to_numpy(dtype=PING[c], na_value=np.nan) if c != "us" else part[c].to_numpy()
+            parts.append(chunk)
+        came = np.concatenate(parts) if parts else np.empty(0, PING)
+        if len(came):
+            if not self.pings.exists():  # a vessel with pings has a timer
+                self._wait(int(came["us"].max()))
+            self.pings.appendValue((came.tobytes(),))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        self.timer.clear()
+        pings = np.concatenate([np.frombuffer(bytes(chunk), PING) for chunk, in self.pings.get()] or [np.empty(0, PING)])
+        pings = pings[np.argsort(pings["us"], kind="stable")]
         held, out, first_end = [], [], None
-        for track in self._tracks(sorted(self.pings.get(), key=lambda p: p[0])):
-            last = track[-1][0]
-            kept = [p for p in track if p[0] >= last - self.length]
+        for track in self._tracks(pings):
+            last = int(track["us"][-1])
+            kept = track[track["us"] >= last - self.length]
             if (last + self.length) // 1000 + 1 <= now:
-                sog = [p[1] for p in kept if p[1] is not None]
-                out.append((int(key[0]), kept[0][0], last, len(kept), len(sog), float(sum(sog)), kept[-1][2], kept[-1][3]))
+                sog = kept["sog"][~np.isnan(kept["sog"])].tolist()
+                out.append((int(key[0]), int(kept["us"][0]), last, len(kept), len(sog), float(sum(sog)),
+                            float(kept["latitude"][-1]), float(kept["longitude"][-1])))
             else:
-                held += kept
+                held.append(kept)
                 first_end = last if first_end is None else first_end
         if held:
-            self.pings.put(held)
+            self.pings.put([(np.concatenate(held).tobytes(),)])
             self._wait(first_end)
         else:
             self.pings.clear()
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in TRACK.split(", ")])
 
-    def _tracks(self, pings: list) -> Iterator[list]:
-        at = 0
-        for i in range(1, len(pings) + 1):
-            if i == len(pings) or pings[i][0] - pings[i - 1][0] > self.length:
-                if i > at:
-                    yield pings[at:i]
-                at = i
+    def _tracks(self, pings: np.ndarray) -> list[np.ndarray]:
+        return np.split(pings, np.flatnonzero(np.diff(pings["us"]) > self.length) + 1) if len(pings) else []
 
     def close(self) -> None:
         pass
