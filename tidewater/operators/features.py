@@ -8,13 +8,13 @@ small or splits with skew-join when a key is hot).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.geo import US_PER_HOUR, epoch_us, fraction_completed, haversine_nm
 from tidewater.operators.ordered import DAY_US, rolling_range_mean, with_key_width
 from tidewater.operators.spatial import BROADCAST_MAX_PORT_ROWS
-from tidewater.session import checked_count
+from tidewater.session import checked_count, write_stage
 
 ROLLING_WINDOWS_H = {"sog_roll_6h": 6, "sog_roll_24h": 24}
 
@@ -67,7 +67,7 @@ def distance_features(df: DataFrame, ports: DataFrame) -> DataFrame:
     return d.drop("dest_lat", "dest_lon", "origin_lat", "origin_lon")
 
 
-def rolling_sog(df: DataFrame, ts: str = "base_date_time", bucket_us: int = DAY_US,
+def rolling_sog(df: DataFrame, ts: str = "base_date_time", bucket_us: int | None = DAY_US,
                 widths: DataFrame | None = None) -> DataFrame:
     """Mean sog over (t - 6 h, t] and (t - 24 h, t] per vessel.
 
@@ -75,21 +75,34 @@ def rolling_sog(df: DataFrame, ts: str = "base_date_time", bucket_us: int = DAY_
     are running sums of what enters and leaves the window (`rolling_range_mean`),
     exact, so they are linear in a vessel's rows and do not depend on how these
     are cut into buckets. ``widths`` (`hot_key_widths`) gives hot vessel ids
-    narrower buckets."""
+    narrower buckets; without buckets (None) no vessel may have more than ``ordered.LIGHT_ROWS`` rows."""
+    if bucket_us is None:
+        wins = {k: h * US_PER_HOUR for k, h in ROLLING_WINDOWS_H.items()}
+        return rolling_range_mean(df.withColumn("_t", epoch_us(F.col(ts))), ["mmsi"], "_t", "sog", wins, None).drop("_t")
     t = with_key_width(df.withColumn("_t", epoch_us(F.col(ts))), "mmsi", widths, bucket_us)
     wins = {k: h * US_PER_HOUR for k, h in ROLLING_WINDOWS_H.items()}
     return rolling_range_mean(t, ["mmsi"], "_t", "sog", wins, "_w").drop("_t", "_w")
 
 
-def sog_deviation(df: DataFrame) -> DataFrame:
+def sog_deviation(df: DataFrame, sea: DataFrame | None = None, by_key: bool = False) -> DataFrame:
     """hist_avg_sog = vessel-lane mean, else lane mean; deviation = sog - hist.
 
-    Rows with a NULL lane key get NULL (pandas drops NaN group keys)."""
+    Rows with a NULL lane key get NULL (pandas drops NaN group keys). ``sea`` is a stage table with the
+    speeds and lanes of ``df``, from which the means are taken without what ``df`` adds to them. With
+    ``by_key`` the vessel-lane mean is a window over ``df``, in place where that is partitioned by vessel."""
     lane = ["origin_port", "destination_port"]
-    vl = df.groupBy("mmsi", *lane).agg(F.avg("sog").alias("_vl"))
-    ln = df.groupBy(*lane).agg(F.avg("sog").alias("_ln"))
-    out = df.join(vl, ["mmsi", *lane], "left").join(ln, lane, "left")
+    source = df if sea is None else sea
+    ln = source.groupBy(*lane).agg(F.avg("sog").alias("_ln"))
+    if sea is not None:
+        ln = write_stage(ln, "lanes")
+        ln = F.broadcast(ln) if checked_count(ln) <= BROADCAST_MAX_PORT_ROWS else ln
     keys_ok = F.col("origin_port").isNotNull() & F.col("destination_port").isNotNull()
+    if by_key:
+        mean = F.avg("sog").over(Window.partitionBy("mmsi", *lane))
+        out = df.withColumn("_vl", F.when(F.col("mmsi").isNotNull(), mean)).join(ln, lane, "left")
+    else:
+        vl = source.groupBy("mmsi", *lane).agg(F.avg("sog").alias("_vl"))
+        out = df.join(vl, ["mmsi", *lane], "left").join(ln, lane, "left")
     hist = F.when(keys_ok, F.coalesce(F.col("_vl"), F.col("_ln")))
     return out.withColumn("hist_avg_sog", hist) \
         .withColumn("sog_deviation", F.col("sog") - F.col("hist_avg_sog")).drop("_vl", "_ln")
@@ -102,15 +115,16 @@ def remaining_travel(df: DataFrame, ts: str = "base_date_time") -> DataFrame:
 
 
 def build_features(sea: DataFrame, ports: DataFrame, voyages: DataFrame | None = None,
-                   widths: DataFrame | None = None) -> DataFrame:
+                   widths: DataFrame | None = None, staged: bool = False, by_key: bool = False) -> DataFrame:
     """Distance, rolling, lane features and the label on sea pings.
 
-    ``sea`` must carry ``arrival_time`` unless ``voyages`` is given (J8)."""
+    ``sea`` must carry ``arrival_time`` unless ``voyages`` is given (J8). ``staged``: it is a stage table;
+    ``by_key``: no vessel has more than ``ordered.LIGHT_ROWS`` of its rows."""
     if voyages is not None:
         sea = attach_arrival(sea, voyages)
     f = distance_features(sea, ports)
-    f = rolling_sog(f, widths=widths)
-    f = sog_deviation(f)
+    f = rolling_sog(f, bucket_us=None) if by_key else rolling_sog(f, widths=widths)
+    f = sog_deviation(f, sea if staged else None, by_key)
     return remaining_travel(f)
 
 

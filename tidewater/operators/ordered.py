@@ -7,7 +7,8 @@ What a bucket needs from earlier or later buckets (the previous value, the
 next value, a running offset) is computed on a per-(key, bucket) summary
 table, which has at most one row per key per bucket, and is carried into the
 bucket as one extra head/tail row. The only exchange over the big input is
-on ``(key, bucket)``.
+on ``(key, bucket)``. Where no key has more than ``LIGHT_ROWS`` rows (`has_heavy_key`), buckets would
+hold a few rows each and as many heads and tails: there a bucket width of None means one window a key.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ DAY_US = 86_400_000_000
 
 # Target rows per (key, bucket) partition for adaptive bucket widths.
 HOT_BUCKET_ROWS = 2_000_000
+# Rows of a key that one window may hold.
+LIGHT_ROWS = 500_000
 # A hot-key table has at most (rows / HOT_BUCKET_ROWS) entries; it is
 # broadcast only below this many rows.
 BROADCAST_MAX_HOT_KEYS = 200_000
@@ -62,6 +65,13 @@ def hot_key_widths(df: DataFrame, key: str, t_col: str, base_us: int,
     return hot.select(key, F.floor(F.lit(base_us) / F.pow(F.lit(2.0), k)).cast("long").alias("_w"))
 
 
+def has_heavy_key(df: DataFrame, key: str, rows: int = LIGHT_ROWS) -> bool:
+    """Whether some key, NULL among them, has more than ``rows`` rows: one aggregation, combined map side."""
+    if checked_count(df) <= rows:
+        return False
+    return not df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows).isEmpty()
+
+
 def with_key_width(df: DataFrame, key: str, widths: DataFrame | None, base_us: int) -> DataFrame:
     """Attach ``_w`` (bucket width) to every row: the hot-key width, else
     ``base_us``. The hot-key table is broadcast after a size check."""
@@ -130,11 +140,13 @@ def bucketed_cumsum(df: DataFrame, keys: Sequence[str], t_col: str, bucket_us: i
 
 
 def bucketed_next(df: DataFrame, keys: Sequence[str], t_col: str, order: Sequence[str],
-                  bucket_us: int, payload: Column, out_col: str) -> DataFrame:
+                  bucket_us: int | None, payload: Column, out_col: str) -> DataFrame:
     """Add ``out_col`` = ``payload`` of the next row of the same key in the
     total order ``(t_col, *order)``; NULL for the last row of a key."""
     keys = list(keys)
     order = [t_col, *order]
+    if bucket_us is None:
+        return df.withColumn(out_col, F.lead(payload).over(Window.partitionBy(*keys).orderBy(*order)))
     rows = df.withColumn("_b", bucket_of(F.col(t_col), bucket_us)) \
         .withColumn("_k", F.lit(1)).withColumn("_p", payload)
     summary = rows.groupBy(*keys, "_b").agg(
@@ -155,7 +167,7 @@ def bucketed_next(df: DataFrame, keys: Sequence[str], t_col: str, order: Sequenc
     )
 
 
-def global_index(df: DataFrame, key: str, t_col: str, order: Sequence[str], bucket_us: int,
+def global_index(df: DataFrame, key: str, t_col: str, order: Sequence[str], bucket_us: int | None,
                  out_col: str) -> DataFrame:
     """0-based row number over the total order ``(key, t_col, *order)``.
 
@@ -163,7 +175,7 @@ def global_index(df: DataFrame, key: str, t_col: str, order: Sequence[str], buck
     these counts gives each bucket its offset, and ``row_number`` within
     (key, bucket) the rest. No window holds more than one bucket of one key or
     one range of counts, whatever the keys are."""
-    rows = df.withColumn("_b", bucket_of(F.col(t_col), bucket_us))
+    rows = df.withColumn("_b", F.lit(0).cast("long") if bucket_us is None else bucket_of(F.col(t_col), bucket_us))
     counts = rows.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n"))
     offs = range_running_sum(counts, [], [key, "_b"], F.col("_n"), "_cum") \
         .select(key, "_b", (F.col("_cum") - F.col("_n")).alias("_off"))
@@ -186,9 +198,11 @@ def rolling_range_mean(df: DataFrame, keys: Sequence[str], t_col: str, value: st
     t + w, before what enters then. The window's sum at t is the running sum of
     what has entered and left, all windows in one pass. Sums are DECIMAL, so
     leaving takes off exactly what entering added. Results are joined back on
-    (key, t)."""
+    (key, t); without buckets (None) the rows themselves enter, with all their columns."""
     keys = list(keys)
     dec = "decimal(38,12)"
+    if bucket_us is None:
+        return _rolling_by_key(df, keys, t_col, value, windows, dec)
     wcol = [bucket_us] if isinstance(bucket_us, str) else []
     pts = df.groupBy(*keys, t_col).agg(
         F.coalesce(F.sum(F.col(value).cast(dec)), F.lit(0)).cast(dec).alias("_s"), F.count(value).alias("_c"),
@@ -212,6 +226,34 @@ def rolling_range_mean(df: DataFrame, keys: Sequence[str], t_col: str, value: st
     return df.join(run.select(*keys, t_col, *means), keys + [t_col], "left")
 
 
+def _rolling_by_key(df: DataFrame, keys: list[str], t_col: str, value: str, windows: dict[str, int], dec: str) -> DataFrame:
+    """`rolling_range_mean` in one window a key: a row enters with its columns and leaves each window as a
+    narrow row. The RANGE frame shows a row all its peers, and a row with a NULL key or time gets no mean."""
+    s, c = F.coalesce(F.col(value).cast(dec), F.lit(0).cast(dec)), F.col(value).isNotNull().cast("long")
+    row = F.struct(*[F.col(x) for x in df.columns])
+
+    def event(at, sign, enters, window, row):
+        return F.struct(at.alias("t"), (s * sign).cast(dec).alias("s"), (c * sign).alias("c"), F.lit(enters).alias("e"),
+                        F.lit(window).alias("w"), row.alias("row"))
+    events = [event(F.col(t_col), 1, 1, -1, row)] + [
+        event(F.col(t_col) + w, -1, 0, i, F.when(F.lit(False), row)) for i, w in enumerate(windows.values())]
+    e = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.explode(F.array(*events)).alias("_x")).select("*", "_x.*").drop("_x")
+    own = [f"_k{i}" for i in range(len(keys))]
+    over = Window.partitionBy(*own).orderBy("t", "e").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    for i in range(len(windows)):
+        mine = (F.col("e") == 1) | (F.col("w") == i)
+        e = e.withColumn(f"_S{i}", F.sum(F.when(mine, F.col("s")).otherwise(F.lit(0).cast(dec))).over(over)) \
+            .withColumn(f"_N{i}", F.sum(F.when(mine, F.col("c")).otherwise(F.lit(0).cast("long"))).over(over))
+    known = F.col("t").isNotNull()
+    for k in own:
+        known = known & F.col(k).isNotNull()
+    means = [F.when(known & (F.col(f"_N{i}") > 0), (F.col(f"_S{i}") / F.col(f"_N{i}")).cast("double")).alias(name)
+             for i, name in enumerate(windows)]
+    # the key columns stay the partitioned ones, so that windows over more than the key need no exchange
+    cols = [F.col(f"_k{keys.index(x)}").alias(x) if x in keys else F.col(f"row.{x}").alias(x) for x in df.columns]
+    return e.where("e = 1").select(*cols, *means)
+
+
 def range_running_sum(df: DataFrame, groups: Sequence[str], order: Sequence[str], value: Column, out_col: str) -> DataFrame:
     """Running sum of ``value`` (current row included) per group in the order
     ``order``, for groups of any size.

@@ -29,12 +29,10 @@ def _gap_us(gap_threshold_h: float) -> int:
 def _bucket_sessions(candidates: DataFrame, gap_threshold_h: float, ts: str) -> DataFrame:
     """One row per (mmsi, portName, bucket) with its visit number."""
     g = _gap_us(gap_threshold_h)
-    c = candidates.select("mmsi", "portName", F.col(ts).alias("_ts"), epoch_us(F.col(ts)).alias("_t"))
-    per_bucket = c.groupBy("mmsi", "portName", F.floor(F.col("_t") / g).alias("_b")).agg(
-        F.min("_t").alias("_lo"), F.max("_t").alias("_hi"),
-        F.min("_ts").alias("_ts_lo"), F.max("_ts").alias("_ts_hi"),
-        F.count(F.lit(1)).alias("_n"),
-    )
+    c = candidates.select("mmsi", "portName", F.col(ts).alias("_ts"))
+    per_bucket = c.groupBy("mmsi", "portName", F.floor(epoch_us(F.col("_ts")) / g).alias("_b")).agg(
+        F.min("_ts").alias("_ts_lo"), F.max("_ts").alias("_ts_hi"), F.count(F.lit(1)).alias("_n"))
+    per_bucket = per_bucket.withColumn("_lo", epoch_us(F.col("_ts_lo"))).withColumn("_hi", epoch_us(F.col("_ts_hi")))
     w = Window.partitionBy("mmsi", "portName").orderBy("_b")
     new_visit = F.coalesce((F.col("_lo") - F.lag("_hi").over(w)) > F.lit(g), F.lit(True))
     return per_bucket.withColumn(

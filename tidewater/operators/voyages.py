@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.geo import US_PER_HOUR, epoch_us
 from tidewater.session import checked_count
 from tidewater.operators.ordered import (DAY_US, HOT_BUCKET_ROWS, bucket_of, bucketed_next, global_index,
-                                         hot_key_widths, with_key_width)
+                                         has_heavy_key, hot_key_widths, with_key_width, LIGHT_ROWS)
 
 VOYAGE_COLUMNS = ["voyage_id", "mmsi", "departure_port", "departure_time", "arrival_port",
                   "arrival_time", "duration_hours", "ping_count"]
@@ -41,7 +41,7 @@ def _visit_us(visits: DataFrame) -> DataFrame:
                          epoch_us(F.col("exit_time")).alias("_x"))
 
 
-def pair_visits(visits: DataFrame, bucket_us: int = DAY_US) -> DataFrame:
+def pair_visits(visits: DataFrame, bucket_us: int | None = DAY_US) -> DataFrame:
     """Every visit with the next visit of the same vessel in
     (entry, exit, port) order. Columns: dep_* and arr_* plus ``kept``
     (False when the next visit starts at or before this one's exit)."""
@@ -61,11 +61,14 @@ def pair_visits(visits: DataFrame, bucket_us: int = DAY_US) -> DataFrame:
     )
 
 
-def voyages_from_visits(visits: DataFrame, bucket_us: int = DAY_US) -> DataFrame:
+def voyages_from_visits(visits: DataFrame, bucket_us: int | None = None) -> DataFrame:
     """W3 + W10: kept pairs, numbered 0.. by (mmsi, departure visit order).
 
     Columns: voyage_id, mmsi, departure_port, departure_time, arrival_port,
-    arrival_time, duration_hours (no ping_count; see `count_voyage_pings`)."""
+    arrival_time, duration_hours (no ping_count; see `count_voyage_pings`). Visits
+    are cut into buckets where a vessel has very many."""
+    if bucket_us is None and has_heavy_key(visits, "mmsi"):
+        bucket_us = DAY_US
     kept = pair_visits(visits, bucket_us).where("kept")
     numbered = global_index(kept, "mmsi", "_dep_e", ["_dep_x", "departure_port"], bucket_us,
                             "voyage_id")
@@ -75,27 +78,8 @@ def voyages_from_visits(visits: DataFrame, bucket_us: int = DAY_US) -> DataFrame
     )
 
 
-def label_pings(pings: DataFrame, visits: DataFrame, voyages: DataFrame | None = None,
-                ts: str = "base_date_time", bucket_us: int = DAY_US,
-                split_hot_keys: bool = True, hot_bucket_rows: int = HOT_BUCKET_ROWS) -> DataFrame:
-    """J3 + J4 + J5 (+ J6 when ``voyages`` is given) + P11.
-
-    Adds current_port, origin_port, destination_port (string) and voyage_id
-    (long, NULL without ``voyages``) to every ping.
-
-    Buckets are ``bucket_us`` wide; a vessel id whose busiest bucket holds
-    more than ``ordered.HOT_BUCKET_ROWS`` pings (a shared or bogus id) gets
-    narrower buckets, so no window partition exceeds that size.
-    """
-    v = _visit_us(visits)
-    p = pings.withColumn("_t", epoch_us(F.col(ts))).withColumn("_kind", F.lit(1))
-    # A key can only be hot if the whole input exceeds the target (the count
-    # of a parquet-backed frame comes from file metadata).
-    hot_possible = split_hot_keys and checked_count(pings) > hot_bucket_rows
-    widths = hot_key_widths(p, "mmsi", "_t", bucket_us, hot_bucket_rows) if hot_possible else None
-    p = with_key_width(p, "mmsi", widths, bucket_us)
-    p = p.withColumn("_b", bucket_of(F.col("_t"), F.col("_w")))
-
+def _label_events(v: DataFrame, voyages: DataFrame | None) -> DataFrame:
+    """The visit and voyage events that pings look up (see above)."""
     def ev(t, kind, **payload):
         return v.select(
             "mmsi", t.alias("_t"), F.lit(kind).alias("_kind"),
@@ -124,6 +108,61 @@ def label_pings(pings: DataFrame, visits: DataFrame, voyages: DataFrame | None =
         ev_all = ev_all.unionByName(e, allowMissingColumns=True)
     if "_voy" not in ev_all.columns:
         ev_all = ev_all.withColumn("_voy", F.lit(None).cast("struct<id:bigint,arr:bigint>"))
+    return ev_all
+
+
+def _labels(u: DataFrame, columns: list[str]) -> DataFrame:
+    """The lookups of the pings (kind 1) among the events of their (mmsi, bucket)."""
+    w = Window.partitionBy("mmsi", "_b").orderBy(*_ORDER)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # what follows a row, read backwards: a frame to the end of the window is added up anew for every row
+    back = Window.partitionBy("mmsi", "_b").orderBy(*[F.col(c).desc() for c in _ORDER]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lab = (
+        u.withColumn("_c", F.last("_cur", True).over(upto))
+        .withColumn("_og", F.last("_org", True).over(upto))
+        .withColumn("_vy", F.last("_voy", True).over(upto))
+        .withColumn("_ds", F.last("_dst", True).over(back))
+        .where(F.col("_kind") == 1)
+    )
+    current = F.when(F.col("_c.x") >= F.col("_t"), F.col("_c.port"))
+    return (
+        lab.withColumn("current_port", current)
+        .withColumn("origin_port", F.when(F.col("current_port").isNull(), F.col("_og")))
+        .withColumn("destination_port", F.when(F.col("current_port").isNull(), F.col("_ds")))
+        .withColumn("voyage_id", F.when(F.col("_t") < F.col("_vy.arr"), F.col("_vy.id")).cast("long"))
+        .select(*columns, "current_port", "origin_port", "destination_port", "voyage_id")
+    )
+
+
+def label_pings(pings: DataFrame, visits: DataFrame, voyages: DataFrame | None = None,
+                ts: str = "base_date_time", bucket_us: int | None = None,
+                split_hot_keys: bool = True, hot_bucket_rows: int = HOT_BUCKET_ROWS) -> DataFrame:
+    """J3 + J4 + J5 (+ J6 when ``voyages`` is given) + P11.
+
+    Adds current_port, origin_port, destination_port (string) and voyage_id
+    (long, NULL without ``voyages``) to every ping.
+
+    Where no vessel id has more than ``ordered.LIGHT_ROWS`` pings (nor more than ``hot_bucket_rows``),
+    a vessel is one window. Else, or with ``bucket_us`` given, buckets are ``bucket_us`` wide (a day); a vessel id whose busiest bucket holds
+    more than ``ordered.HOT_BUCKET_ROWS`` pings (a shared or bogus id) gets
+    narrower buckets, so no window partition exceeds that size.
+    """
+    v = _visit_us(visits)
+    p = pings.withColumn("_t", epoch_us(F.col(ts))).withColumn("_kind", F.lit(1))
+    if bucket_us is None and split_hot_keys and not has_heavy_key(pings.where("mmsi IS NOT NULL"), "mmsi", min(LIGHT_ROWS, hot_bucket_rows)):
+        # pings without a vessel meet no event; they are spread by their time
+        p = p.withColumn("_b", F.when(F.col("mmsi").isNull(), F.col("_t")))
+        u = p.unionByName(_label_events(v, voyages).where("mmsi IS NOT NULL"), allowMissingColumns=True)
+        return _labels(u, pings.columns)
+    bucket_us = DAY_US if bucket_us is None else bucket_us
+    # A key can only be hot if the whole input exceeds the target (the count
+    # of a parquet-backed frame comes from file metadata).
+    hot_possible = split_hot_keys and checked_count(pings) > hot_bucket_rows
+    widths = hot_key_widths(p, "mmsi", "_t", bucket_us, hot_bucket_rows) if hot_possible else None
+    p = with_key_width(p, "mmsi", widths, bucket_us)
+    p = p.withColumn("_b", bucket_of(F.col("_t"), F.col("_w")))
+
+    ev_all = _label_events(v, voyages)
     ev_all = with_key_width(ev_all, "mmsi", widths, bucket_us)
     ev_all = ev_all.withColumn("_b", bucket_of(F.col("_t"), F.col("_w")))
 
@@ -161,24 +200,7 @@ def label_pings(pings: DataFrame, visits: DataFrame, voyages: DataFrame | None =
     u = (p.drop("_w").unionByName(ev_in, allowMissingColumns=True)
          .unionByName(heads, allowMissingColumns=True)
          .unionByName(tails, allowMissingColumns=True))
-    w = Window.partitionBy("mmsi", "_b").orderBy(*_ORDER)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    onward = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    lab = (
-        u.withColumn("_c", F.last("_cur", True).over(upto))
-        .withColumn("_og", F.last("_org", True).over(upto))
-        .withColumn("_vy", F.last("_voy", True).over(upto))
-        .withColumn("_ds", F.first("_dst", True).over(onward))
-        .where(F.col("_kind") == 1)
-    )
-    current = F.when(F.col("_c.x") >= F.col("_t"), F.col("_c.port"))
-    return (
-        lab.withColumn("current_port", current)
-        .withColumn("origin_port", F.when(F.col("current_port").isNull(), F.col("_og")))
-        .withColumn("destination_port", F.when(F.col("current_port").isNull(), F.col("_ds")))
-        .withColumn("voyage_id", F.when(F.col("_t") < F.col("_vy.arr"), F.col("_vy.id")).cast("long"))
-        .select(*pings.columns, "current_port", "origin_port", "destination_port", "voyage_id")
-    )
+    return _labels(u, pings.columns)
 
 
 def count_voyage_pings(voyages: DataFrame, labeled: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.geo import epoch_us
 from tidewater.operators import features as feat
 from tidewater.operators import portcalls, sessions, spatial, voyages, weather
-from tidewater.operators.ordered import DAY_US, HOT_BUCKET_ROWS, hot_key_widths
+from tidewater.operators.ordered import DAY_US, HOT_BUCKET_ROWS, has_heavy_key, hot_key_widths
 from tidewater.session import checked_count, delete_path, input_mark, path_exists, prepare, write_stage
 from tidewater.sources import fixtures
 
@@ -121,11 +121,13 @@ class Stages:
     @property
     def features_plan(self) -> DataFrame:
         def build():
+            if not has_heavy_key(self.sea, "mmsi"):
+                return feat.build_features(self.sea, self.ports, staged=True, by_key=True)
             widths = None
             if checked_count(self.sea) > HOT_BUCKET_ROWS:  # else no vessel can be hot
                 t = self.sea.select("mmsi", epoch_us(F.col("base_date_time")).alias("_t"))
                 widths = hot_key_widths(t, "mmsi", "_t", DAY_US)
-            return feat.build_features(self.sea, self.ports, widths=widths)
+            return feat.build_features(self.sea, self.ports, widths=widths, staged=True)
         return self._get("features_plan", build)
 
     @property
