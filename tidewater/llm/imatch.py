@@ -179,9 +179,9 @@ def _with_next(own: DataFrame) -> DataFrame:
     # rows without an id all have the same next document; one of them stands for them in the blocks
     after = rest if top is None else own.where(F.col("k") == top)
     alone = rest.join(F.broadcast(after.agg(first.alias("nxt")))).select("k", "text", "fp", "nxt")
-    least = rest.agg(first.alias("r")).where("r is not null").select(F.lit(_NO_ID).alias("k"), "r.text", "r.fp", F.lit(False).alias("own"))
+    least = rest.agg(first.alias("r")).where("r is not null").select(F.lit(_NO_ID).alias("k"), "r.text", "r.fp", F.lit(None).cast("boolean").alias("own"))
     own = own.where("k is not null").withColumn("own", F.lit(True)).unionByName(least)
-    own = own.withColumn("b", F.shiftright("k", BLOCK_BITS))
+    own = own.withColumn("b", F.shiftright("k", BLOCK_BITS)).where("b is not null")
     in_block = Window.partitionBy("b").orderBy("k", F.col("text").desc())
     rows = own.withColumn("above", F.lead("k").over(in_block))
     # of each key, the last row stands for it; a row takes the last of those before it
@@ -192,7 +192,8 @@ def _with_next(own: DataFrame) -> DataFrame:
     blocks = own.select("b").distinct()
     lowest = blocks.agg(F.min("b")).first()[0]
     info = neighbours(blocks, ["b"]).select("b", F.coalesce("next.b", F.lit(lowest)).alias("taker"))
-    tops = (rows.where("above is null").select("b", "text", "fp").join(info, "b")
+    # the blocks' own column and filter, so that both uses of the blocks share one exchange of the texts
+    tops = (rows.where(F.col("above").isNull() & F.coalesce("own", F.lit(True))).select("b", "text", "fp").join(info, "b")
             .select("taker", F.struct("text", "fp").alias("first")))
     met = (marked.withColumn("below", below).join(tops, F.col("b") == F.col("taker"), "left").where("own")
            .select("k", "text", "fp", F.coalesce("below", "first").alias("nxt")))
