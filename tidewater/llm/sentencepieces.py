@@ -197,14 +197,19 @@ class Encoder:
         owner = np.concatenate(done_owner) if done_owner else owner
         order = np.argsort(owner, kind="stable")
         sym, ends = sym[order], np.cumsum(np.bincount(owner, minlength=len(chunks)))
-        raw, out, lo = sym.astype(np.int32), [], 0
+        raw, lo = sym.astype(np.int32).tobytes(), 0
         foreign = set(owner[order][sym >= len(self.types)].tolist())
-        for i, hi in enumerate(ends.tolist()):
+        ends = ends.tolist()
+        if not foreign:
+            ends = [4 * hi for hi in ends]
+            return [raw[lo:hi] for lo, hi in zip([0, *ends], ends)]
+        out = []
+        for i, hi in enumerate(ends):
             if i in foreign:
                 spelled = [[x] if x < len(self.types) else self.spelled(chr(x - len(self.types))) for x in sym[lo:hi].tolist()]
                 out.append(np.fromiter(chain.from_iterable(spelled), np.int32).tobytes())
             else:
-                out.append(raw[lo:hi].tobytes())
+                out.append(raw[4 * lo:4 * hi])
             lo = hi
         return out
 
@@ -214,19 +219,21 @@ class Encoder:
             self.cache.clear()
         keys = list(keys)
         chunks = [MARK + k if type(k) is str else k[0] for k in keys]
-        made = dict.fromkeys(chunks)
         short = [c for c in chunks if len(c) <= LONGEST]
-        if short:
-            made.update(zip(short, self.merged_all(short)))
-        for c in chunks:
-            if made[c] is None:
-                made[c] = np.array(self.merged(c), np.int32).tobytes()
+        made = self.merged_all(short) if short else []
+        if len(short) < len(chunks):
+            found = iter(made)
+            made = [next(found) if len(c) <= LONGEST else np.array(self.merged(c), np.int32).tobytes() for c in chunks]
         for at in range(0, len(chunks), 1 << 16):
-            some = chunks[at:at + (1 << 16)]
-            for c, theirs in zip(some, self.inner.encode(some, num_threads=1)):
-                if self._single(made[c]).tolist() != theirs:
+            some, ours = chunks[at:at + (1 << 16)], made[at:at + (1 << 16)]
+            theirs = self.inner.encode(some, num_threads=1)
+            if self.bytes and [len(x) >> 2 for x in ours] == list(map(len, theirs)) \
+                    and b"".join(ours) == np.fromiter(chain.from_iterable(theirs), np.int32).tobytes():
+                continue  # every chunk has the library's ids
+            for c, own, ids in zip(some, ours, theirs):
+                if self._single(own).tolist() != ids:
                     raise Mismatch(f"the library has other ids for {c!r}")
-        self.cache.update(zip(keys, map(made.__getitem__, chunks)))
+        self.cache.update(zip(keys, made))
 
     def _keys(self, part: str) -> list:
         """The part's chunks as keys of the cache: what follows the mark in a chunk with one mark
