@@ -11,8 +11,9 @@ the vocabulary holds another code point before a word mark, a text falls apart i
 before each run of word marks that do not see each other: they are encoded one by one, the
 result the same as for the whole text. Without such a vocabulary the text is one chunk.
 Equal chunks share one result, in a cache of about ``CACHE`` chunks a worker. The agendas of
-all new chunks of up to ``LONGEST`` code points are kept in arrays and worked off together, one
-merge of each chunk a round; a longer chunk has a heap of its own.
+all new chunks of up to ``LONGEST`` code points are kept in arrays, a column a chunk, and worked
+off together, one merge of each chunk a round, some ``BLOCK`` chunks of like length at a time;
+a longer chunk has a heap of its own.
 
 Decoding joins the pieces, word marks as spaces, without the one that the normaliser put in
 front; runs of byte pieces are decoded together, a byte that is no UTF-8 as U+FFFD.
@@ -20,7 +21,7 @@ front; runs of byte pieces are decoded together, a byte that is no UTF-8 as U+FF
 Both are checked against the library within each Arrow batch: the new chunks' ids against
 its own, and with ``check="texts"`` whole texts' (which takes as long as all the rest).
 Decoded texts are the library's, with ``check="texts"`` compared with the pieces'. A
-difference is an error, never a result.
+difference is an error, never a result. Ids and decoded text come from one call a batch.
 
 The model file is read on the driver and sent once (its size does not depend on the data).
 Null and empty texts have no ids but the asked-for begin and end; null ids decode to an
@@ -47,8 +48,10 @@ from tidewater.llm.common import setup
 MARK = "▁"         # the word mark
 CACHE = 1_000_000  # chunks of a worker's cache, about
 LONGEST = 64       # code points of a chunk whose agenda is in the arrays
+BLOCK = 1 << 13    # chunks whose agendas are in the arrays at a time
 PART = 1 << 20     # code points worked on at a time
-_NEVER = 1 << 24   # above every rank
+_NEVER = 1 << 23   # above every rank
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 BPE = 2            # of the model file's trainer settings, field 3: its model type
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6  # fixed values of the model file: types of pieces
 UNKNOWN_TEXT = " ⁇ "
@@ -82,6 +85,17 @@ def _fields(message: bytes):
             at += size
 
 
+class Seen(dict):
+    """The ids of the chunks seen; what is asked for and not there is noted in ``missing``."""
+
+    def __init__(self):
+        super().__init__()
+        self.missing: set = set()
+
+    def __missing__(self, key) -> None:
+        self.missing.add(key)
+
+
 class Encoder:
     """A vocabulary and the ids of the chunks seen, as bytes of int32."""
 
@@ -109,7 +123,7 @@ class Encoder:
         split = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.chunk = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if split else ".+", re.S)
         self.cut = re.compile(f"(?<=[^{MARK}]){MARK}") if split else None
-        self.cache: dict = {}  # ids of chunks, by key (see `_keys`)
+        self.cache = Seen()  # ids of chunks, by key (see `_keys`)
         # symbols: a piece's id, or beyond them a code point that is no piece
         self.symbol = np.arange(0x110000, dtype=np.int64) + len(types)
         for p, i in self.ids.items():
@@ -117,13 +131,10 @@ class Encoder:
                 self.symbol[ord(p)] = i
         pairs = [(self._symbol(p[:k]), self._symbol(p[k:]), i) for p, i in self.ids.items() for k in range(1, len(p))]
         pairs = np.array([x for x in pairs if None not in x], np.int64).reshape(-1, 3)
-        self.width = len(types) + 0x110000
-        keys = pairs[:, 0] * self.width + pairs[:, 1]
-        order = np.argsort(keys)
-        self.keys, self.made = np.append(keys[order], 1 << 62), np.append(pairs[order, 2], 0)
+        self.border = len(types) + 0x110000  # no symbol: in front of a chunk, behind it, and what a merge took
         ranks = np.zeros(len(types), np.int64)
         ranks[list(self.ids.values())] = list(self.rank.values())
-        self.order = np.append(ranks[pairs[order, 2]], 0)
+        self._index(pairs[:, 0] * (self.border + 1) + pairs[:, 1], ranks[pairs[:, 2]], pairs[:, 2])
 
     def _symbol(self, part: str):
         return self.ids.get(part, int(self.symbol[ord(part)]) if len(part) == 1 else None)
@@ -153,65 +164,121 @@ class Encoder:
                     heappush(agenda, (rank[whole], a, b, len(whole)))
         return list(chain.from_iterable([self.ids[p]] if p in self.ids else self.spelled(p) for p in parts if p))
 
+    def _index(self, keys: np.ndarray, ranks: np.ndarray, made: np.ndarray) -> None:
+        """The pairs by their keys in an open table, each in the first free place from its hash on."""
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(last + 1, -1, np.int64)
+        self.order, self.made = np.full(last + 1, _NEVER, np.int32), np.zeros(last + 1, np.int32)
+        at, left = self._place(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[left[free]]  # of several for one place the last stays
+            stays = self.keys[at] == keys[left]
+            self.order[at[stays]], self.made[at[stays]] = ranks[left[stays]], made[left[stays]]
+            at, left = (at[~stays] + 1) & last, left[~stays]
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * _MIX) >> self.shift).view(np.int64)
+
     def _agenda(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, merged symbol) of pairs of symbols; the rank is ``_NEVER`` where there is no piece."""
-        key = left * self.width + right
-        at = np.searchsorted(self.keys, key)
-        return np.where(self.keys[at] == key, self.order[at], _NEVER), self.made[at]
+        key = left * np.int64(self.border + 1) + right
+        at = self._place(key)
+        there = self.keys[at]
+        other = np.flatnonzero((there != key) & (there >= 0))
+        rank, made = np.where(there < 0, _NEVER, self.order[at]).astype(np.int32), self.made[at]
+        at = at[other]
+        while len(other):  # another pair's place
+            at = (at + 1) & (len(self.keys) - 1)
+            there = self.keys[at]
+            hit = there == key[other]
+            rank[other], made[other] = np.where(hit, self.order[at], _NEVER), self.made[at]
+            on = ~hit & (there >= 0)
+            other, at = other[on], at[on]
+        return rank, made
 
     def merged_all(self, chunks: list[str]) -> list[bytes]:
         """The ids of every chunk: one agenda each, all in arrays, the best pair of each taken a round."""
         sizes = np.array([len(c) for c in chunks])
-        sym = self.symbol[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        owner = np.repeat(np.arange(len(chunks)), sizes)
-        done_sym, done_owner = [], []
-        inside = np.append(owner[1:] == owner[:-1], False)
-        rank, made = self._agenda(sym, np.append(sym[1:], 0))
-        rank[~inside] = _NEVER
-        while len(sym):
-            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-            best = np.minimum.reduceat((rank << 32) + np.arange(len(sym)), first)
-            alive = best >> 32 < _NEVER
-            if not alive.all():  # empty agendas
-                keep = np.repeat(alive, np.diff(np.append(first, len(sym))))
-                done_sym.append(sym[~keep])
-                done_owner.append(owner[~keep])
-                moved = np.cumsum(keep) - 1
-                best = moved[best[alive] & 0xFFFFFFFF]
-                sym, owner, rank, made = sym[keep], owner[keep], rank[keep], made[keep]
-            else:
-                best = best & 0xFFFFFFFF
-            if not len(sym):
-                break
-            sym[best] = made[best]
-            keep = np.ones(len(sym), bool)
-            keep[best + 1] = False
-            at = (np.cumsum(keep) - 1)[best]  # where the merged symbols are now
-            sym, owner, rank, made = sym[keep], owner[keep], rank[keep], made[keep]
-            for i in (at, at[at > 0] - 1):  # the pairs with the merged symbol as their left and as their right part
-                j = np.minimum(i + 1, len(sym) - 1)
-                found, whole = self._agenda(sym[i], sym[j])
-                found[(owner[i] != owner[j]) | (i == j)] = _NEVER
-                rank[i], made[i] = found, whole
-        sym = np.concatenate(done_sym) if done_sym else sym
-        owner = np.concatenate(done_owner) if done_owner else owner
-        order = np.argsort(owner, kind="stable")
-        sym, ends = sym[order], np.cumsum(np.bincount(owner, minlength=len(chunks)))
-        raw, lo = sym.astype(np.int32).tobytes(), 0
-        foreign = set(owner[order][sym >= len(self.types)].tolist())
-        ends = ends.tolist()
-        if not foreign:
-            ends = [4 * hi for hi in ends]
-            return [raw[lo:hi] for lo, hi in zip([0, *ends], ends)]
-        out = []
-        for i, hi in enumerate(ends):
-            if i in foreign:
-                spelled = [[x] if x < len(self.types) else self.spelled(chr(x - len(self.types))) for x in sym[lo:hi].tolist()]
-                out.append(np.fromiter(chain.from_iterable(spelled), np.int32).tobytes())
+        by_size = np.argsort(sizes, kind="stable")
+        out: list[bytes] = [b""] * len(chunks)
+        for lo in range(0, len(chunks), BLOCK):
+            some = by_size[lo:lo + BLOCK]
+            while len(some):  # of about one length: the arrays are at most half empty
+                n = np.searchsorted(sizes[some], 2 * sizes[some[0]], side="right")
+                self._merge([chunks[i] for i in some[:n].tolist()], some[:n], out)
+                some = some[n:]
+        return out
+
+    def _merge(self, chunks: list[str], places: np.ndarray, out: list[bytes]) -> None:
+        """Writes the ids of ``chunks`` to ``places`` of ``out``.
+
+        A chunk is a column, its code points in rows from 1 on, a symbol in the row of its first.
+        ``best`` has a pair's rank and row in one number, in the row of its left symbol."""
+        sizes = np.array([len(c) for c in chunks])
+        longest, n = int(sizes.max()), len(chunks)
+        bits = (longest + 1).bit_length()
+        number = np.int32 if bits < 8 else np.int64
+        never = _NEVER << bits
+        flat = self.symbol[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        row = np.arange(1, len(flat) + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at = row * n + np.repeat(np.arange(n), sizes)
+        sym = np.full((longest + 2) * n, self.border, np.int32)
+        sym[at] = flat
+        best, made = np.full(len(sym), never, number), np.zeros(len(sym), np.int32)
+        rank, whole = self._agenda(flat, sym[at + n])
+        best[at], made[at] = (rank.astype(number) << bits) + row, whole
+        after = np.repeat(np.arange(1, longest + 3, dtype=np.int32), n)
+        before = after - 2
+        while n:
+            top = best.reshape(-1, n).min(axis=0)
+            going = top < never
+            col = np.flatnonzero(going)
+            if 4 * len(col) < 3 * n:  # many empty agendas: they leave the arrays
+                self._spell(sym.reshape(-1, n)[:, ~going].T, places[~going], out)
+                sym, best, made, after, before = (x.reshape(-1, n)[:, col].ravel() for x in (sym, best, made, after, before))
+                top, places, n = top[col], places[col], len(col)
+                col = np.arange(n)
+                if not n:
+                    break
             else:
-                out.append(raw[4 * lo:4 * hi])
+                top = top[col]
+            left = top & ((1 << bits) - 1)
+            at = left * np.int64(n) + col
+            right = after[at] * np.int64(n) + col
+            behind = after[right]
+            front = before[at]
+            at_behind, at_front = behind * np.int64(n) + col, front * np.int64(n) + col
+            new = made[at]
+            sym[at], sym[right], best[right] = new, self.border, never
+            after[at], before[at_behind] = behind, left
+            rank, made[at] = self._agenda(new, sym[at_behind])
+            best[at] = (rank.astype(number) << bits) + left
+            rank, made[at_front] = self._agenda(sym[at_front], new)
+            best[at_front] = (rank.astype(number) << bits) + front
+
+    def _spell(self, rows: np.ndarray, places: np.ndarray, out: list[bytes]) -> None:
+        """Writes the ids of rows of symbols to ``places`` of ``out``, code points that are no piece as their own ids."""
+        real = rows != self.border
+        ids, ends = rows[real], np.cumsum(real.sum(axis=1))
+        odd = np.flatnonzero(ids >= len(self.types))
+        if len(odd):
+            known, which = np.unique(ids[odd], return_inverse=True)
+            known = [self.spelled(chr(x - len(self.types))) for x in known.tolist()]
+            size = np.array([len(x) for x in known])[which]
+            width = np.ones(len(ids), np.int64)
+            width[odd] = size
+            stop = np.cumsum(width)
+            ids = np.repeat(ids, width)
+            begin = np.repeat(stop[odd] - size, size)
+            ids[begin + np.arange(len(begin)) - np.repeat(np.cumsum(size) - size, size)] = np.fromiter(
+                chain.from_iterable([known[k] for k in which.tolist()]), np.int32)
+            ends = np.append(0, stop)[ends]
+        raw, lo = ids.tobytes(), 0
+        for i, hi in zip(places.tolist(), (4 * ends).tolist()):
+            out[i] = raw[lo:hi]
             lo = hi
-        return out
 
     def _learn(self, keys: set) -> None:
         """Encodes the chunks of ``keys``, which the cache does not hold, and checks them against the library."""
@@ -256,14 +323,14 @@ class Encoder:
         size = 0
 
         def flush():
-            found = [list(map(self.cache.get, keys)) for _, keys in waiting]
-            missing = {k for (_, keys), raw in zip(waiting, found) if None in raw for k, r in zip(keys, raw) if r is None}
+            cache = self.cache
+            found = [list(map(cache.__getitem__, keys)) for _, keys in waiting]
+            missing, cache.missing = cache.missing, set()
             if missing:
                 self._learn(missing)
-                for (_, keys), raw in zip(waiting, found):
-                    if None in raw:
-                        raw[:] = [self.cache[k] if r is None else r for k, r in zip(keys, raw)]
-            for (i, _), raw in zip(waiting, found):
+            for (i, keys), raw in zip(waiting, found):
+                if missing:
+                    raw = [cache[k] if r is None else r for k, r in zip(keys, raw)]
                 out[i].append(b"".join(raw))
             if size > 4 * PART:  # a text in one chunk: not to be kept
                 self.cache.clear()
@@ -330,19 +397,32 @@ def _edges(e: Encoder, begin: bool, end: bool) -> tuple[list[int], list[int]]:
     return [e.library.bos_id()] if begin else [], [e.library.eos_id()] if end else []
 
 
+def _encoded(texts: list[str], model, begin: bool, end: bool, check: str) -> list[np.ndarray]:
+    e = encoder(model.value)
+    found = e.encode(texts)
+    if check == "texts":
+        for t, own, theirs in zip(texts, found, e.library.encode(texts, num_threads=1)):
+            if own.tolist() != theirs:
+                raise Mismatch(f"the library has other ids for a text of {len(t)} code points that begins {t[:80]!r}")
+    first, last = _edges(e, begin, end)
+    return [np.concatenate((first, x, last)).astype(np.int32) for x in found]
+
+
+def _decoded(lists: list[np.ndarray], model, check: str) -> list[str]:
+    e = encoder(model.value)
+    theirs = e.library.decode(lists, num_threads=1) if lists else []
+    if check == "texts":
+        for x, text in zip(lists, theirs):
+            if e.decode(x.tolist()) != text:
+                raise Mismatch(f"the library has another text for {x[:20].tolist()}...")
+    return theirs
+
+
 def encode(text: Column, model, begin: bool = False, end: bool = False, check: str = "chunks") -> Column:
     """The ids of a text column as array<int>; ``model`` is from `load`, ``check`` is "chunks" or "texts"."""
     @pandas_udf("array<int>")
     def ids_of(texts: pd.Series) -> pd.Series:
-        e = encoder(model.value)
-        texts = ["" if t is None else t for t in texts]
-        found = e.encode(texts)
-        if check == "texts":
-            for t, own, theirs in zip(texts, found, e.library.encode(texts, num_threads=1)):
-                if own.tolist() != theirs:
-                    raise Mismatch(f"the library has other ids for a text of {len(t)} code points that begins {t[:80]!r}")
-        first, last = _edges(e, begin, end)
-        return pd.Series([np.concatenate((first, x, last)).astype(np.int32) for x in found], dtype="object")
+        return pd.Series(_encoded(["" if t is None else t for t in texts], model, begin, end, check), dtype="object")
     return ids_of(text)
 
 
@@ -350,23 +430,28 @@ def decode(ids: Column, model, check: str = "chunks") -> Column:
     """The text of an array<int> column, by the library; with ``check="texts"`` by the pieces too."""
     @pandas_udf("string")
     def text_of(lists: pd.Series) -> pd.Series:
-        e = encoder(model.value)
-        lists = [[] if x is None else x.tolist() for x in lists]
-        theirs = e.library.decode(lists, num_threads=1) if lists else []
-        if check == "texts":
-            for x, text in zip(lists, theirs):
-                if e.decode(x) != text:
-                    raise Mismatch(f"the library has another text for {x[:20]}...")
-        return pd.Series(theirs, dtype="object")
+        none = np.zeros(0, np.int32)
+        return pd.Series(_decoded([none if x is None else x for x in lists], model, check), dtype="object")
     return text_of(ids)
 
 
+def round_trip(text: Column, model, begin: bool = False, end: bool = False, check: str = "chunks") -> Column:
+    """`encode` and `decode` of its ids as struct<ids, decoded>: Spark would encode a second time for `decode`."""
+    @pandas_udf("ids array<int>, decoded string")
+    def both_of(texts: pd.Series) -> pd.DataFrame:
+        found = _encoded(["" if t is None else t for t in texts], model, begin, end, check)
+        return pd.DataFrame({"ids": pd.Series(found, dtype="object"),
+                             "decoded": pd.Series(_decoded(found, model, check), dtype="object")})
+    return both_of(text)
+
+
 def tokenize(docs: DataFrame, path: str, text_col: str = "text", ids: str = "ids", decoded: str | None = None,
              begin: bool = False, end: bool = False, check: str = "chunks") -> DataFrame:
     """``docs`` with the ids of every text, and with ``decoded`` the text those ids give;
     columns of these names are replaced."""
     model = load(docs.sparkSession, path)
-    found = encode(F.col(f"`{text_col}`"), model, begin, end, check)
+    text = F.col(f"`{text_col}`")
     if decoded is None:
-        return docs.withColumn(ids, found)
-    return docs.withColumns({ids: found, decoded: decode(found, model, check)})
+        return docs.withColumn(ids, encode(text, model, begin, end, check))
+    both = round_trip(text, model, begin, end, check)
+    return docs.withColumns({ids: both.ids, decoded: both.decoded})
