@@ -215,3 +215,22 @@ def test_permutation_importance_moves_places_only(spark, monkeypatch):
             drops.append(r2(rows) - r2(mixed))
         mean = sum(drops) / 2
         assert got[f] == pytest.approx((mean, (sum((d - mean) ** 2 for d in drops) / 2) ** 0.5))
+
+
+def test_permutation_importance_broadcasts_no_copies(spark):
+    """Spark takes the (feature, repeat) copies for as small as the rows they come from; none may pass the driver."""
+    rng = random.Random(5)
+    rows = [(i, rng.uniform(1, 90), rng.uniform(1, 20), rng.uniform(0, 9)) for i in range(60)]
+    df = spark.createDataFrame(rows, "ping_id long, remaining_dist_nm double, sog_roll_6h double, remaining_travel_hours double")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    kept, got = spark.conf.get(key), {}
+    try:
+        for limit in ("-1", "10m"):
+            spark.conf.set(key, limit)
+            imp = training.permutation_importance(training.speed_scorer, df, ["remaining_dist_nm", "sog_roll_6h"], 2)
+            got[limit] = sorted(imp.collect())
+        assert "Broadcast" not in imp._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, kept)
+    for a, b in zip(got["-1"], got["10m"], strict=True):
+        assert a.feature == b.feature and a[1:] == pytest.approx(b[1:])

@@ -155,7 +155,9 @@ def permutation_importance(score, rows: DataFrame, feats: list[str] | None = Non
     a hash of (ping_id, feature, repeat). That order is cut by the hash's first digits, so places
     are row numbers within a cut plus the sizes of the cuts before, and no task holds a whole
     permutation. Only places and the one donor value go through the shuffles of the (feature,
-    repeat) copies; a row's own columns meet them in the last join. ``score`` runs once
+    repeat) copies; a row's own columns meet them in the last join. The joins are merge joins by
+    hint: Spark takes the copies for as small as the rows they come from, and would broadcast
+    them through the driver. ``score`` runs once
     over all of them, grouped by (feature, repeat). Callers that want less work
     pass a sample."""
     feats = feats or MODEL_NUMERIC + CATEGORICAL_FEATURES
@@ -173,15 +175,15 @@ def permutation_importance(score, rows: DataFrame, feats: list[str] | None = Non
     sizes = rep.groupBy(*cut).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("f", "r").orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*cut, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    moved = rep.withColumn("_rn", F.row_number().over(Window.partitionBy(*cut).orderBy("_h", "ping_id"))).join(offsets, cut) \
+    moved = rep.withColumn("_rn", F.row_number().over(Window.partitionBy(*cut).orderBy("_h", "ping_id"))).join(offsets.hint("merge"), cut) \
         .select("f", "r", F.col("_place").alias("_to"), (F.col("_off") + F.col("_rn")).alias("_from"))
     kinds = sorted({t for c, t in placed.dtypes if c in feats})
     kind = {c: f"_value{kinds.index(t)}" for c, t in placed.dtypes if c in feats}
     donors = placed.select(F.col("_place").alias("_from"), *[F.col(c).alias(f"_d_{c}") for c in feats])
-    values = moved.join(donors, "_from").select("f", "r", F.col("_to").alias("_place"), *[
+    values = moved.join(donors.hint("merge"), "_from").select("f", "r", F.col("_to").alias("_place"), *[
         F.coalesce(*[F.when(F.col("f") == i, F.col(f"_d_{c}")) for i, c in enumerate(feats) if kind[c] == k]).alias(k)
         for k in sorted(set(kind.values()))])
-    j = values.join(placed, "_place").drop("_place")
+    j = values.join(placed.hint("merge"), "_place").drop("_place")
     j = j.select(*[F.when(F.col("f") == feats.index(c), F.col(kind[c])).otherwise(F.col(c)).alias(c) if c in feats else F.col(c)
                    for c in base.columns], F.element_at(F.array(*map(F.lit, feats)), F.col("f") + 1).alias("f"), "r")
     scored = score(j)
